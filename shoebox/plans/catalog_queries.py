@@ -1,0 +1,32 @@
+"""Catalog queries over the driver tables, each with its SQL oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from shoebox.session import table
+
+QUERIES = {}
+ORACLE = {}
+
+
+def register(name: str, sql: str | None = None):
+    """Adds the decorated (spark, sf_dir) function as a query, with its oracle."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+@register(
+    "timeline_page",
+    "SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS captured_at, event_type AS media_type FROM events ORDER BY ts DESC, event_id LIMIT 60",
+)
+def timeline_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    page = ev.orderBy(F.col("ts").desc(), F.col("event_id")).limit(60)
+    return page.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("captured_at"), F.col("event_type").alias("media_type"))
