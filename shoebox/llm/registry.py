@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from shoebox.llm import linededup, urlrules
+from shoebox.llm import bpe, decontam, langid, linededup, simhash, tokencount, urlrules
 
 QUERIES = {
+    "op3_token_counts": tokencount.op3_token_counts,
+    "op4_decontamination": decontam.op4_decontamination,
+    "op5_language_id": langid.op5_language_id,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op9_url_filters": urlrules.op9_url_filters,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLE = {
+    "op4_decontamination": decontam.ORACLE,
     "op9_url_filters": urlrules.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }
