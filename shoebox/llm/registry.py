@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoebox.llm import bpe, decontam, langid, linededup, simhash, tokencount, urlrules
+from shoebox.llm import bpe, decontam, langid, linededup, simhash, tokencount, toxicity, urlrules
 
 QUERIES = {
     "op3_token_counts": tokencount.op3_token_counts,
@@ -10,11 +10,13 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filters": urlrules.op9_url_filters,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLE = {
     "op4_decontamination": decontam.ORACLE,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filters": urlrules.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }
