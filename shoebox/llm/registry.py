@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from shoebox.llm import bpe, decontam, langid, linededup, simhash, tokencount, toxicity, urlrules
+from shoebox.llm import bpe, decontam, fingerprint, htmltext, langid, linededup, simhash, tokencount, toxicity, urlrules
 
 QUERIES = {
+    "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
+    "op2_html_extraction": htmltext.op2_html_extraction,
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_language_id": langid.op5_language_id,
