@@ -101,61 +101,63 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, carry_text: bool = False) -> DataFrame:
-    """(id_col, [text_col,] n_words, n_hit, items array<string> sorted, spans array<(start, stop)>): one row a document.
+def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *carry, n_words, n_hit, items array<string> sorted, spans array<(start, stop)>): one row a document.
 
     A word inside any occurrence of a window is hit; an item of fewer than WINDOW words, but at least one, is one
     window. Null texts and ids are legal: null has no words, null item ids are listed as 'null'. Repeated rows and
-    equal items count as they stand. An empty benchmark hits nothing. Only the named columns are read.
+    equal items count as they stand. An empty benchmark hits nothing. Only the named columns are read;
+    those in carry are passed on.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("most")).first()
     blocks = max(1, -(-size.n // block_chars))
     out = None
-    source = docs.select(F.col(id_col), F.col(text_col))
+    # a benchmark of several blocks merges their rows of a document by its text
+    passed = [id_col, *dict.fromkeys([*carry, *[text_col] * (blocks > 1)])]
+    source = docs.select(F.col(text_col).alias("__text"), *passed)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_hit", T.LongType()), T.StructField("spans", span)]
-    kept = [source.schema[id_col]] + ([source.schema[text_col]] if carry_text or blocks > 1 else [])
+    kept = [source.schema[c] for c in passed]
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         windows = spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in own.collect()]))  # at most about block_chars of text
 
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows, names=tuple(f.name for f in kept)) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], windows=windows, names=tuple(passed)) -> Iterator[pa.RecordBatch]:
             w = windows.value
             for batch in batches:
                 n_words, n_hit, items, spans = [], [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(0).to_pylist():
                     words = words_of(text)
                     hit, found = w.scan(words)
                     n_words.append(len(words))
                     n_hit.append(0 if hit is None else int(hit.sum()))
                     items.append(sorted(found))
                     spans.append([] if hit is None else [{"start": a, "stop": b} for a, b in spans_of(text, hit)])
-                columns = [batch.column(i) for i in range(len(names))]
+                columns = [batch.column(i + 1) for i in range(len(names))]
                 pairs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit, pa.int64()), pa.array(spans, pairs)], names=[*names, "n_words", "items", "n_hit", "spans"])
 
         found = source.mapInArrow(scan, T.StructType(kept + fields))
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
-        out = merged_blocks(out, id_col, text_col, blocks)
-        out = out if carry_text else out.drop(text_col)
+        out = merged_blocks(out, passed, text_col, blocks).select(id_col, *carry, *(f.name for f in fields))
     return out
 
 
-def merged_blocks(found: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
+def merged_blocks(found: DataFrame, keys: list[str], text_col: str, blocks: int) -> DataFrame:
     """One row a document from its rows of all blocks; n_hit counts the words inside the merged spans.
 
-    Rows that are equal in id and text are told apart only by their number, so they are merged and repeated.
+    Rows that are equal in the keys are told apart only by their number, so they are merged and repeated.
     """
-    g = found.groupBy(id_col, text_col).agg(
+    g = found.groupBy(*keys).agg(
         F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("all"))
     g = g.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))))
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x)))
     g = g.withColumn("spans", F.aggregate("all", F.array().cast("array<struct<start:bigint,stop:bigint>>"), step))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + F.size(F.regexp_extract_all(F.substring(F.col(text_col), (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))))
-    return g.withColumn("n_hit", n_hit).select(id_col, text_col, "n_words", "items", "n_hit", "spans")
+    return g.withColumn("n_hit", n_hit).select(*keys, "n_words", "items", "n_hit", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     A cut leaves what stood around the span, unchanged.
     """
-    found = scan_documents(docs, benchmark, id_col, text_col, carry_text=True)
+    found = scan_documents(docs, benchmark, id_col, text_col, carry=(text_col,))
     if remove == "documents":
         return found.where("n_hit = 0").select(id_col, text_col, "n_hit")
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at"))

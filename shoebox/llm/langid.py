@@ -171,14 +171,24 @@ def held_out(id_col: str, parts: int, part: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts)) == part
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> CrossParser:
-    """From a bounded sample: the max_docs rows a language with the least hash of their text, max_chars of their letters.
+def least_hashes(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """(group, h): n of the different hashes h of each group, the least in an order that does not follow the hash itself.
 
-    Only the hashes are ranked, so what is shuffled is max_docs numbers for each language and task.
+    Only hashes below a bound that leaves about 3 n of a group are ranked, so few meet in one task, however many rows
+    there are. A group of very few hashes has all of them.
     """
+    u = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
+    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.approx_count_distinct("h").alias("n_hashes"))
+    some = rows.join(F.broadcast(sizes), F.col(group) == F.col("g")).where(u * F.col("n_hashes") < 3 * n).select(group, "h").distinct()
+    ranked = some.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(u, "h")))
+    return ranked.where(F.col("n") <= n).select(group, "h")
+
+
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> CrossParser:
+    """From a bounded sample: max_docs different texts a language (those with the least hashes), max_chars of their letters."""
     t = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    ranked = t.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= max_docs)
-    rows = t.join(F.broadcast(ranked.select("lang", "h").distinct()), ["lang", "h"]).select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()
+    ranked = least_hashes(t.select("lang", "h"), "lang", max_docs)
+    rows = t.join(F.broadcast(ranked), ["lang", "h"]).select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()  # max_docs a language
     samples: dict[str, list[str]] = {}
     room: dict[str, int] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
@@ -194,7 +204,7 @@ def predicted(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text
 
     Only id_col, text_col and the carried columns are read; the latter are passed on unseen. Repeated rows stay.
     """
-    source = docs.select(text_col, id_col, *carry)
+    source = docs.select(F.col(text_col).alias("__text"), id_col, *carry)
     model = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by the sample
     names = [id_col, *carry]
 

@@ -32,25 +32,30 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of one corpus, in the shared folder. Every run is complete before it is listed; a failed add leaves none."""
+    """The runs of one corpus, in the shared folder. Every run is complete before it is listed; a failed add leaves none.
 
-    def __init__(self, spark: SparkSession):
+    With first, the type of a document's name (a struct), runs also hold the least document that has the key.
+    """
+
+    def __init__(self, spark: SparkSession, first: str | None = None):
         self.spark, self.root, self.levels = spark, shared_dir(spark, "line-runs"), [[]]
-        self.n = 0
+        self.n, self.schema = 0, "key binary, n_docs bigint" + (f", first {first}" if first else "")
+        self.firsts = [F.min("first").alias("first")] if first else []
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("key binary, n_docs bigint").parquet(*paths)
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def _path(self) -> str:
         self.n += 1
         return f"{self.root}/run-{self.n:06d}"
 
     def add_all(self, batches: DataFrame) -> None:
-        """batches: (batch, key), a row for each document of the batch that holds the key. One job writes a run a batch."""
-        counted = batches.groupBy("batch", "key").agg(F.count("*").alias("n_docs"))
+        """batches: (batch, key[, first]), a row for each document of the batch that holds the key. One job writes a run a
+        batch."""
+        counted = batches.groupBy("batch", "key").agg(F.count("*").alias("n_docs"), *self.firsts)
         path = self._path()
         counted.sortWithinPartitions("batch", "key").write.partitionBy("batch").parquet(path)
-        found = [r.batch for r in self.spark.read.parquet(path).select("batch").distinct().collect()] if counted.columns else []
+        found = [r.batch for r in self.spark.read.schema(f"{self.schema}, batch int").parquet(path).select("batch").distinct().collect()]
         self.levels[0] += [f"{path}/batch={b}" for b in sorted(found)]
         self.compact()
 
@@ -59,7 +64,7 @@ class LineRuns:
         for level, runs in enumerate(self.levels):
             if len(runs) >= FANOUT:
                 path = self._path()
-                merged = self._read(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+                merged = self._read(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), *self.firsts)
                 merged.sortWithinPartitions("key").write.parquet(path)
                 if level + 1 == len(self.levels):
                     self.levels.append([])
@@ -69,36 +74,43 @@ class LineRuns:
                     remove(self.spark, old)
 
     def counts(self) -> DataFrame:
-        """(key, n_docs) over all runs."""
+        """(key, n_docs[, first]) over all runs."""
         runs = [p for level in self.levels for p in level]
         if not runs:
-            return self.spark.createDataFrame([], "key binary, n_docs bigint")
+            return self.spark.createDataFrame([], self.schema)
         found = self._read(runs)
-        return found if len(runs) == 1 else found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+        return found if len(runs) == 1 else found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), *self.firsts)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text_col, n_lines, n_dropped): the text without the lines whose key is in min_docs documents or more.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", keep: str = "none", more: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, text_col, n_lines, n_dropped, *more): the text without the lines whose key is in min_docs documents or more.
 
-    A document is a row; a line counts once in it. Blank lines always stay. Null and empty texts are one empty line.
-    Only the two named columns are read. Rows that repeat, ids that repeat and null ids are separate documents.
+    A document is a row; a line counts once in it. keep='first' leaves such lines in the document of the least id (and
+    text hash), so that no line is lost. Blank lines always stay. Null and empty texts are one empty line. Only the
+    named columns are read. Rows that repeat, ids that repeat and null ids are separate documents; repeated rows of the
+    least id all keep their lines.
     """
     spark = docs.sparkSession
     lines = written(line_table(docs, id_col, text_col), "lines")
-    runs = LineRuns(spark)
-    runs.add_all(lines.where("first").select("batch", "key"))
-    common = runs.counts().where(F.col("n_docs") >= min_docs).select("key")
-    hits = lines.select("id", "text_hash", "pos", "key").join(common, "key", "left_semi")
+    name = F.struct("id", "text_hash")
+    kept = keep == "first"
+    runs = LineRuns(spark, lines.select(name.alias("first")).schema["first"].dataType.simpleString() if kept else None)
+    runs.add_all(lines.where("first").select("batch", "key", *[name.alias("first")] * kept))
+    common = runs.counts().where(F.col("n_docs") >= min_docs).drop("n_docs")
+    hits = lines.select("id", "text_hash", "pos", "key").join(common, "key", "inner" if kept else "left_semi")
+    if kept:
+        hits = hits.where(~F.col("first").eqNullSafe(name)).drop("first")
     hits = hits.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("hits"))
     hits = hits.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    others = F.struct(*(F.col(c) for c in more)) if more else F.lit(None)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), others.alias("others")).withColumn("text_hash", F.xxhash64("text"))
     d = d.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    d = d.select("id", "text", split.alias("lines"), "hits")
+    d = d.select("id", "text", "others", split.alias("lines"), "hits")
     n, none = F.size("lines"), F.array().cast("array<int>")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("hits", none))
     kept = F.when(F.col("hits").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    return d.select(F.col("id").alias(id_col), kept.alias(text_col), n.cast("long").alias("n_lines"), F.size(F.coalesce("hits", none)).cast("long").alias("n_dropped"))
+    return d.select(F.col("id").alias(id_col), kept.alias(text_col), n.cast("long").alias("n_lines"), F.size(F.coalesce("hits", none)).cast("long").alias("n_dropped"), *(F.col("others")[c].alias(c) for c in more))
 
 
 def op10_line_dedup(spark, sf_dir):

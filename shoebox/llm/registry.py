@@ -18,7 +18,6 @@ QUERIES = {
 }
 ORACLE = {
     "op4_decontamination": decontam.ORACLE,
-    "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filters": urlrules.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }

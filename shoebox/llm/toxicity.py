@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shoebox.llm.common import table
-from shoebox.llm.langid import held_out
+from shoebox.llm.langid import held_out, least_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
 SEQUENCE = 64
@@ -212,16 +212,17 @@ def fit_tagger(texts: list[str], toxic: list[int]) -> ToxicTagger:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> ToxicTagger:
-    """From a bounded sample: max_docs labelled rows of each label with the least hash of their text, max_chars of each.
+    """From a bounded sample: max_docs different labelled texts of each label (those with the least hashes), max_chars of
+    each.
 
     Labels other than 0 and 1, null ids and null texts are not used; of an id with both labels, 1 counts.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("y"))
     rows = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("label_id"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, max_chars).alias("text"))
-    ranked = rows.select("label_id", "h").join(own, "label_id").select("label_id", "h", "y").distinct()
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "label_id"))).where(F.col("n") <= max_docs)
-    sample = rows.join(F.broadcast(ranked.select("label_id", "h", "y")), ["label_id", "h"]).select("label_id", "y", "text").distinct()  # 2 * max_docs rows
-    found = sorted(sample.collect(), key=lambda r: (r.label_id, r.text))
+    ranked = least_hashes(rows.select("label_id", "h").join(own, "label_id").select("y", "h"), "y", max_docs)
+    # 2 * max_docs rows at most; the texts are looked up once
+    sample = rows.select("h", "text").join(F.broadcast(ranked.groupBy("h").agg(F.max("y").alias("y"))), "h").select("y", "text").distinct()
+    found = sorted(sample.collect(), key=lambda r: (r.text, r.y))
     return fit_tagger([r.text for r in found], [int(r.y) for r in found])
 
 
