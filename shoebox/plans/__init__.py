@@ -1 +1,4 @@
+"""Queries over the driver tables, each with its SQL oracle."""
 
+from shoebox.plans import canonical_queries, search_queries, timeline_queries  # noqa: F401
+from shoebox.plans.registry import ORACLE, QUERIES  # noqa: F401
