@@ -16,9 +16,9 @@ def advanced(uploads: DataFrame, writes: DataFrame) -> DataFrame:
     """Writes (upload_id, at, n) apply where the offset is still `at`; the upload is complete at its expected size."""
     both = uploads.join(writes, "upload_id", "left")
     ok = F.coalesce((F.col("status") == "active") & (F.col("offset") == F.col("at")), F.lit(False))
-    offset = F.when(ok, F.col("offset") + F.col("n")).otherwise(F.col("offset"))
-    both = both.withColumn("offset", offset)
-    return both.select("upload_id", "offset", F.when((F.col("status") == "active") & (offset >= F.col("expected_size")), "completed").otherwise(F.col("status")).alias("status"), ok.alias("accepted"))
+    both = both.select("upload_id", "expected_size", "status", ok.alias("accepted"), (F.col("offset") + F.when(ok, F.col("n")).otherwise(0)).alias("offset"))
+    done = (F.col("status") == "active") & (F.col("offset") >= F.col("expected_size"))
+    return both.select("upload_id", "offset", F.when(done, "completed").otherwise(F.col("status")).alias("status"), "accepted")
 
 
 def aborted(uploads: DataFrame, ids: DataFrame) -> DataFrame:
