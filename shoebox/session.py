@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,13 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark opens the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A new folder's path where the cluster shares files (spark.checkpoint.dir); a temporary one where that is unset,
+    as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
