@@ -20,9 +20,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     those in skipped folders. The files themselves are not read: their content column is pruned."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
     relative = F.expr("substring(p, locate(b, p) + length(b) + 1)")
-    rows = files.select(path.alias("p"), F.lit(base).alias("b"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+    rows = files.select(F.col("path").alias("p"), F.lit(base).alias("b"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     rows = rows.select(relative.alias("relative_path"), "size_bytes", "mtime").withColumn("media_type", media_type_of(F.col("relative_path")))
     hidden = F.col("relative_path").rlike(r"(^|/)\.")
     skipped = F.exists(F.split(F.lower("relative_path"), "/"), lambda p: p.isin(*SKIPPED))
