@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shoebox.llm.common import table
+from shoebox.llm.common import slices, table
 
 WINDOW = 10
 #: Characters of benchmark text in one broadcast; a larger benchmark takes several passes, one a block.
@@ -126,7 +126,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
         def scan(batches: Iterator[pa.RecordBatch], windows=windows, names=tuple(passed)) -> Iterator[pa.RecordBatch]:
             w = windows.value
-            for batch in batches:
+            for batch in slices(batches):
                 n_words, n_hit, items, spans = [], [], [], []
                 for text in batch.column(0).to_pylist():
                     words = words_of(text)

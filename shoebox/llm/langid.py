@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from shoebox.llm.common import table
+from shoebox.llm.common import slices, table
 
 #: The classifier is fit on so many rows a language at most (those with the least hash of their text), and on so many
 #: of their letters.
-TRAIN_DOCS, TRAIN_CHARS = 400, 60_000
+TRAIN_DOCS, TRAIN_CHARS = 400, 25_000
 #: Texts are parsed in stretches of this many letters, so many letters of one or more documents at once.
 STRETCH, AT_ONCE = 512, 1 << 20
 #: Bits a letter are turned into a score by a softmax of this steepness.
@@ -178,8 +178,8 @@ def least_hashes(rows: DataFrame, group: str, n: int) -> DataFrame:
     there are. A group of very few hashes has all of them.
     """
     u = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
-    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.approx_count_distinct("h").alias("n_hashes"))
-    some = rows.join(F.broadcast(sizes), F.col(group) == F.col("g")).where(u * F.col("n_hashes") < 3 * n).select(group, "h").distinct()
+    sizes = rows.groupBy(F.col(group).alias("__of")).agg(F.approx_count_distinct("h").alias("__hashes"))
+    some = rows.join(F.broadcast(sizes), F.col(group) == F.col("__of")).where(u * F.col("__hashes") < 3 * n).select(group, "h").distinct()
     ranked = some.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(u, "h")))
     return ranked.where(F.col("n") <= n).select(group, "h")
 
@@ -209,7 +209,7 @@ def predicted(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text
     names = [id_col, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             langs, scores = model.value.predict(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(i + 1) for i in range(len(names))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 

@@ -34,7 +34,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class LineRuns:
     """The runs of one corpus, in the shared folder. Every run is complete before it is listed; a failed add leaves none.
 
-    With first, the type of a document's name (a struct), runs also hold the least document that has the key.
+    With first, the type of ids, runs also hold the least id of a document that has the key.
     """
 
     def __init__(self, spark: SparkSession, first: str | None = None):
@@ -85,21 +85,20 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", keep: str = "none", more: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, text_col, n_lines, n_dropped, *more): the text without the lines whose key is in min_docs documents or more.
 
-    A document is a row; a line counts once in it. keep='first' leaves such lines in the document of the least id (and
-    text hash), so that no line is lost. Blank lines always stay. Null and empty texts are one empty line. Only the
-    named columns are read. Rows that repeat, ids that repeat and null ids are separate documents; repeated rows of the
-    least id all keep their lines.
+    A document is a row; a line counts once in it. keep='first' leaves such lines in the document of the least id, so
+    that no line is lost. Blank lines always stay. Null and empty texts are one empty line. Only the
+    named columns are read. Rows that repeat, ids that repeat and null ids are separate documents; all rows of the
+    least id keep the line.
     """
     spark = docs.sparkSession
     lines = written(line_table(docs, id_col, text_col), "lines")
-    name = F.struct("id", "text_hash")
     kept = keep == "first"
-    runs = LineRuns(spark, lines.select(name.alias("first")).schema["first"].dataType.simpleString() if kept else None)
-    runs.add_all(lines.where("first").select("batch", "key", *[name.alias("first")] * kept))
+    runs = LineRuns(spark, lines.schema["id"].dataType.simpleString() if kept else None)
+    runs.add_all(lines.where("first").select("batch", "key", *[F.col("id").alias("first")] * kept))
     common = runs.counts().where(F.col("n_docs") >= min_docs).drop("n_docs")
     hits = lines.select("id", "text_hash", "pos", "key").join(common, "key", "inner" if kept else "left_semi")
     if kept:
-        hits = hits.where(~F.col("first").eqNullSafe(name)).drop("first")
+        hits = hits.where(~F.col("first").eqNullSafe(F.col("id"))).drop("first")
     hits = hits.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("hits"))
     hits = hits.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
     others = F.struct(*(F.col(c) for c in more)) if more else F.lit(None)
