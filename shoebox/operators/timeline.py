@@ -55,8 +55,8 @@ def day_index(assets: DataFrame) -> DataFrame:
 def with_positions(assets: DataFrame, id_col: str = "canonical_asset_id") -> DataFrame:
     """assets with global_position from 0, without a window over all rows: positions within days plus the days' starts.
 
-    A day of very many rows is cut into its hours, minutes and seconds only as far as the window needs: the key is the
-    second, whose starts are summed by day first.
+    The rows of one second are ordered as one group; the starts of seconds are summed within days, those of days over
+    all days.
     """
     second = F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss")
     keyed = assets.withColumn("__day", F.date_format("captured_at", "yyyy-MM-dd")).withColumn("__second", second)
@@ -105,7 +105,7 @@ def late_payload(keys: DataFrame, payload: DataFrame, id_col: str) -> DataFrame:
 def ready_assets(canonical: DataFrame, rows: DataFrame, renditions: DataFrame, sources: list[str], fallback: bool = True) -> DataFrame:
     """Canonical assets that can be shown: not primarily local; or with both renditions ready for the current content;
     or, as a fallback, with an active remote copy on a configured source."""
-    kinds = renditions.where((F.col("status") == "ready") & F.col("kind").isin("preview", "thumbnail")).groupBy("source_key", "asset_id", "source_sha1_hex").agg(F.countDistinct("kind").alias("kinds")).where("kinds = 2")
+    kinds = renditions.where((F.col("status") == "ready") & F.col("kind").isin("preview", "detail_preview")).groupBy("source_key", "asset_id", "source_sha1_hex").agg(F.countDistinct("kind").alias("kinds")).where("kinds = 2")
     c = canonical.alias("c")
     on = (F.col("c.primary_source_key") == F.col("k.source_key")) & (F.col("c.primary_upstream_asset_id") == F.col("k.asset_id")) & (F.lower("c.content_sha1_hex") == F.col("k.source_sha1_hex"))
     with_kinds = c.join(kinds.alias("k"), on, "left").select("c.*", F.col("k.kinds").isNotNull().alias("rendered"))

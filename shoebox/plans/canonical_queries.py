@@ -96,17 +96,17 @@ def linked_asset_count(source_rows):
 def renditions(rows):
     """Renditions of some local rows: two kinds for even ids, one for the others, some of other content."""
     local = rows.where("datasource_kind = 'local_filesystem'").withColumn("i", F.col("upstream_asset_id").cast("bigint"))
-    kinds = F.when(F.col("i") % 2 == 0, F.array(F.lit("preview"), F.lit("thumbnail"))).otherwise(F.array(F.lit("detail_preview")))
+    kinds = F.when(F.col("i") % 2 == 0, F.array(F.lit("preview"), F.lit("detail_preview"))).otherwise(F.array(F.lit("detail_preview")))
     sha = F.when(F.col("i") % 10 == 0, F.lit("old")).otherwise(F.lower("content_sha1_hex"))
     return local.select("source_key", F.col("upstream_asset_id").alias("asset_id"), F.explode(kinds).alias("kind"), sha.alias("source_sha1_hex"), F.when(F.col("i") % 7 == 0, "failed").otherwise("ready").alias("status"), F.when(F.col("i") % 9 > 0, F.lit("p")).otherwise(F.lit(" ")).alias("relative_path"))
 
 
-REND = """rend AS (SELECT source_key, upstream_asset_id AS asset_id, unnest(CASE WHEN i % 2 = 0 THEN ['preview', 'thumbnail'] ELSE ['detail_preview'] END) AS kind, CASE WHEN i % 10 = 0 THEN 'old' ELSE lower(content_sha1_hex) END AS source_sha1_hex,
+REND = """rend AS (SELECT source_key, upstream_asset_id AS asset_id, unnest(CASE WHEN i % 2 = 0 THEN ['preview', 'detail_preview'] ELSE ['detail_preview'] END) AS kind, CASE WHEN i % 10 = 0 THEN 'old' ELSE lower(content_sha1_hex) END AS source_sha1_hex,
     CASE WHEN i % 7 = 0 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN i % 9 > 0 THEN 'p' ELSE ' ' END AS relative_path FROM (SELECT *, CAST(upstream_asset_id AS BIGINT) AS i FROM source_rows WHERE datasource_kind = 'local_filesystem'))"""
 
 
 @query("ready_assets", f"""WITH {CANON}, {REND} SELECT canonical_asset_id FROM canon c WHERE visibility_status = 'active' AND (datasource_kind <> 'local_filesystem'
-  OR (SELECT count(DISTINCT kind) FROM rend r WHERE r.source_key = c.primary_source_key AND r.asset_id = c.primary_upstream_asset_id AND r.status = 'ready' AND r.kind IN ('preview', 'thumbnail') AND r.source_sha1_hex = lower(c.content_sha1_hex)) = 2
+  OR (SELECT count(DISTINCT kind) FROM rend r WHERE r.source_key = c.primary_source_key AND r.asset_id = c.primary_upstream_asset_id AND r.status = 'ready' AND r.kind IN ('preview', 'detail_preview') AND r.source_sha1_hex = lower(c.content_sha1_hex)) = 2
   OR EXISTS (SELECT 1 FROM linked l WHERE l.canonical_asset_id = c.canonical_asset_id AND l.source_key IN ('src0', 'src1') AND l.visibility_status = 'active' AND l.datasource_kind = 'remote_mirror'))""")
 def ready_assets(source_rows):
     rows = C.with_canonical_ids(source_rows)
