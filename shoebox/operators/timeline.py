@@ -80,12 +80,13 @@ def day_at(days: DataFrame, offset: int) -> DataFrame:
 
 
 def page_by_day(assets: DataFrame, days: DataFrame, offset: int, size: int, id_col: str = "canonical_asset_id") -> DataFrame:
-    """The same rows as page(), from the days that the page touches only."""
-    touched = days.where((F.col("start") < offset + size) & (F.col("start") + F.col("item_count") > offset)).withColumn("n", F.row_number().over(Window.orderBy("start")))
-    first = touched.agg(F.min("start").alias("first"))
-    rows = assets.withColumn("captured_day", F.date_format("captured_at", "yyyy-MM-dd")).join(touched.select("captured_day"), "captured_day", "left_semi")
-    numbered = rows.withColumn("n", F.row_number().over(Window.orderBy(*newest_first(id_col)))).join(first)  # the touched days' rows
-    return numbered.where((F.col("n") > offset - F.col("first")) & (F.col("n") <= offset + size - F.col("first"))).drop("n", "first", "captured_day")
+    """The same rows as page(), from the days that the page touches only; where they start is looked up first."""
+    touched = days.where((F.col("start") < offset + size) & (F.col("start") + F.col("item_count") > offset))
+    start, first, last = touched.agg(F.min("start"), F.max("captured_day"), F.min("captured_day")).first()
+    if start is None:  # past the end
+        return assets.limit(0)
+    day = F.date_format("captured_at", "yyyy-MM-dd")
+    return assets.where(day.between(last, first)).orderBy(*newest_first(id_col)).offset(offset - start).limit(size)
 
 
 def rank_of_time(assets: DataFrame, days: DataFrame, moment) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from shoebox.session import local_session
@@ -31,7 +32,7 @@ def same_rows(spark_df, sql_df) -> bool:
     def plain(df):
         df = df[sorted(df.columns)].copy()
         for c in df.columns:
-            df[c] = [None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in df[c]]
+            df[c] = [None if pd.isna(x) else round(float(x), 6) if pd.api.types.is_number(x) and not pd.api.types.is_bool(x) else str(x) for x in df[c]]
         return sorted(map(repr, df.itertuples(index=False, name=None)))
 
     return sorted(spark_df.columns) == sorted(sql_df.columns) and plain(spark_df) == plain(sql_df)

@@ -32,6 +32,7 @@ def test_deep_page(assets):
 def test_pages_agree(assets):
     days = timeline.day_index(assets)
     positions = timeline.with_positions(assets)
+    assert timeline.page_by_day(assets, days, 7000, 20).count() == 0
     for offset in (0, 17, 5990):
         want = [r.canonical_asset_id for r in assets.orderBy(*timeline.newest_first()).offset(offset).limit(20).collect()]
         assert sorted(r.canonical_asset_id for r in timeline.page_by_day(assets, days, offset, 20).collect()) == sorted(want)
