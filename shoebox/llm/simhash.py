@@ -1,14 +1,17 @@
 """SimHash near-duplicates: meet-in-the-middle ball hashing of 64-bit fingerprints, to 3 differing bits.
 
 Every different fingerprint emits itself and its 64 variants of one flipped bit; two that are within two bits share a
-variant and meet there. Three is odd, so one of a pair must emit two flips for the last bit. Of three differing bits
-two always lie in the same half of the word, so 992 double flips do instead of 2016, and they are emitted only where a
-cheaper sieve finds a reason: with one third of the bits erased that holds a differing bit, such a pair is within two
-bits in what remains, so both meet among the variants of one flip there. Those whose meetings all lie within one group
-of the first step emit nothing more.
-
-At a variant at most 65 single and 992 double flips can meet, however many documents there are; they are drawn to the
-smallest single as a star, not as pairs, and each link is verified.
+variant and meet there. Three is odd, so of a pair with three differing bits one must emit a variant of two flips.
+
+These would be 2016 for each fingerprint, so only those are emitted that can meet one of another group. A sieve tells:
+with one third of the bits erased, a pair of three differing bits is within two bits in what remains if the third has
+one of the three (or is equal there if it has all of them), so both have one cell (what remains, with one flip or none)
+in common. In cells that more than one group shares, first all members within three bits of the least are linked; what
+still is of more than one group then emits its variants of that cell: as they are, and with a flip of an erased bit (two
+flips where nothing else differs).
+
+At a point, one flip away at most are the singles, two flips away the others. All are drawn to the least single as a
+star, not as pairs, and each link is verified.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shoebox.llm.common import table, written
+from shoebox.llm.common import slices, table, written
 from shoebox.llm.graph import components
 
 SEED = 42
@@ -71,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], names=[id_col, "fp"])
 
     return source.mapInArrow(run, T.StructType([source.schema[id_col], T.StructField("fp", T.LongType())]))
@@ -87,39 +90,93 @@ def _variants(x: Column, masks: list[int]) -> Column:
 
 
 def _stars(points: DataFrame) -> DataFrame:
-    """Links (u, v) of each point's members to its smallest member of a single flip; points: (point, fp, single)."""
+    """Links (u, v) of each point's members to its least single; points: (point, fp, single)."""
     at = Window.partitionBy("point")
     met = points.withColumn("hub", F.min(F.when(F.col("single"), F.col("fp"))).over(at)).where("hub <> fp")
     met = met.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 3)
 
 
+def _cells(part: int) -> Column:
+    """An array of (part, cell, exact): what remains of fp without the part's bits, and that with one flip."""
+    a, b = PARTS[part]
+    keep = _signed(((1 << 64) - 1) ^ ((1 << b) - (1 << a)))
+    kept = F.col("fp").bitwiseAND(F.lit(keep))
+    flipped = _variants(kept, _flips([i for i in range(64) if not a <= i < b]))
+    cell = lambda v, exact: F.struct(F.lit(part).alias("part"), v.alias("cell"), F.lit(exact).alias("exact"))
+    return F.concat(F.array(cell(kept, True)), F.transform(flipped, lambda v: cell(v, False)))
+
+
+def _by_part(masks: list[list[int]], of: Column) -> Column:
+    """The array of masks that the number `of` names."""
+    found = F.lit(None).cast("array<bigint>")
+    for n, own in enumerate(masks):
+        found = F.when(of == n, F.lit(own).cast("array<bigint>")).otherwise(found)
+    return found
+
+
+def _erased(masks: list[int], of: Column) -> Column:
+    found = F.lit(0).cast("bigint")
+    for n, mask in enumerate(masks):
+        found = F.when(of == n, F.col("fp").bitwiseAND(F.lit(mask))).otherwise(found)
+    return found
+
+
+def _far_points(shared: DataFrame) -> DataFrame:
+    """(point, fp, single) for members (part, cell, exact, fp, group, exact_mixed) of cells that several groups share."""
+    halves = [h for a, b in PARTS for h in ((a, (a + b) // 2), ((a + b) // 2, b))]
+    base = shared.withColumn("base", F.col("cell").bitwiseOR(_erased([_signed((1 << b) - (1 << a)) for a, b in PARTS], F.col("part"))))
+    flip = lambda masks, of: F.explode(F.transform(_by_part(masks, of), lambda m: F.col("base").bitwiseXOR(m))).alias("point")
+
+    equal = base.withColumn("half", F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)))
+    equal = equal.withColumn("value", _erased([_signed((1 << b) - (1 << a)) for a, b in halves], F.col("half")))
+    at = Window.partitionBy("cell", "half", "value")
+    equal = equal.withColumns({"least": F.min("group").over(at), "most": F.max("group").over(at)}).where("least <> most")
+    other = F.col("half") + 1 - F.col("half") % 2 * 2
+    near = equal.select(F.col("base").alias("point"), "fp", F.lit(True).alias("single")).unionByName(
+        equal.select(flip([[_signed(1 << i) for i in range(a, b)] for a, b in halves], other), "fp", F.lit(False).alias("single"))
+    )
+    inside = base.where("exact AND exact_mixed")
+    ones = [[0, *(_signed(1 << i) for i in range(a, b))] for a, b in PARTS]
+    twos = [[_signed(1 << i | 1 << j) for i in range(a, b) for j in range(i + 1, b)] for a, b in PARTS]
+    part = F.col("part")
+    return near.unionByName(inside.select(flip(ones, part), "fp", F.lit(True).alias("single"))).unionByName(inside.select(flip(twos, part), "fp", F.lit(False).alias("single"))).distinct()
+
+
+def _regrouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with their group replaced by its component (node, component), where it has one."""
+    both = rows.join(groups, F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("component", "group"))
+    return both.drop("node", "component")
+
+
+def _shared_cells(members: DataFrame) -> DataFrame:
+    """Members of cells that more than one group shares; exact_mixed: so do the cell's exact members."""
+    at = Window.partitionBy("part", "cell")
+    exact = F.when(F.col("exact"), F.col("group"))
+    wide = members.withColumns({"least": F.min("group").over(at), "most": F.max("group").over(at), "e_least": F.min(exact).over(at), "e_most": F.max(exact).over(at)})
+    wide = wide.where("least <> most").withColumn("exact_mixed", F.coalesce(F.col("e_least") != F.col("e_most"), F.lit(False)))
+    return wide.drop("least", "most", "e_least", "e_most")
+
+
 def fingerprint_groups(fps: DataFrame) -> DataFrame:
-    """(fp, group) for different fingerprints (fp): group is the smallest fingerprint reachable by links of 3 bits or fewer."""
-    singles = [0, *_flips(range(64))]
-    near = fps.select("fp", F.explode(_variants(F.col("fp"), singles)).alias("point"), F.lit(True).alias("single"))
+    """(fp, group) for different fingerprints (fp): group is the least fingerprint reachable by links of 3 bits or fewer."""
+    near = fps.select("fp", F.explode(_variants(F.col("fp"), [0, *_flips(range(64))])).alias("point"), F.lit(True).alias("single"))
     first = components(_stars(near))
-    known = fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("group"))
-    known = written(known, "groups")
-
-    masked = []
-    for part, (a, b) in enumerate(PARTS):
-        keep = _signed(((1 << 64) - 1) ^ ((1 << b) - (1 << a)))
-        flips = [0, *_flips([i for i in range(64) if not a <= i < b])]
-        masked.append(F.transform(_variants(F.col("fp").bitwiseAND(keep), flips), lambda v, part=part: F.struct(F.lit(part).alias("part"), v.alias("v"))))
-    sieve = known.select("fp", "group", F.explode(F.concat(*masked)).alias("key")).select("fp", "group", "key.*")
-    at = Window.partitionBy("part", "v")
-    mixed = sieve.withColumn("least", F.min("group").over(at)).withColumn("most", F.max("group").over(at)).where("least <> most")
-    mixed = written(mixed.select("fp", "group").distinct(), "mixed")
-
-    halves = [_signed(1 << i | 1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
-    points = mixed.select("fp", F.explode(_variants(F.col("fp"), singles)).alias("point"), F.lit(True).alias("single")).unionByName(
-        mixed.select("fp", F.explode(_variants(F.col("fp"), halves)).alias("point"), F.lit(False).alias("single"))
-    )
-    far, a, b = _stars(points), mixed.select(F.col("fp").alias("a"), F.col("group").alias("ga")), mixed.select(F.col("fp").alias("b"), F.col("group").alias("gb"))
-    between = far.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b")).select(F.col("ga").alias("u"), F.col("gb").alias("v"))
-    second = components(between)
-    return known.join(second, F.col("group") == F.col("node"), "left").select("fp", F.coalesce("component", "group").alias("group"))
+    known = fps.withColumn("group", F.col("fp"))
+    known = written(_regrouped(known, first), "groups")
+
+    cells = known.select("fp", "group", F.explode(F.concat(*(_cells(p) for p in range(len(PARTS))))).alias("c")).select("fp", "group", "c.*")
+    shared = written(_shared_cells(cells).drop("exact_mixed"), "shared")
+    hub = F.min(F.struct("fp", "group")).over(Window.partitionBy("part", "cell"))
+    met = shared.withColumn("hub", hub).where((F.col("hub.group") != F.col("group")) & (F.bit_count(F.col("hub.fp").bitwiseXOR(F.col("fp"))) <= 3))
+    second = written(components(met.select(F.col("group").alias("u"), F.col("hub.group").alias("v"))), "second")
+
+    left = written(_shared_cells(_regrouped(shared, second)), "left")
+    ends = left.select("fp", "group").distinct()
+    a, b = ends.select(F.col("fp").alias("a"), F.col("group").alias("ga")), ends.select(F.col("fp").alias("b"), F.col("group").alias("gb"))
+    between = _stars(_far_points(left)).join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
+    third = components(between.select(F.col("ga").alias("u"), F.col("gb").alias("v")))
+    return _regrouped(_regrouped(known, second), third)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
