@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shoebox.llm.common import table
+from shoebox.llm.common import slices, table
 
 #: Unsplit text above this is encoded by halves.
 LEAF_BYTES = 96
@@ -41,6 +44,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@functools.cache
+def unassigned() -> re.Pattern:
+    """Code points that this Python's Unicode tables lack; the libraries' tables differ in what these are."""
+    ranges, start = [], None
+    for i in range(sys.maxunicode + 2):
+        missing = i <= sys.maxunicode and unicodedata.category(chr(i)) == "Cn"
+        if missing and start is None:
+            start = i
+        elif not missing and start is not None:
+            ranges.append((start, i - 1))
+            start = None
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
+
+
+#: The first of them is U+0378.
+MAYBE_UNASSIGNED = re.compile("[\u0378-\U0010ffff]")
+
+
+def has_unassigned(text: str) -> bool:
+    return not text.isascii() and MAYBE_UNASSIGNED.search(text) is not None and unassigned().search(text) is not None
+
+
 class ByteBPE:
     """One byte-level vocabulary file of the tokenizers library."""
 
@@ -48,9 +73,9 @@ class ByteBPE:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        self.model = tok.model
+        self.model, self.pre_tokenizer = tok.model, tok.pre_tokenizer
         self.letters = byte_letters()
-        back = {c: b for b, c in self.letters.items()}
+        self.back = back = {c: b for b, c in self.letters.items()}
         added = tok.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -63,14 +88,20 @@ class ByteBPE:
     def pieces(self, text: str) -> Iterator[str]:
         """The pre-tokens in order; a special token's string is one."""
         if self.cut is None or not self.cut.search(text):
-            yield from PATTERN.findall(text)
+            yield from self.plain_pieces(text)
             return
         at = 0
         for m in self.cut.finditer(text):
-            yield from PATTERN.findall(text[at : m.start()])
+            yield from self.plain_pieces(text[at : m.start()])
             yield m[0]
             at = m.end()
-        yield from PATTERN.findall(text[at:])
+        yield from self.plain_pieces(text[at:])
+
+    def plain_pieces(self, text: str) -> list[str]:
+        """Of text without special tokens; the library itself cuts text with letters that are new to the pattern."""
+        if text and has_unassigned(text):
+            return [bytes(self.back[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in self.pre_tokenizer.pre_tokenize_str(text)]
+        return PATTERN.findall(text)
 
     def merged(self, data: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, data)))]
@@ -130,7 +161,7 @@ def loaded(path: str) -> ByteBPE:
 def _encode_batches(path: str, id_col: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             text = [pa.array([bpe.decode(x) for x in ids], pa.string())] if keep_text else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *text], names=[id_col, "ids", *["decoded"] * keep_text])

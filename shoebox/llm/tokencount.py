@@ -16,8 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shoebox.llm.bpe import byte_letters
-from shoebox.llm.common import table
+from shoebox.llm.bpe import byte_letters, has_unassigned
+from shoebox.llm.common import slices, table
 
 LIMIT = 2048
 MEMORY, MEMORY_CHARS = 600_000, 48
@@ -52,6 +52,7 @@ class WordCounter:
 
         tok = Tokenizer.from_file(path)
         self.model, self.proven, self.letters = tok.model, proven, byte_letters()
+        self.normalizer, self.pre_tokenizer = tok.normalizer, tok.pre_tokenizer
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known: dict[str, int] = {}
@@ -68,7 +69,9 @@ class WordCounter:
         return n
 
     def section(self, text: str) -> int:
-        """Of text without special tokens."""
+        """Of text without special tokens; the library itself cuts text with letters that are new to the pattern."""
+        if has_unassigned(text):
+            return sum(len(self.model.tokenize(p)) for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text)))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # letter by letter where lower() would look at the letters beside
@@ -103,7 +106,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([counter.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     found = source.mapInArrow(run, T.StructType([source.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
