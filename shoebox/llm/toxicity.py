@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,14 @@ SEQUENCE = 64
 BUCKETS = 1 << 21
 #: The fit sees so many documents of each label at most (those with the least hash of their text), and so many
 #: characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 2500, 12_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 8_000
 #: A mark's documents are so much likelier toxic than by chance (log likelihood ratio), and its share of the toxic
 #: training documents is so many times that of the clean.
 MARK_SURPRISE, MARK_RATIO = 10.0, 12.0
 ROUNDS, RATE, DECAY = 60, 0.5, 1e-3
 THRESHOLD = 0.7
-#: Remembered words in one Python worker, and the characters of one step of the forward and backward sums.
-MEMORY, AT_ONCE = 500_000, 4_000_000
+#: Remembered words in one Python worker; the characters of texts done at once; the sequences of a longer one.
+MEMORY, AT_ONCE, SEQUENCES_AT_ONCE = 300_000, 1_000_000, 2_000
 
 
 def marks_of(word: str) -> list[str]:
@@ -87,19 +88,27 @@ class ToxicTagger:
         p = forward_backward(grid, lengths, self.first, self.move)[0]
         return np.split(p[column, row], np.cumsum(sizes)[:-1])
 
-    def spans(self, text: str, p: np.ndarray) -> list[dict]:
+    def spans(self, places: list[re.Match], p: np.ndarray) -> list[dict]:
         """Code point offsets of the stretches of words that are likelier toxic than not."""
         out: list[dict] = []
         last = -2
-        for i, m in enumerate(WORD.finditer(text)):
-            if p[i] > 0.5:
-                if last == i - 1:
-                    out[-1]["stop"] = m.end()
-                else:
-                    out.append({"start": m.start(), "stop": m.end()})
-                last = i
+        for i in np.flatnonzero(p > 0.5).tolist():
+            if last == i - 1:
+                out[-1]["stop"] = places[i].end()
+            else:
+                out.append({"start": places[i].start(), "stop": places[i].end()})
+            last = i
         return out
 
+    def long_text(self, text: str) -> tuple[float, list[dict]]:
+        """Score and spans of one text of any length, some sequences at a time."""
+        found, best, out = WORD.finditer(text), 0.0, []
+        while places := list(islice(found, SEQUENCE * SEQUENCES_AT_ONCE)):
+            p = self.marginals([[m[0].lower() for m in places]])[0]
+            best = max(best, float(p.max()))
+            out += self.spans(places, p)
+        return best, out
+
 
 def gridded(flat: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(grid, lengths, row, column): sequences side by side as columns of SEQUENCE values, a new one for each text and
@@ -143,14 +152,17 @@ def expected_moves(e: np.ndarray, lengths: np.ndarray, parts: np.ndarray, move:
 
 
 def without_near_copies(words: list[list[str]]) -> list[bool]:
-    """False for a text that shares half or more of its least word hashes with a text before it, whose words would
-    otherwise look like marks."""
-    seen: set[int] = set()
+    """False for a text that shares half or more of its 8 least shingle hashes with one before it: the words of many
+    copies would otherwise look like marks."""
+    holders: dict[int, list[int]] = {}
     keep = []
-    for ws in words:
-        least = sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) * 2654435761 % 2**32 for w in ws if len(w) > 5})[:8]
-        keep.append(not least or sum(h in seen for h in least) * 2 < len(least))
-        seen.update(least)
+    for n, ws in enumerate(words):
+        least = sorted({zlib.crc32(" ".join(s).encode("utf-8", "surrogatepass")) * 2654435761 % 2**32 for s in zip(ws, ws[1:], ws[2:], strict=False)})[:8]
+        shared = Counter(k for h in least for k in holders.get(h, ()))
+        keep.append(2 * max(shared.values(), default=0) < max(1, len(least)))
+        if keep[-1]:
+            for h in least:
+                holders.setdefault(h, []).append(n)
     return keep
 
 
@@ -243,14 +255,20 @@ def scored(docs: DataFrame, tagger: ToxicTagger, id_col: str = "doc_id", text_co
             while at < n:
                 texts, size = [], 0
                 while at < n and size < AT_ONCE:
-                    texts.append(batch.column(1)[at].as_py() or "")
-                    size += len(texts[-1])
+                    text = batch.column(1)[at].as_py() or ""
+                    if texts and len(text) >= AT_ONCE:
+                        break
+                    texts.append(text)
+                    size += len(text)
                     at += 1
-                # spans are cut from the text itself, so lower() must not change where words are: words are lowered one by one
-                words = [list(map(str.lower, WORD.findall(t))) for t in texts]
-                ps = m.marginals(words)
-                scores = [float(p.max()) if len(p) else 0.0 for p in ps]
-                spans = [m.spans(t, p) if s > 0.5 else [] for t, p, s in zip(texts, ps, scores, strict=True)]
+                if len(texts) == 1 and size >= AT_ONCE:
+                    score, own = m.long_text(texts[0])
+                    scores, spans = [score], [own]
+                else:
+                    # words are lowered one by one, as lower() may change how many letters a text has
+                    ps = m.marginals([list(map(str.lower, WORD.findall(t))) for t in texts])
+                    scores = [float(p.max()) if len(p) else 0.0 for p in ps]
+                    spans = [m.spans(list(WORD.finditer(t)), p) if s > 0.5 else [] for t, p, s in zip(texts, ps, scores, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at - len(texts), len(texts)), pa.array(scores, pa.float64()), pa.array(spans, pairs)], names=[id_col, "score", "spans"])
 
     return source.mapInArrow(run, T.StructType([T.StructField(id_col, source.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", span)]))
