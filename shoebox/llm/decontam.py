@@ -19,7 +19,7 @@ from shoebox.llm.common import slices, table
 
 WINDOW = 10
 #: Characters of benchmark text in one broadcast; a larger benchmark takes several passes, one a block.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 #: Word bytes are 0-9, A-Z (lower-cased), a-z and all bytes from 0x80; the others become blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

@@ -59,6 +59,15 @@ class LineRuns:
         self.levels[0] += [f"{path}/batch={b}" for b in sorted(found)]
         self.compact()
 
+    def admit(self, lines: DataFrame, batch: int) -> DataFrame:
+        """Of a batch's lines (id, pos, key) those that no run has, each key once, at its least (id, pos); then the
+        batch's keys are a run, too. For corpora that grow: what comes back is what the batch adds to them."""
+        new = lines.hint("merge").join(self.counts().select("key"), "key", "left_anti")
+        new = new.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("at")).select("at.*", "key")
+        new = written(new, "new-lines")  # before the runs that it reads are merged away
+        self.add_all(lines.select(F.lit(batch).alias("batch"), "id", "key").distinct().select("batch", "key", *[F.col("id").alias("first")] * len(self.firsts)))
+        return new
+
     def compact(self) -> None:
         """Merges each level that has FANOUT runs or more into one run of the next."""
         for level, runs in enumerate(self.levels):
