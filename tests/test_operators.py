@@ -129,11 +129,13 @@ def test_upload_offsets(spark):
 
 
 def test_file_scan(spark, tmp_path):
-    for p in ("a/one.JPG", "a/b/two.mp4", "a/note.txt", ".hidden/three.jpg", "@eaDir/four.jpg", "sp ace+x%.png"):
+    for p in ("a/one.JPG", "a/b/two.mp4", "a/note.txt", ".hidden/three.jpg", "x/@eaDir/four.jpg", "My.photoslibrary/five.jpg", "a/.six.jpg", "sp ace+x%.png"):
         (tmp_path / "root" / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "root" / p).write_bytes(b"12345")
     rows = files.scan(spark, str(tmp_path / "root"))
     assert sorted((r.relative_path, r.directory, r.size_bytes, r.media_type) for r in rows.collect()) == [("a/b/two.mp4", "a/b", 5, "video"), ("a/one.JPG", "a", 5, "image"), ("sp ace+x%.png", "", 5, "image")]
+    reasons = {r.relative_path: r.skip_reason for r in files.listed(spark, str(tmp_path / "root")).collect() if r.skip_reason}
+    assert reasons == {"a/note.txt": "unsupported_extension", "x/@eaDir/four.jpg": "system_directory", "My.photoslibrary/five.jpg": "package_directory"}
     assert "content" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
 
 
