@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+#: Longer sums would outgrow a generated method.
+UNROLLED = 256
+
+
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length; null if either is null."""
     n = F.least(F.size(a), F.size(b))
@@ -12,7 +16,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dot_with(a: Column, query: list[float]) -> Column:
-    """With one fixed vector, unrolled into plain arithmetic that code is generated for; over the shorter length."""
+    """With one fixed vector, over the shorter length; up to UNROLLED numbers as plain arithmetic that code is generated
+    for."""
+    if len(query) > UNROLLED:
+        return dot(a, F.lit([float(q) for q in query]))
     total = F.lit(0.0)
     for i, q in enumerate(query):
         total = total + F.coalesce(F.get(a, F.lit(i)).cast("double"), F.lit(0.0)) * F.lit(float(q))

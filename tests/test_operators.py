@@ -101,6 +101,8 @@ def test_vectors(spark):
     rows = spark.createDataFrame([([1.0, 2.0, 3.0], [4.0, 5.0]), ([], [1.0]), ([0.0, 0.0], [0.0, 0.0])], "a array<float>, b array<float>")
     assert [r.x for r in rows.select(V.dot(F.col("a"), F.col("b")).alias("x")).collect()] == [14.0, 0.0, 0.0]
     assert [r.x for r in rows.select(V.dot_with(F.col("a"), [2.0, 1.0]).alias("x")).collect()] == [4.0, 0.0, 0.0]
+    long = [0.5] * 300
+    assert spark.createDataFrame([(long,)], "a array<float>").select(V.dot_with(F.col("a"), long).alias("x")).first().x == 75.0
     assert [r.x for r in rows.select(V.normalised(F.col("b")).alias("x")).collect()][1:] == [[1.0], [0.0, 0.0]]
 
 
