@@ -36,6 +36,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows over as many partitions as shuffles have: for small tables of which each row becomes very many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that shared_dir() named, through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm

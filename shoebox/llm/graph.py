@@ -8,7 +8,7 @@ from shoebox.llm.common import written
 
 
 def _starred(links: DataFrame, large: bool) -> DataFrame:
-    """One star step over (u, v), u > v: all links of a node are drawn to the smallest node beside it.
+    """One star step over (u, v), u > v: all links of a node are drawn to the smallest node beside it; they may repeat.
 
     The minimum is aggregated before the shuffle and joined back, so that a node with very many links is split
     like any skewed join instead of meeting in one task.
@@ -20,7 +20,13 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
         drawn = drawn.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         drawn = drawn.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-    return drawn.where("u <> v").distinct()
+    return drawn.where("u <> v")
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: then v is the smallest node that u reaches, as u > v in each link."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("out")).unionByName(links.select(F.col("v").alias("n"), F.lit(0).alias("out")))
+    return ends.groupBy("n").agg(F.sum("out").alias("outs"), F.count("*").alias("all")).where("outs > 1 OR outs > 0 AND outs < all").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,13 +34,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder; there are O(log n) of them.
     """
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    links, before = written(links, "links"), None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
-        links = written(_starred(_starred(links, large=True), large=False), "links")
+    links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    while not _are_stars(links):
+        links = written(_starred(_starred(links, large=True), large=False).distinct(), "links")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

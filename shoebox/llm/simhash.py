@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shoebox.llm.common import slices, table, written
+from shoebox.llm.common import slices, spread, table, written
 from shoebox.llm.graph import components
 
 SEED = 42
@@ -160,12 +160,12 @@ def _shared_cells(members: DataFrame) -> DataFrame:
 
 def fingerprint_groups(fps: DataFrame) -> DataFrame:
     """(fp, group) for different fingerprints (fp): group is the least fingerprint reachable by links of 3 bits or fewer."""
-    near = fps.select("fp", F.explode(_variants(F.col("fp"), [0, *_flips(range(64))])).alias("point"), F.lit(True).alias("single"))
+    near = spread(fps, "fp").select("fp", F.explode(_variants(F.col("fp"), [0, *_flips(range(64))])).alias("point"), F.lit(True).alias("single"))
     first = components(_stars(near))
     known = fps.withColumn("group", F.col("fp"))
     known = written(_regrouped(known, first), "groups")
 
-    cells = known.select("fp", "group", F.explode(F.concat(*(_cells(p) for p in range(len(PARTS))))).alias("c")).select("fp", "group", "c.*")
+    cells = spread(known, "fp").select("fp", "group", F.explode(F.concat(*(_cells(p) for p in range(len(PARTS))))).alias("c")).select("fp", "group", "c.*")
     shared = written(_shared_cells(cells).drop("exact_mixed"), "shared")
     hub = F.min(F.struct("fp", "group")).over(Window.partitionBy("part", "cell"))
     met = shared.withColumn("hub", hub).where((F.col("hub.group") != F.col("group")) & (F.bit_count(F.col("hub.fp").bitwiseXOR(F.col("fp"))) <= 3))
