@@ -4,29 +4,34 @@ Pages are range-partitioned by host and path, so that a host's pages stand toget
 spread over several tasks. Each task reads its sorted pages once and cuts them into stretches of one host of at most
 about STRETCH_CHARS. For a stretch the pages' token streams are concatenated and their suffix array is built; where
 neighbours in it share REPEAT tokens or more and a run of such neighbours comes from MIN_PAGES pages of different
-content or more, the tokens are covered by a repeated string, which is boilerplate.
+content and from SHARE of all of these or more, the tokens are covered by a repeated string, which is boilerplate. Pages
+that are near copies of each other count as one, or what only copies repeat would be lost.
 
 Markup decides what repeats can't tell: chrome that one page only has (menus, forms, asides, things named as adverts,
 notices, comments) goes without a repeat, and blocks inside the article stay although a copy of the page repeats them.
-Every other block keeps its unique runs and loses the covered ones.
+Every other block, be there an article or not, keeps its unique runs and loses the covered ones.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shoebox.llm.common import table
 from shoebox.llm.urlrules import url_parts
 
-#: Tokens of a repeated string, and the pages that it must be on.
-REPEAT, MIN_PAGES = 8, 2
+#: Tokens of a repeated string, and the pages that it must be on, at least and as a share of all.
+REPEAT, MIN_PAGES, SHARE = 8, 2, 0.2
+#: Words of a shingle, minimum hashes of a page, and the share of equal ones from which on two pages are near copies.
+SHINGLE, HASHES, NEAR_COPY = 5, 64, 0.8
 STRETCH_CHARS = 3_000_000
 #: A unique run of a block outside the article stays from so many tokens on, or if it is the whole block.
 UNIQUE_RUN = 4
@@ -196,8 +201,8 @@ def shared_with_next(order: np.ndarray, ranks: list[np.ndarray], limit: int) ->
 
 
 def covered_tokens(pages: list[list[str]], contents: list[object]) -> list[np.ndarray]:
-    """For each page's tokens, whether a string of REPEAT tokens or more that MIN_PAGES pages of different content
-    have covers them."""
+    """For each page's tokens, whether a string of REPEAT tokens or more covers them that MIN_PAGES pages of different
+    content and SHARE of these pages have."""
     kinds: dict[str, int] = {}
     sizes = [len(p) for p in pages]
     n = sum(sizes) + len(pages)
@@ -215,7 +220,7 @@ def covered_tokens(pages: list[list[str]], contents: list[object]) -> list[np.nd
         shared = shared_with_next(order, ranks, REPEAT)
         run = np.concatenate([[0], np.cumsum(shared < REPEAT)])
         pairs = np.unique(run * len(number) + content[page_of[order]])
-        wide = np.bincount(pairs // len(number), minlength=run[-1] + 1) >= MIN_PAGES
+        wide = np.bincount(pairs // len(number), minlength=run[-1] + 1) >= max(MIN_PAGES, math.ceil(SHARE * len(number)))
         start = order[wide[run]]
         np.add.at(covered, start, 1)
         np.add.at(covered, start + REPEAT, -1)
@@ -227,14 +232,61 @@ def covered_tokens(pages: list[list[str]], contents: list[object]) -> list[np.nd
     return out
 
 
+def near_copies(contents: list[str]) -> list[int]:
+    """A number for each content, the same for near copies and for copies of these.
+
+    Contents are sorted by their minimum hashes, once from each SHINGLE-th of these on, and neighbours are compared; so
+    the work is linear in the contents, however many are copies. Empty contents are copies.
+    """
+    number = list(range(len(contents)))
+
+    def root(i: int) -> int:
+        while number[i] != i:
+            number[i] = i = number[number[i]]
+        return i
+
+    words = [c.split(" ") if c else [] for c in contents]
+    some = [i for i, w in enumerate(words) if w]
+    empty = [i for i, w in enumerate(words) if not w]
+    for i in empty:
+        number[i] = empty[0]
+    if len(some) > 1:
+        kinds: dict[str, int] = {}
+        ids = np.array([kinds.setdefault(w, len(kinds)) for i in some for w in words[i] + [""] * (SHINGLE - 1)], np.int64)
+        hashes = pd.util.hash_array(np.array(list(kinds), dtype=object))[ids]
+        # the shingle at each word; those of a content's last words run into its own blanks, those at the blanks are no one's
+        n = len(ids) - SHINGLE + 1
+        shingles = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        own = ids[:n] != kinds[""]
+        starts = np.concatenate([[0], np.cumsum([len(words[i]) for i in some])[:-1]])
+        shingles = shingles[own]
+        shingles ^= shingles >> np.uint64(31)
+        factors = np.random.default_rng(1).integers(1, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+        least = np.stack([np.minimum.reduceat(mixed(shingles * f), starts) for f in factors])
+        for first in range(0, HASHES, SHINGLE):
+            order = np.lexsort(np.roll(least, -first, axis=0)[::-1])
+            ranked = least[:, order]
+            near = (ranked[:, 1:] == ranked[:, :-1]).mean(axis=0) >= NEAR_COPY
+            for k in np.flatnonzero(near).tolist():
+                a, b = root(some[order[k]]), root(some[order[k + 1]])
+                number[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(contents))]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def texts_of(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     blocks = [blocks_of(p) for p in pages]
     words = [[w for _, text in b for w in text.split(" ")] for b in blocks]
-    contents = [" ".join(text for mark, text in b if mark != CHROME_BLOCK) for b in blocks]
+    contents = near_copies([" ".join(text for mark, text in b if mark != CHROME_BLOCK) for b in blocks])
     out = []
     for own, cover in zip(blocks, covered_tokens(words, contents), strict=True):
-        has_article = any(mark == ARTICLE_BLOCK for mark, _ in own)
         kept, at = [], 0
         for mark, text in own:
             n = text.count(" ") + 1
@@ -242,7 +294,7 @@ def texts_of(pages: list[str | None]) -> list[str]:
             at += n
             if mark == ARTICLE_BLOCK:
                 kept.append(text)
-            elif mark == PLAIN_BLOCK and not has_article:
+            elif mark == PLAIN_BLOCK:
                 if not repeated.any():
                     kept.append(text)
                 else:

@@ -60,6 +60,27 @@ def test_repeated_strings_go_outside_articles():
     assert H.texts_of(inside) == [f"{SHARED} {i}" for i in range(3)]
 
 
+def test_repeats_decide_outside_the_article_element():
+    body = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(5)]
+    pages = [f"<article><p>teaser {i}</p></article><div>{b}</div><div>{SHARED}</div>" for i, b in enumerate(body)]
+    assert H.texts_of(pages) == [f"teaser {i} {b}" for i, b in enumerate(body)]
+
+
+def test_a_passage_of_a_few_pages_is_no_boilerplate():
+    own = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(30)]
+    pages = [f"<p>{o}</p><p>{SHARED}</p>" + ("<p>once upon a time there was a king who had three sons</p>" if i < 3 else "") for i, o in enumerate(own)]
+    want = [o + (" once upon a time there was a king who had three sons" if i < 3 else "") for i, o in enumerate(own)]
+    assert H.texts_of(pages) == want
+
+
+def test_near_copies_are_one_page():
+    text = " ".join(f"word{j}" for j in range(200))
+    copies = [f"<p>{text} edition {i}</p>" for i in range(4)]
+    assert H.texts_of(copies) == [f"{text} edition {i}" for i in range(4)]
+    assert H.near_copies(["", f"{text} a", "", f"b {text}", "other words", "other"]) == [0, 1, 0, 1, 4, 5]
+    assert H.near_copies([]) == []
+
+
 def test_covered_tokens_against_brute_force():
     rng = np.random.default_rng(7)
     pages = [[f"t{x}" for x in rng.integers(0, 4, n)] for n in (40, 0, 1, 60, 25, 7, 8)]
