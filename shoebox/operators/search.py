@@ -27,13 +27,17 @@ def by_filename(assets: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 
 
 def metadata_match(text: str) -> Column:
-    """In the filename, place or description; or a favourite, if the text is a word for that."""
-    found = has_text(F.col("filename"), text) | has_text(F.col("place_label"), text) | has_text(F.col("description"), text)
-    return found | F.col("is_favorite") if text.strip().lower() in FAVORITE_WORDS else found
+    """In the filename, place or description."""
+    return has_text(F.col("filename"), text) | has_text(F.col("place_label"), text) | has_text(F.col("description"), text)
 
 
 def by_metadata(rows: DataFrame, text: str) -> DataFrame:
-    return rows.where((F.col("visibility_status") == "active") & metadata_match(text))
+    """Active rows that match; or that are favourites, if the text is a word for that. These come apart, so that both
+    filters on texts stand below a join that tells favourites and no text is shuffled."""
+    active, found = rows.where(F.col("visibility_status") == "active"), metadata_match(text)
+    if text.strip().lower() not in FAVORITE_WORDS:
+        return active.where(found)
+    return active.where(found).unionByName(active.where(~found & F.col("is_favorite")))
 
 
 def ranked(vectors: DataFrame, query: list[float], limit: int = CANDIDATES, id_col: str = "id") -> DataFrame:

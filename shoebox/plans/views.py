@@ -22,7 +22,7 @@ SELECT d.source AS source_key, CAST(d.doc_id AS STRING) AS upstream_asset_id,
   CASE WHEN d.doc_id % 26 = 0 THEN sha1(d.text) END AS canonical_sha1_hex, CASE WHEN d.doc_id % 26 = 0 THEN d.n_chars END AS canonical_size_bytes,
   {at}(d.doc_id * 37) AS captured_at, 'IMG_' || CAST(d.doc_id AS STRING) || CASE WHEN d.doc_id % 4 = 0 THEN '.mp4' ELSE '.JPG' END AS filename,
   CASE WHEN d.doc_id % 8 = 0 THEN ' ' WHEN d.doc_id % 4 = 0 THEN '0:00:' || CAST(10 + d.doc_id % 50 AS STRING) END AS duration,
-  substr(d.text, 1, 200) AS description, d.lang AS place_label, coalesce(l.quality = 1, false) AS is_favorite,
+  d.text AS description, d.lang AS place_label, coalesce(l.quality = 1, false) AS is_favorite,
   CASE WHEN l.toxic = 1 THEN 'out_of_scope' WHEN d.doc_id % 29 = 0 THEN 'missing' WHEN d.doc_id % 31 = 0 THEN 'permission_blocked' ELSE 'active' END AS visibility_status,
   {at}(d.doc_id * 11) AS first_seen_at, {at}(d.doc_id * 41) AS updated_at
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
