@@ -10,6 +10,7 @@ from shoebox.functions import vectors as V
 from shoebox.functions.scalars import FAVORITE_WORDS
 from shoebox.operators import timeline
 from shoebox.request import Resolved
+from shoebox.session import shared_dir
 
 #: Candidates of one ranking, how many of them are diversified, and from which likeness on two are near copies.
 CANDIDATES, DIVERSIFIED, NEAR_COPY = 4096, 80, 0.86
@@ -52,13 +53,32 @@ def with_rank(scored: DataFrame, id_col: str = "id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w) - 1)
 
 
-def metadata_candidates(vectors: DataFrame, rows: DataFrame, text: str, query: list[float], limit: int = CANDIDATES) -> DataFrame:
-    """Indexed rows that match the text, or are favourites where the text asks for these; the first limit ids, scored."""
+def with_rank_of_all(scored: DataFrame, id_col: str = "id") -> DataFrame:
+    """The ranks of with_rank() for any number of rows, without a window over them: rows are sorted in ranges of the
+    whole order, so that equal scores are spread, and numbered within; the starts of ranges are summed up.
+
+    The sorted rows are a table in the shared folder, as a range must not be cut anew when it is read again.
+    """
+    order = [F.col("score").desc(), F.col("captured_at").desc(), F.col("source_key"), F.col(id_col)]
+    # the number of a range in the upper bits, that of a row in its range in the lower 33
+    numbered = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    path = shared_dir(scored.sparkSession, "ranked")
+    numbered.write.parquet(path)
+    rows = scored.sparkSession.read.schema(numbered.schema).parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = rows.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rank = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "__range").withColumn("rank", rank).drop("__at", "__range", "__start")
+
+
+def metadata_candidates(vectors: DataFrame, rows: DataFrame, text: str, query: list[float], limit: int | None = None) -> DataFrame:
+    """Indexed rows that match the text, or are favourites where the text asks for these, scored and ranked: all of them,
+    or the limit ones most like the query."""
     active = rows.where(F.col("visibility_status") == "active")
     named = active.where(has_text(F.col("filename"), text) | has_text(F.col("place_label"), text) | has_text(F.col("description"), text)).select("id")
     starred = active.where(F.col("is_favorite") & F.lit(text.strip().lower() in FAVORITE_WORDS)).select("id")
-    hits = vectors.join(named.union(starred).distinct(), "id", "left_semi").orderBy("id").limit(limit)
-    return with_rank(hits.withColumn("score", V.dot_with(F.col("vector"), query)))
+    hits = vectors.join(named.union(starred).distinct(), "id", "left_semi")
+    return with_rank_of_all(hits.withColumn("score", V.dot_with(F.col("vector"), query))) if limit is None else with_rank(ranked(hits, query, limit))
 
 
 def promoted(ranking: DataFrame, matching: DataFrame) -> DataFrame:
