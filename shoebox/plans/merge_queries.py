@@ -35,9 +35,9 @@ def dirty_state(old_rows, new_rows):
     return M.dirty_state(M.changes(old_rows, new_rows, ["id"], COLS, ["filename"]), 4)
 
 
-@query("last_occurrence", f"WITH {LAST} SELECT id, filename, size, excluded FROM last_of")
-def last_occurrence(batch_rows):
-    return M.last_of_each(batch_rows.withColumn("seq", F.struct(*SEQ)), ["id"], "seq").select("id", "filename", "size", "excluded")
+@query("last_occurrence", f"WITH {LAST.replace('batch_rows', 'line_rows')} SELECT id, filename, size, excluded FROM last_of")
+def last_occurrence(line_rows):
+    return M.last_of_each(line_rows.withColumn("seq", F.struct(*SEQ)), ["id"], "seq").select("id", "filename", "size", "excluded")
 
 
 MERGED = f"""{LAST}, merged AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN NOT coalesce(n.excluded, true) AND (o.id IS NULL OR {DIFF}) THEN n.filename ELSE o.filename END AS filename, CASE WHEN NOT coalesce(n.excluded, true) AND (o.id IS NULL OR {DIFF}) THEN n.size ELSE o.size END AS size,

@@ -65,10 +65,12 @@ FROM conversations""",
     # two snapshots of one source
     "old_rows": "SELECT o_orderkey AS id, o_orderstatus AS filename, o_totalprice AS size, 'active' AS visibility_status, {at}(0) AS updated_at FROM orders WHERE o_orderkey % 10 < 8",
     "new_rows": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS filename, CASE WHEN o_orderkey % 6 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 12 = 5 THEN NULL ELSE o_totalprice END AS size, 'active' AS visibility_status, {at}(60) AS updated_at FROM orders WHERE o_orderkey % 10 >= 2",
+    # what syncs of one source say: all of it, and a batch of it
+    "line_rows": "SELECT l_orderkey AS id, l_returnflag AS filename, l_extendedprice AS size, l_orderkey * 100 + l_linenumber * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS ord, l_partkey, l_suppkey, l_quantity, l_linenumber % 4 = 0 AS excluded, {at}(l_linenumber) AS updated_at FROM lineitem",
     "batch_rows": "SELECT l_orderkey AS id, l_returnflag AS filename, l_extendedprice AS size, l_orderkey * 100 + l_linenumber * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS ord, l_partkey, l_suppkey, l_quantity, l_linenumber % 4 = 0 AS excluded, {at}(l_linenumber) AS updated_at FROM lineitem WHERE l_orderkey % 3 = 0",
 }
 #: What each view reads.
-NEEDS = {"source_rows": ("documents", "labels"), "gallery": ("orders",), "locations": ("orders",), "local_assets": ("locations",), "roots": ("locations",), "jobs": ("events",), "vectors": ("embeddings",), "uploads": ("conversations",), "old_rows": ("orders",), "new_rows": ("orders",), "batch_rows": ("lineitem",)}
+NEEDS = {"source_rows": ("documents", "labels"), "gallery": ("orders",), "locations": ("orders",), "local_assets": ("locations",), "roots": ("locations",), "jobs": ("events",), "vectors": ("embeddings",), "uploads": ("conversations",), "old_rows": ("orders",), "new_rows": ("orders",), "line_rows": ("lineitem",), "batch_rows": ("lineitem",)}
 AT = re.compile(r"\{at\}\(")
 
 
