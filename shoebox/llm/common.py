@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's path in the place that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in tests, a temporary folder serves and is set.
+    Only a local session may leave that unset, as tests do: a temporary folder then serves and is set. Elsewhere the
+    executors would each write to a disk of their own, so that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
         spark.sparkContext.setCheckpointDir(top)
@@ -31,21 +34,56 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession, what)
+    return saved(df, shared_dir(df.sparkSession, what))
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are read only inside a `with`; they are deleted at its end.
+
+    What must be read later goes through written().
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.n = spark, shared_dir(spark, what), 0
+
+    def path(self, what: str) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n:03d}-{what}"
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        return saved(df, self.path(what))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.root)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """The rows over as many partitions as shuffles have: for small tables of which each row becomes very many."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that shared_dir() named, through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, files = _hadoop(spark, path)
+    files.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, files = _hadoop(spark, path)
+    return files.exists(p)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -58,3 +96,53 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 def lower_az(c: Column) -> Column:
     """A-Z to a-z and nothing else, unlike lower()."""
     return F.translate(c, UPPER, UPPER.lower())
+
+
+def az_folded(c: Column) -> Column:
+    """For keys and hashes: two texts have equal images exactly if they are equal but for the case of A-Z.
+
+    Much cheaper than lower_az(). The UTF-8 bytes are read as Latin-1 and lower-cased. Beside A-Z that moves only the
+    bytes 0xC0 to 0xDE, which start characters of two bytes, to 0xE0 to 0xFE, which start longer ones; as the number of
+    bytes that follow tells these apart, no two texts are confused. ASCII characters stay what they are, so blanks can
+    be searched in the image.
+    """
+    return F.lower(F.decode(c.cast("binary"), "ISO-8859-1"))
+
+
+def cut_points(df: DataFrame, key: Column, parts: int, oversample: int = 8) -> list:
+    """At most parts - 1 values of `key` (numbers, strings or structs of them) that cut df's different keys, null keys
+    left out, into parts of about one size.
+
+    From oversample * parts keys at most, those of the greatest hash in as many cells of a hash; so it is one aggregation,
+    the same for any partitioning, and however the keys cluster, no part is far above its share.
+    """
+    cell = F.pmod(F.xxhash64("k"), F.lit(parts * oversample))
+    rows = df.select(key.alias("k")).where("k IS NOT NULL").groupBy(cell).agg(F.max_by("k", F.xxhash64("k", F.lit(1))).alias("k"))
+    found = [r.k for r in rows.select("k").orderBy("k").collect()]
+    step = max(1.0, len(found) / parts)
+    return [found[int(i * step)] for i in range(1, parts) if int(i * step) < len(found)]
+
+
+def part_of(key: Column, cuts: list) -> Column:
+    """The number of a few cuts, ascending, that are not above the key; null keys: 0."""
+    return sum((F.when(key >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+
+
+def _numbers(values: list, kind: str) -> Column:
+    """A constant array; one string to parse once, as thousands of literals are slow to plan."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def range_of(first: Column, second: Column, cuts: list, kind: str) -> Column:
+    """The number of the cuts, ascending pairs of numbers, that are not above the pair, by binary search; a null first
+    number: 0. kind is the type of the first numbers, the second are bigint."""
+    if not cuts:
+        return F.lit(0)
+    a, b = _numbers([c[0] for c in cuts], kind), _numbers([c[1] for c in cuts], "bigint")
+    steps = [1 << n for n in reversed(range(len(cuts).bit_length()))]
+
+    def step(at: Column, width: Column) -> Column:
+        x, y, i = first.cast(kind), second, at + width - 1
+        return F.when((x > F.get(a, i)) | (x == F.get(a, i)) & (y >= F.get(b, i)), at + width).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)

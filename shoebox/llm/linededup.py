@@ -1,124 +1,135 @@
 """Line dedup: levelled sorted runs of line hashes, compacted periodically.
 
-A run is a Parquet folder of (key, n_docs) sorted by key: the lines of one batch of documents and the number of its
-documents that hold each. New runs go to level 0; once a level has FANOUT runs, they are merged into one of the next
-level, so n batches leave O(FANOUT log n) runs and each key is rewritten O(log n) times. Lines that are common over all
-runs are then taken out of the documents by a sort-merge join on the key.
+A run is a Parquet folder of (key, n_docs) sorted by key: lines of one batch of documents and the number of its
+documents that hold each. Batches come one after another. Each counts its lines, takes out by a merge anti-join the keys
+that the runs have settled already, that is those known to be common, and adds what is left as a run of its own to level
+0. Once a level has FANOUT runs, they are merged into one of the next level, and keys that reach the threshold there move
+to the settled runs; so n batches leave O(FANOUT log n) runs, each key is rewritten O(log n) times, and a line that very
+many documents hold is counted for the first few batches only. Lines that are common in the end are taken out of the
+documents by a join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import lower_az, remove, shared_dir, table, written
+from shoebox.llm.common import Scratch, az_folded, cut_points, exists, part_of, remove, table, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 FANOUT = 4
+#: Batches that a corpus is dealt into; one more than FANOUT, so that a level fills and a batch comes after it.
+BATCHES = 5
 
 
-def line_key(line: Column) -> Column:
-    """128-bit hash of the line without outer blanks and with A-Z lower-cased; null for a blank line."""
-    text = lower_az(F.btrim(line, F.lit(BLANKS)))
-    return F.when(text != "", F.unhex(F.md5(text)))
+def line_table(docs: DataFrame, id_col: str, text_col: str, batch: Column) -> DataFrame:
+    """(id, text_hash, batch, pos, key, first): one row a line that is not blank; first marks one of a document's lines of
+    that key. The key is a 128-bit hash of the line without outer blanks and with A-Z lower-cased.
 
-
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, batch, pos, key, first): one row a line that is not blank; first marks its first place in the document."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
-    d = d.select("id", F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
-    lines = d.select("id", "text_hash", "keys", F.posexplode("keys").alias("pos", "key")).where("key IS NOT NULL")
-    return lines.select("id", "text_hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(FANOUT)).cast("int").alias("batch"), "pos", "key", (F.array_position("keys", F.col("key")) == F.col("pos") + 1).alias("first"))
+    Equal lines are told by sorting the document's own keys, so a text of very many lines takes n log n steps.
+    """
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), batch.alias("batch"))
+    lines = F.transform(F.split(az_folded(F.coalesce("text", F.lit(""))), "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
+    keyed = F.transform(lines, lambda line, i: F.struct(F.when(line != "", F.unhex(F.md5(line))).alias("key"), i.alias("pos")))
+    d = d.select("id", F.xxhash64("text").alias("text_hash"), "batch", F.sort_array(F.filter(keyed, lambda x: x["key"].isNotNull())).alias("lines"))
+    first = lambda x, i: (i == 0) | (F.get("lines", i - 1)["key"] != x["key"])
+    flagged = F.transform("lines", lambda x, i: F.struct(x["pos"].alias("pos"), x["key"].alias("key"), first(x, i).alias("first")))
+    return d.select("id", "text_hash", "batch", F.explode(flagged).alias("line")).select("id", "text_hash", "batch", "line.*")
 
 
 class LineRuns:
-    """The runs of one corpus, in the shared folder. Every run is complete before it is listed; a failed add leaves none.
+    """The runs of one corpus. A run is complete before it is listed; a failed admit leaves none.
 
-    With first, the type of ids, runs also hold the least id of a document that has the key.
+    Keys that min_docs documents hold are settled. With first, the type of ids, runs also hold the least id of a document
+    that has the key; batches must then come in the order of ids, as settled keys are not looked at again.
     """
 
-    def __init__(self, spark: SparkSession, first: str | None = None):
-        self.spark, self.root, self.levels = spark, shared_dir(spark, "line-runs"), [[]]
-        self.n, self.schema = 0, "key binary, n_docs bigint" + (f", first {first}" if first else "")
+    def __init__(self, scratch: Scratch, min_docs: int, first: str | None = None):
+        self.scratch, self.spark, self.min_docs = scratch, scratch.spark, min_docs
+        self.schema = "key binary, n_docs bigint" + (f", first {first}" if first else "")
         self.firsts = [F.min("first").alias("first")] if first else []
+        self.levels: list[list[str]] = [[]]
+        self.settled: list[str] = []
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def _path(self) -> str:
-        self.n += 1
-        return f"{self.root}/run-{self.n:06d}"
-
-    def add_all(self, batches: DataFrame) -> None:
-        """batches: (batch, key[, first]), a row for each document of the batch that holds the key. One job writes a run a
-        batch."""
-        counted = batches.groupBy("batch", "key").agg(F.count("*").alias("n_docs"), *self.firsts)
-        path = self._path()
-        counted.sortWithinPartitions("batch", "key").write.partitionBy("batch").parquet(path)
-        found = [r.batch for r in self.spark.read.schema(f"{self.schema}, batch int").parquet(path).select("batch").distinct().collect()]
-        self.levels[0] += [f"{path}/batch={b}" for b in sorted(found)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _add(self, counted: DataFrame, level: int) -> None:
+        """A run of counted keys; those of min_docs documents or more are settled, the others go to the level."""
+        path = self.scratch.path("run")
+        split = counted.withColumn("common", F.col("n_docs") >= self.min_docs)
+        split.sortWithinPartitions("common", "key").write.partitionBy("common").parquet(path)
+        if exists(self.spark, f"{path}/common=true"):
+            self.settled.append(f"{path}/common=true")
+        if exists(self.spark, f"{path}/common=false"):
+            if level == len(self.levels):
+                self.levels.append([])
+            self.levels[level].append(f"{path}/common=false")
+
+    def admit(self, keys: DataFrame) -> None:
+        """keys: (key[, first]), a row for each document of the batch that holds the key; first is the document's id."""
+        counted = keys.groupBy("key").agg(F.count("*").alias("n_docs"), *self.firsts)
+        if self.settled:
+            counted = counted.hint("merge").join(self._read(self.settled).select("key"), "key", "left_anti")
+        self._add(counted, 0)
         self.compact()
 
-    def admit(self, lines: DataFrame, batch: int) -> DataFrame:
-        """Of a batch's lines (id, pos, key) those that no run has, each key once, at its least (id, pos); then the
-        batch's keys are a run, too. For corpora that grow: what comes back is what the batch adds to them."""
-        new = lines.hint("merge").join(self.counts().select("key"), "key", "left_anti")
-        new = new.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("at")).select("at.*", "key")
-        new = written(new, "new-lines")  # before the runs that it reads are merged away
-        self.add_all(lines.select(F.lit(batch).alias("batch"), "id", "key").distinct().select("batch", "key", *[F.col("id").alias("first")] * len(self.firsts)))
-        return new
-
     def compact(self) -> None:
-        """Merges each level that has FANOUT runs or more into one run of the next."""
-        for level, runs in enumerate(self.levels):
+        """Merges each level that has FANOUT runs into one run of the next."""
+        for level in range(len(self.levels)):
+            runs = self.levels[level]
             if len(runs) >= FANOUT:
-                path = self._path()
-                merged = self._read(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), *self.firsts)
-                merged.sortWithinPartitions("key").write.parquet(path)
-                if level + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[level + 1].append(path)
+                self._add(self._merged(runs), level + 1)
                 self.levels[level] = []
                 for old in runs:
                     remove(self.spark, old)
 
-    def counts(self) -> DataFrame:
-        """(key, n_docs[, first]) over all runs."""
-        runs = [p for level in self.levels for p in level]
-        if not runs:
-            return self.spark.createDataFrame([], self.schema)
-        found = self._read(runs)
-        return found if len(runs) == 1 else found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), *self.firsts)
+    def _merged(self, runs: list[str]) -> DataFrame:
+        return self._read(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), *self.firsts)
+
+    def common(self) -> DataFrame:
+        """(key[, first]) of the keys that min_docs documents hold in all batches together.
+
+        A key that one batch settled can be in the levels, too, by batches before that one.
+        """
+        return self._merged(self.settled + [p for level in self.levels for p in level]).where(F.col("n_docs") >= self.min_docs).drop("n_docs")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", keep: str = "none", more: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", keep: str = "none", more: tuple[str, ...] = (), batches: int = BATCHES,
+) -> DataFrame:
     """(id_col, text_col, n_lines, n_dropped, *more): the text without the lines whose key is in min_docs documents or more.
 
     A document is a row; a line counts once in it. keep='first' leaves such lines in the document of the least id, so
     that no line is lost. Blank lines always stay. Null and empty texts are one empty line. Only the
     named columns are read. Rows that repeat, ids that repeat and null ids are separate documents; all rows of the
-    least id keep the line.
+    least id keep the line. The documents are dealt into batches by ascending id, null ids last; their number leaves
+    the result alone.
     """
-    spark = docs.sparkSession
-    lines = written(line_table(docs, id_col, text_col), "lines")
+    spark, id_ = docs.sparkSession, F.col(id_col)
     kept = keep == "first"
-    runs = LineRuns(spark, lines.schema["id"].dataType.simpleString() if kept else None)
-    runs.add_all(lines.where("first").select("batch", "key", *[F.col("id").alias("first")] * kept))
-    common = runs.counts().where(F.col("n_docs") >= min_docs).drop("n_docs")
-    hits = lines.select("id", "text_hash", "pos", "key").join(common, "key", "inner" if kept else "left_semi")
-    if kept:
-        hits = hits.where(~F.col("first").eqNullSafe(F.col("id"))).drop("first")
-    hits = hits.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("hits"))
-    hits = hits.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
     others = F.struct(*(F.col(c) for c in more)) if more else F.lit(None)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), others.alias("others")).withColumn("text_hash", F.xxhash64("text"))
+    with Scratch(spark, "lines") as scratch:
+        batch = F.when(id_.isNull(), batches - 1).otherwise(part_of(id_, cut_points(docs, id_, batches)))
+        table_ = line_table(docs, id_col, text_col, batch.cast("int"))
+        path = scratch.path("lines")
+        table_.write.partitionBy("batch").parquet(path)
+        lines = spark.read.schema(table_.schema).parquet(path)
+        runs = LineRuns(scratch, min_docs, lines.schema["id"].dataType.simpleString() if kept else None)
+        for n in range(batches):
+            runs.admit(lines.where((F.col("batch") == n) & F.col("first")).select("key", *[F.col("id").alias("first")] * kept))
+        hits = lines.select("id", "text_hash", "pos", "key").join(runs.common(), "key", "inner" if kept else "left_semi")
+        if kept:
+            hits = hits.where(~F.col("first").eqNullSafe(F.col("id"))).drop("first")
+        # a document has at most as many hits as lines; the rows of equal documents are merged here
+        hits = written(hits.groupBy(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.collect_set("pos").alias("hits")), "line-hits")
+    d = docs.select(id_.alias("id"), F.col(text_col).alias("text"), others.alias("others")).withColumn("text_hash", F.xxhash64("text"))
     d = d.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     d = d.select("id", "text", "others", split.alias("lines"), "hits")
     n, none = F.size("lines"), F.array().cast("array<int>")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("hits", none))
-    kept = F.when(F.col("hits").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    return d.select(F.col("id").alias(id_col), kept.alias(text_col), n.cast("long").alias("n_lines"), F.size(F.coalesce("hits", none)).cast("long").alias("n_dropped"), *(F.col("others")[c].alias(c) for c in more))
+    out = F.when(F.col("hits").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return d.select(F.col("id").alias(id_col), out.alias(text_col), n.cast("long").alias("n_lines"), F.size(F.coalesce("hits", none)).cast("long").alias("n_dropped"), *(F.col("others")[c].alias(c) for c in more))
 
 
 def op10_line_dedup(spark, sf_dir):
