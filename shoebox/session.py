@@ -29,10 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's path where the cluster shares files (spark.checkpoint.dir); a temporary one where that is unset,
-    as in tests."""
+    """A new folder's path where the cluster shares files (spark.checkpoint.dir).
+
+    Only a local session may leave that unset, as tests do; a temporary folder then serves.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
