@@ -2,7 +2,7 @@
 
 A sketch is the sorted array of the k least different 64-bit hashes of a text's shingles. Hashes are compared as signed
 numbers, so the least possible one stands for 0 and the greatest for 1. Sketches of parts merge into that of the whole;
-that is how texts above PART_WORDS words are done, part by part. Sketches give estimates of resemblance, containment and
+every text is sketched so, PART_WORDS words at a time, and each part merges into the sketch of those before. Sketches give estimates of resemblance, containment and
 the number of different shingles.
 """
 
@@ -10,62 +10,71 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shoebox.llm.common import lower_az, table
+from shoebox.llm.common import az_folded, cut_points, range_of, table
 
 #: Hashes in a sketch, words in a shingle. The standard error of a resemblance of 1/2 is 1/(2 sqrt(K)) = 0.044.
 K, SHINGLE = 128, 5
 #: Words of one part of a text.
-PART_WORDS = 32_768
+PART_WORDS = 8_192
 BLANKS = r"[ \t-\r]+"
-#: Rows to one range of ids, the greatest number of such ranges (more rows go to each then), and the greatest number of
-#: cells of equal width that ids are counted in first.
-RANGE_ROWS, RANGES, CELLS = 250, 65_536, 4_096
+#: Rows to one range of ids, and the greatest number of such ranges (more rows go to each then).
+RANGE_ROWS, RANGES = 250, 16_384
 
 
-def words_of(text: Column) -> Column:
-    """The words, cut at ASCII blanks, with A-Z lower-cased; no words for null and blank texts."""
-    words = F.split(F.btrim(lower_az(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), BLANKS)
+def split_words(text: Column) -> Column:
+    """The words, cut at ASCII blanks; no words for null and blank texts."""
+    words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), BLANKS)
     return F.filter(words, lambda w: w != "")
 
 
+def words_of(text: Column) -> Column:
+    """Images of the words that are the same for words that differ in the case of A-Z only."""
+    return split_words(az_folded(text))
+
+
 def _least(hashes: Column, k: int) -> Column:
     return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
 
 
-def _shingle_hash(words: Column, shingle: int):
-    """Hash of the word hash h at i and those after it; missing ones are skipped."""
-    return lambda h, i: F.xxhash64(h, *(F.get(words, i + j) for j in range(1, shingle)))
+def _sketch(w: Column, k: int, shingle: int, part_words: int) -> Column:
+    """The sketch of a text's word hashes w, part by part."""
+    n = F.size(w)
+    shingles = F.greatest(n - (shingle - 1), F.least(n, F.lit(1)))
+
+    def merged(sketch: Column, at: Column) -> Column:
+        # the hash of the word hash h at i and those after it; missing ones are skipped
+        part = F.transform(F.slice(w, at + 1, F.least(F.lit(part_words), shingles - at)), lambda h, i: F.xxhash64(h, *(F.get(w, at + i + j) for j in range(1, shingle))))
+        return _least(F.concat(sketch, part), k)
+
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(shingles - 1, F.lit(0)), F.lit(part_words)), F.array().cast("array<bigint>"), merged)
 
 
-def with_sketches(df: DataFrame, columns: dict[str, str], k: int = K, shingle: int = SHINGLE) -> DataFrame:
+def with_sketches(df: DataFrame, columns: dict[str, str], k: int = K, shingle: int = SHINGLE, part_words: int = PART_WORDS) -> DataFrame:
     """df with the sketch (array<bigint>) of each text column; columns: {text column: new column}.
 
-    A text of fewer words than a shingle has, but one, is one shingle; without words the sketch is empty. Rows whose
-    texts are all of PART_WORDS words or fewer are sketched in place.
+    A text of fewer words than a shingle has, but one, is one shingle; without words the sketch is empty. Beside the text
+    a row holds one number a word, and the hashes of one part.
     """
     names = list(columns.values())
     for text, new in columns.items():
         df = df.withColumn(f"__w_{new}", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
     # `__w` is read by several expressions, so it is worked out once for each row
     for new in names:
-        w = F.col(f"__w_{new}")
-        n = F.size(w)
-        first = F.slice(w, 1, F.greatest(n - (shingle - 1), F.least(n, F.lit(1))))
-        df = df.withColumn(new, _least(F.transform(first, _shingle_hash(w, shingle)), k))
+        df = df.withColumn(new, _sketch(F.col(f"__w_{new}"), k, shingle, part_words))
     return df.drop(*(f"__w_{new}" for new in names))
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE, part_words: int = PART_WORDS) -> DataFrame:
     """(id_col, sketch, n_shingles) for each row of docs; n_shingles estimates the number of different shingles.
 
-    Very long texts are cut into parts that overlap by a shingle less a word; the parts are sketched as rows of their
-    own and merged. Null and blank texts have an empty sketch. Repeated rows and ids stay: a row is told by its number.
+    Very long texts are cut into parts that overlap by a shingle less a word; these are sketched as rows of their own, in
+    several tasks, and merged. Null and blank texts have an empty sketch. Repeated rows and ids stay: a row is told by its number.
     """
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     long = F.length("__text") > 2 * part_words
     short = with_sketches(source.where(F.coalesce(~long, F.lit(True))), {"__text": "sketch"}, k, shingle).select(id_col, "sketch")
     rows = source.where(long).withColumn("__row", F.monotonically_increasing_id())
-    rows = rows.select(F.col(id_col), "__row", words_of(F.col("__text")).alias("__words"))
+    rows = rows.select(F.col(id_col), "__row", split_words(F.col("__text")).alias("__words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("__words") - shingle, F.lit(0)), F.lit(part_words))
     parts = rows.select(F.col(id_col), "__row", "__words", F.explode(starts).alias("__at"))
     part = F.array_join(F.slice("__words", F.col("__at") + 1, part_words + shingle - 1), " ")
@@ -116,47 +125,47 @@ def text_form(sketch: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")))
 
 
-def in_ranges(docs: DataFrame, id_col: str, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def in_ranges(docs: DataFrame, id_col: str, second: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """docs with __range and __end, so that next_in_range() needs one shuffle and no window over all rows.
 
-    Ids (numbers) go into ranges of about range_rows rows: equal cells of all ids are counted, and crowded cells are
-    cut finer. A copy of the next range's first row stands at the end of each with __end = 1; after the last range comes
-    the first. Rows of one id are ordered by the columns `order`; null ids come first of all.
+    Rows are ordered by id (numbers; null ids come first of all) and, within one id, by the bigint column `second`, a hash.
+    They go into ranges of about range_rows rows, cut at quantiles of these pairs, so clustered ids, null ids and ids
+    that repeat are dealt as evenly as others; only rows equal in both stay together. A copy of the next range's first
+    row stands at the end of each with __end = 1; after the last range comes the first.
     """
-    number = F.col(id_col).cast("double")
-    rows, lo, hi = docs.agg(F.count("*"), F.min(number), F.max(number)).first()
+    kind = "bigint" if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") else "double"
+    number = F.col(id_col).cast(kind)
+    rows, known = docs.agg(F.count("*"), F.count(id_col)).first()
     range_rows = max(range_rows, rows // RANGES)
-    cells = min(CELLS, rows // range_rows + 1)
-    lo, width = lo or 0.0, max(1.0, ((hi or 0.0) - (lo or 0.0) + 1) / cells)
-    cell = F.coalesce(F.floor((number - lo) / width), F.lit(-1)).cast("int")
-    cuts = docs.groupBy(cell.alias("__c")).count().select("__c", F.ceil(F.col("count") / range_rows).cast("int").alias("__cuts"))
-    ranged = docs.withColumn("__cell", cell).join(F.broadcast(cuts), F.col("__cell") == F.col("__c"))  # CELLS + 1 rows at most
-    within = F.least(F.floor(((number - lo) / width - F.col("__cell")) * F.col("__cuts")), F.col("__cuts") - 1) / F.col("__cuts")
-    ranged = ranged.withColumn("__range", F.col("__cell") + F.coalesce(within, F.lit(0.0))).drop("__cell", "__c", "__cuts")
-    firsts = ranged.groupBy("__range").agg(F.min(id_col).alias("__first"))  # RANGES + CELLS rows at most
+    cuts = cut_points(docs.where(F.col(id_col).isNotNull()), F.struct(number.alias("a"), F.col(second).alias("b")), known // range_rows + 1)
+    nulls = (rows - known) // range_rows + 1
+    of_null = F.least(F.floor((F.col(second) / F.lit(2.0**64) + 0.5) * nulls), F.lit(nulls - 1)).cast("int") - nulls
+    ranged = docs.withColumn("__range", F.when(F.col(id_col).isNull(), of_null).otherwise(range_of(number, F.col(second), cuts, kind)))
+    firsts = ranged.groupBy("__range").agg(F.min(F.struct(id_col, second)).alias("__first"))  # about RANGES rows at most
     before = F.lag("__range").over(Window.orderBy("__range"))
     last = F.max("__range").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select(F.col("__range").alias("__own"), "__first", F.coalesce(before, last).alias("__to"))
-    heads = ranged.join(firsts, (F.col("__range") == F.col("__own")) & F.col(id_col).eqNullSafe(F.col("__first")))
-    heads = heads.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).where("__n = 1")
+    is_first = (F.col("__range") == F.col("__own")) & F.col(id_col).eqNullSafe(F.col("__first")[id_col]) & (F.col(second) == F.col("__first")[second])
+    heads = ranged.join(F.broadcast(firsts), is_first)
+    heads = heads.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(second))).where("__n = 1")
     heads = heads.withColumn("__range", F.col("__to")).drop("__n", "__own", "__first", "__to")
     return ranged.withColumn("__end", F.lit(0)).unionByName(heads.withColumn("__end", F.lit(1)))
 
 
-def next_in_range(column: str, id_col: str, order: list[str]) -> Column:
+def next_in_range(column: str, id_col: str, second: str) -> Column:
     """The column's value in the next row of a table from in_ranges()."""
-    return F.lead(column).over(Window.partitionBy("__range").orderBy("__end", F.col(id_col).asc_nulls_first(), *order))
+    return F.lead(column).over(Window.partitionBy("__range").orderBy("__end", F.col(id_col).asc_nulls_first(), second))
 
 
 def op1_document_fingerprints(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = in_ranges(docs, "doc_id", ["text"]).select("*", next_in_range("text", "doc_id", ["text"]).alias("next_text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    docs = in_ranges(docs, "doc_id", "hash").select("*", next_in_range("text", "doc_id", "hash").alias("next_text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     docs = docs.withColumn("n_chars", n.cast("long")).withColumn("edited_sha256", F.sha2("edited", 256)).drop("next_text")
     docs = with_sketches(docs, {"text": "own", "edited": "changed"})
-    docs = docs.select("*", next_in_range("own", "doc_id", ["text"]).alias("next")).where("__end = 0")
+    docs = docs.select("*", next_in_range("own", "doc_id", "hash").alias("next")).where("__end = 0")
     return docs.select(
         "doc_id", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"), resemblance(F.col("own"), F.col("next")).alias("near_next"),

@@ -5,7 +5,9 @@ that occur in that text; a language that is like it needs few. The number of phr
 the labelled text, over the letters is the cross entropy; the least wins.
 
 The automata are dense transition tables, and many stretches of many documents take their steps at once as one vector.
-A missing transition is stored as the complement of where a new phrase leads, so a step is one lookup and a sign.
+A missing transition is stored as the complement of where a new phrase leads, so a step is one lookup and a sign. A
+stretch is first parsed as if a phrase began with it; then the phrase that really runs into it is followed until both
+parses begin a phrase at one place, from where on they are the same. So the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from shoebox.llm.common import slices, table
 
-#: The classifier is fit on so many rows a language at most (those with the least hash of their text), and on so many
-#: of their letters.
-TRAIN_DOCS, TRAIN_CHARS = 400, 25_000
-#: Texts are parsed in stretches of this many letters, so many letters of one or more documents at once.
+#: The classifier is fit on so many whole texts a language at most: those with the least hash, of texts of up to
+#: TRAIN_SHORT characters first.
+TRAIN_DOCS, TRAIN_SHORT = 24, 2_000
+#: Letters of a stretch, and of the texts that are parsed at once (a longer text is parsed alone).
 STRETCH, AT_ONCE = 512, 1 << 20
 #: Bits a letter are turned into a score by a softmax of this steepness.
 STEEPNESS = 8.0
@@ -77,10 +79,11 @@ class CrossParser:
         for i, c in enumerate(alphabet):
             self.code_of[ord(c)] = i + 1
         codes = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": 0}
-        tables, self.roots, at = [], [], 0
+        tables, starts, at = [], [], 0
         for lang in self.langs:
             moves = suffix_automaton([codes[c] for c in plain[lang]])
-            # the state after the last is where a letter leads that the sample lacks: a phrase of its own
+            # the state after the last is where a letter leads that the sample lacks: a phrase of its own. Whatever comes
+            # next begins a phrase, so texts start there, too
             dead = len(moves)
             t = np.full((dead + 1, self.width), -1, np.int64)
             for s, m in enumerate(moves):
@@ -89,9 +92,10 @@ class CrossParser:
             root = np.where(t[0] >= 0, t[0], dead)
             places = (np.where(t >= 0, t, 0) + at) * self.width
             tables.append(np.where(t >= 0, places, ~((root + at) * self.width)))
-            self.roots.append(at * self.width)
+            starts.append((at + dead) * self.width)
             at += dead + 1
         self.table = np.concatenate(tables).ravel().astype(np.int32 if at * self.width < 2**31 else np.int64) if tables else np.zeros(0, np.int32)
+        self.starts = np.array(starts, self.table.dtype)
         self.bits = np.array([np.log2(max(2, len(plain[lang]))) for lang in self.langs])
 
     @staticmethod
@@ -106,13 +110,14 @@ class CrossParser:
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
         """The number of phrases of each part for each language."""
-        cuts, owner = [], []
+        cuts, owner, nth = [], [], []
         for i, p in enumerate(parts):
             for k in range(0, len(p), STRETCH):
                 cuts.append(p[k : k + STRETCH])
                 owner.append(i)
+                nth.append(k // STRETCH)
         out = np.zeros((len(parts), len(self.langs)), np.int64)
-        if not cuts:
+        if not cuts or not self.langs:
             return out
         sizes = np.array([len(c) for c in cuts])
         order = np.argsort(-sizes, kind="stable")
@@ -121,8 +126,9 @@ class CrossParser:
         for row, i in enumerate(order):
             grid[row, : len(cuts[i])] = cuts[i]
         grid = np.ascontiguousarray(grid.T).astype(self.table.dtype)
-        at = np.tile(np.array(self.roots, self.table.dtype), (len(cuts), 1))
-        count = np.ones(at.shape, self.table.dtype)
+        at = np.tile(self.starts, (len(cuts), 1))
+        count = np.zeros(at.shape, np.int64)
+        begins = np.zeros((sizes[0], *at.shape), bool)
         shift = self.table.dtype.itemsize * 8 - 1
         for step in range(sizes[0]):
             m = int(np.searchsorted(-sizes, -step, side="left"))  # stretches longer than step
@@ -131,10 +137,40 @@ class CrossParser:
             found = self.table.take(now)
             fresh = found >> shift
             count[:m] -= fresh
+            begins[step, :m] = fresh
             np.bitwise_xor(found, fresh, out=now)
+        place = np.empty(len(cuts), np.int64)
+        place[order] = np.arange(len(cuts))
+        self._join(place[np.argsort(nth, kind="stable")], np.sort(nth), place, np.array(nth), sizes, grid, at, count, begins)
         np.add.at(out, np.array(owner)[order], count)
         return out
 
+    def _join(self, rows: np.ndarray, numbers: np.ndarray, place: np.ndarray, nth: np.ndarray, sizes: np.ndarray, grid: np.ndarray, at: np.ndarray, count: np.ndarray, begins: np.ndarray) -> None:
+        """Corrects count and the last states `at` of every stretch that is not the first of its text, in their order.
+
+        rows: the grid rows by their number in the text, numbers: these, place: the row of each cut, nth: its number.
+        """
+        shift = self.table.dtype.itemsize * 8 - 1
+        before = np.empty(len(place), np.int64)  # the row of the stretch before, by row
+        before[place[1:]] = place[:-1]
+        for n in range(1, int(nth.max()) + 1):
+            mine = rows[np.searchsorted(numbers, n) : np.searchsorted(numbers, n, side="right")]
+            row, lang = np.repeat(mine, len(self.langs)), np.tile(np.arange(len(self.langs)), len(mine))
+            state, step = at[before[row], lang], 0
+            while len(row):
+                ended = sizes[row] <= step
+                if ended.any():  # no phrase in common: the next stretch goes on from here
+                    at[row[ended], lang[ended]] = state[ended]
+                    row, lang, state = row[~ended], lang[~ended], state[~ended]
+                    continue
+                found = self.table.take(state + grid[step, row])
+                fresh = found >> shift
+                guessed = begins[step, row, lang]
+                np.add.at(count, (row, lang), -fresh.astype(np.int64) - guessed)
+                apart = ~(guessed & (fresh != 0))
+                row, lang, state = row[apart], lang[apart], (found ^ fresh)[apart]
+                step += 1
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and a score for each text; 'und' and 0 without letters (or where nothing was learned)."""
         parts, owner, size = [], [], 0
@@ -144,19 +180,17 @@ class CrossParser:
 
         def run() -> None:
             nonlocal parts, owner, size
-            np.add.at(total, np.array(owner, np.int64), self.phrases(parts))
+            total[owner] = self.phrases(parts)
             parts, owner, size = [], [], 0
 
         for i, text in enumerate(texts):
-            for k in range(0, len(text or ""), AT_ONCE):
-                c = self.codes(text[k : k + AT_ONCE])
-                parts.append(c)
-                owner.append(i)
-                size += len(c)
-                letters[i] += len(c)
-                lettered[i] |= bool(c.any())
-                if size >= AT_ONCE:
-                    run()
+            c = self.codes(text or "")
+            if size + len(c) > AT_ONCE and parts:
+                run()
+            parts.append(c)
+            owner.append(i)
+            size += len(c)
+            letters[i], lettered[i] = len(c), c.any()
         if parts:
             run()
         if not self.langs:
@@ -168,40 +202,42 @@ class CrossParser:
 
 
 def held_out(id_col: str, parts: int, part: int):
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts)) == part
+    """Whether the id's text has that remainder; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
 def least_hashes(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """(group, h): n of the different hashes h of each group, the least in an order that does not follow the hash itself.
+    """(group, h): n of the different hashes h of each group, those with late = false first, the least in an order that
+    does not follow the hash itself. rows: (group, h, late).
 
     Only hashes below a bound that leaves about 3 n of a group are ranked, so few meet in one task, however many rows
-    there are. A group of very few hashes has all of them.
+    there are; late ones only in groups that have too few others. A group of very few hashes has all of them.
     """
     u = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
-    sizes = rows.groupBy(F.col(group).alias("__of")).agg(F.approx_count_distinct("h").alias("__hashes"))
-    some = rows.join(F.broadcast(sizes), F.col(group) == F.col("__of")).where(u * F.col("__hashes") < 3 * n).select(group, "h").distinct()
-    ranked = some.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(u, "h")))
+    sizes = rows.groupBy(F.col(group).alias("__of")).agg(F.approx_count_distinct(F.when(~F.col("late"), F.col("h"))).alias("__early"), F.approx_count_distinct("h").alias("__hashes"))
+    near = F.when(F.col("late"), (F.col("__early") < 2 * n) & (u * F.col("__hashes") < 3 * n)).otherwise(u * F.col("__early") < 3 * n)
+    some = rows.join(F.broadcast(sizes), F.col(group) == F.col("__of")).where(near).groupBy(group, "h").agg(F.min("late").alias("late"))  # sizes: one row a group
+    ranked = some.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy("late", u, "h")))
     return ranked.where(F.col("n") <= n).select(group, "h")
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> CrossParser:
-    """From a bounded sample: max_docs different texts a language (those with the least hashes), max_chars of their letters."""
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, short: int = TRAIN_SHORT) -> CrossParser:
+    """From a bounded sample: max_docs different whole texts a language, those with the least hashes; texts of more than
+    `short` characters only where there are too few others, as an automaton's size is that of its texts."""
     t = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    ranked = least_hashes(t.select("lang", "h"), "lang", max_docs)
-    rows = t.join(F.broadcast(ranked), ["lang", "h"]).select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()  # max_docs a language
+    ranked = least_hashes(t.select("lang", "h", (F.length("text") > short).alias("late")), "lang", max_docs)
+    rows = t.join(F.broadcast(ranked), ["lang", "h"]).select("lang", "h", "text").distinct()  # max_docs a language
     samples: dict[str, list[str]] = {}
-    room: dict[str, int] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        left = room.get(r.lang, max_chars)
-        if left > 0:
-            samples.setdefault(r.lang, []).append(r.text[:left])
-            room[r.lang] = left - len(r.text)
+        samples.setdefault(r.lang, []).append(r.text)
     return CrossParser({lang: " ".join(x) for lang, x in samples.items()})
 
 
 def predicted(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *carry, lang_pred, score) for each row; 'und' with score 0 for null texts and texts without letters.
 
+    The languages that nothing was learned of are never predicted; where nothing was learned at all, all are 'und'.
+
     Only id_col, text_col and the carried columns are read; the latter are passed on unseen. Repeated rows stay.
     """
     source = docs.select(F.col(text_col).alias("__text"), id_col, *carry)

@@ -28,9 +28,9 @@ from shoebox.llm.langid import held_out, least_hashes
 WORD = re.compile(r"[^\W\d_]+")
 SEQUENCE = 64
 BUCKETS = 1 << 21
-#: The fit sees so many documents of each label at most (those with the least hash of their text), and so many
-#: characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 8_000
+#: The fit sees so many whole documents of each label at most: those with the least hash of their text, of texts of up
+#: to TRAIN_SHORT characters first.
+TRAIN_DOCS, TRAIN_SHORT = 1500, 8_000
 #: A mark's documents are so much likelier toxic than by chance (log likelihood ratio), and its share of the toxic
 #: training documents is so many times that of the clean.
 MARK_SURPRISE, MARK_RATIO = 10.0, 12.0
@@ -151,19 +151,23 @@ def expected_moves(e: np.ndarray, lengths: np.ndarray, parts: np.ndarray, move:
     return (pair * (np.arange(1, SEQUENCE)[:, None] < lengths[None, :])).sum((2, 3))
 
 
-def without_near_copies(words: list[list[str]]) -> list[bool]:
-    """False for a text that shares half or more of its 8 least shingle hashes with one before it: the words of many
-    copies would otherwise look like marks."""
-    holders: dict[int, list[int]] = {}
-    keep = []
-    for n, ws in enumerate(words):
-        least = sorted({zlib.crc32(" ".join(s).encode("utf-8", "surrogatepass")) * 2654435761 % 2**32 for s in zip(ws, ws[1:], ws[2:], strict=False)})[:8]
-        shared = Counter(k for h in least for k in holders.get(h, ()))
-        keep.append(2 * max(shared.values(), default=0) < max(1, len(least)))
-        if keep[-1]:
-            for h in least:
-                holders.setdefault(h, []).append(n)
-    return keep
+class NearCopies:
+    """Tells a text that shares half or more of its 8 least shingle hashes with one before it: the words of many copies
+    would otherwise look like marks."""
+
+    def __init__(self) -> None:
+        self.holders: dict[int, list[int]] = {}
+        self.n = 0
+
+    def seen(self, words: list[str]) -> bool:
+        least = sorted({zlib.crc32(" ".join(s).encode("utf-8", "surrogatepass")) * 2654435761 % 2**32 for s in zip(words, words[1:], words[2:], strict=False)})[:8]
+        shared = Counter(k for h in least for k in self.holders.get(h, ()))
+        if 2 * max(shared.values(), default=0) >= max(1, len(least)):
+            return True
+        self.n += 1
+        for h in least:
+            self.holders.setdefault(h, []).append(self.n)
+        return False
 
 
 def surprise(c1: int, c0: int, n1: int, n0: int) -> float:
@@ -177,30 +181,38 @@ def surprise(c1: int, c0: int, n1: int, n0: int) -> float:
 
 
 def fit_tagger(texts: list[str], toxic: list[int]) -> ToxicTagger:
-    """From whole training texts and their labels. Without any toxic or clean text every score is 0."""
-    words = [WORD.findall(t.lower()) for t in texts]
-    # toxic texts only: clean copies do no harm, and a mark must not be in any
-    apart = without_near_copies([ws if label else [] for ws, label in zip(words, toxic, strict=True)])
-    words = [ws for ws, x in zip(words, apart, strict=True) if x]
-    toxic = [y for y, x in zip(toxic, apart, strict=True) if x]
-    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    """From whole training texts and their labels. Without any toxic or clean text every score is 0.
+
+    Texts become word numbers one by one, so that the words of all texts never stand as strings side by side.
+    """
+    kinds: dict[str, int] = {}
+    ids, labels, copies = [], [], NearCopies()
+    for text, label in zip(texts, toxic, strict=True):
+        words = WORD.findall(text.lower())
+        # toxic texts only: clean copies do no harm, and a mark must not be in any
+        if label and copies.seen(words):
+            continue
+        ids.append(np.array([kinds.setdefault(w, len(kinds)) for w in words], np.int32))
+        labels.append(label)
+    n1, n0 = sum(labels), len(labels) - sum(labels)
     none = ToxicTagger(np.zeros(BUCKETS, np.float32), -12.0, 0.0, np.zeros((2, 2)))
-    if not n1 or not n0:
+    if not n1 or not n0 or not kinds:
         return none
+    names = list(kinds)
     df = (Counter(), Counter())
-    for ws, label in zip(words, toxic, strict=True):
-        df[label].update({m for w in set(ws) for m in marks_of(w)})
+    for own, label in zip(ids, labels, strict=True):
+        df[label].update({m for k in np.unique(own).tolist() for m in marks_of(names[k])})
     # a beginning must be that of several words: else the word itself is the mark
     alone: Counter = Counter()
-    for w in {w for ws, label in zip(words, toxic, strict=True) if label for w in ws}:
-        for m in marks_of(w)[1:]:
-            alone[m] = max(alone[m], df[1]["=" + w])
+    for w in names:
+        if own := df[1]["=" + w]:
+            for m in marks_of(w)[1:]:
+                alone[m] = max(alone[m], own)
     marks = {m for m, c in df[1].items() if 2 * alone[m] <= c and surprise(c, df[0][m], n1, n0) >= MARK_SURPRISE}
-    kinds = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-    marked = np.array([bool(marks.intersection(marks_of(w))) for w in kinds])
-    sizes = [len(ws) for ws in words]
-    of_token = np.array([kinds[w] for ws in words for w in ws])
-    tags = marked[of_token] * np.repeat(np.array(toxic), sizes) if len(of_token) else np.zeros(0)
+    marked = np.array([bool(marks.intersection(marks_of(w))) for w in names])
+    sizes = [len(own) for own in ids]
+    of_token = np.concatenate(ids)
+    tags = marked[of_token] * np.repeat(np.array(labels), sizes)
     if not tags.any():
         return none
     found = [features(w) for w in kinds]
@@ -223,15 +235,15 @@ def fit_tagger(texts: list[str], toxic: list[int]) -> ToxicTagger:
     return ToxicTagger(w.astype(np.float32), float(bias), first, move)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> ToxicTagger:
-    """From a bounded sample: max_docs different labelled texts of each label (those with the least hashes), max_chars of
-    each.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, short: int = TRAIN_SHORT) -> ToxicTagger:
+    """From a bounded sample: max_docs different labelled whole texts of each label, those with the least hashes; texts of
+    more than `short` characters only where there are too few others.
 
     Labels other than 0 and 1, null ids and null texts are not used; of an id with both labels, 1 counts.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("y"))
-    rows = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("label_id"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, max_chars).alias("text"))
-    ranked = least_hashes(rows.select("label_id", "h").join(own, "label_id").select("y", "h"), "y", max_docs)
+    rows = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("label_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    ranked = least_hashes(rows.select("label_id", "h", (F.length("text") > short).alias("late")).join(own, "label_id").select("y", "h", "late"), "y", max_docs)
     # 2 * max_docs rows at most; the texts are looked up once
     sample = rows.select("h", "text").join(F.broadcast(ranked.groupBy("h").agg(F.max("y").alias("y"))), "h").select("y", "text").distinct()
     found = sorted(sample.collect(), key=lambda r: (r.text, r.y))

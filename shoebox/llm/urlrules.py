@@ -4,8 +4,9 @@ A rule (host, path, verdict) fits a url whose host is the rule's host or a subdo
 the rule's path. The canonical key of a host suffix and a path is the suffix's labels in reverse, each ended by '#',
 then '?' and the path; neither sign can stand in a host or path, so a rule fits exactly when its key is a prefix of the
 url's key for that suffix, that is when the url's key lies in [key, key + 0xFF) in byte order (0xFF is in no UTF-8
-text). Such intervals nest or are disjoint. Each number of labels that some rule's host has gets one sweep: urls and
-interval ends are sorted together, a stack of the open intervals is kept, and a url takes the innermost.
+text). Such intervals nest or are disjoint. A url stands once for each number of labels that some rule's host has. All
+these rows and the interval ends are swept together, sorted within their host suffix: a stack of the open intervals is
+kept, and a row takes the innermost. A url's best row decides.
 """
 
 from __future__ import annotations
@@ -67,23 +68,29 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ends = interval_ends(rules)
     # rules are configuration: what comes here is one small number for each length of host, not rows
     depths = [d for (d,) in sorted(ends.select("depth").distinct().collect())]
-    none = "struct<size:int,host_size:int,rule:string,verdict:string>"
-    urls = urls.withColumn("best", F.lit(None).cast(none))
-    limit = max(rows_per_sweep, urls.count() // HOT_SUFFIXES) if depths else 0
-    for depth in depths:
-        labels = F.split("host", r"\.")
-        urls = urls.withColumn("suffix", reversed_key(labels, depth))
-        own = ends.where(F.col("depth") == depth)
-        hot = urls.groupBy("suffix").count().where(F.col("count") > limit)
-        hot = F.broadcast(hot.select(F.col("suffix").alias("hot"), F.ceil(F.col("count") / limit).cast("int").alias("n")))
-        spread = F.pmod(F.xxhash64("id", "url") + 31 * F.spark_partition_id(), F.coalesce("n", F.lit(1)))
-        urls = urls.join(hot, F.col("suffix").eqNullSafe(F.col("hot")), "left").withColumn("salt", spread.cast("int")).drop("hot", "n")
-        own = own.join(hot, F.col("suffix") == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
-        urls = urls.withColumn("key", F.concat("suffix", F.lit("?"), "path").cast("binary")).withColumn("kind", F.lit(2))
-        both = urls.unionByName(own.select("suffix", "salt", "key", "kind", "open"), allowMissingColumns=True)
-        sweep = Window.partitionBy("suffix", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        both = both.withColumn("top", F.last("open", ignorenulls=True).over(sweep)).where("kind = 2")
-        urls = both.select("id", "url", "host", "path", F.greatest("best", F.col("top.rule")).alias("best"))
+    none = F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>")
+    if not depths:
+        return _judged(urls.withColumn("best", none), id_col, url_col, default)
+    labels = F.split("host", r"\.")
+    suffixes = F.filter(F.array(*(reversed_key(labels, d) for d in depths)), lambda x: x.isNotNull())
+    limit = max(rows_per_sweep, urls.count() // HOT_SUFFIXES)
+    hot = urls.select(F.explode(suffixes).alias("hot")).groupBy("hot").count().where(F.col("count") > limit)
+    hot = F.broadcast(hot.select("hot", F.ceil(F.col("count") / limit).cast("int").alias("n")))  # len(depths) * HOT_SUFFIXES at most
+    rows = urls.withColumn("row", F.monotonically_increasing_id()).withColumn("suffix", F.explode_outer(suffixes))
+    rows = rows.join(hot, F.col("suffix") == F.col("hot"), "left")
+    # a host that is shorter than all rules has no suffix; such rows meet no rule anywhere
+    shares = F.when(F.col("suffix").isNull(), HOT_SUFFIXES).otherwise(F.coalesce("n", F.lit(1)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), shares).cast("int")).drop("hot", "n")
+    rows = rows.withColumn("key", F.concat("suffix", F.lit("?"), "path").cast("binary")).withColumn("kind", F.lit(2))
+    own = ends.join(hot, F.col("suffix") == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
+    both = rows.unionByName(own.select("suffix", "salt", "key", "kind", "open"), allowMissingColumns=True)
+    sweep = Window.partitionBy("suffix", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("top", F.last("open", ignorenulls=True).over(sweep)).where("kind = 2")
+    best = swept.groupBy("row").agg(*(F.first(c).alias(c) for c in ("id", "url", "host", "path")), F.max("top.rule").alias("best"))
+    return _judged(best, id_col, url_col, default)
+
+
+def _judged(urls: DataFrame, id_col: str, url_col: str, default: str) -> DataFrame:
     return urls.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 

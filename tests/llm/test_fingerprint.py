@@ -63,21 +63,41 @@ def test_merging_sketches(spark):
     assert merged[1] == sorted({h for r in parts.where("k = 1").collect() for h in r.sketch})[: P.K] and merged[2] == []
 
 
+def hashed(docs):
+    return docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text"))
+
+
 def test_next_rows_with_ties_nulls_and_wide_gaps(docs_of):
-    ids = [5, 5, None, -7, 10**12, 10**12 + 1, 3, 4, 6, 2]
-    docs = docs_of([(i, f"t{n}") for n, i in enumerate(ids)])
+    ids = [5, 5, None, -7, 10**12, 10**12 + 1, 3, 4, 6, 2, None, None]
+    docs = hashed(docs_of([(i, f"t{n}") for n, i in enumerate(ids)]))
+    hashes = {r.text: r.hash for r in docs.collect()}
     for size in (1, 2, 100):
-        ranged = P.in_ranges(docs.select("doc_id", "text"), "doc_id", ["text"], range_rows=size)
-        got = {r.text: r.n for r in ranged.select("text", "__end", P.next_in_range("text", "doc_id", ["text"]).alias("n")).where("__end = 0").collect()}
-        order = [f"t{n}" for _, n in sorted((-(10**15) if i is None else i, n) for n, i in enumerate(ids))]
+        ranged = P.in_ranges(docs, "doc_id", "hash", range_rows=size)
+        got = {r.text: r.n for r in ranged.select("text", "__end", P.next_in_range("text", "doc_id", "hash").alias("n")).where("__end = 0").collect()}
+        order = [t for _, _, t in sorted((-(10**15) if i is None else i, hashes[f"t{n}"], f"t{n}") for n, i in enumerate(ids))]
         assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
+def test_ranges_are_even_for_any_ids(spark):
+    """Dense, clustered, hashed and null ids and ids that repeat: no range is far above its share."""
+    for ids in ("id", "(id % 4) * 1125899906842624 + id", "xxhash64(id)", "CAST(NULL AS BIGINT)", "CAST(id % 3 AS BIGINT)", "CAST(id AS DOUBLE) / 7", "if(id % 2 = 0, NULL, id)"):
+        rows = spark.range(20000).selectExpr(f"{ids} AS doc_id", "xxhash64(id, 7) AS hash")
+        most = P.in_ranges(rows, "doc_id", "hash", 250).where("__end = 0").groupBy("__range").count().agg(F.max("count"), F.count("*")).first()
+        assert most[0] <= 4 * 250 and most[1] >= 40, (ids, most)
+
+
 def test_empty_table(docs_of):
     assert P.sketched(docs_of([])).count() == 0
-    assert P.in_ranges(docs_of([]).select("doc_id", "text"), "doc_id", ["text"]).count() == 0
-    one = P.in_ranges(docs_of(["a"]).select("doc_id", "text"), "doc_id", ["text"])
-    assert one.select("__end", P.next_in_range("text", "doc_id", ["text"]).alias("n")).where("__end = 0").first().n == "a"
+    assert P.in_ranges(hashed(docs_of([])), "doc_id", "hash").count() == 0
+    one = P.in_ranges(hashed(docs_of(["a"])), "doc_id", "hash")
+    assert one.select("__end", P.next_in_range("text", "doc_id", "hash").alias("n")).where("__end = 0").first().n == "a"
+
+
+def test_parts_of_a_row_merge_into_the_whole(spark):
+    texts = [text(3, 500), text(3, 16), text(3, 17), text(3, 20), text(3, 21), "one", "", None, "a a a a a a a a a a a a a a a a a a a a a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    whole, parts = (P.with_sketches(rows, {"t": "s"}, part_words=p).orderBy("n").collect() for p in (P.PART_WORDS, 16))
+    assert [r.s for r in whole] == [r.s for r in parts]
 
 
 def test_no_python_in_the_plan(spark):

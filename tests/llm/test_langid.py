@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from shoebox.llm import langid as L
 from tests.conftest import SMALL
 
@@ -26,16 +29,47 @@ def brute_phrases(sample, text):
     return n
 
 
-def test_phrases_against_brute_force():
+@pytest.mark.parametrize("stretch", [3, 17, L.STRETCH])
+def test_phrases_against_brute_force(stretch, monkeypatch):
+    """However the texts are cut into stretches, the phrases are those of the whole."""
+    monkeypatch.setattr(L, "STRETCH", stretch)
     samples = {lang: sentence(lang, 80, 1) for lang in LANGS}
     parser = L.CrossParser(samples)
     plain = {lang: parser._spaced(t) for lang, t in samples.items()}
-    for seed in range(12):
-        text = sentence(random.Random(seed).choice(list(LANGS)), 40, seed + 100) + " xyz 12 Ω"
-        spaced = parser._spaced(text)
-        got = parser.phrases([parser.codes(spaced)])[0]
-        want = [brute_phrases(plain[lang], spaced) for lang in parser.langs]
-        assert [abs(g - w) <= 2 for g, w in zip(got.tolist(), want, strict=True)] == [True] * 3, (got, want)
+    texts = ["", "Ω", "Ωthe", "the house the", sentence("en", 80, 1) * 3, "日本 12 the"]
+    texts += [sentence(random.Random(seed).choice(list(LANGS)), 40 * (1 + seed % 5), seed + 100) + " xyz 12 Ω" for seed in range(12)]
+    spaced = [parser._spaced(t) for t in texts]
+    got = parser.phrases([parser.codes(t) for t in spaced])
+    assert got.tolist() == [[brute_phrases(plain[lang], t) for lang in parser.langs] for t in spaced]
+
+
+def brute_prediction(parser, plain, text):
+    spaced = parser._spaced(text or "")
+    if not spaced.strip():
+        return "und"
+    costs = [brute_phrases(plain[lang], spaced) * np.log2(max(2, len(plain[lang]))) for lang in parser.langs]
+    return parser.langs[int(np.argmin(costs))]
+
+
+def test_query_against_brute_force(spark):
+    """Each document's language is that of the fewest bits, found by plain search in the whole texts."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    train = docs.where("pmod(crc32(CAST(doc_id AS STRING)), 5) <> 0")
+    parser, samples = L.fit(train), {}
+    assert parser.langs == sorted(r.lang for r in train.select("lang").distinct().collect() if r.lang)
+    short = [r for r in train.where("text <> '' AND lang IS NOT NULL").selectExpr("lang", "text", "xxhash64(text) AS h", "pmod(xxhash64(xxhash64(text)), 1099511627776) AS u").distinct().collect()]
+    for lang in parser.langs:
+        own = sorted((r for r in short if r.lang == lang), key=lambda r: (len(r.text) > L.TRAIN_SHORT, r.u, r.h))[: L.TRAIN_DOCS]
+        samples[lang] = parser._spaced(" ".join(r.text for r in sorted(own, key=lambda r: (r.h, r.text))))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r.lang_pred for r in L.op5_language_id(spark, SMALL).collect()}
+    some = sorted((i for i in texts if len(texts[i] or "") < 3000))[:60]
+    assert {i: found[i] for i in some} == {i: brute_prediction(parser, samples, texts[i]) for i in some}
+
+
+def test_a_null_id_is_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (7,)], "doc_id bigint").select(L.held_out("doc_id", 5, 0).alias("x")).collect()
+    assert rows[0].x is False and rows[1].x is not None
 
 
 def test_held_out_accuracy(spark):
@@ -71,6 +105,7 @@ def test_the_prediction_does_not_see_labels(docs_of):
 
 
 def test_least_hashes_are_bounded_and_different(spark):
-    rows = spark.range(20000).selectExpr("'a' AS g", "id % 5000 AS h").unionByName(spark.range(7).selectExpr("'b' AS g", "id AS h"))
+    rows = spark.range(20000).selectExpr("'a' AS g", "id % 5000 AS h", "false AS late").unionByName(spark.range(7).selectExpr("'b' AS g", "id AS h", "id > 3 AS late"))
     got = L.least_hashes(rows, "g", 100).collect()
     assert len({r.h for r in got if r.g == "a"}) == 100 and sorted(r.h for r in got if r.g == "b") == list(range(7))
+    assert sorted(r.h for r in L.least_hashes(rows, "g", 4).collect() if r.g == "b") == [0, 1, 2, 3]

@@ -68,6 +68,46 @@ def test_held_out_documents(spark):
     assert held == [bool(y) for y in labels[200:]]
 
 
+def test_held_out_documents_of_the_tables(spark):
+    """Where the tables have enough labels to learn from, most held-out toxic documents are found and no clean one is."""
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    found = {r.doc_id: r for r in X.op8_toxicity(spark, folder).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(labels[i], r.predicted) for i, r in found.items() if r.held_out and labels.get(i) is not None]
+    toxic, clean = [p for y, p in held if y == 1], [p for y, p in held if y == 0]
+    assert len(toxic) >= 10 and sum(toxic) >= 0.75 * len(toxic) and sum(clean) == 0, (sum(toxic), len(toxic), sum(clean), len(clean))
+
+
+def brute_score(tagger, text):
+    """The most certain token of the text, sequence by sequence, each over all of its paths by plain recursion."""
+    words, best = [m[0].lower() for m in X.WORD.finditer(text or "")], 0.0
+    for k in range(0, len(words), X.SEQUENCE):
+        own = words[k : k + X.SEQUENCE]
+        e = [min(30.0, max(-30.0, tagger.b + sum(float(tagger.w[f]) for f in X.features(w)))) for w in own]
+        move = tagger.move
+        forward = [(0.0, tagger.first + e[0])]
+        for x in e[1:]:
+            a, b = forward[-1]
+            forward.append((np.logaddexp(a + move[0, 0], b + move[1, 0]), np.logaddexp(a + move[0, 1], b + move[1, 1]) + x))
+        backward = [(0.0, 0.0)]
+        for x in e[:0:-1]:
+            a, b = backward[-1]
+            backward.append((np.logaddexp(a + move[0, 0], b + move[0, 1] + x), np.logaddexp(a + move[1, 0], b + move[1, 1] + x)))
+        total = np.logaddexp(*forward[-1])
+        best = max([best, *(float(np.exp(f[1] + g[1] - total)) for f, g in zip(forward, backward[::-1], strict=True))])
+    return best
+
+
+def test_query_against_brute_force(spark):
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    tagger = X.fit(docs, labels.where("pmod(crc32(CAST(doc_id AS STRING)), 3) <> 1"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in X.op8_toxicity(spark, folder).collect():
+        if len(texts[r.doc_id] or "") < 2_000 or r.score > 0.3:
+            assert abs(r.score - brute_score(tagger, texts[r.doc_id])) < 1e-6 and r.predicted == int(r.score >= 0.7)
+
+
 def test_fit_from_tables(spark, docs_of):
     texts, labels = sample()
     docs = docs_of(texts + [None])

@@ -34,6 +34,21 @@ def test_nested_rules_against_brute_force(spark):
         assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
 
 
+def test_the_plan_does_not_grow_with_the_lengths_of_hosts(spark, tmp_path):
+    urls = ["http://a.b.c.d.e.f.com/x", "http://com/y", "http://z.a.b.c.d.e.f.com/x/y", "http://q/", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").write.parquet(f"{tmp_path}/pages")
+    pages, scans = spark.read.parquet(f"{tmp_path}/pages"), []
+    names = "a.b.c.d.e.f.com".split(".")
+    for depth in (1, 2, 6, 7):
+        rules = [(".".join(names[-d:]), "/x", "block" if d % 2 else "allow") for d in range(1, depth + 1)]
+        found = U.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()} == {i: brute(u, rules) for i, u in enumerate(urls)}
+        scans.append(found._jdf.queryExecution().optimizedPlan().toString().count("parquet"))
+    assert len(set(scans)) == 1 and scans[0] <= 4, scans
+    far = [("a.b.c.d.e.f.g.h", "/", "block")]
+    assert {r.rule for r in U.judge_urls(pages, spark.createDataFrame(far, "host string, path string, verdict string")).collect()} == {None}
+
+
 def test_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, None)], "page_id bigint, url string")
     rules = spark.createDataFrame([("COM ", None, "block"), ("com", "", "allow"), (None, "/", "block"), ("", "/", "block")], "host string, path string, verdict string")
