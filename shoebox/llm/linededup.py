@@ -17,6 +17,8 @@ from shoebox.llm.common import Scratch, az_folded, cut_points, exists, part_of,
 
 BLANKS = " \t\n\x0b\x0c\r"
 FANOUT = 4
+#: Keys that are in 1/HOT_LINES of all lines or more are broadcast.
+HOT_LINES = 10_000
 #: Batches that a corpus is dealt into; one more than FANOUT, so that a level fills and a batch comes after it.
 BATCHES = 5
 
@@ -87,11 +89,12 @@ class LineRuns:
         return self._read(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), *self.firsts)
 
     def common(self) -> DataFrame:
-        """(key[, first]) of the keys that min_docs documents hold in all batches together.
+        """(key, n_docs[, first]) of the keys that min_docs documents hold in all batches together.
 
-        A key that one batch settled can be in the levels, too, by batches before that one.
+        n_docs leaves out the batches after the one that settled the key. A key that one batch settled can be in the
+        levels, too, by batches before that one.
         """
-        return self._merged(self.settled + [p for level in self.levels for p in level]).where(F.col("n_docs") >= self.min_docs).drop("n_docs")
+        return self._merged(self.settled + [p for level in self.levels for p in level]).where(F.col("n_docs") >= self.min_docs)
 
 
 def dedup_lines(
@@ -117,7 +120,13 @@ def dedup_lines(
         runs = LineRuns(scratch, min_docs, lines.schema["id"].dataType.simpleString() if kept else None)
         for n in range(batches):
             runs.admit(lines.where((F.col("batch") == n) & F.col("first")).select("key", *[F.col("id").alias("first")] * kept))
-        hits = lines.select("id", "text_hash", "pos", "key").join(runs.common(), "key", "inner" if kept else "left_semi")
+        places, how = lines.select("id", "text_hash", "pos", "key"), "inner" if kept else "left_semi"
+        common = scratch.written(runs.common(), "common")
+        # at most HOT_LINES keys are in that share of the lines; they are broadcast, so that none meets whole in one task
+        hot = F.col("n_docs") >= max(min_docs, lines.count() // HOT_LINES)
+        hottest = F.broadcast(common.where(hot).drop("n_docs"))
+        rest = places.join(hottest.select("key"), "key", "left_anti").join(common.where(~hot).drop("n_docs"), "key", how)
+        hits = places.join(hottest, "key", how).unionByName(rest)
         if kept:
             hits = hits.where(~F.col("first").eqNullSafe(F.col("id"))).drop("first")
         # a document has at most as many hits as lines; the rows of equal documents are merged here

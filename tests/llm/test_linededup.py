@@ -89,6 +89,13 @@ def test_the_number_of_batches_leaves_the_result_alone(docs_of):
     assert sorted(r.text for r in L.dedup_lines(docs_of(docs), 9, batches=16).collect() if r.doc_id == 6) == ["6\nown 6"]
 
 
+def test_hot_lines_are_broadcast(docs_of, monkeypatch):
+    docs = [(i, f"common\n{i % 7}\nown {i}\n{i % 3}x") for i in range(60)]
+    want = [sorted(map(repr, L.dedup_lines(docs_of(docs), 5, keep=keep).collect())) for keep in ("none", "first")]
+    monkeypatch.setattr(L, "HOT_LINES", 6)  # only the commonest is hot then
+    assert [sorted(map(repr, L.dedup_lines(docs_of(docs), 5, keep=keep).collect())) for keep in ("none", "first")] == want
+
+
 def test_very_many_lines_take_about_linear_time(docs_of):
     def seconds(n):
         docs = docs_of([(1, "\n".join(f"line {i % (n - 5)}" for i in range(n)))])
