@@ -1,21 +1,24 @@
-"""HTML extraction with a host suffix array.
+"""HTML extraction with host suffix arrays.
 
 Pages are range-partitioned by host and path, so that a host's pages stand together and a host with very many of them is
-spread over several tasks. Each task reads its sorted pages once and cuts them into stretches of one host of at most
-about STRETCH_CHARS. For a stretch the pages' token streams are concatenated and their suffix array is built; where
-neighbours in it share REPEAT tokens or more and a run of such neighbours comes from MIN_PAGES pages of different
-content and from SHARE of all of these or more, the tokens are covered by a repeated string, which is boilerplate. Pages
-that are near copies of each other count as one, or what only copies repeat would be lost.
-
-Markup decides what repeats can't tell: chrome that one page only has (menus, forms, asides, things named as adverts,
-notices, comments) goes without a repeat, and blocks inside the article stay although a copy of the page repeats them.
-Every other block, be there an article or not, keeps its unique runs and loses the covered ones.
+spread over several tasks. Each task takes its pages group by group: those of one host, up to about GROUP_CHARS. The token
+streams of a group's pages are concatenated and their suffix array is built; its runs of suffixes that share REPEAT tokens
+are the strings, and how many of the group's pages have each.
+
+Boilerplate is what a share of all pages of the host have, whatever groups these were in. A string that one in five of all
+pages have is on one in five of some group's. So each group names the strings that one in ten of its pages have, with their
+counts; of a host of several groups those stay that could reach one in five with the groups that did not name them, a
+bounded number, and are counted on all its pages. So partitions and groups leave the result alone.
+
+On a page the tokens that such strings cover go and the unique runs stay. What markup says is weighed in: chrome that one
+page only has (menus, forms, asides, things named as adverts, notices, comments) shows no repeat and goes without one; inside
+`article` or `main` a string must be on half of the host's pages, ARTICLE_PAGES at least. A page of which more than COPY
+is covered is a copy of others and keeps all of its text.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,16 +28,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shoebox.llm.common import table
+from shoebox.llm.common import Scratch, slices, table, written
 from shoebox.llm.urlrules import url_parts
 
-#: Tokens of a repeated string, and the pages that it must be on, at least and as a share of all.
-REPEAT, MIN_PAGES, SHARE = 8, 2, 0.2
-#: Words of a shingle, minimum hashes of a page, and the share of equal ones from which on two pages are near copies.
-SHINGLE, HASHES, NEAR_COPY = 5, 64, 0.8
-STRETCH_CHARS = 3_000_000
-#: A unique run of a block outside the article stays from so many tokens on, or if it is the whole block.
-UNIQUE_RUN = 4
+#: Tokens of a repeated string, and the pages of its host that it must be on: so many at least, and one in so many.
+REPEAT, MIN_PAGES, ONE_IN = 8, 2, 5
+#: The same inside an article.
+ARTICLE_PAGES, ARTICLE_ONE_IN = 10, 2
+#: From this share of covered tokens on a page is a copy of others.
+COPY = 0.8
+#: Characters of the pages of one suffix array.
+GROUP_CHARS = 3_000_000
 
 #: Attribute values may hold '>' in quotes; one whose quote never ends stops at the first '>'.
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""", re.S)
@@ -200,149 +204,141 @@ def shared_with_next(order: np.ndarray, ranks: list[np.ndarray], limit: int) ->
     return shared
 
 
-def covered_tokens(pages: list[list[str]], contents: list[object]) -> list[np.ndarray]:
-    """For each page's tokens, whether a string of REPEAT tokens or more covers them that MIN_PAGES pages of different
-    content and SHARE of these pages have."""
+def stream(pages: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pages' tokens as numbers, each page ended by a negative number of its own; whether a string of REPEAT tokens
+    of one page begins at a token; and that string's hash, which is the same on every page and machine. Chrome is left out."""
     kinds: dict[str, int] = {}
-    sizes = [len(p) for p in pages]
-    n = sum(sizes) + len(pages)
-    tokens, page_of = np.empty(n, np.int64), np.repeat(np.arange(len(pages)), np.array(sizes, int) + 1)
-    at = 0
-    for k, p in enumerate(pages):
-        tokens[at : at + len(p)] = [kinds.setdefault(w, len(kinds)) for w in p]
-        tokens[at + len(p)] = -1 - k  # an end of its own, so that nothing runs on into the next page
-        at += len(p) + 1
-    covered = np.zeros(n + 1, np.int64)
-    if len(pages) >= MIN_PAGES and n > REPEAT:
-        number: dict[object, int] = {}
-        content = np.array([number.setdefault(c, len(number)) for c in contents])
-        order, ranks = suffix_order(tokens)
-        shared = shared_with_next(order, ranks, REPEAT)
-        run = np.concatenate([[0], np.cumsum(shared < REPEAT)])
-        pairs = np.unique(run * len(number) + content[page_of[order]])
-        wide = np.bincount(pairs // len(number), minlength=run[-1] + 1) >= max(MIN_PAGES, math.ceil(SHARE * len(number)))
-        start = order[wide[run]]
-        np.add.at(covered, start, 1)
-        np.add.at(covered, start + REPEAT, -1)
-    covered = np.cumsum(covered)[:n] > 0
-    out, at = [], 0
-    for s in sizes:
-        out.append(covered[at : at + s])
-        at += s + 1
-    return out
-
-
-def near_copies(contents: list[str]) -> list[int]:
-    """A number for each content, the same for near copies and for copies of these.
-
-    Contents are sorted by their minimum hashes, once from each SHINGLE-th of these on, and neighbours are compared; so
-    the work is linear in the contents, however many are copies. Empty contents are copies.
+    ids: list[int] = []
+    for k, blocks in enumerate(pages):
+        for mark, text in blocks:
+            if mark != CHROME_BLOCK:
+                ids += [kinds.setdefault(w, len(kinds)) for w in text.split(" ")]
+        ids.append(-1 - k)
+    tokens = np.array(ids, np.int64)
+    whole, hashes = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.uint64)
+    n = len(tokens) - REPEAT + 1
+    if n > 0 and kinds:
+        ends = np.cumsum(np.append(0, tokens < 0))
+        whole[:n] = ends[REPEAT : REPEAT + n] == ends[:n]
+        of_token = pd.util.hash_array(np.array(list(kinds), dtype=object))[np.maximum(tokens, 0)]
+        for k in range(REPEAT):
+            hashes[:n] = hashes[:n] * np.uint64(0x9E3779B97F4A7C15) + of_token[k : k + n]
+        hashes ^= hashes >> np.uint64(31)
+    return tokens, whole, hashes.view(np.int64)
+
+
+def repeated_strings(pages: list[list[tuple[int, str]]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, pages) of each string of REPEAT tokens that so many of the pages have, by their suffix array."""
+    tokens, whole, hashes = stream(pages)
+    if len(pages) < least or not whole.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order, ranks = suffix_order(tokens)
+    run = np.concatenate([[0], np.cumsum(shared_with_next(order, ranks, REPEAT) < REPEAT)])
+    page_of = np.cumsum(np.append(0, tokens[:-1] < 0))
+    first = np.append(True, run[1:] != run[:-1])
+    counts = np.bincount(np.unique(run * len(pages) + page_of[order]) // len(pages))
+    found = order[first]  # where each different string begins
+    named = whole[found] & (counts >= least)
+    return hashes[found][named], counts[named]
+
+
+def main_text(blocks: list[tuple[int, str]], plain: np.ndarray, inside: np.ndarray) -> str:
+    """The page's text without chrome and without what the strings of its host cover; `inside` are those that go inside
+    articles, too."""
+    kept = [(mark, text) for mark, text in blocks if mark != CHROME_BLOCK]
+    if len(plain):
+        tokens, whole, hashes = stream([kept])
+        n = len(tokens) - 1
+        covers = []
+        for strings in (plain, inside):
+            edges = np.zeros(n + REPEAT + 1, np.int64)
+            at = np.flatnonzero(whole & np.isin(hashes, strings))
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + REPEAT, -1)
+            covers.append(np.cumsum(edges)[:n] > 0)
+        sizes = [text.count(" ") + 1 for _, text in kept]
+        cover = np.where(np.repeat([mark == ARTICLE_BLOCK for mark, _ in kept], sizes), covers[1], covers[0])
+        if cover.any() and cover.mean() <= COPY:
+            words = [w for _, text in kept for w in text.split(" ")]
+            return " ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
+    return " ".join(text for _, text in kept)
+
+
+def host_strings(pages: DataFrame, scratch: Scratch, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """(host, plain array<bigint>, inside array<bigint>) of the hosts that have boilerplate: hashes of its strings, and of
+    those that go inside articles, too. pages: (host, html, and others to sort by).
+
+    An array holds at most 2 * ONE_IN times the strings of an average page of the host.
     """
-    number = list(range(len(contents)))
-
-    def root(i: int) -> int:
-        while number[i] != i:
-            number[i] = i = number[number[i]]
-        return i
-
-    words = [c.split(" ") if c else [] for c in contents]
-    some = [i for i, w in enumerate(words) if w]
-    empty = [i for i, w in enumerate(words) if not w]
-    for i in empty:
-        number[i] = empty[0]
-    if len(some) > 1:
-        kinds: dict[str, int] = {}
-        ids = np.array([kinds.setdefault(w, len(kinds)) for i in some for w in words[i] + [""] * (SHINGLE - 1)], np.int64)
-        hashes = pd.util.hash_array(np.array(list(kinds), dtype=object))[ids]
-        # the shingle at each word; those of a content's last words run into its own blanks, those at the blanks are no one's
-        n = len(ids) - SHINGLE + 1
-        shingles = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-        own = ids[:n] != kinds[""]
-        starts = np.concatenate([[0], np.cumsum([len(words[i]) for i in some])[:-1]])
-        shingles = shingles[own]
-        shingles ^= shingles >> np.uint64(31)
-        factors = np.random.default_rng(1).integers(1, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-        least = np.stack([np.minimum.reduceat(mixed(shingles * f), starts) for f in factors])
-        for first in range(0, HASHES, SHINGLE):
-            order = np.lexsort(np.roll(least, -first, axis=0)[::-1])
-            ranked = least[:, order]
-            near = (ranked[:, 1:] == ranked[:, :-1]).mean(axis=0) >= NEAR_COPY
-            for k in np.flatnonzero(near).tolist():
-                a, b = root(some[order[k]]), root(some[order[k + 1]])
-                number[max(a, b)] = min(a, b)
-    return [root(i) for i in range(len(contents))]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def texts_of(pages: list[str | None]) -> list[str]:
-    """The main texts of pages of one host."""
-    blocks = [blocks_of(p) for p in pages]
-    words = [[w for _, text in b for w in text.split(" ")] for b in blocks]
-    contents = near_copies([" ".join(text for mark, text in b if mark != CHROME_BLOCK) for b in blocks])
-    out = []
-    for own, cover in zip(blocks, covered_tokens(words, contents), strict=True):
-        kept, at = [], 0
-        for mark, text in own:
-            n = text.count(" ") + 1
-            repeated = cover[at : at + n]
-            at += n
-            if mark == ARTICLE_BLOCK:
-                kept.append(text)
-            elif mark == PLAIN_BLOCK:
-                if not repeated.any():
-                    kept.append(text)
-                else:
-                    kept += unique_runs(text.split(" "), repeated)
-        out.append(" ".join(kept))
-    return out
-
-
-def unique_runs(words: list[str], repeated: np.ndarray) -> list[str]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], repeated, [True]]).astype(np.int8)))
-    return [" ".join(words[a:b]) for a, b in edges.reshape(-1, 2).tolist() if b - a >= UNIQUE_RUN]
-
-
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stretch_chars: int = STRETCH_CHARS) -> DataFrame:
-    """(id_col, url_col, text) for each row of pages; null html gives an empty text.
-
-    Null urls and urls without a host form one host of their own. Rows that repeat stay; copies of a page count as one
-    page of a host. Only the three named columns are read. No pages: no rows.
-    """
-    host, path = url_parts(F.col(url_col))
-    source = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host.alias("__host"), path.alias("__path"))
-    kinds = {f.name: f.dataType for f in source.schema}
-    ranged = source.repartitionByRange("__host", "__path", F.col(id_col)).sortWithinPartitions("__host", "__path")
+    order = [c for c in pages.columns if c != "html"]
+    ranged = pages.repartitionByRange(*order).sortWithinPartitions(*order).select("host", "html")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        urls: list = []
-        held: list = []
-        size, last = 0, None
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str | None] = []
+        size, last, part = 0, None, True  # the first and the last group of a partition may be parts of a host
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(urls), pa.array(texts_of(held), pa.string())], names=[id_col, url_col, "text"])
+        def done(part: bool) -> pa.RecordBatch:
+            n = len(held)
+            hashes, counts = repeated_strings([blocks_of(p) for p in held], max(1, -(-n // (2 * ONE_IN))) if part else max(MIN_PAGES, -(-n // ONE_IN)))
+            column = lambda first, rest: pa.concat_arrays([pa.array([first], pa.int64()), pa.array(rest, pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array([last] * (len(hashes) + 1), pa.int64()), column(None, hashes), column(0, counts), pa.array([n] * (len(hashes) + 1), pa.int64())], names=["host", "string", "n_pages", "of_pages"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                host, page = batch.column(3)[i].as_py(), batch.column(2)[i].as_py()
-                if held and (host != last or size + len(page or "") > stretch_chars):
-                    yield done()
-                    ids, urls, held, size = [], [], [], 0
-                ids.append(batch.column(0).slice(i, 1))
-                urls.append(batch.column(1).slice(i, 1))
+                host, page = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if held and (host != last or size + len(page or "") > group_chars):
+                    cut = host == last
+                    yield done(part or cut)
+                    held, size, part = [], 0, cut
                 held.append(page)
                 size += len(page or "")
                 last = host
         if held:
-            yield done()
+            yield done(True)
+
+    found = scratch.written(ranged.mapInArrow(named, "host bigint, string bigint, n_pages bigint, of_pages bigint"), "named")
+    sizes = found.where("string IS NULL").groupBy("host").agg(F.sum("of_pages").alias("size"))
+    strings = found.where("string IS NOT NULL").groupBy("host", "string").agg(F.sum("n_pages").alias("n"), F.sum("of_pages").alias("of")).join(sizes, "host")
+    # with the groups that did not name it, n + (size - of) / (2 * ONE_IN) pages at most have the string
+    strings = scratch.written(strings.where(f"{2 * ONE_IN} * n >= size + of"), "strings")
+    open_ = strings.where("of < size")
+    counted = pages.select("host", "html").join(open_.groupBy("host").agg(F.collect_list("string").alias("strings")), "host")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            seen: Counter = Counter()
+            for host, page, strings in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                _, whole, hashes = stream([blocks_of(page)])
+                seen.update((host, x) for x in np.intersect1d(hashes[whole], strings).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([x for _, x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "string", "n"])
+
+    exact = counted.select("host", "html", "strings").mapInArrow(counts, "host bigint, string bigint, n bigint").groupBy("host", "string").agg(F.sum("n").alias("n"))
+    exact = exact.join(sizes, "host").unionByName(strings.where("of = size").select("host", "string", "n", "size"))
+    exact = exact.where(f"n >= {MIN_PAGES} AND {ONE_IN} * n >= size")
+    inside = F.expr(f"CASE WHEN n >= {ARTICLE_PAGES} AND {ARTICLE_ONE_IN} * n >= size THEN string END")
+    return exact.groupBy("host").agg(F.collect_list("string").alias("plain"), F.collect_list(inside).alias("inside"))
+
+
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_chars: int = GROUP_CHARS) -> DataFrame:
+    """(id_col, url_col, text) for each row of pages; null html gives an empty text.
+
+    Null urls and urls without a host form one host of their own. Rows that repeat stay and count as pages of their host.
+    Only the three named columns are read. No pages: no rows.
+    """
+    host, path = url_parts(F.col(url_col))
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host).alias("host"), path.alias("path"))
+    with Scratch(pages.sparkSession, "pages") as scratch:
+        strings = written(host_strings(source.select("host", "path", "id", "html"), scratch, group_chars), "host-strings")
+    # few hosts' strings are broadcast, as their size at run time allows; else the join is by host, hot ones split
+    joined = source.join(strings, "host", "left").select("id", "url", "html", "plain", "inside")
+    kinds = [T.StructField(id_col, source.schema["id"].dataType), T.StructField(url_col, source.schema["url"].dataType), T.StructField("text", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [main_text(blocks_of(page), np.array(plain or [], np.int64), np.array(inside or [], np.int64)) for page, plain, inside in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
-    return ranged.mapInArrow(run, T.StructType([T.StructField(id_col, kinds[id_col]), T.StructField(url_col, kinds[url_col]), T.StructField("text", T.StringType())]))
+    return joined.mapInArrow(run, T.StructType(kinds))
 
 
 def op2_html_extraction(spark, sf_dir):

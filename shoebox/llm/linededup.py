@@ -1,11 +1,11 @@
 """Line dedup: levelled sorted runs of line hashes, compacted periodically.
 
 A run is a Parquet folder of (key, n_docs) sorted by key: lines of one batch of documents and the number of its
-documents that hold each. Batches come one after another. Each counts its lines, takes out by a merge anti-join the keys
-that the runs have settled already, that is those known to be common, and adds what is left as a run of its own to level
-0. Once a level has FANOUT runs, they are merged into one of the next level, and keys that reach the threshold there move
+documents that hold each. Batches come one after another. Each counts its lines, parts by a merge join those that the runs
+have settled already, that is those known to be common, from those that they have not (its anti-join), and adds the latter
+as a run of its own to level 0. Once a level has FANOUT runs, they are merged into one of the next level, and keys that reach the threshold there move
 to the settled runs; so n batches leave O(FANOUT log n) runs, each key is rewritten O(log n) times, and a line that very
-many documents hold is counted for the first few batches only. Lines that are common in the end are taken out of the
+many documents hold is soon kept out of all levels. Lines that are common in the end are taken out of the
 documents by a join.
 """
 
@@ -51,28 +51,30 @@ class LineRuns:
         self.firsts = [F.min("first").alias("first")] if first else []
         self.levels: list[list[str]] = [[]]
         self.settled: list[str] = []
+        self.again: list[str] = []  # counts of settled keys in later batches
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def _add(self, counted: DataFrame, level: int) -> None:
-        """A run of counted keys; those of min_docs documents or more are settled, the others go to the level."""
-        path = self.scratch.path("run")
-        split = counted.withColumn("common", F.col("n_docs") >= self.min_docs)
-        split.sortWithinPartitions("common", "key").write.partitionBy("common").parquet(path)
-        if exists(self.spark, f"{path}/common=true"):
-            self.settled.append(f"{path}/common=true")
-        if exists(self.spark, f"{path}/common=false"):
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(f"{path}/common=false")
+        """A run of counted keys: known ones only add to the counts, those of min_docs documents or more are settled, the
+        others go to the level."""
+        path, kind = self.scratch.path("run"), F.when(F.col("n_docs") >= self.min_docs, "settled").otherwise("new")
+        if self.settled:
+            known = self._read(self.settled).select("key").distinct().withColumn("known", F.lit(True))
+            counted = counted.hint("merge").join(known, "key", "left")
+            kind = F.when(F.col("known"), "again").otherwise(kind)
+        split = counted.withColumn("kind", kind).select(*(c.split()[0] for c in self.schema.split(", ")), "kind")
+        split.sortWithinPartitions("kind", "key").write.partitionBy("kind").parquet(path)
+        if level == len(self.levels):
+            self.levels.append([])
+        for kind, runs in (("again", self.again), ("settled", self.settled), ("new", self.levels[level])):
+            if exists(self.spark, f"{path}/kind={kind}"):
+                runs.append(f"{path}/kind={kind}")
 
     def admit(self, keys: DataFrame) -> None:
         """keys: (key[, first]), a row for each document of the batch that holds the key; first is the document's id."""
-        counted = keys.groupBy("key").agg(F.count("*").alias("n_docs"), *self.firsts)
-        if self.settled:
-            counted = counted.hint("merge").join(self._read(self.settled).select("key"), "key", "left_anti")
-        self._add(counted, 0)
+        self._add(keys.groupBy("key").agg(F.count("*").alias("n_docs"), *self.firsts), 0)
         self.compact()
 
     def compact(self) -> None:
@@ -89,12 +91,9 @@ class LineRuns:
         return self._read(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), *self.firsts)
 
     def common(self) -> DataFrame:
-        """(key, n_docs[, first]) of the keys that min_docs documents hold in all batches together.
-
-        n_docs leaves out the batches after the one that settled the key. A key that one batch settled can be in the
-        levels, too, by batches before that one.
-        """
-        return self._merged(self.settled + [p for level in self.levels for p in level]).where(F.col("n_docs") >= self.min_docs)
+        """(key, n_docs[, first]) of the keys that min_docs documents hold in all batches together."""
+        runs = [p for level in self.levels for p in level]
+        return self._merged(self.settled + self.again + runs).where(F.col("n_docs") >= self.min_docs)
 
 
 def dedup_lines(

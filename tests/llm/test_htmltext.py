@@ -1,5 +1,7 @@
 import html
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from shoebox.llm import htmltext as H
 from tests.conftest import SMALL
 
+NONE = np.zeros(0, np.int64)
+
 
 def test_query_against_the_article_element(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
@@ -43,45 +47,83 @@ def test_query_against_the_article_element(spark):
     ],
 )
 def test_blocks(page, text):
-    assert H.texts_of([page]) == [text]
+    assert H.main_text(H.blocks_of(page), NONE, NONE) == text
 
 
 SHARED = "all rights reserved by the people who made this site in two thousand"
 
 
-def test_repeated_strings_go_outside_articles():
-    pages = [f"<div><p>unique words number {i} stand here today {i}</p><p>{SHARED} {i}</p></div>" for i in range(5)]
-    assert H.texts_of(pages) == [f"unique words number {i} stand here today {i}" for i in range(5)]
-    # one page alone shows no repeats, and copies of a page are one page
-    assert H.texts_of(pages[:1]) == [f"unique words number 0 stand here today 0 {SHARED} 0"]
-    assert H.texts_of(pages[:1] * 3) == [f"unique words number 0 stand here today 0 {SHARED} 0"] * 3
-    # inside an article a copied passage stays
-    inside = [f"<article><p>{SHARED}</p><p>{i}</p></article>" for i in range(3)]
-    assert H.texts_of(inside) == [f"{SHARED} {i}" for i in range(3)]
-
-
-def test_repeats_decide_outside_the_article_element():
-    body = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(5)]
-    pages = [f"<article><p>teaser {i}</p></article><div>{b}</div><div>{SHARED}</div>" for i, b in enumerate(body)]
-    assert H.texts_of(pages) == [f"teaser {i} {b}" for i, b in enumerate(body)]
-
-
-def test_a_passage_of_a_few_pages_is_no_boilerplate():
-    own = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(30)]
-    pages = [f"<p>{o}</p><p>{SHARED}</p>" + ("<p>once upon a time there was a king who had three sons</p>" if i < 3 else "") for i, o in enumerate(own)]
-    want = [o + (" once upon a time there was a king who had three sons" if i < 3 else "") for i, o in enumerate(own)]
-    assert H.texts_of(pages) == want
-
-
-def test_near_copies_are_one_page():
-    text = " ".join(f"word{j}" for j in range(200))
-    copies = [f"<p>{text} edition {i}</p>" for i in range(4)]
-    assert H.texts_of(copies) == [f"{text} edition {i}" for i in range(4)]
-    assert H.near_copies(["", f"{text} a", "", f"b {text}", "other words", "other"]) == [0, 1, 0, 1, 4, 5]
-    assert H.near_copies([]) == []
-
-
-def test_covered_tokens_against_brute_force():
+def brute(pages):
+    """The texts of all pages of one host, by plain counting of strings of REPEAT tokens."""
+    blocks = [[(m, t) for m, t in H.blocks_of(p) if m != H.CHROME_BLOCK] for p in pages]
+    words = [[(w, m) for m, t in b for w in t.split(" ")] for b in blocks]
+    strings = lambda ws: [tuple(w for w, _ in ws[i : i + H.REPEAT]) for i in range(len(ws) - H.REPEAT + 1)]
+    count = Counter(x for ws in words for x in set(strings(ws)))
+    out = []
+    for ws in words:
+        cover = [False] * len(ws)
+        for i, x in enumerate(strings(ws)):
+            for j in range(i, i + H.REPEAT):
+                inside = ws[j][1] == H.ARTICLE_BLOCK
+                enough = count[x] >= 10 and 2 * count[x] >= len(pages) if inside else count[x] >= 2 and 5 * count[x] >= len(pages)
+                cover[j] = cover[j] or enough
+        copy = sum(cover) > 0.8 * len(ws)
+        out.append(" ".join(w for (w, _), c in zip(ws, cover, strict=True) if copy or not c))
+    return out
+
+
+def own(i, n=20):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def host_pages():
+    """Boilerplate in and out of articles, copies, passages of few pages, and pages that have none of it."""
+    rng, pages = random.Random(3), []
+    for i in range(47):
+        page = f"<nav>{SHARED} menu</nav><div>{own(i)}</div>"
+        if i % 3:
+            page += f"<p>{own(i, 3)} {SHARED} {i}</p>"
+        if i % 5 < 4:
+            page += f"<article><p>story {own(f's{i}')}</p><p>never miss a story again sign up for our letter today</p></article>"
+        if i % 9 == 0:
+            page += "<p>once upon a time there was a king who had three sons</p>"
+        if i % 7 == 0:
+            page = "<div>" + " ".join(f"copy{j}" for j in range(60)) + f" {i}</div>"
+        pages.append(page)
+    rng.shuffle(pages)
+    return [*pages, None, "", "<p>short"]
+
+
+def texts_of(spark, hosts, partitions, **more):
+    rows = [(f"{h}/{i}", f"http://{h}/{i % 4}", p) for h, pages in hosts.items() for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        return {r.page_id: r.text for r in H.main_texts(df, **more).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize(("partitions", "group_chars"), [(1, 3_000_000), (8, 3_000_000), (37, 300), (1, 300), (5, 2_000)])
+def test_query_against_brute_force_whatever_the_partitions(spark, partitions, group_chars):
+    """All pages of a host count, however they are dealt over tasks and suffix arrays."""
+    hosts = {"a.example": host_pages(), "b.example": [f"<p>{own(i)} {SHARED} {i}</p>" for i in range(6)], "c.example": [f"<p>{SHARED}</p>"], "d.example": [f"<div>{own(0, 30)} {i}</div>" for i in range(4)]}
+    want = {f"{h}/{i}": t for h, pages in hosts.items() for i, t in enumerate(brute(pages))}
+    assert texts_of(spark, hosts, partitions, group_chars=group_chars) == want
+    joined = " ".join(t for i, t in want.items() if i[0] == "a")
+    assert SHARED not in joined and "never miss" not in joined and "once upon a time" in joined and "copy7" in joined
+    assert SHARED in want["c.example/0"]
+
+
+def test_without_the_suffix_array_boilerplate_stays(spark, monkeypatch):
+    pages = [f"<article><p>{own(i)}</p><p>{SHARED} {i}</p></article><p>{own(i, 9)} {SHARED}</p>" for i in range(12)]
+    assert texts_of(spark, {"a": pages}, 4) == {f"a/{i}": f"{own(i)} {i} {own(i, 9)}" for i in range(12)}
+    monkeypatch.setattr(H, "host_strings", lambda pages, *_: pages.sparkSession.createDataFrame([], "host bigint, plain array<bigint>, inside array<bigint>"))
+    assert all(t.count(SHARED) == 2 for t in texts_of(spark, {"a": pages}, 4).values())
+
+
+def test_repeated_strings_against_brute_force():
     rng = np.random.default_rng(7)
     pages = [[f"t{x}" for x in rng.integers(0, 4, n)] for n in (40, 0, 1, 60, 25, 7, 8)]
     pages += [pages[0][5:30] + ["x"] + pages[3][:20]]
@@ -89,13 +131,16 @@ def test_covered_tokens_against_brute_force():
     for k, p in enumerate(pages):
         for i in range(len(p) - H.REPEAT + 1):
             windows.setdefault(tuple(p[i : i + H.REPEAT]), set()).add(k)
-    for p, got in zip(pages, H.covered_tokens(pages, list(range(len(pages)))), strict=True):
-        want = np.zeros(len(p), bool)
-        for i in range(len(p) - H.REPEAT + 1):
-            if len(windows[tuple(p[i : i + H.REPEAT])]) >= H.MIN_PAGES:
-                want[i : i + H.REPEAT] = True
-        assert got.tolist() == want.tolist()
-    assert [c.tolist() for c in H.covered_tokens([[], []], [1, 2])] == [[], []]
+    blocks = [[(H.PLAIN_BLOCK, " ".join(p))] if p else [] for p in pages]
+    for least in (1, 2, 3):
+        hashes, counts = H.repeated_strings(blocks, least)
+        got = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
+        want = {}
+        for x, own_pages in windows.items():
+            if len(own_pages) >= least:
+                want[H.stream([[(H.PLAIN_BLOCK, " ".join(x))]])[2].tolist()[0]] = len(own_pages)
+        assert got == want and len(hashes) == len(want)
+    assert len(H.repeated_strings([[], []], 1)[0]) == 0
 
 
 def test_table_edges(spark):
@@ -109,5 +154,5 @@ def test_table_edges(spark):
 
 def test_a_hot_host_is_spread(spark):
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://hot.example/a").alias("url"), F.concat(F.lit("<p>page "), F.col("id").cast("string"), F.lit(" says things of its own</p>")).alias("html"))
-    out = H.main_texts(pages, stretch_chars=2000)
+    out = H.main_texts(pages, group_chars=2000)
     assert out.count() == 400 and out.where("text LIKE 'page % own'").count() == 400

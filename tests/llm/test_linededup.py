@@ -73,7 +73,7 @@ def test_batches_are_anti_joined_with_the_runs_and_add_their_own(spark):
             assert not before & added
         assert len(runs.levels) == 3 and len(runs.levels[2]) == 1 and not runs.levels[0] and not runs.levels[1]
         found = runs.common().collect()
-        assert len(found) == len({r.key for r in found})
+        assert {bytes(r.key): r.n_docs for r in found} == {k: c for k, c in count.items() if c >= 6} and len(found) == len({r.key for r in found})
         assert {bytes(r.key): r.first for r in found} == {k: first[k] for k, c in count.items() if c >= 6}
         assert L.LineRuns(scratch, 6).common().count() == 0
 
