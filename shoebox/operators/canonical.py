@@ -24,10 +24,11 @@ def canonical_assets(rows: DataFrame) -> DataFrame:
     """One row for each canonical id of rows that have one: the primary source's columns, merged with the others'.
 
     The primary has the least visibility rank, then datasource rank, then the latest time, source key and id. A blank
-    duration is taken from the first active source that has one; first_seen_at is the least; favourite if any is. All
-    is one aggregation with map-side merging, so an id with very many sources does not meet in one task.
+    duration is taken from the first active source that has one; first_seen_at is the least; favourite if any is. The
+    content hash and size are the primary's content identity: a hash of its path is none. All is one aggregation with map-side merging, so an id with very many sources does not meet in one task.
     """
-    ranked = source_rank(rows).where(F.col("canonical_asset_id").isNotNull())
+    sha1, size = S.content_identity(F.col("content_sha1_hex"), F.col("content_size_bytes"), F.col("checksum_algorithm"), F.col("canonical_sha1_hex"), F.col("canonical_size_bytes"))
+    ranked = source_rank(rows).where(F.col("canonical_asset_id").isNotNull()).withColumns({"content_sha1_hex": sha1, "content_size_bytes": size})
     order = F.struct("visibility_rank", "datasource_rank", (-F.unix_micros(F.col("captured_at").cast("timestamp"))).alias("late"), *KEY)
     primary = F.struct(*KEY, "media_type", "filename", "captured_at", "duration", "visibility_status", "datasource_kind", "place_label", "description", "content_sha1_hex", "content_size_bytes")
     timed = (F.col("visibility_status") == "active") & ~S.blank(F.col("duration"))
@@ -71,11 +72,14 @@ def copies_of(rows: DataFrame, named: DataFrame, kind: str = "remote_mirror") ->
 
 def deduplication_status(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     """One row: counts of source rows, canonical assets, active ones, duplicates, unlinked and orphan rows."""
-    sources = rows.agg(F.count("*").alias("source_rows"))
-    assets = canonical.agg(F.count("*").alias("canonical_assets"), F.count_if(F.col("visibility_status") == "active").alias("active_assets"), F.coalesce(F.sum("duplicate_source_count"), F.lit(0)).alias("duplicate_source_rows"))
-    unlinked = rows.join(canonical, "canonical_asset_id", "left_anti").agg(F.count("*").alias("unlinked_source_rows"))
-    orphans = canonical.join(rows, "canonical_asset_id", "left_anti").agg(F.count("*").alias("orphan_canonical_rows"))
-    one = sources.join(assets).join(unlinked).join(orphans)  # one row each
+    linked = rows.groupBy("canonical_asset_id").agg(F.count("*").alias("rows"))
+    assets = canonical.select(F.col("canonical_asset_id").alias("asset"), (F.col("visibility_status") == "active").alias("active"), "duplicate_source_count")
+    both = linked.join(assets, F.col("canonical_asset_id") == F.col("asset"), "full_outer")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = both.agg(
+        total("rows").alias("source_rows"), F.count("asset").alias("canonical_assets"), F.count_if("active").alias("active_assets"), total("duplicate_source_count").alias("duplicate_source_rows"),
+        total(F.when(F.col("asset").isNull(), F.col("rows"))).alias("unlinked_source_rows"), F.count_if(F.col("rows").isNull()).alias("orphan_canonical_rows"),
+    )
     return one.withColumn("needs_repair", (F.col("unlinked_source_rows") > 0) | (F.col("orphan_canonical_rows") > 0))
 
 
@@ -106,18 +110,19 @@ def mapped_paths(paths: DataFrame, mappings: DataFrame, last_wins: bool = False)
     """paths (id, source_key, original_path) with (local_source, root_key, relative_path) of the mapping (position,
     source_key, prefix, local_source, root_key) whose prefix and '/' start the path; the first by position wins, or the last.
 
-    Each path is cut at its slashes and its own beginnings are looked up, so that this is an equality join.
+    A source's mappings are configuration, some dozens; they come to each path as one array that is searched in place, so
+    paths are neither multiplied nor grouped. Of mappings at one position the least (or greatest) in the other columns wins.
     """
     prefix = F.regexp_replace(S.trimmed(F.col("prefix")), "/+$", "")
-    m = mappings.select("position", F.col("source_key").alias("m_source"), prefix.alias("m_prefix"), "local_source", "root_key")
-    parts = F.split("original_path", "/")
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    p = paths.withColumn("starts", F.when(F.size(parts) > 1, starts).otherwise(F.array().cast("array<string>"))).withColumn("start", F.explode("starts")).drop("starts")
-    found = p.join(m, (F.col("source_key") == F.col("m_source")) & (F.col("start") == F.col("m_prefix")))
-    found = found.withColumn("relative_path", S.clean_relative_path(F.expr("substring(original_path, length(start) + 2)"))).where("relative_path IS NOT NULL")
-    pick = F.max_by if last_wins else F.min_by
-    best = found.groupBy("id", "source_key", "original_path").agg(pick(F.struct("local_source", "root_key", "relative_path"), "position").alias("m"))
-    return best.select("id", "source_key", "original_path", "m.*")
+    own = F.struct("position", prefix.alias("prefix"), "local_source", "root_key")
+    m = mappings.groupBy(F.col("source_key").alias("m_source")).agg(F.collect_list(own).alias("mappings"))
+    p = paths.join(m, F.col("source_key") == F.col("m_source"))
+    hits = F.filter("mappings", lambda x: F.startswith(F.col("original_path"), F.concat(x["prefix"], F.lit("/"))))
+    rest = lambda x: S.clean_relative_path(F.substr(F.col("original_path"), F.length(x["prefix"]) + 2))
+    found = F.transform(hits, lambda x: F.struct(x["position"].alias("position"), x["local_source"].alias("local_source"), x["root_key"].alias("root_key"), rest(x).alias("relative_path")))
+    found = F.filter(found, lambda x: x["relative_path"].isNotNull())
+    best = p.withColumn("m", (F.array_max if last_wins else F.array_min)(found)).where("m IS NOT NULL")
+    return best.select("id", "source_key", "original_path", "m.local_source", "m.root_key", "m.relative_path")
 
 
 def external_identities(rows: DataFrame, local: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shoebox.functions.scalars import any_of
+from shoebox.operators.ordinals import numbered
 
 
 def differs(columns: list[str], old: str = "o", new: str = "n") -> Column:
@@ -89,17 +90,9 @@ def equal_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.unionByName(b.select(a.columns).exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def generation_of(snapshot: DataFrame, generation: int, id_col: str = "id", width: int = 10_000) -> DataFrame:
-    """A generation's rows with their ordinal from 0 by a whole-number id.
-
-    Ids are counted by ranges of `width`; ranges are summed up, and rows are numbered within theirs, so no task orders
-    all rows.
-    """
-    rows = snapshot.withColumn("__range", F.floor(F.col(id_col) / width))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(id_col)) - 1
-    return rows.withColumn("__own", own).join(starts, "__range").withColumn("ordinal", F.col("__start") + F.col("__own")).drop("__range", "__own", "__start").withColumn("generation", F.lit(generation))
+def generation_of(snapshot: DataFrame, generation: int, id_col: str = "id") -> DataFrame:
+    """A generation's rows with their ordinal from 0 by id, whatever the ids are."""
+    return numbered(snapshot, [F.col(id_col)], "ordinal").withColumn("generation", F.lit(generation))
 
 
 def dirty_state(changed: DataFrame, generation: int) -> DataFrame:

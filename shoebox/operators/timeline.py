@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shoebox.operators.ordinals import numbered
 from shoebox.request import Resolved
 
 
@@ -53,20 +56,8 @@ def day_index(assets: DataFrame) -> DataFrame:
 
 
 def with_positions(assets: DataFrame, id_col: str = "canonical_asset_id") -> DataFrame:
-    """assets with global_position from 0, without a window over all rows: positions within days plus the days' starts.
-
-    The rows of one second are ordered as one group; the starts of seconds are summed within days, those of days over
-    all days.
-    """
-    second = F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss")
-    keyed = assets.withColumn("__day", F.date_format("captured_at", "yyyy-MM-dd")).withColumn("__second", second)
-    seconds = keyed.groupBy("__day", "__second").agg(F.count("*").alias("__n"))
-    within = Window.partitionBy("__day").orderBy(F.col("__second").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    seconds = seconds.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    days = day_index(assets).select(F.col("captured_day").alias("__day"), F.col("start").alias("__start"))
-    starts = seconds.join(days, "__day").select("__second", (F.col("__before") + F.col("__start")).alias("__at"))
-    rank = F.row_number().over(Window.partitionBy("__second").orderBy(*newest_first(id_col)))
-    return keyed.withColumn("__rank", rank).join(starts, "__second").withColumn("global_position", (F.col("__at") + F.col("__rank") - 1).cast("long")).drop("__day", "__second", "__rank", "__at")
+    """assets with global_position from 0."""
+    return numbered(assets, newest_first(id_col), "global_position")
 
 
 def seek(positions: DataFrame, start: int, size: int) -> DataFrame:
@@ -85,16 +76,20 @@ def page_by_day(assets: DataFrame, days: DataFrame, offset: int, size: int, id_c
     start, first, last = touched.agg(F.min("start"), F.max("captured_day"), F.min("captured_day")).first()
     if start is None:  # past the end
         return assets.limit(0)
-    day = F.date_format("captured_at", "yyyy-MM-dd")
-    return assets.where(day.between(last, first)).orderBy(*newest_first(id_col)).offset(offset - start).limit(size)
+    return assets.where(of_days(last, first)).orderBy(*newest_first(id_col)).offset(offset - start).limit(size)
+
 
+def of_days(first: str, last: str) -> Column:
+    """From the start of the first day to the end of the last, as a range of times that files are skipped by."""
+    start, stop = date.fromisoformat(first), date.fromisoformat(last) + timedelta(days=1)
+    return (F.col("captured_at") >= F.lit(str(start)).cast("timestamp_ntz")) & (F.col("captured_at") < F.lit(str(stop)).cast("timestamp_ntz"))
 
-def rank_of_time(assets: DataFrame, days: DataFrame, moment) -> DataFrame:
+
+def rank_of_time(assets: DataFrame, days: DataFrame, moment: datetime) -> DataFrame:
     """How many rows are newer than the moment: whole days by their counts, the moment's own day by its rows."""
-    at = F.lit(moment).cast("timestamp_ntz")
-    day = F.date_format(at, "yyyy-MM-dd")
+    day = str(moment.date())
     whole = days.where(F.col("captured_day") > day).agg(F.coalesce(F.sum("item_count"), F.lit(0)).alias("whole"))
-    part = assets.where((F.date_format("captured_at", "yyyy-MM-dd") == day) & (F.col("captured_at") > at)).agg(F.count("*").alias("part"))
+    part = assets.where(of_days(day, day) & (F.col("captured_at") > F.lit(moment).cast("timestamp_ntz"))).agg(F.count("*").alias("part"))
     return whole.join(part).select((F.col("whole") + F.col("part")).alias("position"))
 
 
@@ -103,17 +98,31 @@ def late_payload(keys: DataFrame, payload: DataFrame, id_col: str) -> DataFrame:
     return payload.join(F.broadcast(keys.select(id_col)), id_col)  # a page
 
 
-def ready_assets(canonical: DataFrame, rows: DataFrame, renditions: DataFrame, sources: list[str], fallback: bool = True) -> DataFrame:
-    """Canonical assets that can be shown: not primarily local; or with both renditions ready for the current content;
-    or, as a fallback, with an active remote copy on a configured source."""
-    kinds = renditions.where((F.col("status") == "ready") & F.col("kind").isin("preview", "detail_preview")).groupBy("source_key", "asset_id", "source_sha1_hex").agg(F.countDistinct("kind").alias("kinds")).where("kinds = 2")
-    c = canonical.alias("c")
-    on = (F.col("c.primary_source_key") == F.col("k.source_key")) & (F.col("c.primary_upstream_asset_id") == F.col("k.asset_id")) & (F.lower("c.content_sha1_hex") == F.col("k.source_sha1_hex"))
-    with_kinds = c.join(kinds.alias("k"), on, "left").select("c.*", F.col("k.kinds").isNotNull().alias("rendered"))
-    remote = rows.where(F.col("source_key").isin(sources) & (F.col("visibility_status") == "active") & (F.col("datasource_kind") == "remote_mirror")).select("canonical_asset_id", F.lit(True).alias("has_remote")).distinct()
-    both = with_kinds.join(remote, "canonical_asset_id", "left")
-    ready = (F.col("datasource_kind") != "local_filesystem") | F.col("rendered") | (F.lit(fallback) & F.coalesce("has_remote", F.lit(False)))
-    return both.where((F.col("visibility_status") == "active") & ready).drop("rendered", "has_remote")
+def ready_assets(canonical: DataFrame, rows: DataFrame, renditions: DataFrame, local_assets: DataFrame, configured: DataFrame) -> DataFrame:
+    """(canonical_asset_id, source_key, upstream_asset_id, media_type, filename, captured_at, duration) of active canonical
+    assets that can be shown, with the source that shows them.
+
+    configured: (role, source_key). The source is the best active copy on a local datasource of role 'local' or a remote
+    one of role 'remote': local ones first, then by source key and id. It shows the asset if it is not local; if it has the
+    role 'local_fallback', too, and the asset has a copy of role 'remote'; or if both renditions of its active local
+    asset, whose thumbnail must be ready, are ready, have a path and are of its current content.
+    """
+    roles = configured.select("role", F.col("source_key").alias("c_source")).distinct()
+    kind = F.when(F.col("role") == "local", "local_filesystem").when(F.col("role") == "remote", "remote_mirror")
+    usable = roles.select("c_source", kind.alias("c_kind")).where("c_kind IS NOT NULL")
+    found = rows.where(F.col("visibility_status") == "active").join(F.broadcast(usable), (F.col("source_key") == F.col("c_source")) & (F.col("datasource_kind") == F.col("c_kind")))  # configuration
+    order = F.struct((F.col("datasource_kind") != "local_filesystem").alias("late"), "source_key", "upstream_asset_id")
+    best = found.groupBy("canonical_asset_id").agg(F.min(order).alias("s"), F.max(F.col("datasource_kind") == "remote_mirror").alias("has_remote"))
+    best = best.select("canonical_asset_id", "has_remote", (~F.col("s.late")).alias("is_local"), "s.source_key", "s.upstream_asset_id")
+    fallback = roles.where("role = 'local_fallback'").select("c_source", F.lit(True).alias("may_fall_back"))
+    best = best.join(F.broadcast(fallback), F.col("source_key") == F.col("c_source"), "left")  # configuration
+    current = local_assets.where((F.col("visibility_status") == "active") & (F.col("thumbnail_status") == "ready")).select("source_key", "asset_id", F.col("sha1_hex").alias("source_sha1_hex"))
+    made = renditions.where((F.col("status") == "ready") & F.col("kind").isin("preview", "detail_preview") & (F.trim(F.coalesce("relative_path", F.lit(""))) != ""))
+    shown = made.join(current, ["source_key", "asset_id", "source_sha1_hex"]).groupBy("source_key", F.col("asset_id").alias("upstream_asset_id")).agg(F.countDistinct("kind").alias("kinds"))
+    best = best.join(shown, ["source_key", "upstream_asset_id"], "left")
+    ready = best.where(~F.col("is_local") | (F.col("has_remote") & F.col("may_fall_back")) | (F.col("kinds") == 2))
+    columns = ["canonical_asset_id", "source_key", "upstream_asset_id", "media_type", "filename", "captured_at", "duration"]
+    return canonical.where(F.col("visibility_status") == "active").join(ready.select(*columns[:3]), "canonical_asset_id").select(*columns)
 
 
 def embeddable(rows: DataFrame, renditions: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ CANON = f"""{LINKED},
   durations AS (SELECT canonical_asset_id, duration AS other FROM (SELECT *, row_number() OVER (PARTITION BY canonical_asset_id ORDER BY vr, dr, captured_at DESC, source_key, upstream_asset_id) AS n FROM linked WHERE visibility_status = 'active' AND trim(coalesce(duration, '')) <> '') WHERE n = 1),
   folded AS (SELECT canonical_asset_id, count(*) AS source_count, bool_or(is_favorite) AS is_favorite, min(first_seen_at) AS first_seen_at FROM linked GROUP BY canonical_asset_id),
   canon AS (SELECT f.canonical_asset_id, f.source_key AS primary_source_key, f.upstream_asset_id AS primary_upstream_asset_id, f.media_type, f.filename, f.captured_at,
-    CASE WHEN trim(coalesce(f.duration, '')) = '' THEN coalesce(d.other, f.duration) ELSE f.duration END AS duration, f.visibility_status, f.datasource_kind, f.content_sha1_hex, f.content_size_bytes, g.source_count, g.source_count - 1 AS duplicate_source_count, g.is_favorite, g.first_seen_at
+    CASE WHEN trim(coalesce(f.duration, '')) = '' THEN coalesce(d.other, f.duration) ELSE f.duration END AS duration, f.visibility_status, f.datasource_kind, f.sha AS content_sha1_hex, f.size AS content_size_bytes, g.source_count, g.source_count - 1 AS duplicate_source_count, g.is_favorite, g.first_seen_at
     FROM firsts f JOIN folded g USING (canonical_asset_id) LEFT JOIN durations d USING (canonical_asset_id))"""
 
 
@@ -30,19 +30,19 @@ def canonical_ids(source_rows):
     return C.with_canonical_ids(source_rows).select(*C.KEY, "canonical_asset_id")
 
 
-@query("canonical_assets", f"WITH {CANON} SELECT canonical_asset_id, primary_source_key, primary_upstream_asset_id, media_type, filename, duration, visibility_status, source_count, duplicate_source_count, is_favorite, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, strftime(first_seen_at, '%Y-%m-%d %H:%M:%S') AS first_seen_at FROM canon")
+@query("canonical_assets", f"WITH {CANON} SELECT canonical_asset_id, primary_source_key, primary_upstream_asset_id, media_type, filename, duration, visibility_status, content_sha1_hex, content_size_bytes, source_count, duplicate_source_count, is_favorite, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, strftime(first_seen_at, '%Y-%m-%d %H:%M:%S') AS first_seen_at FROM canon")
 def canonical_assets(source_rows):
     c = C.canonical_assets(C.with_canonical_ids(source_rows))
-    return c.select("canonical_asset_id", "primary_source_key", "primary_upstream_asset_id", "media_type", "filename", "duration", "visibility_status", "source_count", "duplicate_source_count", "is_favorite", text_time("captured_at").alias("captured_at"), text_time("first_seen_at").alias("first_seen_at"))
+    return c.select("canonical_asset_id", "primary_source_key", "primary_upstream_asset_id", "media_type", "filename", "duration", "visibility_status", "content_sha1_hex", "content_size_bytes", "source_count", "duplicate_source_count", "is_favorite", text_time("captured_at").alias("captured_at"), text_time("first_seen_at").alias("first_seen_at"))
 
 
-@query("canonical_refresh", f"WITH {CANON} SELECT canonical_asset_id, primary_source_key, primary_upstream_asset_id, source_count, is_favorite, strftime(first_seen_at, '%Y-%m-%d %H:%M:%S') AS first_seen_at FROM canon")
+@query("canonical_refresh", f"WITH {CANON} SELECT canonical_asset_id, primary_source_key, primary_upstream_asset_id, content_sha1_hex, content_size_bytes, source_count, is_favorite, strftime(first_seen_at, '%Y-%m-%d %H:%M:%S') AS first_seen_at FROM canon")
 def canonical_refresh(source_rows):
     """Affected ids worked out anew after a change equal a full recomputation."""
     rows = C.with_canonical_ids(source_rows)
     before = C.canonical_assets(rows.withColumn("is_favorite", F.lit(False)))
     c = C.refreshed(before, rows, rows.where("is_favorite"))
-    return c.select("canonical_asset_id", "primary_source_key", "primary_upstream_asset_id", "source_count", "is_favorite", text_time("first_seen_at").alias("first_seen_at"))
+    return c.select("canonical_asset_id", "primary_source_key", "primary_upstream_asset_id", "content_sha1_hex", "content_size_bytes", "source_count", "is_favorite", text_time("first_seen_at").alias("first_seen_at"))
 
 
 @query("primary_sources", f"WITH {CANON} SELECT source_key, upstream_asset_id, canonical_asset_id, source_count FROM firsts JOIN folded USING (canonical_asset_id)")
@@ -105,12 +105,32 @@ REND = """rend AS (SELECT source_key, upstream_asset_id AS asset_id, unnest(CASE
     CASE WHEN i % 7 = 0 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN i % 9 > 0 THEN 'p' ELSE ' ' END AS relative_path FROM (SELECT *, CAST(upstream_asset_id AS BIGINT) AS i FROM source_rows WHERE datasource_kind = 'local_filesystem'))"""
 
 
-@query("ready_assets", f"""WITH {CANON}, {REND} SELECT canonical_asset_id FROM canon c WHERE visibility_status = 'active' AND (datasource_kind <> 'local_filesystem'
-  OR (SELECT count(DISTINCT kind) FROM rend r WHERE r.source_key = c.primary_source_key AND r.asset_id = c.primary_upstream_asset_id AND r.status = 'ready' AND r.kind IN ('preview', 'detail_preview') AND r.source_sha1_hex = lower(c.content_sha1_hex)) = 2
-  OR EXISTS (SELECT 1 FROM linked l WHERE l.canonical_asset_id = c.canonical_asset_id AND l.source_key IN ('src0', 'src1') AND l.visibility_status = 'active' AND l.datasource_kind = 'remote_mirror'))""")
+def local_states(rows):
+    """The local assets behind local rows; of some the file is gone, was changed, or has no thumbnail yet."""
+    i = F.col("upstream_asset_id").cast("bigint")
+    sha = F.when(i % 16 == 0, F.lit("new")).otherwise(F.lower("content_sha1_hex"))
+    return rows.where("datasource_kind = 'local_filesystem'").select("source_key", F.col("upstream_asset_id").alias("asset_id"), sha.alias("sha1_hex"), F.when(i % 14 == 0, "missing").otherwise("active").alias("visibility_status"), F.when(i % 22 == 0, "pending").otherwise("ready").alias("thumbnail_status"))
+
+
+LOCAL = """loc AS (SELECT source_key, upstream_asset_id AS asset_id, CASE WHEN i % 16 = 0 THEN 'new' ELSE lower(content_sha1_hex) END AS sha1_hex, CASE WHEN i % 14 = 0 THEN 'missing' ELSE 'active' END AS visibility_status,
+    CASE WHEN i % 22 = 0 THEN 'pending' ELSE 'ready' END AS thumbnail_status FROM (SELECT *, CAST(upstream_asset_id AS BIGINT) AS i FROM source_rows WHERE datasource_kind = 'local_filesystem'))"""
+#: Which datasources show assets, as what, and which local ones fall back to remote copies.
+ROLES = {"local": range(12), "remote": range(3, 17), "local_fallback": range(0, 20, 3)}
+CONFIGURED = "(VALUES " + ", ".join(f"('{role}', 'src{n}')" for role, own in ROLES.items() for n in own) + ")"
+
+
+@query("ready_assets", f"""WITH {CANON}, {REND}, {LOCAL}, configured(role, source_key) AS {CONFIGURED},
+  ranked AS (SELECT l.canonical_asset_id, l.source_key, l.upstream_asset_id, l.datasource_kind, row_number() OVER (PARTITION BY l.canonical_asset_id ORDER BY CASE l.datasource_kind WHEN 'local_filesystem' THEN 0 ELSE 1 END, l.source_key, l.upstream_asset_id) AS n
+    FROM linked l JOIN configured g ON g.source_key = l.source_key AND (g.role = 'local' AND l.datasource_kind = 'local_filesystem' OR g.role = 'remote' AND l.datasource_kind = 'remote_mirror') WHERE l.visibility_status = 'active')
+  SELECT c.canonical_asset_id, s.source_key, s.upstream_asset_id FROM canon c JOIN ranked s ON s.canonical_asset_id = c.canonical_asset_id AND s.n = 1
+  WHERE c.visibility_status = 'active' AND (s.datasource_kind <> 'local_filesystem'
+    OR EXISTS (SELECT 1 FROM configured g WHERE g.role = 'local_fallback' AND g.source_key = s.source_key) AND EXISTS (SELECT 1 FROM ranked f WHERE f.canonical_asset_id = c.canonical_asset_id AND f.datasource_kind = 'remote_mirror')
+    OR (SELECT count(DISTINCT r.kind) FROM rend r JOIN loc a ON a.source_key = r.source_key AND a.asset_id = r.asset_id AND a.sha1_hex = r.source_sha1_hex WHERE r.source_key = s.source_key AND r.asset_id = s.upstream_asset_id
+      AND r.kind IN ('preview', 'detail_preview') AND r.status = 'ready' AND r.relative_path IS NOT NULL AND trim(r.relative_path) <> '' AND a.visibility_status = 'active' AND a.thumbnail_status = 'ready') = 2)""")
 def ready_assets(source_rows):
     rows = C.with_canonical_ids(source_rows)
-    return T.ready_assets(C.canonical_assets(rows), rows, renditions(source_rows), ["src0", "src1"]).select("canonical_asset_id")
+    configured = rows.sparkSession.sql(f"SELECT * FROM {CONFIGURED[1:-1]} AS c(role, source_key)")
+    return T.ready_assets(C.canonical_assets(rows), rows, renditions(source_rows), local_states(source_rows), configured).select("canonical_asset_id", "source_key", "upstream_asset_id")
 
 
 @query("embeddable_rows", f"WITH {REND} SELECT source_key, upstream_asset_id FROM source_rows s WHERE visibility_status = 'active' AND (datasource_kind <> 'local_filesystem' OR (media_type = 'image' AND EXISTS (SELECT 1 FROM rend r WHERE r.source_key = s.source_key AND r.asset_id = s.upstream_asset_id AND status = 'ready' AND trim(relative_path) <> '')))")

@@ -80,7 +80,7 @@ def changed_or_new_union(old_rows, new_rows):
 
 @query("published_membership", "SELECT id, row_number() OVER (ORDER BY id) - 1 AS ordinal, 7 AS generation FROM vectors WHERE status = 'ready'")
 def published_membership(vectors):
-    return M.generation_of(vectors.where("status = 'ready'"), 7, "id", 60).select("id", "ordinal", "generation")
+    return M.generation_of(vectors.where("status = 'ready'"), 7).select("id", "ordinal", "generation")
 
 
 @query("guarded_metadata_refresh", f"SELECT o.id, coalesce(n.filename, o.filename) AS filename, coalesce(n.size, o.size) AS size, coalesce((n.filename IS NOT NULL AND n.filename IS DISTINCT FROM o.filename) OR (n.size IS NOT NULL AND n.size IS DISTINCT FROM o.size), false) AS rewritten FROM old_rows o LEFT JOIN new_rows n ON o.id = n.id")

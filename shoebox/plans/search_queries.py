@@ -60,6 +60,12 @@ def vector_top_k(vectors):
     return Q.with_rank(Q.ranked(vectors, QUERY, 100)).select("id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("vectors_top_10_each", "SELECT q.id AS query_id, v.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) DESC, v.id) - 1 AS rank, round(list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]), 6) AS score FROM vectors q, vectors v WHERE q.id % 20 = 0 QUALIFY rank < 10")
+def vectors_top_10_each(vectors):
+    """Every vector whose id is divisible by 20 is a query against all vectors."""
+    return Q.top_of_each(vectors, vectors.where("id % 20 = 0"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("metadata_candidates", f"WITH {SCORED}, hits AS (SELECT r.* FROM ranking r JOIN source_rows s ON s.upstream_asset_id = CAST(r.id AS VARCHAR) WHERE s.visibility_status = 'active' AND {LIKE}) SELECT id, row_number() OVER (ORDER BY score DESC, captured_at DESC, source_key, id) - 1 AS rank FROM hits")
 def metadata_candidates(vectors, source_rows):
     rows = source_rows.withColumn("id", F.col("upstream_asset_id").cast("bigint"))

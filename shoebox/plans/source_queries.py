@@ -48,20 +48,20 @@ def incremental_sync(orders):
 
 @query("csv_report", "SELECT id, status, source_key FROM vectors WHERE status <> 'ready'")
 def csv_report(vectors):
-    """Failures as one ordered CSV file with a header."""
+    """Failures as ordered CSV files with headers."""
     path = shared_dir(vectors.sparkSession, "report")
     rows = vectors.where("status <> 'ready'").select("id", "status", "source_key")
     exports.ordered_csv(rows, [F.col("status"), F.col("id")], path)
     return vectors.sparkSession.read.schema("id bigint, status string, source_key string").option("header", True).csv(path)
 
 
-@query("manifest_assets", "SELECT c_custkey AS position, 'm' || CAST(c_custkey AS VARCHAR) AS id, c_name AS filename FROM customer")
-def manifest_assets(customer):
-    """A static manifest keeps the order of its file."""
-    spark = customer.sparkSession
+@query("manifest_assets", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS position, 'm' || CAST(n_nationkey AS VARCHAR) AS id, n_name AS filename FROM nation")
+def manifest_assets(nation):
+    """A static manifest, one small document, keeps the order of its file."""
+    spark = nation.sparkSession
     path = shared_dir(spark, "manifest")
-    asset = F.struct(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("id"), F.lit("image").alias("type"), F.col("c_name").alias("originalFileName"))
-    one = customer.agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), asset.alias("a")))).alias("x"))  # a manifest is one document
+    asset = F.struct(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("image").alias("type"), F.col("n_name").alias("originalFileName"))
+    one = nation.agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), asset.alias("a")))).alias("x"))  # 25 nations
     one.select(F.lit(1).alias("version"), F.transform("x", lambda x: x["a"]).alias("assets")).write.json(path)
     return records.manifest(spark, path).select("position", "id", F.col("originalFileName").alias("filename"))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def ordered_csv(rows: DataFrame, order: list[Column], path: str) -> None:
-    """One CSV file of a report (bounded, as it is for people), in order, with a header."""
-    rows.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report as CSV files with headers, whose names follow the order of the rows; as many files as that takes."""
+    rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def admin_snapshot(rows: DataFrame, key: str, now: Column) -> DataFrame:

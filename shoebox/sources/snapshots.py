@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Snapshots:
-    """Generations under one root. Readers follow the pointer, so a generation is seen whole or not at all."""
+    """Generations under one root. A generation is written to a folder of its own name, and the file pointer/N, which names
+    that folder, makes it generation N. The file is created only if it is not there yet, so of two writers of one
+    generation the second fails; readers see a generation whole or not at all."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def current(self) -> int:
         """The published generation; 0 before the first."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        path, files = self._file("pointer")
+        if not files.exists(path):
             return 0
-        return self.spark.read.schema("generation int").json(f"{self.root}/pointer").agg(F.max("generation")).first()[0] or 0
+        names = [s.getPath().getName() for s in files.listStatus(path)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def publish(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
-        """Writes the tables as the next generation, then adds its number to the pointer. expected: the generation that
-        they were made from; if another is published meanwhile, nothing is and this raises."""
-        now = self.current()
+        """Writes the tables as the generation after `expected`, the one that they were made from (None: the current one);
+        if that is not the current one, or another is published meanwhile, nothing is and this raises."""
+        now = self.current() if expected is None else expected
+        if self.current() != now:
+            raise RuntimeError(f"generation {self.current()} was published after {now}")
+        folder = f"gen-{now + 1}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/gen={now + 1}/{name}")
-        if expected is not None and self.current() != expected:
-            raise RuntimeError(f"generation {self.current()} was published after {expected}")
-        self.spark.range(1).select(F.lit(now + 1).alias("generation")).coalesce(1).write.mode("append").json(f"{self.root}/pointer")
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+        path, files = self._file(f"pointer/{now + 1}")
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"generation {now + 1} was published by another writer") from e
+        out.write(bytearray(json.dumps({"generation": now + 1, "folder": folder}), "utf-8"))
+        out.close()
         return now + 1
 
+    def folder(self, generation: int | None = None) -> str:
+        found = self.spark.read.schema("generation int, folder string").json(f"{self.root}/pointer/{generation or self.current()}").first()
+        return f"{self.root}/{found.folder}"
+
     def read(self, name: str, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/gen={generation or self.current()}/{name}")
+        return self.spark.read.parquet(f"{self.folder(generation)}/{name}")
 
 
 def write_sorted(df: DataFrame, path: str, position: str, files: int) -> None:

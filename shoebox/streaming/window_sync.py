@@ -19,13 +19,14 @@ def sync_once(spark: SparkSession, landed: str, schema: str, store: Snapshots, t
     the generation then published. `more` derives further tables (new snapshot, changes) for the same generation."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        old = store.read(table)
+        generation = store.current()
+        old = store.read(table, generation)
         both = merge.merged(old, batch, keys, columns)
         changed = both.where("change <> 'same'")
         if changed.isEmpty():
             return
         new = both.drop("change")
-        store.publish({table: new} | (more(new, changed) if more else {}), expected=store.current())
+        store.publish({table: new} | (more(new, changed) if more else {}), expected=generation)
 
     stream = spark.readStream.schema(schema).json(landed)
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

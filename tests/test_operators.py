@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,80 @@ def test_snapshots_refuse_a_race(spark, tmp_path):
     with pytest.raises(RuntimeError):
         store.publish({"t": spark.range(9)}, expected=0)
     assert store.current() == 1 and store.read("t").count() == 3
+    # two writers that both saw generation 1: the second finds its pointer taken
+    late = snapshots.Snapshots(spark, store.root)
+    late.current = lambda: 1
+    assert store.publish({"t": spark.range(5)}, expected=1) == 2
+    with pytest.raises(RuntimeError):
+        late.publish({"t": spark.range(7)}, expected=1)
+    assert store.current() == 2 and store.read("t").count() == 5 and store.read("t", 1).count() == 3
+
+
+def test_a_sync_that_was_overtaken_raises(spark, tmp_path):
+    """Another writer publishes between the read and the publish; its rows must not be lost."""
+    store, schema = snapshots.Snapshots(spark, str(tmp_path / "s")), "id bigint, name string, visibility_status string"
+    store.publish({"rows": spark.createDataFrame([(1, "a", "active")], schema)})
+    spark.createDataFrame([(2, "b", 1, False)], "id bigint, name string, seq int, excluded boolean").write.json(str(tmp_path / "landed"))
+
+    def overtaken(new, changed):
+        store.publish({"rows": spark.createDataFrame([(9, "other", "active")], schema)})
+        return {}
+
+    with pytest.raises(Exception, match="was published"):
+        window_sync.sync_once(spark, str(tmp_path / "landed"), "id bigint, name string, seq int, excluded boolean", store, "rows", ["id"], ["name"], str(tmp_path / "cursor"), more=overtaken)
+    assert [r.name for r in store.read("rows").collect()] == ["other"]
+
+
+def test_positions_of_ties_and_sparse_ids(spark):
+    rows = spark.range(3000).selectExpr("xxhash64(id) AS id", "xxhash64(id) AS canonical_asset_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS captured_at")
+    ids = sorted(r.id for r in rows.collect())
+    for found, position in ((merge.generation_of(rows, 3), "ordinal"), (timeline.with_positions(rows), "global_position")):
+        got = {r[position]: r.id for r in found.collect()}
+        assert [got[i] for i in range(3000)] == ids
+    assert merge.generation_of(rows.limit(0), 1).count() == 0
+
+
+def test_days_are_ranges_of_times(spark, tmp_path):
+    spark.sql("SELECT id AS canonical_asset_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(id % 9, id % 24) AS captured_at FROM range(500)").write.parquet(str(tmp_path / "g"))
+    assets = spark.read.parquet(str(tmp_path / "g"))
+    days = timeline.day_index(assets)
+    page = timeline.page_by_day(assets, days, 120, 30)
+    assert [r.canonical_asset_id for r in page.collect()] == [r.canonical_asset_id for r in assets.orderBy(*timeline.newest_first()).offset(120).limit(30).collect()]
+    assert "GreaterThanOrEqual(captured_at" in page._jdf.queryExecution().executedPlan().toString()
+    moment = datetime(2024, 1, 5, 7)
+    assert timeline.rank_of_time(assets, days, moment).first().position == assets.where(F.col("captured_at") > F.lit(moment).cast("timestamp_ntz")).count()
+
+
+def test_top_of_each_with_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100, [1.0, 0.0, 0.0, 0.0]), (101, [1.0, 0.0, 0.0, 0.0]), (102, [2.0]), (103, None), (None, [9.0, 9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<float>").repartition(3)
+    plain = {i: np.array([*np.float32(v), 0, 0, 0][:4], float) for i, v in rows if i is not None and v is not None}
+    got = {}
+    for r in search.top_of_each(df, df.where("id % 20 = 0"), 7, block=4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    want = {q: dict(enumerate(sorted(plain, key=lambda i: (-float(plain[q] @ plain[i]), i))[:7])) for q in plain if q % 20 == 0}
+    assert got == want
+    assert search.top_of_each(df.limit(0), df, 3).count() == 0
+
+
+def test_readiness_needs_every_condition(spark):
+    """One asset for each condition that fails, beside one that meets all."""
+    source = "canonical_asset_id string, source_key string, upstream_asset_id string, datasource_kind string, visibility_status string"
+    names = ["all", "gone", "no thumbnail", "other content", "no path", "one kind", "failed", "unconfigured", "falls back", "wrong role"]
+    rows = [(n, "x" if n == "unconfigured" else "f" if n in ("falls back",) else "r" if n == "wrong role" else "l", n, "local_filesystem", "active") for n in names]
+    rows += [("falls back", "r", "m", "remote_mirror", "active"), ("no path", "r", "m2", "remote_mirror", "active"), ("remote", "r", "m3", "remote_mirror", "active"), ("blocked", "r", "m4", "remote_mirror", "missing")]
+    canonical_rows = [(n, "active", "image", "f", datetime(2024, 1, 1), None) for n in [*names, "remote", "blocked"]]
+    local = [(r[1], r[2], "new" if r[2] == "other content" else "sha", "missing" if r[2] == "gone" else "active", "pending" if r[2] == "no thumbnail" else "ready") for r in rows[: len(names)] if r[2] != "falls back"]
+    made = [(r[1], r[2], k, "sha", "failed" if r[2] == "failed" and k == "preview" else "ready", " " if r[2] == "no path" and k == "preview" else "p") for r in rows[: len(names)] if r[2] != "falls back" for k in ("preview", "detail_preview") if not (r[2] == "one kind" and k == "preview")]
+    found = timeline.ready_assets(
+        spark.createDataFrame(canonical_rows, "canonical_asset_id string, visibility_status string, media_type string, filename string, captured_at timestamp_ntz, duration string"),
+        spark.createDataFrame(rows, source),
+        spark.createDataFrame(made, "source_key string, asset_id string, kind string, source_sha1_hex string, status string, relative_path string"),
+        spark.createDataFrame(local, "source_key string, asset_id string, sha1_hex string, visibility_status string, thumbnail_status string"),
+        spark.createDataFrame([("local", "l"), ("local", "f"), ("remote", "r"), ("local_fallback", "f")], "role string, source_key string"),
+    )
+    assert sorted((r.canonical_asset_id, r.source_key) for r in found.collect()) == [("all", "l"), ("falls back", "f"), ("remote", "r")]
 
 
 def test_sync_without_changes_publishes_nothing(spark, tmp_path):
