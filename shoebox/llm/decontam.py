@@ -1,8 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams, scanned over the documents' token windows.
 
-Words are numbered by the benchmark's vocabulary, so a document becomes an array of small integers (0: not a benchmark
-word). Rolling hashes of its windows are looked up in the sorted hashes of the benchmark's windows, and each hit is
-verified word by word. The documents are read once and not shuffled.
+The windows of all items are made and counted by Spark and dealt by their hash into sets of about BLOCK_WINDOWS, so that
+neither a long item nor a large benchmark makes a broadcast larger. For each set the documents are scanned once. Words are
+numbered by the set's vocabulary, so a document becomes an array of small integers (0: in no window). Rolling hashes of its
+windows are looked up in the sorted hashes of the set, and each hit is verified word by word. The first set's scan gives
+every document's row; what others hit, without any text, is written and merged into these rows.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shoebox.llm.common import slices, table
+from shoebox.llm.common import Scratch, slices, table, written
 
 WINDOW = 10
-#: Characters of benchmark text in one broadcast; a larger benchmark takes several passes, one a block.
-BLOCK_CHARS = 4_000_000
+#: Different windows in one broadcast set; more of them take several scans, one a set.
+BLOCK_WINDOWS = 400_000
 #: Word bytes are 0-9, A-Z (lower-cased), a-z and all bytes from 0x80; the others become blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -43,24 +45,20 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some benchmark items, by their length."""
+    """Benchmark windows (words joined by blanks, items that have it), by their length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+    def __init__(self, windows: list[tuple[bytes, list[str]]]):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if ids:
-                k = min(size, len(ids))
-                for i in range(len(ids) - k + 1):
-                    found.setdefault(k, {}).setdefault(tuple(ids[i : i + k]), set()).add(item)
+        found: dict[int, list] = {}
+        for gram, items in windows:
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in gram.split(b" ")]
+            found.setdefault(len(ids), []).append((ids, items))
         self.by_size = {}
-        for k, windows in found.items():
-            grams = np.array(list(windows), dtype=np.int64).reshape(len(windows), k)
+        for k, own in found.items():
+            grams = np.array([ids for ids, _ in own], dtype=np.int64).reshape(len(own), k)
             hashes = np.array([window_hashes(g, k)[0] for g in grams], np.uint64)
             order = np.argsort(hashes, kind="stable")
-            owners = [sorted(windows[tuple(grams[i].tolist())]) for i in order]
-            self.by_size[k] = (hashes[order], grams[order], owners)
+            self.by_size[k] = (hashes[order], grams[order], [own[i][1] for i in order])
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """Which words are hit (None: none) and by which items."""
@@ -88,76 +86,112 @@ class Windows:
         return hit, items
 
 
-def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Code point spans of the runs of hit words, from the first word's start to the last one's end."""
-    spans, last = [], -2
+def runs_of(text: str, hit: np.ndarray) -> list[dict]:
+    """The runs of hit words: numbers of the first word and of that after the last, and their code points' span."""
+    runs: list[dict] = []
     for i, m in enumerate(WORD.finditer(text)):
         if hit[i]:
-            if last == i - 1:
-                spans[-1] = (spans[-1][0], m.end())
+            if runs and runs[-1]["after"] == i:
+                runs[-1].update(after=i + 1, stop=m.end())
             else:
-                spans.append((m.start(), m.end()))
-            last = i
-    return spans
+                runs.append({"first": i, "after": i + 1, "start": m.start(), "stop": m.end()})
+    return runs
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+RUNS = "array<struct<first:bigint,after:bigint,start:bigint,stop:bigint>>"
+ARROW_RUNS = pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "after", "start", "stop")]))
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """(gram binary, item string): each different window of each item, its words joined by blanks."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                words = words_of(text)
+                k = min(size, len(words))
+                grams = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
+                for at in range(0, len(grams), 10_000):
+                    some = grams[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([item] * len(some), pa.string())], names=["gram", "item"])
+
+    return items.mapInArrow(cut, "gram binary, item string").distinct()
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *carry, n_words, n_hit, items array<string> sorted, spans array<(start, stop)>): one row a document.
 
     A word inside any occurrence of a window is hit; an item of fewer than WINDOW words, but at least one, is one
     window. Null texts and ids are legal: null has no words, null item ids are listed as 'null'. Repeated rows and
     equal items count as they stand. An empty benchmark hits nothing. Only the named columns are read;
-    those in carry are passed on.
+    those in carry are passed on, and may not be named like the results.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("most")).first()
-    blocks = max(1, -(-size.n // block_chars))
-    out = None
-    # a benchmark of several blocks merges their rows of a document by its text
-    passed = [id_col, *dict.fromkeys([*carry, *[text_col] * (blocks > 1)])]
-    source = docs.select(F.col(text_col).alias("__text"), *passed)
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_hit", T.LongType()), T.StructField("spans", span)]
-    kept = [source.schema[c] for c in passed]
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        windows = spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in own.collect()]))  # at most about block_chars of text
-
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows, names=tuple(passed)) -> Iterator[pa.RecordBatch]:
-            w = windows.value
-            for batch in slices(batches):
-                n_words, n_hit, items, spans = [], [], [], []
-                for text in batch.column(0).to_pylist():
-                    words = words_of(text)
-                    hit, found = w.scan(words)
+    if clash := {"n_words", "n_hit", "items", "spans"} & {id_col, *carry}:
+        raise ValueError(f"carried columns are named like results: {sorted(clash)}")
+    names = [id_col, *carry]
+    source = docs.select(F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__hash"), *names)
+    out, more = None, []
+    with Scratch(docs.sparkSession, "windows") as scratch:
+        windows = scratch.written(benchmark_windows(benchmark, item_col, item_text_col), "windows")
+        # as many sets as the different windows need; one item has a window once
+        blocks = max(1, -(-windows.select("gram").distinct().count() // block_windows))
+        for n in range(blocks):
+            own = windows.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == n).groupBy("gram").agg(F.collect_list("item").alias("items"))
+            rows = [(bytes(r.gram), r["items"]) for r in own.collect()]  # about block_windows
+            shared = docs.sparkSession.sparkContext.broadcast(Windows(sorted(rows)))
+            found = scanned(source, shared, names, n == 0)
+            if n == 0:
+                out = found
+            else:
+                more.append(written(found.groupBy(F.col(id_col).alias("hit_id"), F.col("__hash").alias("hit_hash")).agg(F.first("runs").alias("runs"), F.first("items").alias("items")), "hits"))
+                shared.unpersist()
+    if more:
+        hits = more[0]
+        for other in more[1:]:
+            hits = hits.unionByName(other)
+        hits = hits.groupBy("hit_id", "hit_hash").agg(F.flatten(F.collect_list("runs")).alias("more_runs"), F.flatten(F.collect_list("items")).alias("more_items"))
+        out = out.join(hits, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.col("__hash") == F.col("hit_hash")), "left")
+        out = out.withColumn("items", F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))))
+        out = out.withColumn("runs", merged_runs(F.concat("runs", F.coalesce("more_runs", F.array().cast(RUNS)))))
+    n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["after"] - r["first"])
+    spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))
+    return out.select(*names, "n_words", n_hit.alias("n_hit"), F.sort_array("items").alias("items"), spans.alias("spans"))
+
+
+def scanned(source: DataFrame, shared, names: list[str], every: bool) -> DataFrame:
+    """(__hash, *names, n_words, runs, items) of every row of source, or of those with hits."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in slices(batches):
+            n_words, runs, items, kept = [], [], [], []
+            for row, text in enumerate(batch.column(0).to_pylist()):
+                words = words_of(text)
+                hit, found = w.scan(words)
+                if hit is not None or every:
+                    kept.append(row)
                     n_words.append(len(words))
-                    n_hit.append(0 if hit is None else int(hit.sum()))
+                    runs.append([] if hit is None else runs_of(text, hit))
                     items.append(sorted(found))
-                    spans.append([] if hit is None else [{"start": a, "stop": b} for a, b in spans_of(text, hit)])
-                columns = [batch.column(i + 1) for i in range(len(names))]
-                pairs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit, pa.int64()), pa.array(spans, pairs)], names=[*names, "n_words", "items", "n_hit", "spans"])
-
-        found = source.mapInArrow(scan, T.StructType(kept + fields))
-        out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        out = merged_blocks(out, passed, text_col, blocks).select(id_col, *carry, *(f.name for f in fields))
-    return out
+            columns = [batch.column(i + 1).take(pa.array(kept, pa.int32())) for i in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(runs, ARROW_RUNS), pa.array(items, pa.list_(pa.string()))], names=["__hash", *names, "n_words", "runs", "items"])
 
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "after", "start", "stop")]))), T.StructField("items", T.ArrayType(T.StringType()))]
+    return source.mapInArrow(scan, T.StructType([source.schema["__hash"], *(source.schema[c] for c in names), *fields]))
 
-def merged_blocks(found: DataFrame, keys: list[str], text_col: str, blocks: int) -> DataFrame:
-    """One row a document from its rows of all blocks; n_hit counts the words inside the merged spans.
 
-    Rows that are equal in the keys are told apart only by their number, so they are merged and repeated.
-    """
-    g = found.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("all"))
-    g = g.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))))
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x)))
-    g = g.withColumn("spans", F.aggregate("all", F.array().cast("array<struct<start:bigint,stop:bigint>>"), step))
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + F.size(F.regexp_extract_all(F.substring(F.col(text_col), (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))))
-    return g.withColumn("n_hit", n_hit).select(*keys, "n_words", "items", "n_hit", "spans")
+def merged_runs(runs: Column) -> Column:
+    """Runs of hit words that touch or overlap as one."""
+    field = lambda x, n: x[n].alias(n)
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.struct(field(last, "first"), F.greatest(last["after"], x["after"]).alias("after"), field(last, "start"), F.greatest(last["stop"], x["stop"]).alias("stop"))
+        touching = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["after"] >= x["first"])
+        return F.when(touching, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(runs), F.array().cast(RUNS), step)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

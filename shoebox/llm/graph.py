@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shoebox.llm.common import written
+from shoebox.llm.common import Scratch
 
 
 def _starred(links: DataFrame, large: bool) -> DataFrame:
@@ -29,13 +29,15 @@ def _are_stars(links: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("out").alias("outs"), F.count("*").alias("all")).where("outs > 1 OR outs > 0 AND outs < all").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node of the links (u, v): the smallest node that it reaches. Links may repeat.
 
-    Each round is written to the shared folder; there are O(log n) of them.
+    Each round is written to the scratch folder; there are O(log n) of them. A node's least neighbour is found by partial
+    minima, one row a node and task, so a node with very many links reads few rows; its links are then a join with that
+    one row, which may be split.
     """
-    links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    links = scratch.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     while not _are_stars(links):
-        links = written(_starred(_starred(links, large=True), large=False).distinct(), "links")
+        links = scratch.written(_starred(_starred(links, large=True), large=False).distinct(), "links")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

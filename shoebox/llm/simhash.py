@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shoebox.llm.common import slices, spread, table, written
+from shoebox.llm.common import Scratch, slices, spread, table, written
 from shoebox.llm.graph import components
 
 SEED = 42
@@ -158,24 +158,24 @@ def _shared_cells(members: DataFrame) -> DataFrame:
     return wide.drop("least", "most", "e_least", "e_most")
 
 
-def fingerprint_groups(fps: DataFrame) -> DataFrame:
+def fingerprint_groups(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, group) for different fingerprints (fp): group is the least fingerprint reachable by links of 3 bits or fewer."""
     near = spread(fps, "fp").select("fp", F.explode(_variants(F.col("fp"), [0, *_flips(range(64))])).alias("point"), F.lit(True).alias("single"))
-    first = components(_stars(near))
+    first = components(_stars(near), scratch)
     known = fps.withColumn("group", F.col("fp"))
-    known = written(_regrouped(known, first), "groups")
+    known = scratch.written(_regrouped(known, first), "groups")
 
     cells = spread(known, "fp").select("fp", "group", F.explode(F.concat(*(_cells(p) for p in range(len(PARTS))))).alias("c")).select("fp", "group", "c.*")
-    shared = written(_shared_cells(cells).drop("exact_mixed"), "shared")
+    shared = scratch.written(_shared_cells(cells).drop("exact_mixed"), "shared")
     hub = F.min(F.struct("fp", "group")).over(Window.partitionBy("part", "cell"))
     met = shared.withColumn("hub", hub).where((F.col("hub.group") != F.col("group")) & (F.bit_count(F.col("hub.fp").bitwiseXOR(F.col("fp"))) <= 3))
-    second = written(components(met.select(F.col("group").alias("u"), F.col("hub.group").alias("v"))), "second")
+    second = scratch.written(components(met.select(F.col("group").alias("u"), F.col("hub.group").alias("v")), scratch), "second")
 
-    left = written(_shared_cells(_regrouped(shared, second)), "left")
+    left = scratch.written(_shared_cells(_regrouped(shared, second)), "left")
     ends = left.select("fp", "group").distinct()
     a, b = ends.select(F.col("fp").alias("a"), F.col("group").alias("ga")), ends.select(F.col("fp").alias("b"), F.col("group").alias("gb"))
     between = _stars(_far_points(left)).join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
-    third = components(between.select(F.col("ga").alias("u"), F.col("gb").alias("v")))
+    third = components(between.select(F.col("ga").alias("u"), F.col("gb").alias("v")), scratch)
     return _regrouped(_regrouped(known, second), third)
 
 
@@ -186,10 +186,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless all its ids are null. An empty table gives no rows. Only the two named columns are read.
     """
     found = written(fingerprints(docs, id_col, text_col).select(F.col(id_col).alias("id"), "fp"), "fingerprints")
-    least = written(found.groupBy("fp").agg(F.min("id").alias("id")), "least")
-    groups = written(fingerprint_groups(least.select("fp")), "fp-groups")
-    named = groups.join(least, "fp").groupBy("group").agg(F.min("id").alias("component_id"))
-    named = groups.join(named, "group").select(F.col("fp").alias("own"), "component_id")
+    with Scratch(docs.sparkSession, "groups") as scratch:
+        least = scratch.written(found.groupBy("fp").agg(F.min("id").alias("id")), "least")
+        groups = scratch.written(fingerprint_groups(least.select("fp"), scratch), "fp-groups")
+        named = groups.join(least, "fp").groupBy("group").agg(F.min("id").alias("component_id"))
+        named = written(groups.join(named, "group").select(F.col("fp").alias("own"), "component_id"), "components")
     return found.join(named, F.col("fp") == F.col("own")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 

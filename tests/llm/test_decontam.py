@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from shoebox.llm import decontam as D
 from tests.conftest import SMALL, same_rows
 
@@ -45,13 +47,22 @@ def test_against_brute_force_in_one_and_more_blocks(spark, docs_of):
     texts = [random_text(rng, n) for n in (0, 5, 30, 200, 400)] + [f"x {items[6][1]} y {items[7][1][:60]}", "a zebra QUAGGA, okapi!", None, ""]
     bench = spark.createDataFrame(items, "item_id int, text string").selectExpr("*", "1 AS item")
     want = brute(list(enumerate(texts)), items)
-    for size in (D.BLOCK_CHARS, 150):
-        found = D.scan_documents(docs_of(texts), bench, block_chars=size, carry=("lang",)).collect()
+    for size in (D.BLOCK_WINDOWS, 30):  # the longest item has 51 windows
+        found = D.scan_documents(docs_of(texts), bench, block_windows=size, carry=("lang",)).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found} == want and len(found) == len(texts)
         for r in found:
             assert r.lang == "en" and r.n_hit == sum(len(words(texts[r.doc_id][s.start : s.stop])) for s in r.spans)
 
 
+def test_repeated_rows_with_several_sets(spark, docs_of):
+    bench = spark.createDataFrame([("i", " ".join(f"w{k}" for k in range(40)))], "item_id string, text string")
+    docs = docs_of([(1, "w1 " * 3 + " ".join(f"w{k}" for k in range(3, 30)))] * 3 + [(None, " ".join(f"w{k}" for k in range(12)))] * 2 + [(2, None)])
+    one, many = (sorted(map(repr, D.scan_documents(docs, bench, block_windows=n, carry=("lang",)).collect())) for n in (100, 4))
+    assert one == many and len(one) == 6 and sum("n_hit=27" in r for r in one) == 3
+    with pytest.raises(ValueError, match="items"):
+        D.scan_documents(docs.selectExpr("*", "1 AS items"), bench, carry=("items",))
+
+
 def test_removal(spark, docs_of):
     bench = spark.createDataFrame([("i", "one two three four")], "item_id string, text string")
     docs = docs_of(["a ONE, two three: four! b", "clean", None, "one two three four", "one two three four one two three four."])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from shoebox.llm import graph, simhash as S
+from shoebox.llm import common, graph, simhash as S
 from tests.conftest import SMALL
 
 
@@ -58,7 +58,8 @@ def test_links_of_up_to_three_bits(spark, seed):
             fps.append(x)
     fps = sorted(set(fps))
     groups = brute_groups(fps)
-    found = {r.fp & (2**64 - 1): r.group & (2**64 - 1) for r in S.fingerprint_groups(spark.createDataFrame([(S._signed(x),) for x in fps], "fp bigint")).collect()}
+    with common.Scratch(spark, "test") as scratch:
+        found = {r.fp & (2**64 - 1): r.group & (2**64 - 1) for r in S.fingerprint_groups(spark.createDataFrame([(S._signed(x),) for x in fps], "fp bigint"), scratch).collect()}
     parts, want = {}, {}
     for x, g in zip(fps, groups, strict=True):
         want.setdefault(g, set()).add(x)
@@ -99,6 +100,15 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     want = {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
-    assert got == want
-    assert graph.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+    with common.Scratch(spark, "test") as scratch:
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u bigint, v bigint"), scratch).collect()}
+        assert got == want
+        assert graph.components(spark.createDataFrame([], "u bigint, v bigint"), scratch).count() == 0
+
+
+def test_a_hub_of_very_many_links(spark):
+    """One node with 100,000 links, each end of which has one more: two rounds, and one component."""
+    hub = spark.range(1, 100_001).selectExpr("id AS u", "500000L AS v").unionByName(spark.range(1, 100_001).selectExpr("id AS u", "id + 1000000 AS v"))
+    with common.Scratch(spark, "test") as scratch:
+        row = graph.components(hub, scratch).selectExpr("count(*) AS n", "min(component) AS a", "max(component) AS b").first()
+    assert (row.n, row.a, row.b) == (200_001, 1, 1)
