@@ -26,7 +26,7 @@ from shoebox.llm.common import slices, table
 #: TRAIN_SHORT characters first.
 TRAIN_DOCS, TRAIN_SHORT = 24, 2_000
 #: Letters of a stretch, and of the texts that are parsed at once (a longer text is parsed alone).
-STRETCH, AT_ONCE = 512, 1 << 20
+STRETCH, AT_ONCE = 256, 1 << 20
 #: Bits a letter are turned into a score by a softmax of this steepness.
 STEEPNESS = 8.0
 
@@ -110,7 +110,7 @@ class CrossParser:
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
         """The number of phrases of each part for each language."""
-        cuts, owner, nth = [], [], []
+        cuts, owner, nth = [], [], []  # stretches, their texts, their numbers in these
         for i, p in enumerate(parts):
             for k in range(0, len(p), STRETCH):
                 cuts.append(p[k : k + STRETCH])
@@ -141,35 +141,46 @@ class CrossParser:
             np.bitwise_xor(found, fresh, out=now)
         place = np.empty(len(cuts), np.int64)
         place[order] = np.arange(len(cuts))
-        self._join(place[np.argsort(nth, kind="stable")], np.sort(nth), place, np.array(nth), sizes, grid, at, count, begins)
-        np.add.at(out, np.array(owner)[order], count)
+        before = np.full(len(cuts), -1)  # the row of the stretch before in the text, by row
+        later = np.flatnonzero(nth)
+        before[place[later]] = place[later - 1]
+        np.add.at(out, np.array(owner)[order], count + self._corrections(before, sizes, grid, at, begins))
         return out
 
-    def _join(self, rows: np.ndarray, numbers: np.ndarray, place: np.ndarray, nth: np.ndarray, sizes: np.ndarray, grid: np.ndarray, at: np.ndarray, count: np.ndarray, begins: np.ndarray) -> None:
-        """Corrects count and the last states `at` of every stretch that is not the first of its text, in their order.
+    def _corrections(self, before: np.ndarray, sizes: np.ndarray, grid: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """By row and language, how many phrases more or less a stretch has as the phrase before runs into it.
 
-        rows: the grid rows by their number in the text, numbers: these, place: the row of each cut, nth: its number.
+        All stretches are followed at once, from the states in which those before them ended by the first parse. Where
+        one shares no place with that parse up to its end, the next is followed again from the state found.
         """
         shift = self.table.dtype.itemsize * 8 - 1
-        before = np.empty(len(place), np.int64)  # the row of the stretch before, by row
-        before[place[1:]] = place[:-1]
-        for n in range(1, int(nth.max()) + 1):
-            mine = rows[np.searchsorted(numbers, n) : np.searchsorted(numbers, n, side="right")]
-            row, lang = np.repeat(mine, len(self.langs)), np.tile(np.arange(len(self.langs)), len(mine))
-            state, step = at[before[row], lang], 0
-            while len(row):
-                ended = sizes[row] <= step
-                if ended.any():  # no phrase in common: the next stretch goes on from here
-                    at[row[ended], lang[ended]] = state[ended]
-                    row, lang, state = row[~ended], lang[~ended], state[~ended]
+        after = np.full(len(before), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        more, at = np.zeros(ends.shape, np.int64), ends.copy()
+        todo, lang = np.nonzero(np.repeat(before[:, None] >= 0, ends.shape[1], axis=1))
+        while len(todo):
+            row, state, step = todo, at[before[todo], lang], 0
+            old, langs = at[todo, lang], lang
+            more[row, lang] = 0
+            at[row, lang] = ends[row, lang]
+            live = np.arange(len(row))
+            while len(live):
+                ended = sizes[row[live]] <= step
+                if ended.any():
+                    at[row[live[ended]], langs[live[ended]]] = state[ended]
+                    live, state = live[~ended], state[~ended]
                     continue
-                found = self.table.take(state + grid[step, row])
+                r, c = row[live], langs[live]
+                found = self.table.take(state + grid[step, r])
                 fresh = found >> shift
-                guessed = begins[step, row, lang]
-                np.add.at(count, (row, lang), -fresh.astype(np.int64) - guessed)
+                guessed = begins[step, r, c]
+                more[r, c] -= fresh + guessed
                 apart = ~(guessed & (fresh != 0))
-                row, lang, state = row[apart], lang[apart], (found ^ fresh)[apart]
+                live, state = live[apart], (found ^ fresh)[apart]
                 step += 1
+            moved = (at[todo, lang] != old) & (after[todo] >= 0)
+            todo, lang = after[todo[moved]], lang[moved]
+        return more
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and a score for each text; 'und' and 0 without letters (or where nothing was learned)."""
