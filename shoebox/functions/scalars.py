@@ -55,6 +55,12 @@ def canonical_id(media_type: Column, sha1: Column, size: Column, source_key: Col
     return F.when(content, hashed_id(F.lit("content"), media_type, sha1_hex(sha1), size.cast("string"))).otherwise(hashed_id(F.lit("source"), source_key, upstream_id))
 
 
+def collection_key(request: Column) -> Column:
+    """The key of a request's canonical JSON: 16 bytes of its hash, in the base64 of urls without padding."""
+    start = F.unhex(F.substring(F.sha2(request.cast("binary"), 256), 1, 32))
+    return F.concat(F.lit("search_v1:"), F.regexp_replace(F.translate(F.base64(start), "+/", "-_"), "=+$", ""))
+
+
 def place_label(*parts: Column) -> Column:
     """Parts that are not blank, each once whatever its case, joined by ', '."""
     texts = F.filter(F.transform(F.array(*parts), lambda p: trimmed(F.coalesce(p, F.lit("")))), lambda p: p != "")

@@ -42,6 +42,16 @@ def look_ahead(assets: DataFrame, r: Resolved, id_col: str = "canonical_asset_id
     return rows.where(F.col("n") <= r.page_size).drop("n").join(total.join(ahead)).withColumn("total_kind", F.lit("exact" if exact else "lowerBound"))
 
 
+def page_boundaries(assets: DataFrame, size: int, group: str) -> DataFrame:
+    """(group, page, n_items, boundary) of every page of each group's timeline, and of the one after its last: where the
+    page lies, as page_boundary() of requests tells. A group's count alone decides."""
+    sizes = assets.groupBy(group).agg(F.count("*").alias("n"))
+    pages = sizes.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / size))))
+    items = F.greatest(F.lit(0), F.least(F.lit(size), F.col("n") - F.col("page") * size))
+    where = F.when((F.col("page") > 0) & (F.col("n_items") == 0), "pastEnd").when(F.col("n") > (F.col("page") + 1) * size, "more").otherwise("end")
+    return pages.withColumn("n_items", items).select(group, "page", "n_items", where.alias("boundary"))
+
+
 def keyset_page(assets: DataFrame, captured_at, last_id: str, size: int, id_col: str = "canonical_asset_id") -> DataFrame:
     """The rows from (captured_at, id) on, that row included."""
     at = F.lit(captured_at).cast("timestamp_ntz")

@@ -78,7 +78,11 @@ def metadata_promotion(vectors, source_rows):
     return Q.promoted(Q.with_rank(Q.ranked(vectors, QUERY, 200)), hits).select("id", "rank")
 
 
-@query("diversified_ranking")
+@query("diversified_ranking", f"""WITH RECURSIVE {SCORED}, head AS (SELECT id, CAST(rank AS INTEGER) AS rank, vector FROM ranking WHERE rank < 80),
+  near AS (SELECT b.rank, coalesce(list(a.rank) FILTER (WHERE a.rank IS NOT NULL), []) AS before FROM head b LEFT JOIN head a ON a.rank < b.rank AND list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) >= 0.86 GROUP BY b.rank),
+  deal(rank, kept) AS (SELECT -1, CAST([] AS INTEGER[]) UNION ALL SELECT n.rank, CASE WHEN list_has_any(d.kept, n.before) THEN d.kept ELSE list_append(d.kept, n.rank) END FROM deal d JOIN near n ON n.rank = d.rank + 1),
+  kept AS (SELECT unnest(kept) AS rank FROM (SELECT kept FROM deal ORDER BY rank DESC LIMIT 1))
+  SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN rank IN (SELECT rank FROM kept) THEN 0 ELSE 1 END, rank) - 1 AS INTEGER) AS rank FROM head UNION ALL SELECT id, CAST(rank AS INTEGER) FROM ranking WHERE rank BETWEEN 80 AND 299""")
 def diversified_ranking(vectors):
     return Q.diversified(Q.with_rank(Q.ranked(vectors, QUERY, 300)))
 

@@ -42,6 +42,23 @@ def timeline_look_ahead(gallery):
     return page.select("canonical_asset_id", text_time("captured_at").alias("captured_at"), "has_more", F.col("total").cast("int").alias("total"), "total_kind")
 
 
+@query("page_boundaries", "SELECT source_key, page, CAST(greatest(0, least(70, n - page * 70)) AS BIGINT) AS n_items, CASE WHEN page > 0 AND n - page * 70 <= 0 THEN 'pastEnd' WHEN n > (page + 1) * 70 THEN 'more' ELSE 'end' END AS boundary FROM (SELECT source_key, n, unnest(generate_series(0, (n + 69) // 70)) AS page FROM (SELECT source_key, count(*) AS n FROM gallery GROUP BY source_key))")
+def page_boundaries(gallery):
+    return T.page_boundaries(gallery, 70, "source_key")
+
+
+#: The canonical JSON of a request for one media type, in two parts around it.
+REQUEST = resolve(SearchRequest(media_types=("video",), captured_from="2024-01-01T00:00:00Z")).canonical_json.split("video")
+
+
+@query("collection_keys", f"SELECT DISTINCT media_type, 'search_v1:' || rtrim(translate(to_base64(unhex(substr(sha256('{REQUEST[0]}' || media_type || '{REQUEST[1]}'), 1, 32))), '+/', '-_'), '=') AS collection_key FROM gallery")
+def collection_keys(gallery):
+    from shoebox.functions.scalars import collection_key
+
+    request = F.concat(F.lit(REQUEST[0]), "media_type", F.lit(REQUEST[1]))
+    return gallery.select("media_type").distinct().select("media_type", collection_key(request).alias("collection_key"))
+
+
 @query("timeline_exact_total", f"SELECT count(*) AS total FROM gallery WHERE {WHERE}")
 def timeline_exact_total(gallery):
     return gallery.where(T.matches(resolve(FILTER))).agg(F.count("*").alias("total"))

@@ -109,7 +109,8 @@ def oracle(sql: str) -> str:
     need(sql)
     own = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in dict.fromkeys(wanted))
     sql = sql.strip()
-    text = sql if not own else f"WITH {own}, {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {own} {sql}"
+    start = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+    text = sql if not own else f"{start}{own}, {sql.removeprefix(start)}" if sql.startswith(start) else f"WITH {own} {sql}"
     return _at(text, "(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(", "))")
 
 

@@ -54,11 +54,14 @@ class Resolved:
         return self.page * self.page_size
 
     @property
-    def collection_key(self) -> str:
+    def canonical_json(self) -> str:
         """The same for requests that differ only in page."""
         own = {k: v for k, v in asdict(self).items() if k not in ("page", "page_size")}
-        raw = json.dumps(own | {"version": 1}, sort_keys=True, default=str).encode()
-        return "search_v1:" + base64.urlsafe_b64encode(hashlib.sha256(raw).digest()[:16]).decode().rstrip("=")
+        return json.dumps(own | {"version": 1}, sort_keys=True, default=str)
+
+    @property
+    def collection_key(self) -> str:
+        return "search_v1:" + base64.urlsafe_b64encode(hashlib.sha256(self.canonical_json.encode()).digest()[:16]).decode().rstrip("=")
 
 
 def utc_time(text: str) -> datetime | None:

@@ -50,3 +50,14 @@ def test_rounds_and_boundaries():
     assert round_quotas(100, 3) == [34, 33, 33] and round_quotas(0, 3) == []
     assert next_source(["a", "b", "c"], 0) == "b" and next_source(["a", "b", "c"], 2) == "b" and next_source(["a"], 0) == "a" and next_source([], 0) == ""
     assert [page_boundary(*x) for x in ((1, 0, False), (0, 0, False), (0, 5, True))] == ["pastEnd", "end", "more"]
+
+
+def test_collection_keys_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from shoebox.functions.scalars import collection_key
+
+    for r in (SearchRequest(), SearchRequest(kind="search", text="Größe"), SearchRequest(media_types=("video",), captured_from="2024-01-01T00:00:00Z")):
+        key = resolve(r).collection_key
+        assert spark.range(1).select(collection_key(F.lit(resolve(r).canonical_json)).alias("k")).first().k == key
+        assert resolve(next_page(r)).collection_key == key
