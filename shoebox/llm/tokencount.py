@@ -92,20 +92,21 @@ class WordCounter:
 
 
 @functools.cache
-def loaded(path: str) -> WordCounter:
-    return WordCounter(path, whole_tokens(path))
+def loaded(path: str, proven: frozenset[str]) -> WordCounter:
+    return WordCounter(path, proven)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) for each row of docs; null texts count as empty: no bytes, no tokens.
 
-    The proven set is worked out once in each Python worker from the vocabulary file, which every executor has.
+    The proven set is worked out once, before any document is read, and broadcast; it is no larger than the vocabulary.
     Repeated rows stay; only the two named columns are read.
     """
     source = docs.select(id_col, text_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = loaded(path)
+        counter = loaded(path, proven.value)
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([counter.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
