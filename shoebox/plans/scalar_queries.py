@@ -119,7 +119,10 @@ def admin_snapshots(source_rows):
     return exports.admin_snapshot(histogram(source_rows, "visibility_status"), "visibility", at(0)).select("key", "payload_json")
 
 
-@query("vector_checksums", "SELECT vec_id, len(embedding) AS dim, sha256(list_aggregate(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), 'string_agg', ',')) AS checksum FROM embeddings")
+HEX = "hex(CAST(x::FLOAT::BIT AS BLOB))"  # high byte first
+
+
+@query("vector_checksums", f"SELECT vec_id, len(embedding) AS dim, sha256(unhex(list_aggregate(list_transform(embedding, lambda x: substr({HEX}, 7, 2) || substr({HEX}, 5, 2) || substr({HEX}, 3, 2) || substr({HEX}, 1, 2)), 'string_agg', ''))) AS checksum FROM embeddings")
 def vector_checksums(embeddings):
     return exports.vector_checksums(embeddings, "vec_id", "embedding")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -20,7 +24,13 @@ def latest_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new, "key", "left_anti").unionByName(new)
 
 
+@F.pandas_udf("string")
+def payload_checksum(vectors: pd.Series) -> pd.Series:
+    """The digest of each vector's stored bytes, 32-bit numbers with the low byte first; null for null."""
+    return vectors.map(lambda v: None if v is None else hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest())
+
+
 def vector_checksums(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, dim, checksum): a vector's digest, over its numbers rounded to 6 digits."""
-    text = F.array_join(F.transform(vector_col, lambda x: F.format_string("%.6f", x.cast("double"))), ",")
-    return vectors.select(id_col, F.size(vector_col).alias("dim"), F.sha2(text, 256).alias("checksum"))
+    """(id, dim, checksum): a vector's digest over its bytes, so that any changed bit shows. No built-in function gives the
+    bytes of a float."""
+    return vectors.select(id_col, F.size(vector_col).alias("dim"), payload_checksum(F.col(vector_col).cast("array<float>")).alias("checksum"))
