@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def ordered_csv(rows: DataFrame, order: list[Column], path: str) -> None:
@@ -24,7 +24,7 @@ def latest_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new, "key", "left_anti").unionByName(new)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def payload_checksum(vectors: pd.Series) -> pd.Series:
     """The digest of each vector's stored bytes, 32-bit numbers with the low byte first; null for null."""
     return vectors.map(lambda v: None if v is None else hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest())
