@@ -68,8 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's result is written to the shared folder and read again.
+
+    A result is deleted once the next is there, and what a stage wrote for itself once its own is.
+    """
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.shared_dir(spark, f"pipeline-{name}")
+        with common.inside(spark, f"pipeline-{name}-tables"):
+            docs = common.saved(stage(spark, docs, sf_dir), path)
+        if last:
+            common.remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -220,7 +220,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     vocabulary file without added special tokens, and the text that they decode to.
 
     Null and empty texts have no ids. Special strings inside texts are special tokens, as is that library's default.
-    Every row is encoded for itself, so repeated rows and ids stay. Only the two named columns are read.
+    Every row is encoded for itself, so repeated rows and ids stay. Only the two named columns are read. A text above
+    long_chars is encoded in parts by several tasks; its ids, not its text, then meet in one group, 4 bytes a token.
     """
     source = docs.select(id_col, text_col)
     fields = [source.schema[id_col], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -16,12 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_INSIDE: ContextVar[str | None] = ContextVar("inside", default=None)
+
+
+@contextlib.contextmanager
+def inside(spark: SparkSession, what: str) -> Iterator[None]:
+    """All folders that shared_dir() names within are below one, which is deleted at the end."""
+    top = shared_dir(spark, what)
+    before = _INSIDE.set(top)
+    try:
+        yield
+    finally:
+        _INSIDE.reset(before)
+        remove(spark, top)
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's path in the place that the cluster shares (spark.checkpoint.dir).
 
     Only a local session may leave that unset, as tests do: a temporary folder then serves and is set. Elsewhere the
     executors would each write to a disk of their own, so that is an error.
     """
+    if top := _INSIDE.get():
+        return f"{top}/{what}-{uuid.uuid4().hex}"
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":

@@ -1,6 +1,7 @@
 """The pipeline against brute-force versions of its stages."""
 
 import hashlib
+import os
 
 import public_tokenizers
 import pytest
@@ -69,6 +70,10 @@ def test_encoding(stages):
 
 
 def test_run_is_the_last_stage(spark, stages):
+    top = common.shared_dir(spark, "x").rsplit("/", 1)[0]
+    before = set(os.listdir(top))
+    C.run(spark, SMALL).collect()
+    assert ["-".join(n.split("-")[:2]) for n in set(os.listdir(top)) - before] == ["pipeline-decontamination"]
     assert sorted(map(tuple, C.run(spark, SMALL).collect())) == sorted(map(tuple, stages[-1][1].collect()))
 
 
