@@ -95,6 +95,20 @@ def input_fingerprint(version: Column, kind: Column, source_key: Column, asset_i
     return F.concat_ws("\0", *(F.coalesce(p, F.lit("")) for p in parts))
 
 
+def clean_path(c: Column) -> Column:
+    """The shortest equal path: no empty and '.' parts, and none before a '..'; '' for a blank one."""
+    path = trimmed(c)
+    rooted = F.startswith(path, F.lit("/"))
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        up = F.when((F.size(done) > 0) & (last != ".."), F.slice(done, 1, F.size(done) - 1)).when(rooted, done).otherwise(F.concat(done, F.array(F.lit(".."))))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(path == "", "").when(rooted, F.concat(F.lit("/"), parts)).when(parts == "", ".").otherwise(parts)
+
+
 def clean_relative_path(c: Column) -> Column:
     """The path if it is relative and has no empty, '.' or '..' part; else null."""
     bad = (c == "") | c.startswith("/") | c.rlike(r"(^|/)(\.{0,2})(/|$)")

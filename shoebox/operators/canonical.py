@@ -111,14 +111,14 @@ def mapped_paths(paths: DataFrame, mappings: DataFrame, last_wins: bool = False)
     source_key, prefix, local_source, root_key) whose prefix and '/' start the path; the first by position wins, or the last.
 
     A source's mappings are configuration, some dozens; they come to each path as one array that is searched in place, so
-    paths are neither multiplied nor grouped. Of mappings at one position the least (or greatest) in the other columns wins.
+    paths are neither multiplied nor grouped. Paths and prefixes are cleaned first. Of mappings at one position the least (or greatest) in the other columns wins.
     """
-    prefix = F.regexp_replace(S.trimmed(F.col("prefix")), "/+$", "")
+    prefix = S.clean_path(F.col("prefix"))
     own = F.struct("position", prefix.alias("prefix"), "local_source", "root_key")
     m = mappings.groupBy(F.col("source_key").alias("m_source")).agg(F.collect_list(own).alias("mappings"))
-    p = paths.join(m, F.col("source_key") == F.col("m_source"))
-    hits = F.filter("mappings", lambda x: F.startswith(F.col("original_path"), F.concat(x["prefix"], F.lit("/"))))
-    rest = lambda x: S.clean_relative_path(F.substr(F.col("original_path"), F.length(x["prefix"]) + 2))
+    p = paths.withColumn("path", S.clean_path(F.col("original_path"))).join(m, F.col("source_key") == F.col("m_source"))
+    hits = F.filter("mappings", lambda x: (x["prefix"] != "") & F.startswith(F.col("path"), F.concat(x["prefix"], F.lit("/"))))
+    rest = lambda x: S.clean_relative_path(F.substr(F.col("path"), F.length(x["prefix"]) + 2))
     found = F.transform(hits, lambda x: F.struct(x["position"].alias("position"), x["local_source"].alias("local_source"), x["root_key"].alias("root_key"), rest(x).alias("relative_path")))
     found = F.filter(found, lambda x: x["relative_path"].isNotNull())
     best = p.withColumn("m", (F.array_max if last_wins else F.array_min)(found)).where("m IS NOT NULL")
@@ -131,7 +131,7 @@ def external_identities(rows: DataFrame, local: DataFrame, mappings: DataFrame)
     local: (local_source, root_key, relative_path, media_type, sha1_hex, size_bytes) of active locations. A path that
     several mappings make belongs to the last of them.
     """
-    prefix = F.regexp_replace(S.trimmed(F.col("prefix")), "/+$", "")
+    prefix = S.clean_path(F.col("prefix"))
     m = mappings.select("position", F.col("source_key").alias("m_source"), prefix.alias("prefix"), "local_source", "root_key")
     behind = local.join(m, ["local_source", "root_key"])
     behind = behind.withColumn("checksum", S.path_checksum(F.concat("prefix", F.lit("/"), "relative_path")))
@@ -152,7 +152,7 @@ def reconciled_identities(rows: DataFrame, desired: DataFrame) -> DataFrame:
 def identity_fallback(rows: DataFrame, lost: DataFrame, locations: DataFrame, mappings: DataFrame) -> DataFrame:
     """For lost local paths (local_source, root_key, relative_path): the remote rows that had their identity from them,
     with the newest other active location of that path (the greatest id), or nulls. Of several mappings the last wins."""
-    prefix = F.regexp_replace(S.trimmed(F.col("prefix")), "/+$", "")
+    prefix = S.clean_path(F.col("prefix"))
     m = mappings.select("position", F.col("source_key").alias("m_source"), prefix.alias("prefix"), "local_source", "root_key")
     paths = lost.join(m, ["local_source", "root_key"]).withColumn("checksum", S.path_checksum(F.concat("prefix", F.lit("/"), "relative_path")))
     paths = paths.groupBy("m_source", "checksum").agg(F.max_by(F.struct("local_source", "root_key", "relative_path"), "position").alias("path")).select("m_source", "checksum", "path.*")

@@ -137,19 +137,28 @@ def ready_assets(canonical: DataFrame, rows: DataFrame, renditions: DataFrame, l
 
 def embeddable(rows: DataFrame, renditions: DataFrame) -> DataFrame:
     """Active rows that can be embedded: remote ones, and local images with a ready rendition that has a path."""
-    ready = renditions.where((F.col("status") == "ready") & (F.trim(F.coalesce("relative_path", F.lit(""))) != "")).select("source_key", F.col("asset_id").alias("upstream_asset_id")).distinct().withColumn("rendered", F.lit(True))
+    ready = renditions.where((F.col("status") == "ready") & F.col("kind").isin("detail_preview", "preview") & F.col("relative_path").isNotNull()).select("source_key", F.col("asset_id").alias("upstream_asset_id")).distinct().withColumn("rendered", F.lit(True))
     both = rows.where(F.col("visibility_status") == "active").join(ready, ["source_key", "upstream_asset_id"], "left")
     return both.where((F.col("datasource_kind") != "local_filesystem") | ((F.col("media_type") == "image") & F.coalesce("rendered", F.lit(False)))).drop("rendered")
 
 
-def embedding_inputs(canonical: DataFrame, renditions: DataFrame) -> DataFrame:
-    """What each active canonical asset is embedded from: a local rendition (the detailed one first), nothing while a
-    local asset has none, else the remote preview."""
+def embedding_inputs(canonical: DataFrame, rows: DataFrame, renditions: DataFrame, local_assets: DataFrame, sources: list[str]) -> DataFrame:
+    """What each active canonical asset is embedded from: a rendition of the local file (the detailed one first) that is of
+    its current content, nothing while a local asset has none, else the remote preview.
+
+    The copy is the best active one on the configured sources: local ones first, then remote ones, then the latest, by
+    source key and id. Without such a copy there is nothing to embed.
+    """
+    mine = rows.where((F.col("visibility_status") == "active") & F.col("source_key").isin(sources))
+    rank = F.when(F.col("datasource_kind") == "local_filesystem", 0).when(F.col("datasource_kind") == "remote_mirror", 1).otherwise(2)
+    order = F.struct(rank.alias("rank"), (-F.unix_micros(F.col("captured_at").cast("timestamp"))).alias("late"), "source_key", "upstream_asset_id")
+    copy = mine.groupBy("canonical_asset_id").agg(F.min_by(F.struct("source_key", "upstream_asset_id", "datasource_kind"), order).alias("c")).select("canonical_asset_id", "c.*")
+    current = local_assets.where(F.col("visibility_status") == "active").select("source_key", "asset_id", F.col("sha1_hex").alias("source_sha1_hex"))
+    made = renditions.where((F.col("status") == "ready") & F.col("kind").isin("detail_preview", "preview") & (F.trim(F.coalesce("relative_path", F.lit(""))) != ""))
     prefer = F.when(F.col("kind") == "detail_preview", 0).otherwise(1)
-    ready = renditions.where((F.col("status") == "ready") & F.col("kind").isin("detail_preview", "preview") & (F.trim(F.coalesce("relative_path", F.lit(""))) != ""))
-    best = ready.groupBy("source_key", "asset_id").agg(F.min_by("kind", prefer).alias("rendition_kind"))
-    on = (F.col("primary_source_key") == F.col("source_key")) & (F.col("primary_upstream_asset_id") == F.col("asset_id"))
-    both = canonical.where(F.col("visibility_status") == "active").join(best, on, "left")
+    best = made.join(current, ["source_key", "asset_id", "source_sha1_hex"]).groupBy("source_key", F.col("asset_id").alias("upstream_asset_id")).agg(F.min_by("kind", prefer).alias("rendition_kind"))
+    both = canonical.where(F.col("visibility_status") == "active").select("canonical_asset_id").join(copy, "canonical_asset_id", "left").join(best, ["source_key", "upstream_asset_id"], "left")
     local, has = F.col("datasource_kind") == "local_filesystem", F.col("rendition_kind").isNotNull()
-    kind = F.when(local & has, F.concat(F.lit("local_"), "rendition_kind")).when(local, "").when(F.col("datasource_kind") == "remote_mirror", "remote_preview").otherwise("")
-    return both.select("canonical_asset_id", kind.alias("embedding_input"), F.when(local & ~has, "").otherwise(F.col("primary_source_key")).alias("embedding_source_key"))
+    kind = F.when(local & has, F.concat(F.lit("local_"), "rendition_kind")).when(F.col("datasource_kind") == "remote_mirror", "remote_preview").otherwise("")
+    of = lambda c: F.when(local & ~has, "").otherwise(F.coalesce(c, F.lit(""))).alias(f"embedding_{c}")
+    return both.select("canonical_asset_id", kind.alias("embedding_input"), of("source_key"), of("upstream_asset_id"))

@@ -98,6 +98,15 @@ def test_scalars(spark):
     assert [pick(S.clean_relative_path(F.lit(p))) for p in ("a/b", "/a", "a//b", "../a", "a/..", "", "a/./b", "..a/b")] == ["a/b", None, None, None, None, None, None, "..a/b"]
 
 
+def test_clean_paths(spark):
+    import posixpath
+
+    paths = ["/a//b/./c/", "/", "//", "/..", "/../a/..", "a/../..", "../a", "./", "a/b/../../..", " /x ", "/a/b/../c", "..", "a..b/.c"]
+    rows = spark.createDataFrame([(p,) for p in paths] + [("",), (" ",), (None,)], "p string").select("p", S.clean_path(F.col("p")).alias("c")).collect()
+    want = {p: posixpath.normpath(p.strip()) for p in paths} | {"": "", " ": "", None: None}
+    assert {r.p: r.c for r in rows} == {p: "/" if c == "//" else c for p, c in want.items()}
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([([1.0, 2.0, 3.0], [4.0, 5.0]), ([], [1.0]), ([0.0, 0.0], [0.0, 0.0])], "a array<float>, b array<float>")
     assert [r.x for r in rows.select(V.dot(F.col("a"), F.col("b")).alias("x")).collect()] == [14.0, 0.0, 0.0]
