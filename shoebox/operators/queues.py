@@ -15,14 +15,28 @@ def next_jobs(jobs: DataFrame, n: int, now: Column) -> DataFrame:
     return due.orderBy("priority", F.col("sort_at").desc(), "scheduled_at", "id").limit(n)
 
 
-def next_jobs_of_roots(jobs: DataFrame, roots: DataFrame, n: int) -> DataFrame:
-    """The same over roots of the current generation, n for each root at most, then n in all; jobs that an active job of
-    the same location stands before are left."""
-    own = jobs.where(F.col("status") == "queued").join(roots, ["source_key", "root_key", "root_generation"])
-    busy = jobs.where(F.col("status") == "running").select("location_id").distinct()
-    order = [F.col("priority"), F.col("sort_at").desc(), F.col("scheduled_at"), F.col("id")]
+def next_of_roots(jobs: DataFrame, roots: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """Jobs of roots of the current generation in the order: n of each root at most, then n in all."""
+    own = jobs.join(roots.select("source_key", "root_key", "root_generation"), ["source_key", "root_key", "root_generation"])
     each = F.row_number().over(Window.partitionBy("source_key", "root_key").orderBy(*order))
-    return own.join(busy, "location_id", "left_anti").withColumn("n", each).where(F.col("n") <= n).orderBy(*order).limit(n)
+    return own.withColumn("n", each).where(F.col("n") <= n).orderBy(*order).limit(n).drop("n")
+
+
+def next_metadata_jobs(jobs: DataFrame, roots: DataFrame, locations: DataFrame, n: int, now: Column) -> DataFrame:
+    """The next queued metadata jobs that are due, by root and then in all: by priority, the newest first, then by id. Jobs
+    of locations that are to be left alone until later (metadata_not_before) wait."""
+    due = jobs.where((F.col("kind") == "metadata") & (F.col("status") == "queued") & (F.col("scheduled_at") <= now) & F.col("location_id").isNotNull())
+    unsettled = locations.where(F.col("metadata_not_before") > now).select(F.col("id").alias("location_id"))
+    return next_of_roots(due.join(unsettled, "location_id", "left_anti"), roots, [F.col("priority"), F.col("sort_at").desc(), F.col("id")], n)
+
+
+def next_thumbnail_jobs(jobs: DataFrame, roots: DataFrame, assets: DataFrame, n: int) -> DataFrame:
+    """The next queued thumbnail jobs of roots that need no reconciliation, by root and then in all, with the asset's media
+    type ('' if it is gone): by priority, the newest first, then by when they were scheduled and id."""
+    own = jobs.where((F.col("kind") == "thumbnail") & (F.col("status") == "queued") & F.col("asset_id").isNotNull())
+    order = [F.col("priority"), F.col("sort_at").desc(), F.col("scheduled_at"), F.col("id")]
+    page = next_of_roots(own, roots.where(~F.col("reconciliation_pending")), order, n)
+    return page.join(assets.select("source_key", "asset_id", "media_type"), ["source_key", "asset_id"], "left").withColumn("media_type", F.coalesce("media_type", F.lit("")))
 
 
 def failed_last(rows: DataFrame, n: int) -> DataFrame:

@@ -19,9 +19,18 @@ def next_jobs(jobs):
     return Q.next_jobs(jobs, 100, at(NOW)).select("id", "priority")
 
 
-@query("next_jobs_of_roots", "WITH own AS (SELECT j.*, row_number() OVER (PARTITION BY j.source_key, j.root_key ORDER BY priority, sort_at DESC, scheduled_at, j.id) AS n FROM jobs j JOIN roots r ON r.source_key = j.source_key AND r.root_key = j.root_key AND r.root_generation = j.root_generation WHERE j.status = 'queued' AND NOT EXISTS (SELECT 1 FROM jobs b WHERE b.status = 'running' AND b.location_id = j.location_id)) SELECT id, root_key FROM own WHERE n <= 20 ORDER BY priority, sort_at DESC, scheduled_at, id LIMIT 20")
-def next_jobs_of_roots(jobs, roots):
-    return Q.next_jobs_of_roots(jobs, roots.select("source_key", "root_key", "root_generation"), 20).select("id", "root_key")
+@query("next_metadata_jobs", f"WITH own AS (SELECT j.*, row_number() OVER (PARTITION BY j.source_key, j.root_key ORDER BY priority, sort_at DESC, j.id) AS n FROM jobs j JOIN roots r ON r.source_key = j.source_key AND r.root_key = j.root_key AND r.root_generation = j.root_generation WHERE j.kind = 'metadata' AND j.status = 'queued' AND j.scheduled_at <= {NOW_SQL} AND j.location_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM locations l WHERE l.id = j.location_id AND l.id % 3 = 0)) SELECT id, root_key FROM own WHERE n <= 20 ORDER BY priority, sort_at DESC, id LIMIT 20")
+def next_metadata_jobs(jobs, roots, locations):
+    """Every third location has changed so lately that it is left alone for a while; others were."""
+    waits = locations.withColumn("metadata_not_before", F.when(F.col("id") % 3 == 0, at(NOW + 60)).when(F.col("id") % 3 == 1, at(NOW - 60)))
+    return Q.next_metadata_jobs(jobs, roots, waits, 20, at(NOW)).select("id", "root_key")
+
+
+@query("next_thumbnail_jobs", "WITH j AS (SELECT *, CASE WHEN location_id % 6 > 0 THEN 'a' || CAST(location_id % 5000 AS VARCHAR) END AS asset_id FROM jobs), own AS (SELECT j.*, row_number() OVER (PARTITION BY j.source_key, j.root_key ORDER BY priority, sort_at DESC, scheduled_at, j.id) AS n FROM j JOIN roots r ON r.source_key = j.source_key AND r.root_key = j.root_key AND r.root_generation = j.root_generation AND r.root_key <> 'root4' WHERE j.kind = 'thumbnail' AND j.status = 'queued' AND j.asset_id IS NOT NULL) SELECT o.id, o.root_key, coalesce(CASE WHEN a.primary_location_id % 4 = 0 THEN 'video' WHEN a.primary_location_id IS NOT NULL THEN 'image' END, '') AS media_type FROM (SELECT * FROM own WHERE n <= 30 ORDER BY priority, sort_at DESC, scheduled_at, id LIMIT 30) o LEFT JOIN local_assets a ON a.source_key = o.source_key AND a.asset_id = o.asset_id")
+def next_thumbnail_jobs(jobs, roots, local_assets):
+    own = jobs.withColumn("asset_id", F.when(F.col("location_id") % 6 > 0, F.concat(F.lit("a"), (F.col("location_id") % 5000).cast("string"))))
+    assets = local_assets.withColumn("media_type", F.when(F.col("primary_location_id") % 4 == 0, "video").otherwise("image"))
+    return Q.next_thumbnail_jobs(own, roots.withColumn("reconciliation_pending", F.col("root_key") == "root4"), assets, 30).select("id", "root_key", "media_type")
 
 
 @query("current_generation_jobs", "SELECT j.id FROM jobs j JOIN roots r ON r.source_key = j.source_key AND r.root_key = j.root_key AND r.root_generation = j.root_generation")
