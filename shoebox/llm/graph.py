@@ -7,15 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from shoebox.llm.common import Scratch
 
 
-def _starred(links: DataFrame, large: bool) -> DataFrame:
+#: Nodes with more than one in HUBS of all links are hubs; so there are fewer than 2 * HUBS of these.
+HUBS = 512
+
+
+def _starred(links: DataFrame, large: bool, hub: int) -> DataFrame:
     """One star step over (u, v), u > v: all links of a node are drawn to the smallest node beside it; they may repeat.
 
-    The minimum is aggregated before the shuffle and joined back, so that a node with very many links is split
-    like any skewed join instead of meeting in one task.
+    Minima are aggregated before the shuffle and joined back. Those of nodes with more than `hub` links are broadcast, so
+    that no node's links meet in one task.
     """
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    drawn = both.join(least, F.col("u") == F.col("k")).select("u", "v", "m")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
+    hubs, on = F.broadcast(least.where(F.col("n") > hub)), F.col("u") == F.col("k")
+    rest = both.join(hubs.select("k"), on, "left_anti").join(least.where(F.col("n") <= hub), on)
+    drawn = both.join(hubs, on).unionByName(rest).select("u", "v", "m")
     if large:
         drawn = drawn.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -33,11 +39,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node of the links (u, v): the smallest node that it reaches. Links may repeat.
 
     Each round is written to the scratch folder; there are O(log n) of them. A node's least neighbour is found by partial
-    minima, one row a node and task, so a node with very many links reads few rows; its links are then a join with that
-    one row, which may be split.
+    minima, one row a node and task; nodes with one in HUBS of all links are told apart and joined by a broadcast.
     """
     links = scratch.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     while not _are_stars(links):
-        links = scratch.written(_starred(_starred(links, large=True), large=False).distinct(), "links")
+        hub = max(1, links.count() // HUBS)
+        links = scratch.written(_starred(links, True, hub).distinct(), "large")
+        links = scratch.written(_starred(links, False, hub).distinct(), "small")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
