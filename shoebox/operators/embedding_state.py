@@ -12,14 +12,21 @@ def progress(eligible: DataFrame, vectors: DataFrame, model_id: str) -> DataFram
     return both.groupBy("source_key").agg(F.count("*").alias("eligible"), F.count_if(F.col("vector_status") == "ready").alias("completed"), F.count_if(F.col("vector_status") == "failed").alias("failed"))
 
 
-def to_embed(eligible: DataFrame, vectors: DataFrame, requests: DataFrame, model_id: str, n: int) -> DataFrame:
-    """The next n assets without a ready vector, or asked for again; failed ones last, then the newest first."""
-    own = vectors.where(F.col("model_id") == model_id).select("source_key", "asset_id", F.col("status").alias("vector_status"))
-    asked = requests.select("asset_id", F.lit(True).alias("asked")).distinct()
-    both = eligible.join(own, ["source_key", "asset_id"], "left").join(asked, "asset_id", "left")
-    open_ = F.col("vector_status").isNull() | (F.col("vector_status") != "ready") | F.coalesce("asked", F.lit(False))
-    late = F.when(F.col("vector_status") == "failed", 1).otherwise(0)
-    return both.where(open_).orderBy(late, F.col("captured_at").desc(), "asset_id").limit(n).select("source_key", "asset_id", "vector_status", late.alias("late"))
+def to_embed(eligible: DataFrame, vectors: DataFrame, requests: DataFrame, profile: dict, retry_before: Column, n: int) -> DataFrame:
+    """The next n eligible assets that have no vector of the profile (model_id, vector_space_id, embedding_dim): none at
+    all, one of another space or length, one that is still to be made, or one that failed before retry_before, at no known
+    time, or is asked for again. Failed ones come last, then the newest first, by source and id."""
+    keys = ["source_key", "asset_id"]
+    model = F.col("model_id") == profile["model_id"]
+    own = vectors.where(model).select(*keys, F.col("status").alias("vector_status"), "vector_space_id", "embedding_dim", "generated_at")
+    asked = requests.where(model).select(*keys, F.lit(True).alias("asked")).distinct()
+    both = eligible.join(own, keys, "left").join(asked, keys, "left")
+    failed = F.col("vector_status") == "failed"
+    again = failed & (F.col("generated_at").isNull() | (F.col("generated_at") <= retry_before) | F.coalesce("asked", F.lit(False)))
+    other = (F.col("vector_space_id") != profile["vector_space_id"]) | (F.col("embedding_dim") != profile["embedding_dim"])
+    open_ = F.col("vector_status").isNull() | other | ~F.col("vector_status").isin("ready", "failed") | again
+    late = F.when(failed, 1).otherwise(0)
+    return both.where(open_).orderBy(late, F.col("captured_at").desc(), *keys).limit(n).select(*keys, "vector_status", late.alias("late"))
 
 
 def stale_inputs(inputs: DataFrame, vectors: DataFrame, stored: DataFrame, requests: DataFrame) -> DataFrame:

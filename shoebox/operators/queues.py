@@ -57,10 +57,15 @@ def with_priority(assets: DataFrame, first: int, high: int = 0, low: int = 10) -
     return assets.join(newest, "asset_id", "left").withColumn("priority", F.coalesce("p", F.lit(low))).drop("p")
 
 
-def stalest(rows: DataFrame, now: Column, retry_seconds: int) -> DataFrame:
-    """The row never tried, or tried longest ago but not within retry_seconds."""
-    due = F.col("attempted_at").isNull() | (F.col("attempted_at") <= now - F.make_dt_interval(secs=F.lit(retry_seconds)))
-    return rows.where(due).orderBy(F.col("attempted_at").asc_nulls_first(), "id").limit(1)
+def stalest(locations: DataFrame, roots: DataFrame, cutoff: Column, retry_before: Column) -> DataFrame:
+    """The active location with a known content that was verified and tried before the cutoff or never, and, if that went
+    wrong, not since retry_before, of a root that needs no reconciliation: the one tried longest ago, never first, by id."""
+    steady = roots.where(~F.col("reconciliation_pending")).select("source_key", "root_key")
+    before = lambda c: F.col(c).isNull() | (F.col(c) < cutoff)
+    known = (F.col("status") == "active") & F.col("asset_id").isNotNull() & F.col("sha1_hex").isNotNull()
+    retry = F.col("verification_error").isNull() | F.col("attempted_at").isNull() | (F.col("attempted_at") <= retry_before)
+    due = locations.where(known & before("verified_at") & before("attempted_at") & retry)
+    return due.join(steady, ["source_key", "root_key"]).orderBy(F.col("attempted_at").asc_nulls_first(), "id").limit(1)
 
 
 def within_quotas(rows: DataFrame, quotas: DataFrame) -> DataFrame:

@@ -49,9 +49,10 @@ def first_view_order(locations):
     return Q.first_view_order(locations.select(ids.alias("asset_id"), F.col("mtime").alias("captured_at")), 50, 400).select("asset_id")
 
 
-@query("stalest_location", "SELECT id FROM locations WHERE status = 'active' AND id > 10 AND id % 3 > 0 AND (attempted_at IS NULL OR attempted_at <= TIMESTAMP '2024-01-01 01:00:00' - INTERVAL 600 SECOND) ORDER BY attempted_at NULLS FIRST, id LIMIT 1")
-def stalest_location(locations):
-    return Q.stalest(locations.where("status = 'active' AND id > 10 AND id % 3 > 0"), at(3600), 600).select("id")
+@query("stalest_location", "SELECT l.id FROM locations l JOIN roots r ON r.source_key = l.source_key AND r.root_key = l.root_key WHERE status = 'active' AND asset_id IS NOT NULL AND l.id % 7 > 0 AND (verified_at IS NULL OR verified_at < TIMESTAMP '2024-01-01 00:15:00') AND attempted_at < TIMESTAMP '2024-01-01 00:15:00' AND (l.id % 2 > 0 OR attempted_at <= TIMESTAMP '2024-01-01 00:05:00') AND r.root_key <> 'root4' AND l.id > 10 ORDER BY attempted_at NULLS FIRST, l.id LIMIT 1")
+def stalest_location(locations, roots):
+    rows = locations.where("attempted_at IS NOT NULL AND id > 10").withColumns({"sha1_hex": F.when(F.col("id") % 7 > 0, "x"), "verification_error": F.when(F.col("id") % 2 == 0, "e")})
+    return Q.stalest(rows, roots.withColumn("reconciliation_pending", F.col("root_key") == "root4"), at(900), at(300)).select("id")
 
 
 @query("round_robin_quotas", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY captured_at DESC, id) AS n FROM vectors) WHERE n <= CASE WHEN source_key = 'src0' THEN 34 ELSE 33 END")

@@ -107,9 +107,15 @@ def embedding_progress(vectors):
     return E.progress(eligible(vectors), vectors, "model1")
 
 
-@query("assets_to_embed", f"SELECT e.source_key, e.asset_id, v.status AS vector_status, CASE WHEN v.status = 'failed' THEN 1 ELSE 0 END AS late FROM {ELIGIBLE} e LEFT JOIN vectors v ON v.source_key = e.source_key AND v.asset_id = e.asset_id AND v.model_id = 'model1' WHERE v.status IS NULL OR v.status <> 'ready' OR e.id % 20 = 0 ORDER BY late, e.captured_at DESC, e.asset_id LIMIT 280")
+PROFILED = "(SELECT *, CASE WHEN id % 9 = 0 THEN 'old' ELSE 'space' END AS vector_space_id, CASE WHEN id % 13 = 0 THEN 32 ELSE 64 END AS embedding_dim, CASE WHEN id % 5 > 0 THEN captured_at END AS generated_at FROM vectors WHERE id % 8 > 0)"
+
+
+@query("assets_to_embed", f"SELECT e.source_key, e.asset_id, v.status AS vector_status, CASE WHEN v.status = 'failed' THEN 1 ELSE 0 END AS late FROM {ELIGIBLE} e LEFT JOIN {PROFILED} v ON v.source_key = e.source_key AND v.asset_id = e.asset_id AND v.model_id = 'model1' WHERE v.asset_id IS NULL OR v.vector_space_id <> 'space' OR v.embedding_dim <> 64 OR v.status NOT IN ('ready', 'failed') OR v.status = 'failed' AND (v.generated_at IS NULL OR v.generated_at <= TIMESTAMP '2024-01-01 01:00:00' OR e.id % 20 = 7) ORDER BY late, e.captured_at DESC, e.source_key, e.asset_id LIMIT 1280")
 def assets_to_embed(vectors):
-    return E.to_embed(eligible(vectors), vectors, vectors.where("id % 20 = 0").select("asset_id"), "model1", 280)
+    i = F.col("id")
+    own = vectors.where("id % 8 > 0").withColumns({"vector_space_id": F.when(i % 9 == 0, "old").otherwise("space"), "embedding_dim": F.when(i % 13 == 0, 32).otherwise(64), "generated_at": F.when(i % 5 > 0, F.col("captured_at"))})
+    profile = {"model_id": "model1", "vector_space_id": "space", "embedding_dim": 64}
+    return E.to_embed(eligible(vectors), own, vectors.where("id % 20 = 7"), profile, at(3600), 1280)
 
 
 @query("stale_inputs", "SELECT i.asset_id, CASE WHEN i.id % 12 = 0 THEN 'wait' WHEN i.id % 3 = 0 THEN 'embed' WHEN i.id % 5 = 0 THEN 'embed_again' WHEN i.status = 'failed' AND i.id % 2 = 0 THEN 'retry' WHEN i.status = 'failed' THEN 'failed' ELSE 'ready' END AS todo FROM vectors i")
