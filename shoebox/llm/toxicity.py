@@ -216,23 +216,28 @@ def fit_tagger(texts: list[str], toxic: list[int]) -> ToxicTagger:
     if not tags.any():
         return none
     found = [features(w) for w in kinds]
-    rows, cols = np.repeat(np.arange(len(kinds)), [len(f) for f in found]), np.array([x for f in found for x in f])
+    # only buckets that a training word has get a weight
+    used, cols = np.unique(np.array([x for f in found for x in f]), return_inverse=True)
+    rows = np.repeat(np.arange(len(kinds)), [len(f) for f in found])
     gold, lengths, row, column = gridded(tags.astype(float), sizes)
     a, b = gold[:-1].astype(int), gold[1:].astype(int)
     both = np.arange(1, SEQUENCE)[:, None] < lengths[None, :]
     gold_moves = np.array([[((a == i) & (b == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
     # from the log odds of the tags on: clean words then have little to learn
-    w, bias, first, move = np.zeros(BUCKETS), float(np.log(tags.sum() / (len(tags) - tags.sum() + 1))), 0.0, np.zeros((2, 2))
-    g2w, g2b, g2f, g2m = np.full(BUCKETS, 1e-2), 1.0, 1.0, np.full((2, 2), 1.0)
+    w, bias, first, move = np.zeros(len(used)), float(np.log(tags.sum() / (len(tags) - tags.sum() + 1))), 0.0, np.zeros((2, 2))
+    g2w, g2b, g2f, g2m = np.full(len(used), 1e-2), 1.0, 1.0, np.full((2, 2), 1.0)
+    e = np.zeros_like(gold)
     for _ in range(ROUNDS):
-        e = gridded((bias + np.bincount(rows, w[cols], minlength=len(kinds)))[of_token], sizes)[0]
+        e[column, row] = (bias + np.bincount(rows, w[cols], minlength=len(kinds)))[of_token]
         p, parts = forward_backward(e, lengths, first, move)
         off = np.bincount(of_token, tags - p[column, row], minlength=len(kinds))
-        gw = np.bincount(cols, off[rows], minlength=BUCKETS) - DECAY * w
+        gw = np.bincount(cols, off[rows], minlength=len(used)) - DECAY * w
         gb, gf, gm = off.sum(), float((gold[0] - p[0]).sum()), gold_moves - expected_moves(e, lengths, parts, move)
         g2w, g2b, g2f, g2m = g2w + gw**2, g2b + gb**2, g2f + gf**2, g2m + gm**2
         w, bias, first, move = w + RATE * gw / np.sqrt(g2w), bias + RATE * gb / g2b**0.5, first + RATE * gf / g2f**0.5, move + RATE * gm / np.sqrt(g2m)
-    return ToxicTagger(w.astype(np.float32), float(bias), first, move)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[used] = w
+    return ToxicTagger(weights, float(bias), first, move)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, short: int = TRAIN_SHORT) -> ToxicTagger:
