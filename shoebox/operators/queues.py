@@ -51,6 +51,22 @@ def first_view_order(assets: DataFrame, first: int, n: int) -> DataFrame:
     return both.orderBy("view_rank", F.substring("asset_id", -8, 8), "asset_id").limit(n)
 
 
+def thumbnail_jobs(assets: DataFrame, jobs: DataFrame, first: int, n: int, high: int = 0, low: int = 10, videos: bool = True) -> DataFrame:
+    """(source_key, asset_id, priority, sort_at) of the next n thumbnail jobs to be queued for one source: its active images,
+    and videos, that wait for a thumbnail and have no queued or running thumbnail job.
+
+    The newest `first` of all active ones, waiting or not, come first and get the high priority; the others follow as if
+    shuffled, by the end of their ids.
+    """
+    pool = assets.where((F.col("visibility_status") == "active") & F.col("media_type").isin("image", *["video"] * videos))
+    order = [F.col("captured_at").desc(), F.col("asset_id")]
+    newest = pool.orderBy(*order).limit(first).select("asset_id", F.row_number().over(Window.orderBy(*order)).alias("view_rank"))  # first rows
+    busy = jobs.where((F.col("kind") == "thumbnail") & F.col("status").isin(*ACTIVE)).select("source_key", "asset_id")
+    waiting = pool.where(F.col("thumbnail_status") == "pending").join(busy, ["source_key", "asset_id"], "left_anti").join(newest, "asset_id", "left")
+    next_ = waiting.orderBy(F.coalesce("view_rank", F.lit(1_000_000)), F.substring("asset_id", -8, 8), "asset_id").limit(n)
+    return next_.select("source_key", "asset_id", F.when(F.col("view_rank").isNotNull(), high).otherwise(low).alias("priority"), F.col("captured_at").alias("sort_at"))
+
+
 def with_priority(assets: DataFrame, first: int, high: int = 0, low: int = 10) -> DataFrame:
     """The newest `first` assets get the high priority."""
     newest = assets.orderBy(F.col("captured_at").desc(), "asset_id").limit(first).select("asset_id", F.lit(high).alias("p"))

@@ -49,6 +49,14 @@ def first_view_order(locations):
     return Q.first_view_order(locations.select(ids.alias("asset_id"), F.col("mtime").alias("captured_at")), 50, 400).select("asset_id")
 
 
+@query("new_thumbnail_jobs", "WITH a AS (SELECT *, CASE WHEN primary_location_id % 4 = 0 THEN 'video' ELSE 'image' END AS media_type, CASE WHEN primary_location_id % 3 > 0 THEN 'pending' ELSE 'ready' END AS thumbnail_status FROM local_assets WHERE source_key = 'local1'), ranked AS (SELECT *, row_number() OVER (ORDER BY captured_at DESC, asset_id) AS n FROM a WHERE visibility_status = 'active' AND media_type = 'image') SELECT source_key, asset_id, CASE WHEN n <= 40 THEN 0 ELSE 10 END AS priority FROM ranked r WHERE thumbnail_status = 'pending' AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.source_key = r.source_key AND 'a' || CAST(j.location_id % 5000 AS VARCHAR) = r.asset_id AND j.kind = 'thumbnail' AND j.status IN ('queued', 'running')) ORDER BY CASE WHEN n <= 40 THEN n ELSE 1000000 END, substr(asset_id, -8), asset_id LIMIT 90")
+def new_thumbnail_jobs(local_assets, jobs):
+    i = F.col("primary_location_id")
+    assets = local_assets.where("source_key = 'local1'").withColumns({"media_type": F.when(i % 4 == 0, "video").otherwise("image"), "thumbnail_status": F.when(i % 3 > 0, "pending").otherwise("ready")})
+    own = jobs.withColumn("asset_id", F.concat(F.lit("a"), (F.col("location_id") % 5000).cast("string")))
+    return Q.thumbnail_jobs(assets, own, 40, 90, videos=False).select("source_key", "asset_id", "priority")
+
+
 @query("stalest_location", "SELECT l.id FROM locations l JOIN roots r ON r.source_key = l.source_key AND r.root_key = l.root_key WHERE status = 'active' AND asset_id IS NOT NULL AND l.id % 7 > 0 AND (verified_at IS NULL OR verified_at < TIMESTAMP '2024-01-01 00:15:00') AND attempted_at < TIMESTAMP '2024-01-01 00:15:00' AND (l.id % 2 > 0 OR attempted_at <= TIMESTAMP '2024-01-01 00:05:00') AND r.root_key <> 'root4' AND l.id > 10 ORDER BY attempted_at NULLS FIRST, l.id LIMIT 1")
 def stalest_location(locations, roots):
     rows = locations.where("attempted_at IS NOT NULL AND id > 10").withColumns({"sha1_hex": F.when(F.col("id") % 7 > 0, "x"), "verification_error": F.when(F.col("id") % 2 == 0, "e")})
