@@ -102,10 +102,13 @@ def reason_of(status: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), S.trimmed(status)), S.trimmed(status))
 
 
-def pending_capture_metadata(locations: DataFrame, done: DataFrame, version: int, zone: str) -> DataFrame:
-    """Assets whose chosen location (the least id of active ones) was not read by this version and zone yet."""
-    chosen = locations.where((F.col("status") == "active") & F.col("asset_id").isNotNull()).groupBy("source_key", "asset_id").agg(F.min("id").alias("location_id"))
-    return chosen.join(done.where((F.col("version") == version) & (F.col("zone") == zone)), ["source_key", "asset_id"], "left_anti")
+def pending_capture_metadata(locations: DataFrame, assets: DataFrame, done: DataFrame, version: int, zone: str) -> DataFrame:
+    """(source_key, asset_id, root_key, location_id) of active assets that were not read by this version and zone yet, with
+    the location of each root to read: the asset's primary one if it is active there, else the least id that is."""
+    todo = assets.where(F.col("visibility_status") == "active").join(done.where((F.col("version") == version) & (F.col("zone") == zone)), ["source_key", "asset_id"], "left_anti")
+    rows = locations.where(F.col("status") == "active").select("source_key", "asset_id", "root_key", "id").join(todo.select("source_key", "asset_id", "primary_location_id"), ["source_key", "asset_id"])
+    order = F.struct((~F.col("id").eqNullSafe(F.col("primary_location_id"))).alias("other"), "id")
+    return rows.groupBy("source_key", "asset_id", "root_key").agg(F.min_by("id", order).alias("location_id"))
 
 
 def skip_counts(skipped: DataFrame) -> DataFrame:

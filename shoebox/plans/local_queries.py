@@ -72,10 +72,10 @@ def location_diagnostics(locations, roots, local_assets):
     return L.diagnostics(locations, roots, local_assets)
 
 
-@query("capture_metadata_pending", "WITH chosen AS (SELECT source_key, asset_id, min(id) AS location_id FROM locations WHERE status = 'active' AND asset_id IS NOT NULL GROUP BY ALL) SELECT source_key, asset_id, location_id FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM locations d WHERE d.source_key = c.source_key AND d.asset_id = c.asset_id AND d.id % 3 = 2)")
-def capture_metadata_pending(locations):
+@query("capture_metadata_pending", "SELECT source_key, asset_id, root_key, id AS location_id FROM (SELECT l.*, row_number() OVER (PARTITION BY l.source_key, l.asset_id, l.root_key ORDER BY CASE WHEN l.id = a.primary_location_id THEN 0 ELSE 1 END, l.id) AS n FROM locations l JOIN local_assets a ON a.source_key = l.source_key AND a.asset_id = l.asset_id WHERE l.status = 'active' AND a.visibility_status = 'active' AND NOT EXISTS (SELECT 1 FROM locations d WHERE d.source_key = a.source_key AND d.asset_id = a.asset_id AND d.id % 3 = 2)) WHERE n = 1")
+def capture_metadata_pending(locations, local_assets):
     done = locations.where("id % 3 > 0").select("source_key", "asset_id", (F.col("id") % 3).alias("version"), F.lit("UTC").alias("zone"))
-    return L.pending_capture_metadata(locations, done, 2, "UTC").select("source_key", "asset_id", "location_id")
+    return L.pending_capture_metadata(locations, local_assets, done, 2, "UTC")
 
 
 @query("local_registration", """WITH n AS (SELECT source_key, sha1(CAST(id % 700 AS VARCHAR)) || '-' || CAST(id % 700 AS VARCHAR) AS asset_id, min(id) AS n_location, min(mtime) AS n_captured, max(CASE WHEN id % 2 = 0 THEN 'D' || CAST(id AS VARCHAR) END) AS n_duration FROM locations WHERE id % 3 = 0 GROUP BY 1, 2),
