@@ -127,7 +127,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     equal items count as they stand. An empty benchmark hits nothing. Only the named columns are read;
     those in carry are passed on, and may not be named like the results.
     """
-    if clash := {"n_words", "n_hit", "items", "spans"} & {id_col, *carry}:
+    if clash := {"n_words", "n_hit", "items", "spans", "runs"} & {id_col, *carry}:
         raise ValueError(f"carried columns are named like results: {sorted(clash)}")
     names = [id_col, *carry]
     source = docs.select(F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__hash"), *names)
