@@ -14,7 +14,7 @@ spark = local_session("4", 4)
 spark.sparkContext.setLogLevel("ERROR")
 assert spark.conf.get("spark.checkpoint.dir", None) is None
 for name, query in entry.queries().items():
-    if not name.startswith("op") and name != "pipeline" or "all" in sys.argv:
+    if (name.startswith("op") or name == "pipeline") == ("text" in sys.argv):
         query(spark, os.environ["SMALL"]).write.format("noop").mode("overwrite").save()
 root = shared_root(spark)
 assert os.path.isdir(root), root
