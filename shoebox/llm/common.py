@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextvars import ContextVar
@@ -11,6 +10,9 @@ from contextvars import ContextVar
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from shoebox import session
+from shoebox.session import remove
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -34,21 +36,10 @@ def inside(spark: SparkSession, what: str) -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's path in the place that the cluster shares (spark.checkpoint.dir).
-
-    Only a local session may leave that unset, as tests do: a temporary folder then serves and is set. Elsewhere the
-    executors would each write to a disk of their own, so that is an error.
-    """
+    """A new folder's path below the application's own (session.shared_root()), or below that of inside()."""
     if top := _INSIDE.get():
         return f"{top}/{what}-{uuid.uuid4().hex}"
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return session.shared_dir(spark, what)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -89,19 +80,8 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that shared_dir() named, through Hadoop's file systems."""
-    p, files = _hadoop(spark, path)
-    files.delete(p, True)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    p, files = _hadoop(spark, path)
+    p, files = session.hadoop(spark, path)
     return files.exists(p)
 
 
