@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoebox.llm import bpe, decontam, fingerprint, htmltext, langid, linededup, simhash, tokencount, toxicity, urlrules
+from shoebox.llm import bpe, decontam, fingerprint, htmltext, langid, linededup, merkle, simhash, tokencount, toxicity, urlrules
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filters": urlrules.op9_url_filters,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 ORACLE = {
     "op4_decontamination": decontam.ORACLE,
     "op9_url_filters": urlrules.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
