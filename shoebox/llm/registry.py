@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoebox.llm import bpe, decontam, fingerprint, htmltext, langid, linededup, merkle, simhash, tokencount, toxicity, urlrules
+from shoebox.llm import bpe, decontam, fingerprint, htmltext, langid, linededup, merkle, quality, simhash, tokencount, toxicity, urlrules, vectorcodes
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_url_filters": urlrules.op9_url_filters,
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_quality": quality.op12_quality,
+    "op13_vector_codes": vectorcodes.op13_vector_codes,
 }
 ORACLE = {
     "op4_decontamination": decontam.ORACLE,
     "op9_url_filters": urlrules.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_vector_codes": vectorcodes.ORACLE,
 }
