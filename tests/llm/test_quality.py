@@ -49,7 +49,7 @@ def test_tree_cuts_where_the_gradient_changes():
     g = np.array([[1.0], [1.0], [-1.0], [-1.0], [1.0], [1.0]]) * 50
     tree = Q.shallow_tree(g, np.full((6, 1), 25.0), np.full((6, 1), 100.0))
     assert (np.sign(tree) == np.sign(g)).all() and len(set(tree.ravel().round(9))) == 3 - (tree[0, 0] == tree[5, 0])
-    both = np.array([[1.0, -1.0], [-1.0, 1.0]]) * 40 + 1
+    both = np.array([[60.0, -20.0], [-60.0, 40.0]])  # a greedy first cut needs some gain
     assert (np.sign(Q.shallow_tree(both, np.full((2, 2), 25.0), np.full((2, 2), 50.0))) == np.sign(both)).all()
 
 
