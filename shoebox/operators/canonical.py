@@ -90,17 +90,21 @@ def needs_repair(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     return missing.agg((F.count("*") > 0).alias("needs_repair"))
 
 
+def _first_of_each(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """The first row of each group, found by partial aggregation: a group with very many rows never meets in one task."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(group).alias("__group")).agg(first.alias("r")).select("r.*")
+
+
 def displayed_source(rows: DataFrame, sources: list[str]) -> DataFrame:
     """The first active copy of each canonical asset on the configured sources, by source key and id."""
     mine = rows.where(F.col("source_key").isin(sources) & (F.col("visibility_status") == "active"))
-    first = F.row_number().over(Window.partitionBy("canonical_asset_id").orderBy(*KEY))
-    return mine.withColumn("n", first).where("n = 1").drop("n")
+    return _first_of_each(mine, "canonical_asset_id", KEY)
 
 
 def preferred_source(rows: DataFrame) -> DataFrame:
     """The best active copy of each canonical asset: local ones first, then by source key and id."""
-    first = F.row_number().over(Window.partitionBy("canonical_asset_id").orderBy("datasource_rank", *KEY))
-    return source_rank(rows).where(F.col("visibility_status") == "active").withColumn("n", first).where("n = 1").drop("n")
+    return _first_of_each(source_rank(rows).where(F.col("visibility_status") == "active"), "canonical_asset_id", ["datasource_rank", *KEY])
 
 
 # Paths that a remote library shares with a local root

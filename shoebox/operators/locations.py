@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shoebox.functions import scalars as S
 
+#: Sources of a capture time that any read of the primary location may replace.
+WEAK_TIMES = ("file_mtime", "scan_time")
+
 
 def changed_directories(seen: DataFrame, stored: DataFrame) -> DataFrame:
     """(directory, change): new and modified directories, and those that had been blocked; stored ones not seen are gone."""
@@ -80,12 +83,29 @@ def visibility_changes(assets: DataFrame, locations: DataFrame) -> DataFrame:
     return both.where((F.col("visibility_status") != F.col("new_status")) | ~F.col("primary_location_id").eqNullSafe(F.col("new_location"))).select("source_key", "asset_id", "new_status", "new_location")
 
 
-def registered(assets: DataFrame, read: DataFrame) -> DataFrame:
-    """Assets after metadata was read: the id is the content's; what is known stays, unknown columns are filled."""
+def registered(assets: DataFrame, read: DataFrame, now: Column) -> DataFrame:
+    """Assets after metadata was read (source_key, location_id, sha1_hex, size_bytes, media_type, filename, captured_at,
+    captured_source, checked, duration, seq), in the order of seq; an asset's id is that of its content. Of several reads of
+    one location with one content the last counts.
+
+    A new asset is what its first read says. Any read makes an asset active, gives it its duration, unless that is null, and
+    a primary location if it has none. Only a read of the primary location changes the capture time that is there: if it
+    was checked, or while the stored time is just that of the file or of the scan.
+    """
+    key = ["source_key", "asset_id"]
+    told = ("media_type", "filename", "captured_at", "captured_source", "checked", "duration", "seq")
     new = read.withColumn("asset_id", S.local_asset_id(F.col("sha1_hex"), F.col("size_bytes")))
-    new = new.groupBy("source_key", "asset_id").agg(F.min("location_id").alias("n_location"), F.min("captured_at").alias("n_captured"), F.max("duration").alias("n_duration"))
-    both = assets.join(new, ["source_key", "asset_id"], "full_outer")
-    return both.select("source_key", "asset_id", F.coalesce("primary_location_id", "n_location").alias("primary_location_id"), F.coalesce("captured_at", "n_captured").alias("captured_at"), F.coalesce("n_duration", "duration").alias("duration"))
+    new = new.groupBy(*key, "location_id").agg(F.max_by(F.struct(*told), "seq").alias("r")).select(*key, "location_id", "r.*")
+    each = new.groupBy(*key).agg(F.min_by(F.struct("location_id", *told), "seq").alias("first"), F.max_by("duration", F.when(F.col("duration").isNotNull(), F.col("seq"))).alias("n_duration"))
+    both = assets.join(each, key, "full_outer").withColumn("primary_location_id", F.coalesce("primary_location_id", "first.location_id"))
+    had, is_read = F.col("visibility_status").isNotNull(), F.col("first").isNotNull()
+    both = both.withColumns({c: F.when(had, F.col(c)).otherwise(F.col(f"first.{c}")) for c in ("media_type", "filename", "captured_at", "captured_source")})
+    of_primary = new.select(*key, F.col("location_id").alias("primary_location_id"), F.struct("captured_at", "captured_source", "checked").alias("own"))
+    both = both.join(of_primary, [*key, "primary_location_id"], "left")
+    take = F.col("own").isNotNull() & (F.col("own.checked") | F.col("captured_source").isin(*WEAK_TIMES))
+    out = {c: F.when(take, F.col(f"own.{c}")).otherwise(F.col(c)) for c in ("captured_at", "captured_source")}
+    out |= {"visibility_status": F.when(is_read, "active").otherwise(F.col("visibility_status")), "duration": F.coalesce("n_duration", "duration"), "updated_at": F.when(is_read, now).otherwise(F.col("updated_at"))}
+    return both.select(*(out[c].alias(c) if c in out else F.col(c) for c in assets.columns))
 
 
 def diagnostics(locations: DataFrame, roots: DataFrame, assets: DataFrame) -> DataFrame:

@@ -56,22 +56,33 @@ def last_of_each(batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
 
 
-def merged(old: DataFrame, batch: DataFrame, keys: list[str], columns: list[str], seq: str = "seq", excluded: str = "excluded") -> DataFrame:
-    """The snapshot after an incremental batch: the last row of a key wins; excluded rows hide what is there and add
-    nothing. Merging the same batch again changes nothing."""
+def merged(old: DataFrame, batch: DataFrame, keys: list[str], columns: list[str], seq: str = "seq", excluded: str = "excluded", source_time: str | None = None) -> DataFrame:
+    """The snapshot after an incremental batch; the last row of a key wins. Merging the same batch again changes nothing.
+
+    A row that the batch names is active again (or what the batch's own visibility_status says), and that alone is a change.
+    An excluded row is out of scope from then on, keeps its columns, but takes the source's time (source_time) if the batch
+    has one, which is a change, too; one that was never there adds nothing.
+    """
     new = last_of_each(batch, keys, seq)
     both = paired(old, new, keys)
     drop = F.coalesce(F.col(f"n.{excluded}"), F.lit(False))
     both = both.where(F.col("o").isNotNull() | ~drop)
-    take = F.col("n").isNotNull() & ~drop & (F.col("o").isNull() | differs(columns))
-    both = both.withColumn("change", F.when(drop & (F.col("o.visibility_status") != "out_of_scope"), "excluded").when(F.col("o").isNull(), "new").when(take, "changed").otherwise("same"))
+    shown = F.coalesce("n.visibility_status", F.lit("active")) if "visibility_status" in new.columns else F.lit("active")
+    compared = [*columns, *([source_time] if source_time and source_time not in columns else [])]
+    hides = ~F.col("o.visibility_status").eqNullSafe(F.lit("out_of_scope"))
+    if source_time:
+        hides = hides | (F.col(f"n.{source_time}").isNotNull() & ~F.col(f"n.{source_time}").eqNullSafe(F.col(f"o.{source_time}")))
+    alters = differs(compared) | ~F.col("o.visibility_status").eqNullSafe(shown)
+    change = F.when(F.col("n").isNull(), "same").when(drop, F.when(hides, "excluded").otherwise("same")).when(F.col("o").isNull(), "new").when(alters, "changed").otherwise("same")
+    both = both.withColumn("change", change)
     out = [F.col(k) for k in keys]
     for c in old.columns:
         if c == "visibility_status":
-            own = F.coalesce("n.visibility_status", "o.visibility_status") if c in new.columns else F.coalesce("o.visibility_status", F.lit("active"))
-            out.append(F.when(F.col("change") == "excluded", "out_of_scope").when(take, own).otherwise(F.coalesce("o.visibility_status", own)).alias(c))
+            out.append(F.when(drop, "out_of_scope").when(F.col("n").isNotNull(), shown).otherwise(F.col("o.visibility_status")).alias(c))
+        elif c == source_time:
+            out.append(F.when(drop, F.coalesce(f"n.{c}", f"o.{c}")).when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         elif c in columns:
-            out.append(F.when(take, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
+            out.append(F.when(F.col("n").isNotNull() & ~drop, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         elif c not in keys:
             out.append(F.col(f"o.{c}").alias(c))
     return both.select(*out, "change")

@@ -99,49 +99,117 @@ def without_active_job(assets: DataFrame, jobs: DataFrame, on: list[str]) -> Dat
     return assets.join(jobs.where(F.col("status").isin(*ACTIVE)), on, "left_anti")
 
 
-def claimed(jobs: DataFrame, ids: DataFrame, owner: str, until: Column) -> DataFrame:
-    """Queued jobs of the ids run under the owner's lease."""
-    take = F.col("mine").isNotNull() & (F.col("status") == "queued")
-    both = jobs.join(ids.select("id").distinct().withColumn("mine", F.lit(True)), "id", "left")
-    return both.withColumns({"owner": F.when(take, F.lit(owner)).otherwise(F.col("owner")), "lease_until": F.when(take, until).otherwise(F.col("lease_until")), "status": F.when(take, "running").otherwise(F.col("status"))}).drop("mine")
+# Index jobs: one worker holds a job for the time of its lease; which try it is on tells its reports from late ones.
 
 
 def expired(jobs: DataFrame, now: Column) -> DataFrame:
-    """Running jobs whose lease is over have failed and wait for their delay."""
-    over = (F.col("status") == "running") & (F.col("lease_until") <= now)
-    wait = now + F.make_dt_interval(secs=S.retry_delay(F.col("attempts") + 1))
-    return jobs.withColumns({"scheduled_at": F.when(over, wait).otherwise(F.col("scheduled_at")), "attempts": F.col("attempts") + F.when(over, 1).otherwise(0), "status": F.when(over, "failed").otherwise(F.col("status"))})
-
-
-def outcome(jobs: DataFrame, outcomes: DataFrame, now: Column, most_attempts: int = 5) -> DataFrame:
-    """Jobs after (id, owner, generation, result): done ones go; failed ones wait or are given up; deferred ones are
-    queued again. Only the owner's running job of the current generation is touched."""
-    o = outcomes.select("id", F.col("owner").alias("by"), F.col("root_generation").alias("of"), "result")
-    both = jobs.join(o, "id", "left")
-    mine = (F.col("status") == "running") & (F.col("owner") == F.col("by")) & (F.col("root_generation") == F.col("of"))
-    mine = F.coalesce(mine, F.lit(False))
-    done, failed, deferred = mine & (F.col("result") == "done"), mine & (F.col("result") == "failed"), mine & (F.col("result") == "deferred")
-    tries = F.col("attempts") + F.when(failed, 1).otherwise(0)
-    wait = now + F.make_dt_interval(secs=S.retry_delay(F.col("attempts") + 1))
-    status = F.when(failed & (F.col("attempts") + 1 >= most_attempts), "failed").when(failed | deferred, "queued").otherwise(F.col("status"))
-    both = both.where(~done)
-    return both.withColumns({"scheduled_at": F.when(failed, wait).otherwise(F.col("scheduled_at")), "status": status, "attempts": tries, "owner": F.when(failed | deferred, F.lit(None)).otherwise(F.col("owner"))}).drop("by", "of", "result")
-
-
-def reset_running(jobs: DataFrame) -> DataFrame:
-    """After a restart nothing runs: running jobs are queued again."""
-    return jobs.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))
-
-
-def repaired(jobs: DataFrame, targets: DataFrame, locations: DataFrame) -> DataFrame:
-    """One queued job for each target asset: its least active location's queued job, else the newest failed one queued
-    again, else a new one (no id). Failed jobs that this supersedes are gone."""
-    place = locations.where(F.col("status") == "active").join(targets, ["source_key", "asset_id"], "left_semi").groupBy("source_key", "asset_id").agg(F.min("id").alias("location_id"))
-    queued, failed = F.when(F.col("status") == "queued", F.col("id")), F.when(F.col("status") == "failed", F.col("id"))
-    running = F.when(F.col("status") == "running", F.col("id"))
-    best = jobs.groupBy("location_id").agg(F.coalesce(F.max(running), F.max(queued), F.max(failed)).alias("id"), F.max(running).alias("running"), F.count_if(F.col("status") == "failed").alias("failed"))
-    both = place.join(best, "location_id", "left")
-    return both.select("source_key", "asset_id", "location_id", "id", F.when(F.col("running").isNotNull(), "running").otherwise("queued").alias("status"), F.coalesce("failed", F.lit(0)).alias("failed_before"))
+    """Running jobs whose lease is over have failed; they may be claimed again at once, and no try is added."""
+    over = F.coalesce((F.col("status") == "running") & (F.col("lease_until") <= now), F.lit(False))
+    return _changed(jobs, over, status=F.lit("failed"), scheduled_at=now, lease_until=F.lit(None), last_error=F.lit("lease expired"))
+
+
+def claimed(jobs: DataFrame, sources: list[str], now: Column, until: Column, n: int = 1) -> DataFrame:
+    """After leases that are over are: the n next jobs run until their new lease ends, on one more try.
+
+    Queued and failed jobs that are due are taken: by the order of the sources, then by priority, the time they are due,
+    and id. Jobs of other sources are left alone.
+    """
+    jobs = expired(jobs, now)
+    place = F.array_position(F.array(*map(F.lit, sources)), F.col("source_key"))
+    due = jobs.where(F.col("status").isin("queued", "failed") & (F.col("scheduled_at") <= now) & (place > 0))
+    mine = due.orderBy(place, "priority", "scheduled_at", "id").limit(n).select(F.col("id").alias("__id"))
+    both = jobs.join(F.broadcast(mine), F.col("id") == F.col("__id"), "left")  # n rows
+    return _changed(both, F.col("__id").isNotNull(), status=F.lit("running"), attempts=F.col("attempts") + 1, lease_until=until, last_error=F.lit(None)).drop("__id")
+
+
+def reported(jobs: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
+    """Jobs after (id, attempts, result, error): only reports of the try that a job is on count. A running job is completed;
+    a running one, or one that was completed meanwhile, fails and is due after the delay of its tries."""
+    r = reports.select(F.col("id").alias("__id"), F.col("attempts").alias("__try"), "result", "error")
+    both = jobs.join(r, (F.col("id") == F.col("__id")) & (F.col("attempts") == F.col("__try")), "left")
+    done = F.coalesce((F.col("result") == "done") & (F.col("status") == "running"), F.lit(False))
+    failed = F.coalesce((F.col("result") == "failed") & F.col("status").isin("running", "completed"), F.lit(False))
+    wait = now + F.make_dt_interval(secs=S.retry_delay(F.col("attempts")))
+    both = _changed(both, done | failed, last_error=F.when(failed, F.coalesce("error", F.lit(""))), lease_until=F.lit(None), scheduled_at=F.when(failed, wait).otherwise(F.col("scheduled_at")), status=F.when(done, "completed").otherwise("failed"))
+    return both.drop("__id", "__try", "result", "error")
+
+
+def _changed(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """rows with new values in the columns that they have, where the condition holds."""
+    rows = rows.withColumn("__go", where)
+    own = {c: F.when(F.col("__go"), v.cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items() if c in rows.columns}
+    return rows.withColumns(own).drop("__go")
+
+
+# Scan jobs: one process works on a queue of files; a failure stays until it is repaired.
+
+
+def scan_outcome(jobs: DataFrame, outcomes: DataFrame, roots: DataFrame, locations: DataFrame, now: Column) -> DataFrame:
+    """Metadata jobs after (id, source_key, root_key, root_generation, location_id, result, error), where the result's
+    root and generation are the job's.
+
+    Done jobs go. A queued or running job that failed is failed, without a delay, if its root still has that generation;
+    else it is deferred. A running job of that location that is deferred is queued again: as _requeued() says.
+    """
+    o = outcomes.select("id", *(F.col(c).alias(f"o_{c}") for c in ("source_key", "root_key", "root_generation", "location_id")), "result", F.col("error").alias("o_error"))
+    current = roots.select("source_key", "root_key", "root_generation", F.lit(True).alias("current"))
+    both = jobs.join(o, "id", "left").join(current, ["source_key", "root_key", "root_generation"], "left")
+    ours = F.coalesce(S.all_of([F.col(c) == F.col(f"o_{c}") for c in ("source_key", "root_key", "root_generation")]) & (F.col("kind") == "metadata"), F.lit(False))
+    both = both.where(~F.coalesce(F.col("result") == "done", F.lit(False)))
+    fails = ours & (F.col("result") == "failed")
+    failed = fails & F.col("current").isNotNull() & F.col("status").isin(*ACTIVE)
+    deferred = ours & ((F.col("result") == "deferred") | fails & F.col("current").isNull()) & (F.col("status") == "running") & (F.col("location_id") == F.col("o_location_id"))
+    both = both.withColumns({"__failed": F.coalesce(failed, F.lit(False)), "__deferred": F.coalesce(deferred, F.lit(False))})
+    both = _changed(both, F.col("__failed"), status=F.lit("failed"), last_error=F.nullif(F.col("o_error"), F.lit("")))
+    return _requeued(both, F.col("__deferred"), locations, now).select(jobs.columns)
+
+
+def _requeued(jobs: DataFrame, where: Column, locations: DataFrame, now: Column) -> DataFrame:
+    """Queued again, free, without an error, due now; metadata jobs not before their file has settled, and in the order of
+    the time that the file has now."""
+    file = locations.select(F.col("id").alias("location_id"), F.col("mtime").alias("__mtime"), F.col("metadata_not_before").alias("__settled"))
+    both = jobs.withColumn("__again", where).join(file, "location_id", "left")
+    reads = F.col("kind") == "metadata"
+    due = F.when(reads, F.greatest(now, F.col("__settled"))).otherwise(now)
+    sort_at = F.when(reads, F.coalesce("__mtime", "sort_at")).otherwise(F.col("sort_at"))
+    both = _changed(both, F.col("__again"), status=F.lit("queued"), scheduled_at=due, sort_at=sort_at, owner=F.lit(None), lease_until=F.lit(None), last_error=F.lit(None))
+    return both.drop("__again", "__mtime", "__settled")
+
+
+def reset_running(jobs: DataFrame, locations: DataFrame, now: Column) -> DataFrame:
+    """After a restart nothing runs: running metadata and thumbnail jobs are queued again."""
+    where = (F.col("status") == "running") & F.col("kind").isin("metadata", "thumbnail")
+    return _requeued(jobs, where, locations, now).select(jobs.columns)
+
+
+def repaired(jobs: DataFrame, assets: DataFrame, locations: DataFrame, roots: DataFrame, now: Column, priority: int = 0) -> DataFrame:
+    """The jobs after metadata of the given assets, those of them that are active, is to be read again; new jobs have no id.
+
+    In each root that has a state, an asset's target is its primary location if that is active, else the active one with
+    the least id. An asset of which any location, whatever its status, has a queued or running metadata job of its root's
+    generation is left alone. Else the newest failed metadata job of its targets, of their roots' generations, is queued
+    as new; without any each target gets a job. Failed metadata jobs at any location of an asset with a target are gone then.
+    """
+    key, state = ["source_key", "asset_id"], roots.select("source_key", "root_key", "root_generation")
+    own = assets.where(F.col("visibility_status") == "active").select(*key, "primary_location_id")
+    first = F.struct((~F.col("id").eqNullSafe(F.col("primary_location_id"))).alias("other"), "id")
+    place = locations.where(F.col("status") == "active").join(own, key).groupBy(*key, "root_key").agg(F.min_by(F.struct(F.col("id").alias("location_id"), "mtime"), first).alias("l"))
+    targets = place.join(state, ["source_key", "root_key"]).select(*key, "root_key", "root_generation", "l.location_id", "l.mtime")
+    whose = locations.where(F.col("asset_id").isNotNull()).select(*key, "root_key", F.col("id").alias("location_id"))
+    reading = jobs.where(F.col("kind") == "metadata")
+    live = reading.where(F.col("status").isin(*ACTIVE)).select("source_key", "location_id", "root_generation").join(whose, ["source_key", "location_id"])
+    busy = live.join(state, ["source_key", "root_key", "root_generation"], "left_semi").select(*key).distinct()
+    idle = targets.join(busy, key, "left_anti")
+    failed = reading.where(F.col("status") == "failed").select(F.col("id").alias("__id"), "source_key", "location_id", "root_generation")
+    again = idle.join(failed, ["source_key", "location_id", "root_generation"]).groupBy(*key).agg(F.max_by(F.struct("__id", F.col("mtime").alias("__mtime")), "__id").alias("j"))
+    new = idle.join(again, key, "left_anti")
+    theirs = whose.join(targets.select(*key).distinct(), key, "left_semi").select("location_id", F.lit(True).alias("__theirs")).distinct()
+    both = jobs.join(again.select("j.*"), F.col("id") == F.col("__id"), "left").join(theirs, "location_id", "left")
+    gone = F.col("__theirs").isNotNull() & (F.col("kind") == "metadata") & (F.col("status") == "failed") & F.col("__id").isNull()
+    both = _changed(both.where(~F.coalesce(gone, F.lit(False))), F.col("__id").isNotNull(), status=F.lit("queued"), priority=F.lit(priority), attempts=F.lit(0), scheduled_at=now, sort_at=F.coalesce("__mtime", "sort_at"), owner=F.lit(None), lease_until=F.lit(None), last_error=F.lit(None))
+    given = {"kind": F.lit("metadata"), "status": F.lit("queued"), "priority": F.lit(priority), "attempts": F.lit(0), "scheduled_at": now, "sort_at": F.col("mtime")}
+    values = [given.get(f.name, F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in jobs.schema]
+    return both.select(jobs.columns).unionByName(new.select(*values))
 
 
 def retry_targets(failures: DataFrame, canonical_failures: DataFrame) -> DataFrame:

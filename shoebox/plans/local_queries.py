@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import scalars as S
 from shoebox.operators import locations as L
-from shoebox.plans.registry import query
+from shoebox.plans.registry import at, query
 
 PATH = ["source_key", "root_key", "relative_path"]
 SEEN = "seen AS (SELECT source_key, root_key, relative_path, CASE WHEN id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, mtime, CASE WHEN id % 25 = 0 THEN NULL ELSE file_identity END AS file_identity FROM locations WHERE id % 4 > 0 UNION ALL SELECT source_key, root_key, relative_path || '.new', size_bytes, mtime, file_identity FROM locations WHERE id % 50 = 0)"
@@ -78,15 +78,23 @@ def capture_metadata_pending(locations, local_assets):
     return L.pending_capture_metadata(locations, local_assets, done, 2, "UTC")
 
 
-@query("local_registration", """WITH n AS (SELECT source_key, sha1(CAST(id % 700 AS VARCHAR)) || '-' || CAST(id % 700 AS VARCHAR) AS asset_id, min(id) AS n_location, min(mtime) AS n_captured, max(CASE WHEN id % 2 = 0 THEN 'D' || CAST(id AS VARCHAR) END) AS n_duration FROM locations WHERE id % 3 = 0 GROUP BY 1, 2),
-  o AS (SELECT source_key, sha1(CAST(id AS VARCHAR)) || '-' || CAST(id AS VARCHAR) AS asset_id, id AS primary_location_id, mtime AS captured_at, 'old' AS duration FROM locations WHERE id < 300)
-  SELECT coalesce(o.source_key, n.source_key) AS source_key, coalesce(o.asset_id, n.asset_id) AS asset_id, coalesce(primary_location_id, n_location) AS primary_location_id, strftime(coalesce(captured_at, n_captured), '%Y-%m-%d') AS captured_at, coalesce(n_duration, duration) AS duration FROM o FULL JOIN n ON o.source_key = n.source_key AND o.asset_id = n.asset_id""")
+REGISTERED = "CASE WHEN checked OR captured_source IN ('file_mtime', 'scan_time') THEN {0} ELSE {1} END"
+
+
+@query("local_registration", f"""WITH r AS (SELECT source_key, id AS location_id, sha1(CAST(id % 700 AS VARCHAR)) || '-' || CAST(id % 700 AS VARCHAR) AS asset_id, mtime AS t, CASE WHEN id % 5 = 0 THEN 'file_mtime' ELSE 'exif' END AS via, id % 4 = 0 AS chk, CASE WHEN id % 2 = 0 THEN 'D' || CAST(id AS VARCHAR) END AS d, id * 7919 % 10007 AS seq FROM locations WHERE id % 3 = 0),
+  n AS (SELECT source_key, asset_id, min_by(location_id, seq) AS n_location, min_by(t, seq) AS n_t, min_by(via, seq) AS n_via, max_by(d, seq) FILTER (WHERE d IS NOT NULL) AS n_d FROM r GROUP BY ALL),
+  o AS (SELECT source_key, sha1(CAST(id AS VARCHAR)) || '-' || CAST(id AS VARCHAR) AS asset_id, CASE WHEN id % 11 > 0 THEN id END AS primary_location_id, TIMESTAMP '1990-01-01' AS captured_at, CASE WHEN id % 2 = 0 THEN 'exif' ELSE 'scan_time' END AS captured_source, 'old' AS duration, CASE WHEN id % 7 = 0 THEN 'active' ELSE 'missing' END AS visibility_status FROM locations WHERE id < 600),
+  b AS (SELECT coalesce(o.source_key, n.source_key) AS source_key, coalesce(o.asset_id, n.asset_id) AS asset_id, coalesce(primary_location_id, n_location) AS primary_location_id, coalesce(captured_at, n_t) AS captured_at, coalesce(captured_source, n_via) AS captured_source, coalesce(n_d, duration) AS duration, CASE WHEN n.asset_id IS NOT NULL THEN 'active' ELSE visibility_status END AS visibility_status, n.asset_id IS NOT NULL AS touched FROM o FULL JOIN n ON o.source_key = n.source_key AND o.asset_id = n.asset_id)
+  SELECT b.source_key, b.asset_id, b.primary_location_id, strftime({REGISTERED.format('t', 'captured_at').replace('checked', 'chk')}, '%Y-%m-%d') AS captured_at, {REGISTERED.format('via', 'captured_source').replace('checked', 'chk')} AS captured_source, duration, visibility_status, touched FROM b LEFT JOIN r ON r.source_key = b.source_key AND r.asset_id = b.asset_id AND r.location_id = b.primary_location_id WHERE t IS NOT NULL
+  UNION ALL SELECT source_key, asset_id, primary_location_id, strftime(captured_at, '%Y-%m-%d'), captured_source, duration, visibility_status, touched FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source_key = b.source_key AND r.asset_id = b.asset_id AND r.location_id = b.primary_location_id)""")
 def local_registration(locations):
+    """Known assets with and without a primary file, with strong and weak times; reads of the primary file and of copies."""
     sha = lambda c: F.sha1(c.cast("string").cast("binary"))
-    content = F.col("id") % 700
-    read = locations.where("id % 3 = 0").select("source_key", F.col("id").alias("location_id"), F.col("mtime").alias("captured_at"), sha(content).alias("sha1_hex"), content.alias("size_bytes"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("D"), F.col("id").cast("string"))).alias("duration"))
-    old = locations.where("id < 300").select("source_key", S.local_asset_id(sha(F.col("id")), F.col("id")).alias("asset_id"), F.col("id").alias("primary_location_id"), F.col("mtime").alias("captured_at"), F.lit("old").alias("duration"))
-    return L.registered(old, read).withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd"))
+    i, content = F.col("id"), F.col("id") % 700
+    read = locations.where("id % 3 = 0").select("source_key", i.alias("location_id"), F.col("mtime").alias("captured_at"), F.when(i % 5 == 0, "file_mtime").otherwise("exif").alias("captured_source"), (i % 4 == 0).alias("checked"), sha(content).alias("sha1_hex"), content.alias("size_bytes"), F.lit("image").alias("media_type"), F.lit("f").alias("filename"), F.when(i % 2 == 0, F.concat(F.lit("D"), i.cast("string"))).alias("duration"), (i * 7919 % 10007).alias("seq"))
+    old = locations.where("id < 600").select("source_key", S.local_asset_id(sha(i), i).alias("asset_id"), F.when(i % 11 > 0, i).alias("primary_location_id"), F.lit("1990-01-01").cast("timestamp_ntz").alias("captured_at"), F.when(i % 2 == 0, "exif").otherwise("scan_time").alias("captured_source"), F.lit("old").alias("duration"), F.when(i % 7 == 0, "active").otherwise("missing").alias("visibility_status"), F.lit("video").alias("media_type"), F.lit("g").alias("filename"), at(0).alias("updated_at"))
+    found = L.registered(old, read, at(60)).withColumns({"captured_at": F.date_format("captured_at", "yyyy-MM-dd"), "touched": F.col("updated_at") == at(60)})
+    return found.select("source_key", "asset_id", "primary_location_id", "captured_at", "captured_source", "duration", "visibility_status", "touched")
 
 
 @query("skip_counts", """WITH c AS (SELECT root_key AS run_id, status AS reason, count(*) AS n FROM locations GROUP BY ALL) SELECT run_id, '{' || string_agg('"' || reason || '":' || CAST(n AS VARCHAR), ',' ORDER BY reason) || '}' AS skip_counts_json FROM c GROUP BY run_id""")

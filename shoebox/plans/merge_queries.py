@@ -9,7 +9,7 @@ from shoebox.plans.registry import at, query, text_time
 
 COLS = ["filename", "size"]
 DIFF = "(o.filename IS DISTINCT FROM n.filename OR o.size IS DISTINCT FROM n.size)"
-LAST = "last_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, size DESC) AS rn FROM batch_rows) WHERE rn = 1)"
+LAST = "last_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, size DESC) AS rn FROM line_rows) WHERE rn = 1)"
 SEQ = ["ord", "l_partkey", "l_suppkey", "l_quantity", "size"]
 
 
@@ -35,30 +35,35 @@ def dirty_state(old_rows, new_rows):
     return M.dirty_state(M.changes(old_rows, new_rows, ["id"], COLS, ["filename"]), 4)
 
 
-@query("last_occurrence", f"WITH {LAST.replace('batch_rows', 'line_rows')} SELECT id, filename, size, excluded FROM last_of")
+@query("last_occurrence", f"WITH {LAST} SELECT id, filename, size, excluded FROM last_of")
 def last_occurrence(line_rows):
     return M.last_of_each(line_rows.withColumn("seq", F.struct(*SEQ)), ["id"], "seq").select("id", "filename", "size", "excluded")
 
 
-MERGED = f"""{LAST}, merged AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN NOT coalesce(n.excluded, true) AND (o.id IS NULL OR {DIFF}) THEN n.filename ELSE o.filename END AS filename, CASE WHEN NOT coalesce(n.excluded, true) AND (o.id IS NULL OR {DIFF}) THEN n.size ELSE o.size END AS size,
-  CASE WHEN n.excluded AND o.id IS NOT NULL THEN 'out_of_scope' ELSE 'active' END AS visibility_status, CASE WHEN n.excluded THEN 'excluded' WHEN o.id IS NULL THEN 'new' WHEN n.id IS NOT NULL AND {DIFF} THEN 'changed' ELSE 'same' END AS change
-  FROM old_rows o FULL JOIN last_of n ON o.id = n.id WHERE o.id IS NOT NULL OR NOT n.excluded)"""
+MERGED = f"""{LAST}, merged AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.excluded IS NOT DISTINCT FROM false THEN n.filename ELSE o.filename END AS filename, CASE WHEN n.excluded IS NOT DISTINCT FROM false THEN n.size ELSE o.size END AS size,
+  CASE WHEN n.id IS NULL THEN o.visibility_status WHEN n.excluded THEN 'out_of_scope' ELSE 'active' END AS visibility_status,
+  CASE WHEN n.id IS NULL THEN o.updated_at WHEN n.excluded THEN coalesce(n.updated_at, o.updated_at) ELSE n.updated_at END AS updated_at,
+  CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'same' WHEN n.excluded THEN CASE WHEN o.visibility_status <> 'out_of_scope' OR coalesce(n.updated_at, o.updated_at) <> o.updated_at THEN 'excluded' ELSE 'same' END
+    WHEN {DIFF} OR o.updated_at IS DISTINCT FROM n.updated_at OR o.visibility_status <> 'active' THEN 'changed' ELSE 'same' END AS change
+  FROM stored_rows o FULL JOIN last_of n ON o.id = n.id WHERE o.id IS NOT NULL OR NOT n.excluded)"""
+SYNCED = "id, filename, size, visibility_status, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at"
 
 
 def batch(rows):
     return rows.withColumn("seq", F.struct(*SEQ)).select("id", "filename", "size", "excluded", "seq", "updated_at")
 
 
-@query("incremental_merge", f"WITH {MERGED} SELECT * FROM merged")
-def incremental_merge(old_rows, batch_rows):
-    return M.merged(old_rows, batch(batch_rows), ["id"], COLS).select("id", "filename", "size", "visibility_status", "change")
+@query("incremental_merge", f"WITH {MERGED} SELECT {SYNCED}, change FROM merged")
+def incremental_merge(stored_rows, line_rows):
+    """Stored rows are active, hidden or missing, and some are just what the batch says; rows of the batch come in any state."""
+    return M.merged(stored_rows, batch(line_rows), ["id"], COLS, source_time="updated_at").withColumn("updated_at", text_time("updated_at"))
 
 
-@query("merge_replay", f"WITH {MERGED} SELECT id, filename, size, visibility_status FROM merged")
-def merge_replay(old_rows, batch_rows):
-    """The same batch twice gives what it gives once."""
-    once = M.merged(old_rows, batch(batch_rows), ["id"], COLS).drop("change")
-    return M.merged(once, batch(batch_rows), ["id"], COLS).select("id", "filename", "size", "visibility_status")
+@query("merge_replay", f"WITH {MERGED} SELECT {SYNCED}, 'same' AS change FROM merged")
+def merge_replay(stored_rows, line_rows):
+    """The same batch twice gives what it gives once, and no change."""
+    once = M.merged(stored_rows, batch(line_rows), ["id"], COLS, source_time="updated_at").drop("change")
+    return M.merged(once, batch(line_rows), ["id"], COLS, source_time="updated_at").withColumn("updated_at", text_time("updated_at"))
 
 
 @query("requeue_jobs", "SELECT coalesce(j.id, w.id) AS id, CASE WHEN w.id IS NOT NULL AND coalesce(j.status NOT IN ('running', 'queued', 'failed'), true) THEN 'queued' ELSE j.status END AS status, CASE WHEN w.id IS NOT NULL AND coalesce(j.status NOT IN ('running', 'queued', 'failed'), true) THEN 0 ELSE j.attempts END AS attempts FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'done' ELSE status END AS status, attempts FROM jobs WHERE id % 3 > 0) j FULL JOIN (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0) w ON j.id = w.id")

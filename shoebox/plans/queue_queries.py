@@ -10,7 +10,6 @@ from shoebox.plans.registry import at, query, text_time
 NOW = 20 * 86400
 NOW_SQL = "TIMESTAMP '2024-01-21 00:00:00'"
 DELAY = "CAST(least(30 * pow(2, least(greatest({0}, 1) - 1, 20)), 1800) AS BIGINT)"
-WAIT = f"strftime({NOW_SQL} + to_seconds({DELAY.format('attempts + 1')}), '%Y-%m-%d %H:%M:%S')"
 SCHED = "strftime(scheduled_at, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -76,38 +75,83 @@ def assets_without_job(locations, jobs):
     return Q.without_active_job(locations.withColumnRenamed("id", "location_id"), jobs, ["location_id"]).select(F.col("location_id").alias("id"))
 
 
-JOB = ["id", "status", "attempts", "owner"]
+# Index jobs under leases.
 
+INDEX_JOB = ["id", "status", "attempts", "last_error"]
+EXPIRED = f"SELECT id, source_key, priority, attempts, CASE WHEN x THEN 'failed' ELSE status END AS status, CASE WHEN x THEN {NOW_SQL} ELSE scheduled_at END AS scheduled_at, CASE WHEN NOT x THEN lease_until END AS lease_until, CASE WHEN x THEN 'lease expired' ELSE last_error END AS last_error FROM (SELECT *, coalesce(status = 'running' AND lease_until <= {NOW_SQL}, false) AS x FROM index_jobs)"
 
-@query("claimed_jobs", "SELECT id, CASE WHEN status = 'queued' AND id % 2 = 0 THEN 'running' ELSE status END AS status, attempts, CASE WHEN status = 'queued' AND id % 2 = 0 THEN 'me' ELSE owner END AS owner FROM jobs")
-def claimed_jobs(jobs):
-    return Q.claimed(jobs, jobs.where("id % 2 = 0"), "me", at(NOW)).select(*JOB)
 
+def times(rows, *names):
+    return rows.withColumns({n: text_time(n) for n in names})
 
-@query("expired_leases", f"SELECT id, CASE WHEN x THEN 'failed' ELSE status END AS status, attempts + CASE WHEN x THEN 1 ELSE 0 END AS attempts, CASE WHEN x THEN {WAIT} ELSE {SCHED} END AS scheduled_at FROM (SELECT *, status = 'running' AND lease_until <= {NOW_SQL} AS x FROM jobs)")
-def expired_leases(jobs):
-    return Q.expired(jobs, at(NOW)).select("id", "status", "attempts", text_time("scheduled_at").alias("scheduled_at"))
 
+@query("expired_leases", f"SELECT id, status, attempts, last_error, {SCHED} AS scheduled_at, strftime(lease_until, '%Y-%m-%d %H:%M:%S') AS lease_until FROM ({EXPIRED})")
+def expired_leases(index_jobs):
+    """Some running jobs have no lease, some one that ends later."""
+    return times(Q.expired(index_jobs, at(NOW)), "scheduled_at", "lease_until").select(*INDEX_JOB, "scheduled_at", "lease_until")
 
-OUTCOME = "(SELECT *, CASE WHEN status = 'running' AND owner = 'worker1' AND root_generation = 1 THEN CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' ELSE 'deferred' END END AS r FROM jobs)"
 
+@query("claimed_jobs", f"WITH e AS ({EXPIRED}), m AS (SELECT id AS mine FROM e WHERE source_key IN ('src2', 'src0') AND status IN ('queued', 'failed') AND scheduled_at <= {NOW_SQL} ORDER BY CASE source_key WHEN 'src2' THEN 1 ELSE 2 END, priority, scheduled_at, id LIMIT 150) SELECT id, CASE WHEN mine IS NULL THEN status ELSE 'running' END AS status, attempts + CASE WHEN mine IS NULL THEN 0 ELSE 1 END AS attempts, CASE WHEN mine IS NULL THEN last_error END AS last_error, strftime(CASE WHEN mine IS NULL THEN lease_until ELSE TIMESTAMP '2024-01-21 00:15:00' END, '%Y-%m-%d %H:%M:%S') AS lease_until FROM e LEFT JOIN m ON id = mine")
+def claimed_jobs(index_jobs):
+    """150 workers ask at once, for two of three sources."""
+    return times(Q.claimed(index_jobs, ["src2", "src0"], at(NOW), at(NOW + 900), 150), "lease_until").select(*INDEX_JOB, "lease_until")
 
-@query("job_outcomes", f"SELECT id, CASE WHEN r = 'failed' AND attempts + 1 >= 3 THEN 'failed' WHEN r IS NOT NULL THEN 'queued' ELSE status END AS status, attempts + CASE WHEN r = 'failed' THEN 1 ELSE 0 END AS attempts, CASE WHEN r IS NULL THEN owner END AS owner, CASE WHEN r = 'failed' THEN {WAIT} ELSE {SCHED} END AS scheduled_at FROM {OUTCOME} WHERE r IS DISTINCT FROM 'done'")
-def job_outcomes(jobs):
-    result = F.element_at(F.array(F.lit("done"), F.lit("failed"), F.lit("deferred")), (F.col("id") % 3 + 1).cast("int"))
-    outcomes = jobs.select("id", F.lit("worker1").alias("owner"), F.lit(1).cast("bigint").alias("root_generation"), result.alias("result"))
-    return Q.outcome(jobs, outcomes, at(NOW), 3).select(*JOB, text_time("scheduled_at").alias("scheduled_at"))
 
+@query("job_reports", f"WITH r AS (SELECT *, id % 4 > 0 AS own, CASE WHEN id % 3 = 0 THEN 'done' ELSE 'failed' END AS result FROM index_jobs), k AS (SELECT *, own AND result = 'done' AND status = 'running' AS d, own AND result = 'failed' AND status IN ('running', 'completed') AS f FROM r) SELECT id, CASE WHEN d THEN 'completed' WHEN f THEN 'failed' ELSE status END AS status, attempts, CASE WHEN f THEN CASE WHEN id % 2 = 0 THEN 'e' ELSE '' END WHEN NOT d THEN last_error END AS last_error, strftime(CASE WHEN f THEN {NOW_SQL} + to_seconds({DELAY.format('attempts')}) ELSE scheduled_at END, '%Y-%m-%d %H:%M:%S') AS scheduled_at, d OR f OR lease_until IS NULL AS free FROM k")
+def job_reports(index_jobs):
+    """One report in four is of an earlier try."""
+    result = F.when(F.col("id") % 3 == 0, "done").otherwise("failed")
+    reports = index_jobs.select("id", (F.col("attempts") - F.when(F.col("id") % 4 > 0, 0).otherwise(1)).alias("attempts"), result.alias("result"), F.when(F.col("id") % 2 == 0, "e").alias("error"))
+    return times(Q.reported(index_jobs, reports, at(NOW)), "scheduled_at").select(*INDEX_JOB, "scheduled_at", F.col("lease_until").isNull().alias("free"))
 
-@query("running_reset", "SELECT CASE WHEN status = 'running' THEN 'queued' ELSE status END AS status, count(*) AS n FROM jobs GROUP BY ALL")
-def running_reset(jobs):
-    return Q.reset_running(jobs).groupBy("status").agg(F.count("*").alias("n"))
 
+# Scan jobs.
 
-@query("repaired_jobs", "WITH p AS (SELECT source_key, asset_id, min(id) AS location_id FROM locations WHERE status = 'active' AND asset_id IS NOT NULL AND CAST(substr(asset_id, 2) AS BIGINT) % 2 = 0 GROUP BY ALL), b AS (SELECT location_id, coalesce(max(CASE WHEN status = 'running' THEN id END), max(CASE WHEN status = 'queued' THEN id END), max(CASE WHEN status = 'failed' THEN id END)) AS id, bool_or(status = 'running') AS running, count(*) FILTER (WHERE status = 'failed') AS failed FROM jobs GROUP BY location_id) SELECT source_key, asset_id, p.location_id, b.id, CASE WHEN running THEN 'running' ELSE 'queued' END AS status, coalesce(failed, 0) AS failed_before FROM p LEFT JOIN b USING (location_id)")
-def repaired_jobs(jobs, locations):
-    targets = locations.where("CAST(substr(asset_id, 2) AS BIGINT) % 2 = 0").select("source_key", "asset_id").distinct()
-    return Q.repaired(jobs, targets, locations)
+SCAN = ["id", "status", "owner", "last_error"]
+FILES = f"(SELECT *, CASE WHEN id % 3 = 0 THEN {NOW_SQL} + to_seconds(60) WHEN id % 3 = 1 THEN {NOW_SQL} - to_seconds(60) END AS settled FROM locations)"
+REQUEUED_AT = f"strftime(CASE WHEN d AND kind = 'metadata' THEN greatest({NOW_SQL}, coalesce(settled, {NOW_SQL})) WHEN d THEN {NOW_SQL} ELSE scheduled_at END, '%Y-%m-%d %H:%M:%S') AS scheduled_at, strftime(CASE WHEN d AND kind = 'metadata' AND l.id IS NOT NULL THEN mtime ELSE sort_at END, '%Y-%m-%d %H:%M:%S') AS sort_at"
+
+
+def settling(locations):
+    return locations.withColumn("metadata_not_before", F.when(F.col("id") % 3 == 0, at(NOW + 60)).when(F.col("id") % 3 == 1, at(NOW - 60)))
+
+
+def failing(jobs):
+    return jobs.withColumn("last_error", F.when(F.col("status") == "failed", "boom"))
+
+
+@query("job_outcomes", f"""WITH o AS (SELECT j.*, CASE j.id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'deferred' END AS r, j.id % 7 > 0 AND kind = 'metadata' AS ours, j.id % 11 > 0 AS there, r.root_key IS NOT NULL AS known FROM jobs j LEFT JOIN roots r ON r.source_key = j.source_key AND r.root_key = j.root_key AND r.root_generation = j.root_generation),
+  k AS (SELECT *, coalesce(ours AND r = 'failed' AND known AND status IN ('queued', 'running'), false) AS f, coalesce(ours AND there AND status = 'running' AND (r = 'deferred' OR r = 'failed' AND NOT known), false) AS d FROM o WHERE r IS DISTINCT FROM 'done')
+  SELECT k.id, CASE WHEN f THEN 'failed' WHEN d THEN 'queued' ELSE k.status END AS status, CASE WHEN NOT d THEN owner END AS owner, CASE WHEN f THEN CASE WHEN k.id % 2 = 0 THEN 'bad' END WHEN NOT d AND k.status = 'failed' THEN 'boom' END AS last_error, {REQUEUED_AT} FROM k LEFT JOIN {FILES} l ON l.id = k.location_id""")
+def job_outcomes(jobs, roots, locations):
+    """Some outcomes are of an earlier generation or of another file; some jobs' roots have moved on."""
+    i = F.col("id")
+    result = F.when(i % 4 == 0, "done").when(i % 4 == 1, "failed").when(i % 4 == 2, "deferred")
+    outcomes = jobs.select("id", "source_key", "root_key", (F.col("root_generation") + F.when(i % 7 > 0, 0).otherwise(1)).alias("root_generation"), (F.col("location_id") + F.when(i % 11 > 0, 0).otherwise(1)).alias("location_id"), result.alias("result"), F.when(i % 2 == 0, "bad").otherwise("").alias("error"))
+    return times(Q.scan_outcome(failing(jobs), outcomes.where("result IS NOT NULL"), roots, settling(locations), at(NOW)), "scheduled_at", "sort_at").select(*SCAN, "scheduled_at", "sort_at")
+
+
+@query("running_reset", f"SELECT k.id, CASE WHEN d THEN 'queued' ELSE k.status END AS status, CASE WHEN NOT d THEN owner END AS owner, CASE WHEN k.status = 'failed' THEN 'boom' END AS last_error, {REQUEUED_AT} FROM (SELECT *, status = 'running' AND kind IN ('metadata', 'thumbnail') AS d FROM jobs) k LEFT JOIN {FILES} l ON l.id = k.location_id")
+def running_reset(jobs, locations):
+    return times(Q.reset_running(failing(jobs), settling(locations), at(NOW)), "scheduled_at", "sort_at").select(*SCAN, "scheduled_at", "sort_at")
+
+
+@query("repaired_jobs", f"""WITH l AS (SELECT source_key, root_key, id, status, mtime, 'a' || CAST(id // 8 AS VARCHAR) AS asset_id FROM locations),
+  a AS (SELECT source_key, asset_id, min(id) % 5 > 0 AS shown, CASE WHEN min(id) % 3 = 0 THEN max(id) END AS prime FROM l GROUP BY ALL),
+  t AS (SELECT * FROM (SELECT l.*, root_generation, row_number() OVER (PARTITION BY source_key, asset_id, root_key ORDER BY id = prime DESC NULLS LAST, id) AS n FROM l JOIN a USING (source_key, asset_id) JOIN roots USING (source_key, root_key) WHERE status = 'active' AND shown) WHERE n = 1),
+  m AS (SELECT * FROM jobs WHERE kind = 'metadata'),
+  busy AS (SELECT DISTINCT l.source_key, asset_id FROM m JOIN l ON l.id = location_id AND l.source_key = m.source_key JOIN roots r ON r.source_key = m.source_key AND r.root_key = l.root_key AND r.root_generation = m.root_generation WHERE m.status IN ('queued', 'running')),
+  idle AS (SELECT * FROM t ANTI JOIN busy USING (source_key, asset_id)),
+  again AS (SELECT idle.source_key, idle.asset_id, max(m.id) AS job_id, max_by(mtime, m.id) AS mtime FROM idle JOIN m ON m.source_key = idle.source_key AND m.location_id = idle.id AND m.root_generation = idle.root_generation WHERE m.status = 'failed' GROUP BY ALL)
+  SELECT j.id, j.location_id, CASE WHEN job_id IS NULL THEN j.status ELSE 'queued' END AS status, CASE WHEN job_id IS NULL THEN j.attempts ELSE 0 END AS attempts, CASE WHEN job_id IS NULL THEN j.priority ELSE 0 END AS priority, strftime(CASE WHEN job_id IS NULL THEN scheduled_at ELSE {NOW_SQL} END, '%Y-%m-%d %H:%M:%S') AS scheduled_at, strftime(CASE WHEN job_id IS NULL THEN sort_at ELSE mtime END, '%Y-%m-%d %H:%M:%S') AS sort_at
+  FROM jobs j LEFT JOIN again ON j.id = job_id WHERE NOT (kind = 'metadata' AND j.status = 'failed' AND job_id IS NULL AND location_id IN (SELECT l.id FROM l SEMI JOIN t USING (source_key, asset_id)))
+  UNION ALL SELECT NULL, id, 'queued', 0, 0, '2024-01-21 00:00:00', strftime(mtime, '%Y-%m-%d %H:%M:%S') FROM idle ANTI JOIN again USING (source_key, asset_id)""")
+def repaired_jobs(jobs, locations, roots):
+    """Assets of several files each, below several roots; some of them are hidden, some have a primary file."""
+    own = locations.withColumn("asset_id", F.concat(F.lit("a"), F.floor(F.col("id") / 8).cast("string")))
+    assets = own.groupBy("source_key", "asset_id").agg(F.when(F.min("id") % 5 > 0, "active").otherwise("missing").alias("visibility_status"), F.when(F.min("id") % 3 == 0, F.max("id")).alias("primary_location_id"))
+    found = Q.repaired(jobs, assets, own, roots, at(NOW))
+    return times(found, "scheduled_at", "sort_at").select("id", "location_id", "status", "attempts", "priority", "scheduled_at", "sort_at")
 
 
 FAILED = "SELECT asset_id FROM vectors WHERE status = 'failed'"
@@ -142,46 +186,80 @@ def work_phase(events):
 
 # Verification windows over the local roots.
 
-ROOTS = "vroots AS (SELECT source_key || root_key AS root_key, CASE WHEN root_key IN ('root1', 'root4') THEN 'running' WHEN root_key = 'root2' THEN 'completed' ELSE 'idle' END AS window_state, CASE WHEN root_key = 'root3' THEN NULL WHEN root_key = 'root2' THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-01' END AS scheduled_for, CASE WHEN root_key = 'root4' THEN TIMESTAMP '2024-01-01' WHEN root_key = 'root1' THEN TIMESTAMP '2024-01-09' END AS deadline, 5 AS checked FROM roots)"
+DAY2, DAY3 = "TIMESTAMP '2024-01-02'", "TIMESTAMP '2024-01-03'"
+OWN_COUNTERS = ", ".join(f"{5 + i} AS {c}" for i, c in enumerate(W.COUNTERS))
+ROOTS = f"""vroots AS (SELECT source_key, root_key, root_generation, CASE WHEN root_key IN ('root1', 'root4') THEN 'running' WHEN root_key = 'root2' THEN 'completed' ELSE 'idle' END AS window_state,
+  CASE WHEN root_key = 'root3' THEN NULL WHEN root_key = 'root2' THEN {DAY3} ELSE TIMESTAMP '2024-01-01' END AS scheduled_for, CASE WHEN root_key IN ('root1', 'root4') THEN TIMESTAMP '2024-01-01 01:00:00' END AS started_at,
+  CASE WHEN root_key = 'root4' THEN TIMESTAMP '2024-01-01' WHEN root_key = 'root1' THEN TIMESTAMP '2024-01-09' END AS deadline, CAST(NULL AS TIMESTAMP) AS finished_at, CASE WHEN root_key = 'root0' THEN 'late' END AS skip_reason,
+  source_key = 'local1' AND root_key IN ('root0', 'root1') AS reconciliation_pending, {OWN_COUNTERS} FROM roots)"""
 
 
 def verification_roots(roots):
     k = F.col("root_key")
     state = F.when(k.isin("root1", "root4"), "running").when(k == "root2", "completed").otherwise("idle")
-    return roots.select(F.concat("source_key", k).alias("root_key"), state.alias("window_state"), F.when(k == "root2", at(2 * 86400)).when(k != "root3", at(0)).alias("scheduled_for"), F.when(k == "root4", at(0)).when(k == "root1", at(8 * 86400)).alias("deadline"), F.lit(5).alias("checked"))
+    return roots.select(
+        "source_key", k, "root_generation", state.alias("window_state"), F.when(k == "root2", at(2 * 86400)).when(k != "root3", at(0)).alias("scheduled_for"), F.when(k.isin("root1", "root4"), at(3600)).alias("started_at"),
+        F.when(k == "root4", at(0)).when(k == "root1", at(8 * 86400)).alias("deadline"), F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.when(k == "root0", "late").alias("skip_reason"),
+        ((F.col("source_key") == "local1") & k.isin("root0", "root1")).alias("reconciliation_pending"), *(F.lit(5 + i).alias(c) for i, c in enumerate(W.COUNTERS))
+    )
 
 
-GO = "window_state <> 'running' AND (scheduled_for IS NULL OR scheduled_for < TIMESTAMP '2024-01-02')"
+WINDOW_TIMES = ("scheduled_for", "started_at", "deadline", "finished_at")
+WINDOW = ["source_key", "root_key", "window_state", *WINDOW_TIMES, "skip_reason", *W.COUNTERS]
 
 
-@query("verification_started", f"WITH {ROOTS} SELECT root_key, CASE WHEN {GO} THEN 'running' ELSE window_state END AS window_state, strftime(CASE WHEN {GO} THEN TIMESTAMP '2024-01-02' ELSE scheduled_for END, '%Y-%m-%d %H:%M:%S') AS scheduled_for, CASE WHEN {GO} THEN 0 ELSE checked END AS checked FROM vroots")
+def windows(rows):
+    return times(rows, *WINDOW_TIMES).select(*WINDOW)
+
+
+def window_sql(go: str, state: str, counters: str | None = None, **values: str) -> str:
+    """The windows with new values where `go` holds."""
+    set_ = lambda c: f"CASE WHEN {go} THEN {values[c]} ELSE {c} END" if c in values else c
+    own = [f"CASE WHEN {go} THEN '{state}' ELSE window_state END AS window_state", *(f"strftime({set_(c)}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in WINDOW_TIMES), f"{set_('skip_reason')} AS skip_reason"]
+    own += [f"CASE WHEN {go} THEN {counters} ELSE {c} END AS {c}" if counters else c for c in W.COUNTERS]
+    return f"WITH {ROOTS} SELECT source_key, root_key, {', '.join(own)} FROM vroots"
+
+
+NEXT = f"window_state <> 'running' AND (scheduled_for IS NULL OR scheduled_for < {DAY2})"
+OVER = {"started_at": "NULL", "deadline": "NULL", "finished_at": NOW_SQL, "skip_reason": "NULL"}
+
+
+@query("verification_started", window_sql(f"{NEXT} AND NOT reconciliation_pending", "running", "0", scheduled_for=DAY2, started_at=NOW_SQL, deadline=DAY3, skip_reason="NULL"))
 def verification_started(roots):
-    return W.started(verification_roots(roots), at(86400), at(2 * 86400)).select("root_key", "window_state", text_time("scheduled_for").alias("scheduled_for"), "checked")
+    return windows(W.started(verification_roots(roots), at(86400), at(2 * 86400), at(NOW)))
 
 
-@query("verification_skipped", f"WITH {ROOTS} SELECT root_key, CASE WHEN {GO} THEN 'skipped' ELSE window_state END AS window_state FROM vroots")
+@query("verification_skipped", window_sql(NEXT, "skipped", "0", **OVER | {"scheduled_for": DAY2, "skip_reason": "'busy'"}))
 def verification_skipped(roots):
-    return W.skipped(verification_roots(roots), at(86400)).select("root_key", "window_state")
+    return windows(W.skipped(verification_roots(roots), at(86400), F.lit(" busy "), at(NOW)))
+
+
+ADDED = ", ".join(f"{c} + CASE WHEN window_state = 'running' AND source_key = 'local0' THEN {max(0, 3 - i)} ELSE 0 END AS {c}" for i, c in enumerate(W.COUNTERS))
 
 
-@query("verification_progress", f"WITH {ROOTS} SELECT root_key, checked + CASE WHEN window_state = 'running' THEN 7 ELSE 0 END AS checked FROM vroots")
+@query("verification_progress", f"WITH {ROOTS} SELECT source_key, root_key, {ADDED} FROM vroots")
 def verification_progress(roots):
+    """Each root reports, some of a window that was not the running one; a negative count adds nothing."""
     r = verification_roots(roots)
-    return W.progressed(r, r.select("root_key", F.lit(7).alias("checked"))).select("root_key", "checked")
+    began = F.when(F.col("source_key") == "local0", at(3600)).otherwise(at(3601))
+    counts = r.select("source_key", "root_key", at(0).alias("scheduled_for"), began.alias("started_at"), *(F.lit(3 - i).alias(c) for i, c in enumerate(W.COUNTERS)))
+    return W.progressed(r, counts).select("source_key", "root_key", *W.COUNTERS)
 
 
-@query("verification_completed", f"WITH {ROOTS} SELECT root_key, CASE WHEN window_state = 'running' AND contains(root_key, 'root1') THEN 'completed' ELSE window_state END AS window_state FROM vroots")
+@query("verification_completed", window_sql("root_key = 'root1' AND source_key = 'local0'", "completed", **OVER))
 def verification_completed(roots):
     r = verification_roots(roots)
-    return W.completed(r, r.where("contains(root_key, 'root1') OR contains(root_key, 'root0')")).select("root_key", "window_state")
+    began = F.when(F.col("source_key") == "local0", at(3600)).otherwise(at(3601))
+    done = r.where("root_key IN ('root0', 'root1')").select("source_key", "root_key", at(0).alias("scheduled_for"), began.alias("started_at"))
+    return windows(W.completed(r, done, at(NOW)))
 
 
-@query("verification_expired", f"WITH {ROOTS} SELECT root_key, CASE WHEN window_state = 'running' AND deadline <= TIMESTAMP '2024-01-05' THEN 'expired' ELSE window_state END AS window_state FROM vroots")
+@query("verification_expired", window_sql(f"window_state = 'running' AND deadline <= {NOW_SQL}", "completed", **OVER))
 def verification_expired(roots):
-    return W.expired(verification_roots(roots), at(4 * 86400)).select("root_key", "window_state")
+    return windows(W.expired(verification_roots(roots), at(NOW)))
 
 
-@query("verification_runnable", f"WITH {ROOTS} SELECT root_key FROM vroots WHERE window_state = 'running' AND deadline > TIMESTAMP '2024-01-05'")
+@query("verification_runnable", f"WITH {ROOTS} SELECT source_key, root_key FROM vroots WHERE window_state = 'running' AND deadline > TIMESTAMP '2024-01-05' AND NOT reconciliation_pending")
 def verification_runnable(roots):
     return W.runnable(verification_roots(roots), at(4 * 86400))
 
@@ -193,9 +271,25 @@ def verification_next_deadline(roots):
 
 RESULTS = "CASE id % 6 WHEN 0 THEN 'attempt' WHEN 1 THEN 'success' WHEN 2 THEN 'failure' WHEN 3 THEN 'restore' WHEN 4 THEN 'resettle' END"
 TX = "'%Y-%m-%d %H:%M:%S'"
-
-
-@query("verification_outcomes", f"SELECT id, CASE WHEN r = 'resettle' THEN 'discovered' ELSE status END AS status, strftime(CASE WHEN r = 'success' THEN {NOW_SQL} ELSE verified_at END, {TX}) AS verified_at, strftime(CASE WHEN r IN ('attempt', 'success', 'failure') THEN {NOW_SQL} WHEN r = 'restore' THEN NULL ELSE attempted_at END, {TX}) AS attempted_at FROM (SELECT *, CASE WHEN id % 8 > 0 THEN {RESULTS} END AS r FROM locations)")
-def verification_outcomes(locations):
-    outcomes = locations.where("id % 6 < 5").select("id", (F.col("size_bytes") + F.when(F.col("id") % 8 == 0, 1).otherwise(0)).alias("size_bytes"), "mtime", "file_identity", F.expr(RESULTS).alias("result"))
-    return W.verified(locations, outcomes, at(NOW)).withColumns({"verified_at": text_time("verified_at"), "attempted_at": text_time("attempted_at")})
+CHECKED = ["id", "status", "status_reason", "asset_id", "sha1_hex", "size_bytes", "verification_error"]
+
+
+@query("verification_outcomes", f"""WITH {ROOTS}, l AS (SELECT *, 'h' || CAST(id % 100 AS VARCHAR) AS sha1_hex, CASE WHEN id % 5 = 0 THEN 'old' END AS verification_error FROM locations),
+  o AS (SELECT l.*, id % 9 > 0 AND NOT reconciliation_pending AS trusted, id % 8 > 0 AS same, id % 13 > 0 AS same_hash, id % 4 > 0 AS newest, {RESULTS.replace('id %', 'l.id %')} AS res FROM l JOIN vroots v ON v.source_key = l.source_key AND v.root_key = l.root_key),
+  k AS (SELECT *, CASE WHEN status = 'active' AND same_hash AND (res = 'failure' OR res = 'restore' AND newest AND attempted_at IS NOT NULL OR res = 'resettle' AND trusted OR res IN ('attempt', 'success') AND same AND trusted) THEN res END AS r FROM o)
+  SELECT id, CASE WHEN r = 'resettle' THEN 'discovered' ELSE status END AS status, CASE WHEN r = 'resettle' THEN 'e' || CAST(id AS VARCHAR) ELSE status_reason END AS status_reason, CASE WHEN r IS DISTINCT FROM 'resettle' THEN asset_id END AS asset_id, CASE WHEN r IS DISTINCT FROM 'resettle' THEN sha1_hex END AS sha1_hex, CASE WHEN r = 'resettle' THEN size_bytes + 7 ELSE size_bytes END AS size_bytes,
+    CASE WHEN r = 'failure' THEN 'e' || CAST(id AS VARCHAR) WHEN r = 'restore' THEN 'before' WHEN r IS NULL THEN verification_error END AS verification_error,
+    strftime(CASE WHEN r = 'success' THEN {NOW_SQL} WHEN r IS DISTINCT FROM 'resettle' THEN verified_at END, {TX}) AS verified_at, strftime(CASE WHEN r IN ('attempt', 'success', 'failure', 'resettle') THEN {NOW_SQL} WHEN r = 'restore' THEN TIMESTAMP '2024-01-01' ELSE attempted_at END, {TX}) AS attempted_at,
+    CASE WHEN r = 'resettle' THEN '2024-01-21 00:00:30' END AS metadata_not_before FROM k""")
+def verification_outcomes(locations, roots):
+    """Some files, hashes or generations are not what they were, some attempts not the last."""
+    i = F.col("id")
+    own = locations.withColumns({"sha1_hex": F.concat(F.lit("h"), (i % 100).cast("string")), "fast_signature": F.col("size_bytes").cast("string"), "verification_error": F.when(i % 5 == 0, "old"), "metadata_not_before": F.lit(None).cast("timestamp_ntz")})
+    v = verification_roots(roots)
+    known = own.join(v.select("source_key", "root_key", "root_generation"), ["source_key", "root_key"])
+    outcomes = known.where("id % 6 < 5").select(
+        "id", "source_key", "root_key", F.when(i % 9 > 0, F.col("root_generation")).otherwise(-1).alias("root_generation"), F.when(i % 13 > 0, F.col("sha1_hex")).otherwise("other").alias("sha1_hex"),
+        (F.col("size_bytes") + F.when(i % 8 == 0, 1).otherwise(0)).alias("size_bytes"), "mtime", "fast_signature", "file_identity", F.expr(RESULTS).alias("result"), F.concat(F.lit("e"), i.cast("string")).alias("error"),
+        F.when(i % 4 > 0, F.col("attempted_at")).otherwise(at(1)).alias("attempt_at"), at(0).alias("before_at"), F.lit("before").alias("before_error"), (F.col("size_bytes") + 7).alias("new_size_bytes"), F.col("mtime").alias("new_mtime"), F.lit("s").alias("new_fast_signature"), F.col("file_identity").alias("new_file_identity")
+    )
+    return times(W.verified(own, outcomes, v, at(NOW), 30), "verified_at", "attempted_at", "metadata_not_before").select(*CHECKED, "verified_at", "attempted_at", "metadata_not_before")

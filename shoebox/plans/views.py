@@ -47,6 +47,11 @@ SELECT event_id AS id, 'local' || CAST(user_id % 2 AS STRING) AS source_key, 'ro
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' WHEN 'view' THEN 'queued' ELSE 'queued' END AS status,
   user_id % 5 AS priority, user_id % 4 AS attempts, CAST(user_id % 3 AS BIGINT) AS root_generation, ts AS scheduled_at, {at}(event_id * 13 % 9999) AS sort_at,
   CASE WHEN event_type = 'click' THEN 'worker' || CAST(user_id % 2 AS STRING) END AS owner, CASE WHEN event_type = 'click' THEN ts END AS lease_until
+FROM events""",
+    "index_jobs": """
+SELECT event_id AS id, 'src' || CAST(user_id % 3 AS STRING) AS source_key, user_id % 5 AS priority, user_id % 4 AS attempts,
+  CASE event_type WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'completed' ELSE 'queued' END AS status, ts AS scheduled_at,
+  CASE WHEN event_type = 'click' AND event_id % 6 > 0 THEN ts END AS lease_until, CASE WHEN event_type = 'error' THEN 'boom' END AS last_error
 FROM events""",
     # vectors of assets
     "vectors": """
@@ -65,12 +70,13 @@ FROM conversations""",
     # two snapshots of one source
     "old_rows": "SELECT o_orderkey AS id, o_orderstatus AS filename, o_totalprice AS size, 'active' AS visibility_status, {at}(0) AS updated_at FROM orders WHERE o_orderkey % 10 < 8",
     "new_rows": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS filename, CASE WHEN o_orderkey % 6 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 12 = 5 THEN NULL ELSE o_totalprice END AS size, 'active' AS visibility_status, {at}(60) AS updated_at FROM orders WHERE o_orderkey % 10 >= 2",
+    # a library that has hidden and missing rows, some as the source says them now
+    "stored_rows": "SELECT l_orderkey AS id, l_returnflag AS filename, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_extendedprice END AS size, CASE WHEN l_orderkey % 4 = 1 THEN 'out_of_scope' WHEN l_orderkey % 11 = 2 THEN 'missing' ELSE 'active' END AS visibility_status, {at}(CASE WHEN l_orderkey % 3 = 0 THEN 4 ELSE 1 END) AS updated_at FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 > 0",
     # what syncs of one source say: all of it, and a batch of it
-    "line_rows": "SELECT l_orderkey AS id, l_returnflag AS filename, l_extendedprice AS size, l_orderkey * 100 + l_linenumber * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS ord, l_partkey, l_suppkey, l_quantity, l_linenumber % 4 = 0 AS excluded, {at}(l_linenumber) AS updated_at FROM lineitem",
-    "batch_rows": "SELECT l_orderkey AS id, l_returnflag AS filename, l_extendedprice AS size, l_orderkey * 100 + l_linenumber * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS ord, l_partkey, l_suppkey, l_quantity, l_linenumber % 4 = 0 AS excluded, {at}(l_linenumber) AS updated_at FROM lineitem WHERE l_orderkey % 3 = 0",
+    "line_rows": "SELECT l_orderkey AS id, l_returnflag AS filename, l_extendedprice AS size, l_orderkey * 100 + l_linenumber * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS ord, l_partkey, l_suppkey, l_quantity, l_linenumber % 4 = 0 AS excluded, CASE WHEN l_linenumber < 4 OR l_orderkey % 7 > 0 THEN {at}(l_linenumber) END AS updated_at FROM lineitem",
 }
 #: What each view reads.
-NEEDS = {"source_rows": ("documents", "labels"), "gallery": ("orders",), "locations": ("orders",), "local_assets": ("locations",), "roots": ("locations",), "jobs": ("events",), "vectors": ("embeddings",), "uploads": ("conversations",), "old_rows": ("orders",), "new_rows": ("orders",), "line_rows": ("lineitem",), "batch_rows": ("lineitem",)}
+NEEDS = {"source_rows": ("documents", "labels"), "gallery": ("orders",), "locations": ("orders",), "local_assets": ("locations",), "roots": ("locations",), "jobs": ("events",), "index_jobs": ("events",), "vectors": ("embeddings",), "uploads": ("conversations",), "old_rows": ("orders",), "new_rows": ("orders",), "line_rows": ("lineitem",), "stored_rows": ("lineitem",)}
 AT = re.compile(r"\{at\}\(")
 
 

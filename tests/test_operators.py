@@ -128,6 +128,23 @@ def test_merge_handles_nulls_and_replays(spark):
     assert {(r.id, r.visibility_status, r.change) for r in full.collect()} == {(1, "missing", "hidden"), (2, "active", "changed"), (3, "active", "same"), (4, "active", "new"), (5, "active", "new")}
 
 
+def test_excluded_rows_come_back_and_exclusions_take_times(spark):
+    cols = "id int, name string, visibility_status string, t int"
+    old = spark.createDataFrame([(1, "a", "out_of_scope", 5), (2, "b", "out_of_scope", 5), (3, "c", "out_of_scope", 5), (4, "d", "missing", None), (5, "e", "active", 5), (6, "f", "active", 5)], cols)
+    batch = spark.createDataFrame([(1, "a", False, 5), (2, "b", True, 6), (3, "c", True, None), (4, "d", True, None), (5, "e", False, 5), (6, "f", False, None), (7, "g", True, 1)], "id int, name string, excluded boolean, t int").withColumn("seq", F.lit(1))
+    found = merge.merged(old, batch, ["id"], ["name"], source_time="t")
+    assert sorted((r.id, r.visibility_status, r.t, r.change) for r in found.collect()) == [(1, "active", 5, "changed"), (2, "out_of_scope", 6, "excluded"), (3, "out_of_scope", 5, "same"), (4, "out_of_scope", None, "excluded"), (5, "active", 5, "same"), (6, "active", None, "changed")]
+
+
+def test_window_with_a_deadline_before_its_schedule_is_an_error(spark):
+    from shoebox.operators import verification
+
+    roots = spark.sql("SELECT 's' AS source_key, 'r' AS root_key, 'idle' AS window_state, CAST(NULL AS INT) AS scheduled_for, 0 AS started_at, 0 AS deadline, '' AS skip_reason, false AS reconciliation_pending, 1 AS processed, 1 AS verified, 1 AS changed, 1 AS failed, 1 AS read_bytes")
+    assert verification.started(roots, F.lit(5), F.lit(6), F.lit(1)).first().window_state == "running"
+    with pytest.raises(Exception, match="deadline must follow"):
+        verification.started(roots, F.lit(5), F.lit(5), F.lit(1)).collect()
+
+
 def test_absent_locations_under_blocked_directories(spark):
     stored = spark.createDataFrame([(1, "s", "r", "a/b/c.jpg", "active"), (2, "s", "r", "ab/c.jpg", "active"), (3, "s", "r", "x.jpg", "missing")], "id int, source_key string, root_key string, relative_path string, status string")
     blocked = spark.createDataFrame([("a",)], "directory string")
