@@ -29,13 +29,24 @@ class Snapshots:
         names = [s.getPath().getName() for s in files.listStatus(path)]
         return max((int(n) for n in names if n.isdigit()), default=0)
 
-    def publish(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
-        """Writes the tables as the generation after `expected`, the one that they were made from (None: the current one);
-        if that is not the current one, or another is published meanwhile, nothing is and this raises."""
+    def staged(self, tables: dict[str, DataFrame]) -> str:
+        """Writes tables of a generation that is not published yet; its folder, for in_folder() and publish()."""
+        folder = f"gen-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+        return folder
+
+    def in_folder(self, folder: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{folder}/{name}")
+
+    def publish(self, tables: dict[str, DataFrame], expected: int | None = None, staged: str | None = None) -> int:
+        """Writes the tables, beside those staged already, as the generation after `expected`, the one that they were made
+        from (None: the current one); if that is not the current one, or another is published meanwhile, nothing is and
+        this raises."""
         now = self.current() if expected is None else expected
         if self.current() != now:
             raise RuntimeError(f"generation {self.current()} was published after {now}")
-        folder = f"gen-{now + 1}-{uuid.uuid4().hex}"
+        folder = staged or f"gen-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{folder}/{name}")
         path, files = self._file(f"pointer/{now + 1}")
