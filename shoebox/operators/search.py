@@ -58,56 +58,6 @@ def with_rank_of_all(scored: DataFrame, id_col: str = "id") -> DataFrame:
     return numbered(scored, [F.col("score").desc(), F.col("captured_at").desc(), F.col("source_key"), F.col(id_col)], "rank")
 
 
-def top_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """(query_id, id, rank, score): for each row of queries (id, vector) the k rows of vectors (id, vector) with the
-    greatest dot products, equal ones by id, exactly.
-
-    Queries stand together in blocks, vectors in others, and each pair of blocks is one product of matrices, of which
-    k rows a query go on; so no pair of rows is ever a row. Vectors of another length than a query's are read as if the
-    longer one ended sooner; null vectors and ids are left out.
-    """
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def blocks(rows: DataFrame, of: str) -> DataFrame:
-        own = rows.where("id IS NOT NULL AND vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
-
-        def pack(frames):
-            for pdf in frames:
-                for at in range(0, len(pdf), block):
-                    some = pdf.iloc[at : at + block]
-                    yield pd.DataFrame({f"{of}_ids": [some["id"].tolist()], f"{of}_vectors": [some["vector"].map(list).tolist()]})
-
-        kind = own.schema["id"].dataType.simpleString()
-        return own.mapInPandas(pack, f"{of}_ids array<{kind}>, {of}_vectors array<array<double>>")
-
-    kind = vectors.schema["id"].dataType.simpleString()
-
-    def matrix(rows: list, width: int) -> np.ndarray:
-        out = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
-            out[i, : len(r)] = r
-        return out
-
-    def score(frames):
-        for pdf in frames:
-            for q_ids, q_rows, v_ids, v_rows in zip(pdf["q_ids"], pdf["q_vectors"], pdf["v_ids"], pdf["v_vectors"], strict=True):
-                width = max(map(len, [*q_rows, *v_rows]), default=0)
-                scores = matrix(q_rows, width) @ matrix(v_rows, width).T
-                ids = np.array(v_ids)
-                for q, row in zip(q_ids, scores, strict=True):
-                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    some = np.flatnonzero(row >= least)
-                    best = some[np.lexsort((ids[some], -row[some]))][:k]
-                    yield pd.DataFrame({"query_id": q, "id": ids[best], "score": row[best]})
-
-    # a block is one row: few rows, of which each pair is work for one product
-    pairs = blocks(queries, "q").crossJoin(blocks(vectors, "v").repartition(parts))
-    each = pairs.mapInPandas(score, f"query_id {kind}, id {kind}, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return each.withColumn("n", place).where(F.col("n") <= k).select("query_id", "id", (F.col("n") - 1).alias("rank"), "score")
-
-
 def metadata_candidates(vectors: DataFrame, rows: DataFrame, text: str, query: list[float], limit: int | None = None) -> DataFrame:
     """Indexed rows that match the text, or are favourites where the text asks for these, scored and ranked: all of them,
     or the limit ones most like the query."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoebox.functions import vectors as V
-from shoebox.operators import canonical as C, search as Q, vector_index
+from shoebox.operators import canonical as C, search as Q, text_index, vector_index
 from shoebox.plans.canonical_queries import CANON
 from shoebox.plans.registry import query
 from shoebox.request import SearchRequest, resolve
@@ -40,6 +40,50 @@ def phrase_search(source_rows):
     return source_rows.where(Q.has_text(F.col("description"), "ER th")).select(*C.KEY)
 
 
+def text_index_of(rows, keys, fields):
+    return text_index.TextIndex(Snapshots(rows.sparkSession, shared_dir(rows.sparkSession, "text-index")), keys, fields)
+
+
+@query("phrase_search_indexed", "SELECT source_key, upstream_asset_id FROM source_rows WHERE contains(lower(coalesce(description, '')), 'er threa')")
+def phrase_search_indexed(source_rows):
+    """By trigrams of whole texts; only candidates' texts are read again."""
+    index = text_index_of(source_rows, [*C.KEY], ["description"])
+    index.apply(source_rows.select(*C.KEY, "description"))
+    return index.search(" er THREA ").select(*C.KEY)
+
+
+@query("filename_search_indexed", f"WITH {CANON} SELECT canonical_asset_id, filename FROM canon c WHERE EXISTS (SELECT 1 FROM linked l WHERE l.canonical_asset_id = c.canonical_asset_id AND l.visibility_status = 'active' AND lower(l.filename) LIKE '%7.jp%')")
+def filename_search_indexed(source_rows):
+    rows = C.with_canonical_ids(source_rows)
+    index = text_index_of(rows, [*C.KEY], ["filename"])
+    index.apply(rows.where("visibility_status = 'active'").select(*C.KEY, "canonical_asset_id", "filename"))
+    return C.canonical_assets(rows).join(index.search("7.JP").select("canonical_asset_id"), "canonical_asset_id", "left_semi").select("canonical_asset_id", "filename")
+
+
+IN_ANY = "(contains(lower(filename), '{0}') OR contains(lower(coalesce(place_label, '')), '{0}') OR contains(lower(coalesce(description, '')), '{0}'))"
+
+
+@query("metadata_search_indexed", f"SELECT source_key, upstream_asset_id FROM source_rows WHERE visibility_status = 'active' AND {IN_ANY.format('199')}")
+def metadata_search_indexed(source_rows):
+    """Filename, place and description in one index."""
+    index = text_index_of(source_rows, [*C.KEY], ["filename", "place_label", "description"])
+    index.apply(source_rows.select(*C.KEY, "visibility_status", "filename", "place_label", "description"))
+    return index.search("199").where("visibility_status = 'active'").select(*C.KEY)
+
+
+@query("phrase_search_after_changes", "SELECT source_key, upstream_asset_id FROM (SELECT source_key, upstream_asset_id, CASE WHEN CAST(upstream_asset_id AS BIGINT) % 10 < 3 THEN coalesce(place_label, '') || ' new threads' ELSE description END AS d FROM source_rows WHERE CAST(upstream_asset_id AS BIGINT) % 10 < 7) WHERE contains(lower(coalesce(d, '')), 'threa')")
+def phrase_search_after_changes(source_rows):
+    """Rows come, some go, some get another text; then a search of the three segments."""
+    digit = F.col("upstream_asset_id").cast("bigint") % 10
+    rows = source_rows.select(*C.KEY, "description", digit.alias("digit"))
+    index = text_index_of(rows, [*C.KEY], ["description"])
+    index.apply(rows.where("digit < 5 OR digit = 9"))
+    index.apply(rows.where("digit >= 5"), gone=rows.where("digit = 4 AND digit = 5"))
+    changed = source_rows.where(digit < 3).select(*C.KEY, F.concat(F.coalesce("place_label", F.lit("")), F.lit(" new threads")).alias("description"), digit.alias("digit"))
+    index.apply(changed, gone=rows.where("digit > 6"))
+    return index.search("threa").select(*C.KEY)
+
+
 @query("dot_products", "SELECT a.id AS a, b.id AS b, round(list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]), 6) AS dot FROM vectors a JOIN vectors b ON b.id = a.id + 1")
 def dot_products(vectors):
     b = vectors.select(F.col("id").alias("b"), F.col("vector").alias("other"))

@@ -232,19 +232,6 @@ def test_days_are_ranges_of_times(spark, tmp_path):
     assert timeline.rank_of_time(assets, days, moment).first().position == assets.where(F.col("captured_at") > F.lit(moment).cast("timestamp_ntz")).count()
 
 
-def test_top_of_each_with_ties_and_odd_vectors(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100, [1.0, 0.0, 0.0, 0.0]), (101, [1.0, 0.0, 0.0, 0.0]), (102, [2.0]), (103, None), (None, [9.0, 9.0, 9.0, 9.0])]
-    df = spark.createDataFrame(rows, "id bigint, vector array<float>").repartition(3)
-    plain = {i: np.array([*np.float32(v), 0, 0, 0][:4], float) for i, v in rows if i is not None and v is not None}
-    got = {}
-    for r in search.top_of_each(df, df.where("id % 20 = 0"), 7, block=4).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = r.id
-    want = {q: dict(enumerate(sorted(plain, key=lambda i: (-float(plain[q] @ plain[i]), i))[:7])) for q in plain if q % 20 == 0}
-    assert got == want
-    assert search.top_of_each(df.limit(0), df, 3).count() == 0
-
-
 def test_readiness_needs_every_condition(spark):
     """One asset for each condition that fails, beside one that meets all."""
     source = "canonical_asset_id string, source_key string, upstream_asset_id string, datasource_kind string, visibility_status string"
