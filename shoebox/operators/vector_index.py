@@ -23,7 +23,7 @@ from shoebox.sources.snapshots import Snapshots
 #: The centres are fit, and the probes measured, on so many different vectors at most: those with the least hashes of
 #: their id. Every vector is indexed.
 SAMPLE = 32_768
-MOST_CELLS, FIT_ROUNDS, TEST_QUERIES = 2048, 10, 256
+FEWEST_CELLS, MOST_CELLS, FIT_ROUNDS, TEST_QUERIES = 256, 4096, 10, 256
 #: The share of the true results that a search is to find; a little more is asked of the sample.
 RECALL, MARGIN = 0.9, 0.04
 #: Ids that are kept of equal vectors, and so the largest k.
@@ -109,9 +109,10 @@ def build(vectors: DataFrame, store: Snapshots, cells: int | None = None, sample
     width = size.width or 0
     rows = rows.select("id", _wide(width))
     chance = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.where(chance < 2.0 * sample / max(1, size.n)).orderBy(chance, "id").limit(sample).select("vector").collect()
-    x = np.unique(np.array([r.vector for r in some], float).reshape(len(some), width), axis=0) if some else np.zeros((0, width))
-    want = cells or min(MOST_CELLS, max(1, round(4 * math.sqrt(size.n))))
+    some = rows.where(chance < 2.0 * sample / max(1, size.n)).orderBy(chance, "id").limit(sample).select("vector").toArrow()
+    x = np.unique(_matrix(some["vector"], width), axis=0) if some.num_rows else np.zeros((0, width))
+    # the square root of the vectors, but few enough at first for queries times probes to grow like the queries
+    want = cells or max(1, min(size.n // 4, MOST_CELLS, max(FEWEST_CELLS, round(math.sqrt(size.n)))))
     model = fit_centres(x, min(want, len(x))) if len(x) else Centres(np.zeros((1, width)), 1)
 
     groups = rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
