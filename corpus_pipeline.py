@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shoebox.llm import bpe, common, decontam, langid, linededup, simhash
+from shoebox.llm import bpe, common, decontam, langid, linededup, nearcopies
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,9 +32,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each SimHash group stays, once; rows without an id all stay."""
+    """The document with the least id of each class of near copies stays, once; rows without an id all stay.
+
+    Candidates come from SimHash by ball hashing, and two texts are linked at a five-word likeness of 0.8.
+    """
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = simhash.near_duplicates(named).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = nearcopies.near_copies(named).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     one = Window.partitionBy("kept_id").orderBy(F.xxhash64("text"), "lang", "source")
     # the window needs no shuffle of its own after the join
     rows = named.join(kept, F.col("doc_id") == F.col("kept_id")).withColumn("copy", F.row_number().over(one)).where("copy = 1")
