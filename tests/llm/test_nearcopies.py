@@ -61,9 +61,9 @@ def test_all_links_of_families_chains_and_odd_texts(spark, docs_of, monkeypatch)
     monkeypatch.setattr(N, "HUBS", 1)
     rng = random.Random(3)
     rows, at = [], 0
-    for _ in range(6):
+    for _ in range(4):
         text = made(rng, rng.randrange(60, 400))
-        for k in range(12):
+        for k in range(7):
             rows.append((at := at + 1, text))
             # chains: each a copy of the last, so their ends are not alike; and copies of one text
             text = edited(rng, text if k % 2 else rows[-k - 1 if k else -1][1], rng.choice([0.005, 0.015, 0.03]))

@@ -12,7 +12,7 @@ from shoebox.llm import common
 from tests.conftest import SMALL
 from tests.llm.test_decontam import brute as brute_hits
 from tests.llm.test_linededup import brute as brute_lines
-from tests.llm.test_simhash import brute_fingerprint, brute_groups
+from tests.llm.test_nearcopies import brute as brute_classes
 
 
 @pytest.fixture(scope="module")
@@ -49,8 +49,8 @@ def test_lines(stages):
 def test_near_duplicates(stages):
     before, after = stages[2]
     rows = texts(before)
-    groups = brute_groups([brute_fingerprint(t) for _, t in rows])
-    assert texts(after) == [rows[g] for g in sorted(set(groups))]
+    found = brute_classes(rows)
+    assert texts(after) == [(i, t) for i, t in rows if found[i] == i]
 
 
 def test_contamination(spark, stages):
