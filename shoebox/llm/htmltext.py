@@ -11,9 +11,12 @@ counts; of a host of several groups those stay that could reach one in five with
 bounded number, and are counted on all its pages. So partitions and groups leave the result alone.
 
 On a page the tokens that such strings cover go and the unique runs stay. What markup says is weighed in: chrome that one
-page only has (menus, forms, asides, things named as adverts, notices, comments) shows no repeat and goes without one; inside
-`article` or `main` a string must be on half of the host's pages, ARTICLE_PAGES at least. A page of which more than COPY
-is covered is a copy of others and keeps all of its text.
+page only has shows no repeat and goes without one, if it is what its element, its role or its being hidden says (menus,
+forms, asides), or if a name of it consists of nothing but words for chrome and layout (`share-buttons`). A name that only has such
+a word in it (`search-methods`) is no more than a hint: the block goes if it is nothing but links or if blocks of
+that tag and name are on one in five of the host's pages, which stands in the suffix array as a string of its own. Inside
+`article` or `main` a repeated string of words must be on half of the host's pages, ARTICLE_PAGES at least, and a header is
+the article's own. A page of which more than COPY is covered is a copy of others and keeps all of its text.
 """
 
 from __future__ import annotations
@@ -56,49 +59,84 @@ NO_STACK = frozenset("p br hr li dt dd td th tr option h1 h2 h3 h4 h5 h6".split(
 CHROME_WORDS = frozenset(
     "ad ads adv alert alerts announcement advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus feedback footer form gdpr header masthead menu menubar menus nav navbar navigation newsletter notice notices notification pagination pager popup popular promo promos promotion promoted recommended related respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags teaser toolbar trending tooltip widget widgets modal overlay login search replies reply discussion".split()
 )
+#: Words beside these that say where or how large something is, or what it is made of.
+LAYOUT_WORDS = frozenset("area article articles bar block body bottom box button buttons col column container content fixed global head icon icons inline inner item items left link links list main outer page post posts primary right row secondary section site slot sticky stories story text title top unit wrap wrapper".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 #: Marks of a block, in the order of what wins.
 CHROME_BLOCK, ARTICLE_BLOCK, PLAIN_BLOCK = 0, 1, 2
 #: An article inside something that is only named like chrome, as where that was never closed.
 ENCLOSED_BLOCK = 3
-
-
-def is_chrome(tag: str, attributes: str) -> int:
-    """2 by what the element is or as it is hidden, 1 by its name, else 0."""
-    if tag in CHROME:
-        return 2
+#: Blocks of which a name hints at chrome, inside an article and outside.
+HINTED_ARTICLE, HINTED_PLAIN = 4, 5
+IN_ARTICLE = (ARTICLE_BLOCK, HINTED_ARTICLE)
+HINT_NAME = 6
+#: What markup says of an element.
+NO_CHROME, HINT, BY_NAME, BY_ELEMENT = range(4)
+
+
+def is_chrome(tag: str, attributes: str, article: bool = False) -> int:
+    """BY_ELEMENT as its tag or role says or as it is hidden, BY_NAME or HINT by its class or id, else NO_CHROME."""
+    if tag in CHROME and not (tag == "header" and article):
+        return BY_ELEMENT
     if not attributes:
-        return 0
+        return NO_CHROME
     if HIDDEN.search(attributes):
-        return 2
+        return BY_ELEMENT
+    found = NO_CHROME
     for m in NAMED.finditer(attributes):
-        if any(p.lower() in CHROME_WORDS for p in NAME_PARTS.findall(m[2])):
-            return int(tag not in ("body", "html", "main"))
-    return 0
-
-
-def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """(mark, text) of each block with text in page order, with character references decoded and white space merged."""
+        if tag in ("body", "html", "main"):
+            break
+        for name in m[2].strip("\"'").split():
+            if m[1].lower() == "role":
+                if name.lower() in ROLES:
+                    return BY_ELEMENT
+                continue
+            words = [w.lower() for w in NAME_PARTS.findall(name) if len(w) > 1]
+            if any(w in CHROME_WORDS for w in words):
+                found = max(found, BY_NAME if all(w in CHROME_WORDS or w in LAYOUT_WORDS for w in words) else HINT)
+    return found
+
+
+def name_of(tag: str, attributes: str) -> str:
+    """The tag with its class and id, without digits, as they may number things."""
+    names = sorted(w for m in NAMED.finditer(attributes) for w in m[2].strip("\"'").split())
+    return ".".join([tag, *(re.sub(r"\d+", "", w) for w in names)])
+
+
+def blocks_of(page: str | None, names: list[str] | None = None) -> list[tuple[int, str]]:
+    """(mark, text) of each block with text in page order, with character references decoded and white space merged; names
+    gets what each hinted block's element is called."""
     out: list[tuple[int, str]] = []
     if not page:
         return out
-    #: (tag, in chrome as in is_chrome(), in article) of the open containers
-    stack = [("", 0, False)]
+    #: (tag, in chrome as in is_chrome(), in article, what hinted) of the open containers
+    stack = [("", NO_CHROME, False, "")]
     piece: list[str] = []
     open_tags: Counter = Counter()
-    linked = free = anchors = at = 0
+    linked = free = links = anchors = at = 0
+    listed = False
 
     def close() -> None:
-        nonlocal linked, free
+        nonlocal linked, free, links
         if piece:
             text = " ".join(html.unescape("".join(piece)).split())
             if text:
-                _, chrome, article = stack[-1]
-                # outside an article a block of nothing but links is a menu
-                mark = (ENCLOSED_BLOCK if chrome == 1 and article else CHROME_BLOCK) if chrome else ARTICLE_BLOCK if article else CHROME_BLOCK if linked and not free else PLAIN_BLOCK
+                _, chrome, article, hinted = stack[-1]
+                if chrome > HINT:
+                    mark = ENCLOSED_BLOCK if chrome == BY_NAME and article else CHROME_BLOCK
+                elif linked and not free and (chrome == HINT or not article and (links > 1 or listed)):
+                    mark = CHROME_BLOCK  # nothing but links: a menu, though a paragraph may be one link
+                elif chrome == HINT:
+                    mark = HINTED_ARTICLE if article else HINTED_PLAIN
+                    if names is not None:
+                        names.append(hinted)
+                else:
+                    mark = ARTICLE_BLOCK if article else PLAIN_BLOCK
                 out.append((mark, text))
             piece.clear()
         linked = free = 0
+        links = anchors
 
     def put(text: str) -> None:
         nonlocal linked, free
@@ -128,10 +166,13 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             continue
         if tag == "a":
             anchors = 0 if m[1] else 1
+            links += anchors
             continue
         if tag in BLOCKS:
             close()
-        if tag in VOID or tag in NO_STACK and not (m[3] and not m[1] and is_chrome(tag, m[3])) and not open_tags[tag]:
+            listed = tag == "li" and not m[1]
+        named = is_chrome(tag, m[3], stack[-1][2]) if not m[1] else NO_CHROME
+        if tag in VOID or tag in NO_STACK and not (m[3] and named) and not open_tags[tag]:
             continue
         if m[1]:
             if open_tags[tag]:
@@ -139,17 +180,17 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 while (gone := stack.pop()[0]) != tag:
                     open_tags[gone] -= 1
                 open_tags[tag] -= 1
-        elif tag in BLOCKS or m[3] and is_chrome(tag, m[3]):
+        elif tag in BLOCKS or m[3] and named:
             close()
             if tag in NO_STACK and stack[-1][0] == tag:  # a new p ends the last
                 stack.pop()
                 open_tags[tag] -= 1
             open_tags[tag] += 1
-            _, chrome, article = stack[-1]
+            _, chrome, article, hinted = stack[-1]
             inside = tag in ("article", "main")
-            stack.append((tag, max(0 if tag == "main" else chrome, is_chrome(tag, m[3])), article or inside))
+            stack.append((tag, max(NO_CHROME if tag == "main" else chrome, named), article or inside, name_of(tag, m[3]) if named == HINT else hinted))
     close()
-    alone = not any(mark in (ARTICLE_BLOCK, PLAIN_BLOCK) for mark, _ in out)
+    alone = not any(mark not in (CHROME_BLOCK, ENCLOSED_BLOCK) for mark, _ in out)
     return [(mark if mark != ENCLOSED_BLOCK else ARTICLE_BLOCK if alone else CHROME_BLOCK, text) for mark, text in out]
 
 
@@ -204,6 +245,22 @@ def shared_with_next(order: np.ndarray, ranks: list[np.ndarray], limit: int) ->
     return shared
 
 
+def parsed(pages: list[str | None]) -> list[list[tuple[int, str]]]:
+    """The blocks of each page, and behind them the names of its hinted ones as blocks of marks of their own: each is a
+    string of REPEAT tokens, which repeats where the name does."""
+    out = []
+    for page in pages:
+        names: list[str] = []
+        blocks = blocks_of(page, names)
+        out.append(blocks + [(HINT_NAME, name_string(n)) for n in dict.fromkeys(names)])
+    return out
+
+
+def name_string(name: str) -> str:
+    """No white space is in a name, and no token of a text has a tab."""
+    return " ".join(f"\t{k}{name}" for k in range(REPEAT))
+
+
 def stream(pages: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pages' tokens as numbers, each page ended by a negative number of its own; whether a string of REPEAT tokens
     of one page begins at a token; and that string's hash, which is the same on every page and machine. Chrome is left out."""
@@ -242,10 +299,21 @@ def repeated_strings(pages: list[list[tuple[int, str]]], least: int) -> tuple[np
     return hashes[found][named], counts[named]
 
 
-def main_text(blocks: list[tuple[int, str]], plain: np.ndarray, inside: np.ndarray) -> str:
+def string_hash(text: str) -> int:
+    return int(stream([[(PLAIN_BLOCK, text)]])[2][0])
+
+
+def main_text(page: str | None, plain: np.ndarray, inside: np.ndarray) -> str:
     """The page's text without chrome and without what the strings of its host cover; `inside` are those that go inside
     articles, too."""
-    kept = [(mark, text) for mark, text in blocks if mark != CHROME_BLOCK]
+    names: list[str] = []
+    found = blocks_of(page, names)
+    if names:
+        known = {n: string_hash(name_string(n)) for n in set(names)} if len(plain) else {}
+        repeats = {n for n, h in known.items() if (plain == h).any()}
+        own = iter(names)
+        found = [(mark, text) for mark, text in found if mark not in (HINTED_ARTICLE, HINTED_PLAIN) or next(own) not in repeats]
+    kept = [(mark, text) for mark, text in found if mark != CHROME_BLOCK]
     if len(plain):
         tokens, whole, hashes = stream([kept])
         n = len(tokens) - 1
@@ -257,7 +325,7 @@ def main_text(blocks: list[tuple[int, str]], plain: np.ndarray, inside: np.ndarr
             np.add.at(edges, at + REPEAT, -1)
             covers.append(np.cumsum(edges)[:n] > 0)
         sizes = [text.count(" ") + 1 for _, text in kept]
-        cover = np.where(np.repeat([mark == ARTICLE_BLOCK for mark, _ in kept], sizes), covers[1], covers[0])
+        cover = np.where(np.repeat([mark in IN_ARTICLE for mark, _ in kept], sizes), covers[1], covers[0])
         if cover.any() and cover.mean() <= COPY:
             words = [w for _, text in kept for w in text.split(" ")]
             return " ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
@@ -279,7 +347,7 @@ def host_strings(pages: DataFrame, scratch: Scratch, group_chars: int = GROUP_CH
 
         def done(part: bool) -> pa.RecordBatch:
             n = len(held)
-            hashes, counts = repeated_strings([blocks_of(p) for p in held], max(1, -(-n // (2 * ONE_IN))) if part else max(MIN_PAGES, -(-n // ONE_IN)))
+            hashes, counts = repeated_strings(parsed(held), max(1, -(-n // (2 * ONE_IN))) if part else max(MIN_PAGES, -(-n // ONE_IN)))
             column = lambda first, rest: pa.concat_arrays([pa.array([first], pa.int64()), pa.array(rest, pa.int64())])
             return pa.RecordBatch.from_arrays([pa.array([last] * (len(hashes) + 1), pa.int64()), column(None, hashes), column(0, counts), pa.array([n] * (len(hashes) + 1), pa.int64())], names=["host", "string", "n_pages", "of_pages"])
 
@@ -308,7 +376,7 @@ def host_strings(pages: DataFrame, scratch: Scratch, group_chars: int = GROUP_CH
         for batch in slices(batches):
             seen: Counter = Counter()
             for host, page, strings in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, whole, hashes = stream([blocks_of(page)])
+                _, whole, hashes = stream(parsed([page]))
                 seen.update((host, x) for x in np.intersect1d(hashes[whole], strings).tolist())
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([x for _, x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "string", "n"])
 
@@ -335,12 +403,13 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [main_text(blocks_of(page), np.array(plain or [], np.int64), np.array(inside or [], np.int64)) for page, plain, inside in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [main_text(page, np.array(plain or [], np.int64), np.array(inside or [], np.int64)) for page, plain, inside in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     return joined.mapInArrow(run, T.StructType(kinds))
 
 
 def op2_html_extraction(spark, sf_dir):
+    """The main text of every page; null and empty html have an empty one, repeated rows one each; no pages: no rows."""
     found = main_texts(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
