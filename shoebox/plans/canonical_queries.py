@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoebox.functions import scalars as S
-from shoebox.operators import canonical as C, timeline as T
+from shoebox.operators import canonical as C, projection, timeline as T
 from shoebox.plans.registry import query, text_time
+from shoebox.session import shared_dir
 
 #: The canonical id in SQL: NUL-ended parts of the content, or of the key.
 CA = """CASE WHEN ok THEN 'ca1_' || sha256('content' || chr(0) || media_type || chr(0) || lower(sha) || chr(0) || CAST(size AS VARCHAR) || chr(0))
@@ -224,3 +225,28 @@ def reconciled_identities(locations):
 def identity_fallback(locations):
     lost = local_files(locations, False).where("id % 2 = 0").select("local_source", "root_key", "relative_path")
     return C.identity_fallback(remote_rows(locations), lost, local_files(locations, False), locations.sparkSession.sql(MAPPINGS))
+
+
+CHANGED = f"{LINKED}, kept AS (SELECT * FROM linked WHERE CAST(upstream_asset_id AS BIGINT) % 10 >= 2), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_asset_id ORDER BY dr, source_key, upstream_asset_id) AS n FROM kept WHERE visibility_status = 'active') WHERE n = 1)"
+
+
+def changed_projection(source_rows):
+    """A projection after three batches: some rows as active ones, then all as they are and some gone, then all again."""
+    digit = F.col("upstream_asset_id").cast("bigint") % 10
+    rows = C.source_rank(C.with_canonical_ids(source_rows)).select(*projection.COLUMNS, digit.alias("digit"))
+    rows = rows.withColumns({"gone": F.col("digit") < 2, "datasource_rank": F.col("datasource_rank").cast("int")})
+    p = projection.Projection(source_rows.sparkSession, shared_dir(source_rows.sparkSession, "projection"))
+    p.apply(rows.where("digit < 8").withColumns({"gone": F.lit(False), "visibility_status": F.lit("active")}))
+    p.apply(rows)
+    p.apply(rows)
+    return p
+
+
+@query("projection_by_changes", f"WITH {CHANGED} SELECT canonical_asset_id, source_key, upstream_asset_id, source_count FROM best JOIN (SELECT canonical_asset_id, count(*) AS source_count FROM kept GROUP BY 1) USING (canonical_asset_id)")
+def projection_by_changes(source_rows):
+    return changed_projection(source_rows).shown().select("canonical_asset_id", *C.KEY, "source_count")
+
+
+@query("projection_days_by_changes", f"WITH {CHANGED} SELECT strftime(captured_at, '%Y-%m-%d') AS day, count(*) AS n FROM best GROUP BY 1")
+def projection_days_by_changes(source_rows):
+    return changed_projection(source_rows).days()

@@ -44,42 +44,52 @@ def text_index_of(rows, keys, fields):
     return text_index.TextIndex(Snapshots(rows.sparkSession, shared_dir(rows.sparkSession, "text-index")), keys, fields)
 
 
+def library_texts(documents):
+    """What source_rows has of texts, without its join, so that no text is shuffled."""
+    key = F.col("doc_id").cast("string")
+    filename = F.concat(F.lit("IMG_"), key, F.when(F.col("doc_id") % 4 == 0, ".mp4").otherwise(".JPG"))
+    return documents.select(F.col("source").alias("source_key"), key.alias("upstream_asset_id"), filename.alias("filename"), F.col("lang").alias("place_label"), F.col("text").alias("description"))
+
+
+def active_of(found, source_rows):
+    return found.join(source_rows.where("visibility_status = 'active'").select(*C.KEY), [*C.KEY], "left_semi")
+
+
 @query("phrase_search_indexed", "SELECT source_key, upstream_asset_id FROM source_rows WHERE contains(lower(coalesce(description, '')), 'er threa')")
-def phrase_search_indexed(source_rows):
+def phrase_search_indexed(documents):
     """By trigrams of whole texts; only candidates' texts are read again."""
-    index = text_index_of(source_rows, [*C.KEY], ["description"])
-    index.apply(source_rows.select(*C.KEY, "description"))
+    index = text_index_of(documents, [*C.KEY], ["description"])
+    index.apply(library_texts(documents).select(*C.KEY, "description"))
     return index.search(" er THREA ").select(*C.KEY)
 
 
-@query("filename_search_indexed", f"WITH {CANON} SELECT canonical_asset_id, filename FROM canon c WHERE EXISTS (SELECT 1 FROM linked l WHERE l.canonical_asset_id = c.canonical_asset_id AND l.visibility_status = 'active' AND lower(l.filename) LIKE '%7.jp%')")
-def filename_search_indexed(source_rows):
-    rows = C.with_canonical_ids(source_rows)
-    index = text_index_of(rows, [*C.KEY], ["filename"])
-    index.apply(rows.where("visibility_status = 'active'").select(*C.KEY, "canonical_asset_id", "filename"))
-    return C.canonical_assets(rows).join(index.search("7.JP").select("canonical_asset_id"), "canonical_asset_id", "left_semi").select("canonical_asset_id", "filename")
+@query("filename_search_indexed", "SELECT source_key, upstream_asset_id, filename FROM source_rows WHERE visibility_status = 'active' AND lower(filename) LIKE '%7.jp%'")
+def filename_search_indexed(documents, source_rows):
+    index = text_index_of(documents, [*C.KEY], ["filename"])
+    index.apply(library_texts(documents).select(*C.KEY, "filename"))
+    return active_of(index.search("7.JP").select(*C.KEY, "filename"), source_rows)
 
 
 IN_ANY = "(contains(lower(filename), '{0}') OR contains(lower(coalesce(place_label, '')), '{0}') OR contains(lower(coalesce(description, '')), '{0}'))"
 
 
 @query("metadata_search_indexed", f"SELECT source_key, upstream_asset_id FROM source_rows WHERE visibility_status = 'active' AND {IN_ANY.format('199')}")
-def metadata_search_indexed(source_rows):
+def metadata_search_indexed(documents, source_rows):
     """Filename, place and description in one index."""
-    index = text_index_of(source_rows, [*C.KEY], ["filename", "place_label", "description"])
-    index.apply(source_rows.select(*C.KEY, "visibility_status", "filename", "place_label", "description"))
-    return index.search("199").where("visibility_status = 'active'").select(*C.KEY)
+    index = text_index_of(documents, [*C.KEY], ["filename", "place_label", "description"])
+    index.apply(library_texts(documents))
+    return active_of(index.search("199").select(*C.KEY), source_rows)
 
 
 @query("phrase_search_after_changes", "SELECT source_key, upstream_asset_id FROM (SELECT source_key, upstream_asset_id, CASE WHEN CAST(upstream_asset_id AS BIGINT) % 10 < 3 THEN coalesce(place_label, '') || ' new threads' ELSE description END AS d FROM source_rows WHERE CAST(upstream_asset_id AS BIGINT) % 10 < 7) WHERE contains(lower(coalesce(d, '')), 'threa')")
-def phrase_search_after_changes(source_rows):
+def phrase_search_after_changes(documents):
     """Rows come, some go, some get another text; then a search of the three segments."""
     digit = F.col("upstream_asset_id").cast("bigint") % 10
-    rows = source_rows.select(*C.KEY, "description", digit.alias("digit"))
+    rows = library_texts(documents).select(*C.KEY, "place_label", "description", digit.alias("digit"))
     index = text_index_of(rows, [*C.KEY], ["description"])
     index.apply(rows.where("digit < 5 OR digit = 9"))
-    index.apply(rows.where("digit >= 5"), gone=rows.where("digit = 4 AND digit = 5"))
-    changed = source_rows.where(digit < 3).select(*C.KEY, F.concat(F.coalesce("place_label", F.lit("")), F.lit(" new threads")).alias("description"), digit.alias("digit"))
+    index.apply(rows.where("digit BETWEEN 5 AND 8"))
+    changed = rows.where("digit < 3").withColumn("description", F.concat(F.coalesce("place_label", F.lit("")), F.lit(" new threads")))
     index.apply(changed, gone=rows.where("digit > 6"))
     return index.search("threa").select(*C.KEY)
 
