@@ -5,6 +5,9 @@ neither a long item nor a large benchmark makes a broadcast larger. For each set
 numbered by the set's vocabulary, so a document becomes an array of small integers (0: in no window). Rolling hashes of its
 windows are looked up in the sorted hashes of the set, and each hit is verified word by word. The first set's scan gives
 every document's row; what others hit, without any text, is written and merged into these rows.
+
+A window stands in a set with the items that have it, if these are INLINE at most. A wider one, as a prompt line that a
+million items share, stands there with a number only; which items it has is a table that the documents' hits are joined with.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from shoebox.llm.common import Scratch, slices, table, written
 WINDOW = 10
 #: Different windows in one broadcast set; more of them take several scans, one a set.
 BLOCK_WINDOWS = 400_000
+#: Items that stand beside their window in memory.
+INLINE = 16
 #: Word bytes are 0-9, A-Z (lower-cased), a-z and all bytes from 0x80; the others become blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -45,9 +50,9 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Windows:
-    """Benchmark windows (words joined by blanks, items that have it), by their length."""
+    """Benchmark windows (words joined by blanks, items that have it or, for a wide one, its number), by their length."""
 
-    def __init__(self, windows: list[tuple[bytes, list[str]]]):
+    def __init__(self, windows: list[tuple[bytes, list[str] | int]]):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[int, list] = {}
         for gram, items in windows:
@@ -60,9 +65,9 @@ class Windows:
             order = np.argsort(hashes, kind="stable")
             self.by_size[k] = (hashes[order], grams[order], [own[i][1] for i in order])
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
-        """Which words are hit (None: none) and by which items."""
-        hit, items = None, set()
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str], set[int]]:
+        """Which words are hit (None: none), by which items, and by which wide windows."""
+        hit, items, wide = None, set(), set()
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         for k, (hashes, grams, owners) in self.by_size.items():
@@ -81,9 +86,12 @@ class Windows:
                     if (grams[j] == ids[i : i + k]).all():
                         hit = np.zeros(len(ids), bool) if hit is None else hit
                         hit[i : i + k] = True
-                        items.update(owners[j])
+                        if isinstance(owners[j], int):
+                            wide.add(owners[j])
+                        else:
+                            items.update(owners[j])
                     j += 1
-        return hit, items
+        return hit, items, wide
 
 
 def runs_of(text: str, hit: np.ndarray) -> list[dict]:
@@ -127,57 +135,73 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     equal items count as they stand. An empty benchmark hits nothing. Only the named columns are read;
     those in carry are passed on, and may not be named like the results.
     """
-    if clash := {"n_words", "n_hit", "items", "spans", "runs"} & {id_col, *carry}:
+    if clash := {"n_words", "n_hit", "items", "spans", "runs", "wide"} & {id_col, *carry}:
         raise ValueError(f"carried columns are named like results: {sorted(clash)}")
     names = [id_col, *carry]
     source = docs.select(F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__hash"), *names)
     out, more = None, []
+    none = F.array().cast("array<string>")
     with Scratch(docs.sparkSession, "windows") as scratch:
         windows = scratch.written(benchmark_windows(benchmark, item_col, item_text_col), "windows")
-        # as many sets as the different windows need; one item has a window once
-        blocks = max(1, -(-windows.select("gram").distinct().count() // block_windows))
+        # one item has a window once
+        grams = scratch.written(windows.groupBy("gram").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()), "grams")
+        wide = grams.where(F.col("n") > INLINE).select("gram", "number")
+        few = scratch.written(windows.join(wide, "gram", "left_anti").groupBy("gram").agg(F.collect_list("item").alias("items")), "few")  # INLINE at most
+        members = written(windows.join(wide, "gram").select("number", "item"), "wide-windows")
+        # as many sets as the different windows need
+        blocks = max(1, -(-grams.count() // block_windows))
         for n in range(blocks):
-            own = windows.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == n).groupBy("gram").agg(F.collect_list("item").alias("items"))
-            rows = [(bytes(r.gram), r["items"]) for r in own.collect()]  # about block_windows
-            shared = docs.sparkSession.sparkContext.broadcast(Windows(sorted(rows)))
+            of_block = F.pmod(F.xxhash64("gram"), F.lit(blocks)) == n
+            rows = [(bytes(r.gram), r["items"]) for r in few.where(of_block).collect()] + [(bytes(r.gram), r.number) for r in wide.where(of_block).collect()]  # about block_windows
+            shared = docs.sparkSession.sparkContext.broadcast(Windows(sorted(rows, key=lambda r: r[0])))
             found = scanned(source, shared, names, n == 0)
             if n == 0:
                 out = found
             else:
-                more.append(written(found.groupBy(F.col(id_col).alias("hit_id"), F.col("__hash").alias("hit_hash")).agg(F.first("runs").alias("runs"), F.first("items").alias("items")), "hits"))
+                first = [F.first(c).alias(c) for c in ("runs", "items", "wide")]
+                more.append(written(found.groupBy(F.col(id_col).alias("hit_id"), F.col("__hash").alias("hit_hash")).agg(*first), "hits"))
                 shared.unpersist()
+    same = F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.col("__hash") == F.col("hit_hash"))
     if more:
         hits = more[0]
         for other in more[1:]:
             hits = hits.unionByName(other)
-        hits = hits.groupBy("hit_id", "hit_hash").agg(F.flatten(F.collect_list("runs")).alias("more_runs"), F.flatten(F.collect_list("items")).alias("more_items"))
-        out = out.join(hits, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.col("__hash") == F.col("hit_hash")), "left")
-        out = out.withColumn("items", F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))))
+        hits = hits.groupBy("hit_id", "hit_hash").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("runs", "items", "wide")))
+        out = out.join(hits, same, "left").drop("hit_id", "hit_hash")
+        out = out.withColumn("items", F.array_distinct(F.concat("items", F.coalesce("more_items", none))))
+        out = out.withColumn("wide", F.concat("wide", F.coalesce("more_wide", F.array().cast("array<bigint>"))))
         out = out.withColumn("runs", merged_runs(F.concat("runs", F.coalesce("more_runs", F.array().cast(RUNS)))))
+    if not members.isEmpty():
+        # a second scan, for what few documents hit; equal rows hit the same
+        hits = out.where(F.size("wide") > 0).select(F.col(id_col).alias("hit_id"), F.col("__hash").alias("hit_hash"), F.explode("wide").alias("number")).distinct()
+        theirs = hits.join(members, "number").groupBy("hit_id", "hit_hash").agg(F.collect_set("item").alias("wide_items"))
+        out = out.join(theirs, same, "left").drop("hit_id", "hit_hash")
+        out = out.withColumn("items", F.array_distinct(F.concat("items", F.coalesce("wide_items", none))))
     n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["after"] - r["first"])
     spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))
     return out.select(*names, "n_words", n_hit.alias("n_hit"), F.sort_array("items").alias("items"), spans.alias("spans"))
 
 
 def scanned(source: DataFrame, shared, names: list[str], every: bool) -> DataFrame:
-    """(__hash, *names, n_words, runs, items) of every row of source, or of those with hits."""
+    """(__hash, *names, n_words, runs, items, wide) of every row of source, or of those with hits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in slices(batches):
-            n_words, runs, items, kept = [], [], [], []
+            n_words, runs, items, wide, kept = [], [], [], [], []
             for row, text in enumerate(batch.column(0).to_pylist()):
                 words = words_of(text)
-                hit, found = w.scan(words)
+                hit, found, many = w.scan(words)
                 if hit is not None or every:
                     kept.append(row)
                     n_words.append(len(words))
                     runs.append([] if hit is None else runs_of(text, hit))
                     items.append(sorted(found))
+                    wide.append(sorted(many))
             columns = [batch.column(i + 1).take(pa.array(kept, pa.int32())) for i in range(len(names) + 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(runs, ARROW_RUNS), pa.array(items, pa.list_(pa.string()))], names=["__hash", *names, "n_words", "runs", "items"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(runs, ARROW_RUNS), pa.array(items, pa.list_(pa.string())), pa.array(wide, pa.list_(pa.int64()))], names=["__hash", *names, "n_words", "runs", "items", "wide"])
 
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "after", "start", "stop")]))), T.StructField("items", T.ArrayType(T.StringType()))]
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "after", "start", "stop")]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("wide", T.ArrayType(T.LongType()))]
     return source.mapInArrow(scan, T.StructType([source.schema["__hash"], *(source.schema[c] for c in names), *fields]))
 
 
@@ -210,6 +234,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
 
 def op4_decontamination(spark, sf_dir):
+    """Hits of all benchmark items in every document; null and empty texts have no words and no hits, repeated rows one row
+    each; an empty benchmark hits nothing, no documents: no rows."""
     found = scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

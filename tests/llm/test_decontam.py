@@ -54,6 +54,21 @@ def test_against_brute_force_in_one_and_more_blocks(spark, docs_of):
             assert r.lang == "en" and r.n_hit == sum(len(words(texts[r.doc_id][s.start : s.stop])) for s in r.spans)
 
 
+@pytest.mark.parametrize("size", [D.BLOCK_WINDOWS, 12])
+def test_a_window_of_very_many_items(spark, docs_of, size, monkeypatch):
+    """A prompt line that all items share stands in the broadcast once, without their names."""
+    prompt = "answer the question below with one of the four letters given"
+    items = [(i, f"{prompt} q{i} r{i} s{i}") for i in range(60)] + [(100, "short one")]
+    texts = [f"x {prompt} y", f"{prompt} q7 r7 s7 t7", "a short one", "none of it", None, f"x {prompt} y"]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in D.scan_documents(docs_of(texts), bench, block_windows=size).collect()}
+    assert found == brute(list(enumerate(texts)), items) and len(found[0][2]) == 60
+    sets, made = [], D.Windows.__init__
+    monkeypatch.setattr(D.Windows, "__init__", lambda self, rows: sets.extend(rows) or made(self, rows))
+    D.scan_documents(docs_of(texts), bench, block_windows=size)
+    assert sum(isinstance(own, int) for _, own in sets) == 2 and max(len(own) for _, own in sets if not isinstance(own, int)) <= D.INLINE
+
+
 def test_repeated_rows_with_several_sets(spark, docs_of):
     bench = spark.createDataFrame([("i", " ".join(f"w{k}" for k in range(40)))], "item_id string, text string")
     docs = docs_of([(1, "w1 " * 3 + " ".join(f"w{k}" for k in range(3, 30)))] * 3 + [(None, " ".join(f"w{k}" for k in range(12)))] * 2 + [(2, None)])
