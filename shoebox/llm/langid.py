@@ -27,6 +27,8 @@ from shoebox.llm.common import slices, table
 TRAIN_DOCS, TRAIN_SHORT = 24, 2_000
 #: Letters of a stretch, and of the texts that are parsed at once (a longer text is parsed alone).
 STRETCH, AT_ONCE = 256, 1 << 20
+#: How often open stretches are followed side by side before they are walked one by one.
+ROUNDS = 3
 #: Bits a letter are turned into a score by a softmax of this steepness.
 STEEPNESS = 8.0
 
@@ -144,21 +146,24 @@ class CrossParser:
         before = np.full(len(cuts), -1)  # the row of the stretch before in the text, by row
         later = np.flatnonzero(nth)
         before[place[later]] = place[later - 1]
-        np.add.at(out, np.array(owner)[order], count + self._corrections(before, sizes, grid, at, begins))
+        np.add.at(out, np.array(owner)[order], count + self._corrections(before, sizes, grid, at, begins, np.array(nth)[order]))
         return out
 
-    def _corrections(self, before: np.ndarray, sizes: np.ndarray, grid: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def _corrections(self, before: np.ndarray, sizes: np.ndarray, grid: np.ndarray, ends: np.ndarray, begins: np.ndarray, nth: np.ndarray) -> np.ndarray:
         """By row and language, how many phrases more or less a stretch has as the phrase before runs into it.
 
         All stretches are followed at once, from the states in which those before them ended by the first parse. Where
-        one shares no place with that parse up to its end, the next is followed again from the state found.
+        one shares no place with that parse up to its end, the next is followed again from the state found. In texts that
+        repeat themselves no stretch may ever share one; what is open after ROUNDS rounds is walked once, from the left.
         """
         shift = self.table.dtype.itemsize * 8 - 1
         after = np.full(len(before), -1)
         after[before[before >= 0]] = np.flatnonzero(before >= 0)
         more, at = np.zeros(ends.shape, np.int64), ends.copy()
         todo, lang = np.nonzero(np.repeat(before[:, None] >= 0, ends.shape[1], axis=1))
-        while len(todo):
+        rounds = 0
+        while len(todo) and rounds < ROUNDS:
+            rounds += 1
             row, state, step = todo, at[before[todo], lang], 0
             old, langs = at[todo, lang], lang
             more[row, lang] = 0
@@ -180,6 +185,26 @@ class CrossParser:
                 step += 1
             moved = (at[todo, lang] != old) & (after[todo] >= 0)
             todo, lang = after[todo[moved]], lang[moved]
+        table = memoryview(self.table)
+        for c in np.unique(lang).tolist():
+            own = todo[lang == c]
+            left = dict.fromkeys(own[np.argsort(nth[own], kind="stable")].tolist())
+            while left:
+                row = next(iter(left))
+                while row >= 0:
+                    left.pop(row, None)
+                    state, change, old = int(at[before[row], c]), 0, at[row, c]
+                    for code, guessed in zip(grid[: sizes[row], row].tolist(), begins[: sizes[row], row, c].tolist(), strict=True):
+                        state = table[state + code]
+                        if state < 0:
+                            state, change = ~state, change + 1
+                            if guessed:
+                                change -= 1
+                                state = -1
+                                break
+                        change -= guessed
+                    more[row, c], at[row, c] = change, ends[row, c] if state < 0 else state
+                    row = int(after[row]) if at[row, c] != old or int(after[row]) in left else -1
         return more
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -264,6 +289,8 @@ def predicted(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text
 
 
 def op5_language_id(spark, sf_dir):
+    """A language for every document; null texts and those without a letter are und, with score 0; repeated rows are
+    predicted alike; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     parser = fit(docs.where(~held_out("doc_id", 5, 0)))
     return predicted(docs, parser).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")

@@ -43,6 +43,28 @@ def test_phrases_against_brute_force(stretch, monkeypatch):
     assert got.tolist() == [[brute_phrases(plain[lang], t) for lang in parser.langs] for t in spaced]
 
 
+@pytest.mark.parametrize("stretch", [4, 7, 64])
+def test_periodic_texts_have_the_phrases_of_the_whole(stretch, monkeypatch):
+    """Where a text repeats itself, no two parses may ever share a place; then it is walked from the left."""
+    monkeypatch.setattr(L, "STRETCH", stretch)
+    samples = {"en": "aaa abab the theth banana", "de": "aaaaa babab c"}
+    parser = L.CrossParser(samples)
+    texts = [unit * (300 // len(unit)) for unit in ("a", "ab", "aab", "abac", "the ", "thethe a", "Ωa")] + ["x" + "a" * 200 + "b" + "ab" * 90, "a" * 100 + "Ω" + "a" * 100]
+    spaced = [parser._spaced(t) for t in texts]
+    assert parser.phrases([parser.codes(t) for t in spaced]).tolist() == [[brute_phrases(parser._spaced(samples[lang]), t) for lang in parser.langs] for t in spaced]
+
+
+def test_time_of_a_periodic_text_grows_like_its_length():
+    import time
+
+    parser, took = L.CrossParser({"en": "aaa the house", "de": "das haus aaa"}), []
+    for n in (100_000, 800_000):
+        began = time.process_time()
+        assert parser.phrases([parser.codes("a" * n)]).min() == -(-n // 3)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
+
+
 def brute_prediction(parser, plain, text):
     spaced = parser._spaced(text or "")
     if not spaced.strip():
