@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoebox.operators import timeline as T
+from shoebox.operators import order_index, timeline as T
 from shoebox.plans.registry import at, query, text_time
 from shoebox.plans.timeline_queries import POSITIONS
 from shoebox.session import shared_dir
@@ -29,6 +29,16 @@ def position_files(gallery):
     return T.seek(gallery.sparkSession.read.parquet(path), 9000, 60).select("canonical_asset_id", "global_position")
 
 
+@query("positions_after_changes", "SELECT canonical_asset_id, global_position FROM (SELECT canonical_asset_id, row_number() OVER (ORDER BY captured_at DESC, canonical_asset_id) - 1 AS global_position FROM gallery WHERE canonical_asset_id % 10 > 0) WHERE global_position >= 500 AND global_position < 620")
+def positions_after_changes(gallery):
+    """Six tenths of the timeline, then the rest in and a tenth out: positions are kept up by the ranges that this touches."""
+    store = snapshots.Snapshots(gallery.sparkSession, shared_dir(gallery.sparkSession, "order-index"))
+    index = order_index.OrderIndex(store, range_rows=1000)
+    index.build(gallery.where("canonical_asset_id % 10 < 6"))
+    index.apply(gallery.where("canonical_asset_id % 10 >= 6"), removed=gallery.where("canonical_asset_id % 10 = 0"))
+    return index.seek(500, 120).select("canonical_asset_id", "global_position")
+
+
 @query("incremental_sync", "WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS filename, floor(o_totalprice) AS size, 1 AS ord, false AS excluded FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 'new', 7, 2, o_orderkey % 5 = 0 FROM orders WHERE o_orderkey % 2 = 0), l AS (SELECT id, max_by(filename, ord) FILTER (WHERE NOT excluded) AS filename, max_by(size, ord) FILTER (WHERE NOT excluded) AS size, max_by(excluded, ord) AS gone FROM b GROUP BY id) SELECT id, filename, CAST(size AS BIGINT) AS size, CASE WHEN gone THEN 'out_of_scope' ELSE 'active' END AS visibility_status FROM l WHERE filename IS NOT NULL")
 def incremental_sync(orders):
     """Landed JSON pages are merged as a stream, window by window; a replayed page changes nothing."""
