@@ -256,6 +256,8 @@ def ids_array(packed: bytes) -> np.ndarray:
 
 
 def op7_bpe_encode_decode(spark, sf_dir):
+    """Ids and decoded text of every document, as digests. Null texts are empty and have no ids; repeated rows are encoded alike;
+    very long texts are encoded in parts, with the same ids; an empty table gives no rows."""
     import public_tokenizers
 
     found = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

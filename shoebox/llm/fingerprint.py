@@ -158,6 +158,10 @@ def next_in_range(column: str, id_col: str, second: str) -> Column:
 
 
 def op1_document_fingerprints(spark, sf_dir):
+    """Sketches of every text and of its edited form. Null texts are empty; empty texts and texts of no words have an empty
+    sketch and are alike by 1; texts of fewer than five words are one shingle. Repeated ids are told apart by their texts, equal rows
+    have equal results; null ids come first. A table of one row is its own next; an empty one gives no rows. Beside what
+    is asked for: how much of the text the edited one contains, and how many different shingles it has, both estimated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     docs = in_ranges(docs, "doc_id", "hash").select("*", next_in_range("text", "doc_id", "hash").alias("next_text"))
     n = F.length("text")
@@ -169,4 +173,5 @@ def op1_document_fingerprints(spark, sf_dir):
     return docs.select(
         "doc_id", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"), resemblance(F.col("own"), F.col("next")).alias("near_next"),
+        containment(F.col("own"), F.col("changed")).alias("contained_in_edited"), distinct_shingles(F.col("own")).alias("n_shingles"),
     )

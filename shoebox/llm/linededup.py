@@ -141,6 +141,9 @@ def dedup_lines(
 
 
 def op10_line_dedup(spark, sf_dir):
+    """Every document without its common lines. Null and empty texts are one empty line, which has no key and stays; a line
+    counts once a document, however often it stands there; repeated rows are documents of their own; an empty table gives no
+    rows."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

@@ -195,5 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and class of every text. Null and blank texts have fingerprint zero and link like any other; repeated rows
+    stay; the least id names a class, whatever the order; an empty table gives no rows."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -115,6 +115,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
 
 def op3_token_counts(spark, sf_dir):
+    """Counts of every text, as the library gives them. Null and empty texts have no tokens; repeated rows count alike; very long
+    texts are counted whole; an empty table gives no rows."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

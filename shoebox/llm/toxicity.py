@@ -292,6 +292,8 @@ def scored(docs: DataFrame, tagger: ToxicTagger, id_col: str = "doc_id", text_co
 
 
 def op8_toxicity(spark, sf_dir):
+    """A score for every text by a field fit on the labelled documents that are not held out. Null and empty texts and texts
+    without words score 0; repeated rows alike; without toxic labels all score 0; an empty table gives no rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     tagger = fit(docs, labels.where(~held_out("doc_id", 3, 1)))
     found = scored(docs, tagger)

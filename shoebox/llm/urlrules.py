@@ -105,6 +105,8 @@ RULES = [
 
 
 def op9_url_filters(spark, sf_dir):
+    """The longest rule that fits each url. Null urls and such without a host have an empty host and path, no rule, and the
+    method's own verdict; repeated rows are judged alike; an empty table gives no rows."""
     rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {rows} AS r(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")

@@ -103,3 +103,15 @@ def test_parts_of_a_row_merge_into_the_whole(spark):
 def test_no_python_in_the_plan(spark):
     plan = P.op1_document_fingerprints(spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_estimates_containment_and_shingles(spark):
+    """Against the shingles themselves: exact where the sketch holds them all, else within a few standard errors."""
+    found = {r.doc_id: r for r in P.op1_document_fingerprints(spark, SMALL).collect()}
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    for k, (i, text) in enumerate(docs):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + docs[(k + 1) % len(docs)][1][:half]
+        own, other = shingles(text), shingles(edited)
+        assert abs(found[i].contained_in_edited - len(own & other) / max(1, len(own))) <= 0.25
+        assert found[i].n_shingles == len(own) if len(own) < P.K else abs(found[i].n_shingles / len(own) - 1) <= 0.45
