@@ -2,8 +2,8 @@
 
 A SimHash of three-word shingles at three bits, as simhash.py has it, misses most copies of which a fifth of the five-word
 shingles differ. Fingerprints of single words move less: here a word counts as the root of how often it comes, so that neither the rare
-words nor the few that every text of a language has decide alone. SEEDS fingerprints of other hashes each go through the
-same ball hashing; texts whose fingerprints are connected at three bits are candidates of each other.
+words nor the few that every text of a language has decide alone. SEEDS fingerprints of other hashes of each text go through the
+same ball hashing; texts that have fingerprints which are connected at three bits are candidates of each other.
 
 Candidates are verified exactly, by the share of their shingles. Within a group all are compared with some of them, the
 hubs, and those alike are one class from then on. Hubs are taken outside the group's largest class, twice as many in each
@@ -30,7 +30,7 @@ from shoebox.llm.simhash import LONG_BYTES, WORD, WORDS_AT_ONCE, _signed, finger
 SEEDS = 4
 SHINGLE, LEAST = 5, 0.8
 #: Hubs of a group in the first round.
-HUBS = 4
+HUBS = 2
 
 
 def _words(text: str | None) -> Iterator[list[bytes]]:
@@ -137,7 +137,7 @@ def _classes(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS) -> DataFrame:
     """(id_col, component_id) for each row of docs: the smallest id of the documents that links of likeness LEAST or more
-    reach, between texts whose fingerprints of one seed are connected at three bits.
+    reach, between texts of which two fingerprints are connected at three bits.
 
     Null and blank texts are alike and link like any other; so do texts of under five words, if they have the same ones.
     Repeated rows stay. Null ids never name a class unless all its ids are null. An empty table gives no rows. Only the two
@@ -147,29 +147,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with Scratch(docs.sparkSession, "near-copies") as scratch:
         found = written(source.select("id", "key"), "keys")
         prints = scratch.written(_mapped(source.select("key", "text"), lambda t: fingerprints_of(t, seeds), "fps").groupBy("key").agg(F.first("fps").alias("fps")), "fingerprints")
-        grouped = []
-        for seed in range(seeds):
-            own = prints.select("key", F.get("fps", F.lit(seed)).alias("fp"))
-            groups = fingerprint_groups(own.select("fp").distinct(), scratch)
-            own = own.join(groups.withColumnRenamed("fp", "own"), F.col("fp") == F.col("own")).select("group", "key", F.col("key").alias("comp"))
-            grouped.append(scratch.written(_mixed(own), f"groups-{seed}"))
-        suspect = grouped[0].select("key")
-        for g in grouped[1:]:
-            suspect = suspect.unionByName(g.select("key"))
-        texts = source.select("key", "text").join(suspect.distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        # all fingerprints go through one ball hashing; that two of different hashes meet by chance costs a comparison
+        own = prints.select("key", F.explode("fps").alias("fp"))
+        groups = fingerprint_groups(own.select("fp").distinct(), scratch).withColumnRenamed("fp", "own")
+        members = own.join(groups, F.col("fp") == F.col("own")).select("group", "key").distinct().withColumn("comp", F.col("key"))
+        members = scratch.written(_mixed(members), "groups")
+        texts = source.select("key", "text").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
         sets = scratch.written(_mapped(texts, shingles_of, "shingles"), "shingles")
-        classes = None
-        for g in grouped:
-            members = _joined(g, classes) if classes is not None else g
-            more = _classes(members, sets, scratch)
-            if more is None:
-                continue
-            if classes is not None:
-                # what was one class may be part of a larger one now
-                old = classes.join(more.withColumnsRenamed({"node": "n", "component": "c"}), F.col("component") == F.col("n"), "left")
-                new = more.join(classes.select("node"), "node", "left_anti")
-                more = old.select("node", F.coalesce("c", "component").alias("component")).unionByName(new)
-            classes = scratch.written(more, "classes")
+        classes = _classes(members, sets, scratch)
         if classes is None:
             classes = docs.sparkSession.createDataFrame([], "node string, component string")
         named = prints.select(F.col("key").alias("own"), F.col("key").alias("comp"))
