@@ -122,7 +122,10 @@ def admin_snapshots(source_rows):
 HEX = "hex(CAST(x::FLOAT::BIT AS BLOB))"  # high byte first
 
 
-@query("vector_checksums", f"SELECT vec_id, len(embedding) AS dim, sha256(unhex(list_aggregate(list_transform(embedding, lambda x: substr({HEX}, 7, 2) || substr({HEX}, 5, 2) || substr({HEX}, 3, 2) || substr({HEX}, 1, 2)), 'string_agg', ''))) AS checksum FROM embeddings")
+CHECKSUMS = f"SELECT vec_id, len(embedding) AS dim, sha256(unhex(list_aggregate(list_transform(embedding, lambda x: substr({HEX}, 7, 2) || substr({HEX}, 5, 2) || substr({HEX}, 3, 2) || substr({HEX}, 1, 2)), 'string_agg', ''))) AS checksum FROM embeddings"
+
+
+@query("vector_checksums", CHECKSUMS)
 def vector_checksums(embeddings):
     return exports.vector_checksums(embeddings, "vec_id", "embedding")
 
@@ -132,3 +135,17 @@ def optional_source_filter(locations):
     source = "local1"  # an empty name would be no filter
     cond = F.col("status") == "active"
     return locations.where(cond & (F.col("source_key") == source) if source else cond).select("id")
+
+
+@query("payload_round_trip", CHECKSUMS)
+def payload_round_trip(embeddings):
+    """Vectors packed into batches, and read back from their byte ranges."""
+    from shoebox.sources import payloads
+    from shoebox.session import shared_dir
+
+    spark, path = embeddings.sparkSession, shared_dir(embeddings.sparkSession, "payloads")
+    rows, batches = payloads.packed(embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    rows.write.parquet(f"{path}/rows")
+    batches.write.parquet(f"{path}/batches")
+    found = payloads.fetched(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/batches")).where("intact")
+    return exports.vector_checksums(found.select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding")), "vec_id", "embedding")
