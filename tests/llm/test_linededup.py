@@ -119,6 +119,7 @@ def test_keys_are_equal_but_for_the_case_of_a_to_z(spark):
 
 def test_only_the_hits_are_left_on_disk(spark, docs_of):
     top = common.shared_dir(spark, "x").rsplit("/", 1)[0]
+    os.makedirs(top, exist_ok=True)
     before = set(os.listdir(top))
     L.dedup_lines(docs_of([(i, "a") for i in range(12)])).collect()
     assert [n.split("-")[0] + "-" + n.split("-")[1] for n in set(os.listdir(top)) - before] == ["line-hits"]

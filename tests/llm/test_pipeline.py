@@ -71,6 +71,7 @@ def test_encoding(stages):
 
 def test_run_is_the_last_stage(spark, stages):
     top = common.shared_dir(spark, "x").rsplit("/", 1)[0]
+    os.makedirs(top, exist_ok=True)
     before = set(os.listdir(top))
     C.run(spark, SMALL).collect()
     assert ["-".join(n.split("-")[:2]) for n in set(os.listdir(top)) - before] == ["pipeline-decontamination"]
