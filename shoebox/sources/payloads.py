@@ -56,13 +56,14 @@ def fetched(rows: DataFrame, batches: DataFrame) -> DataFrame:
         parts = [payload[o : o + n] for o, n in zip(own["offset"], own["length"], strict=True)]
         good = [len(p) == n and sha256(p).hexdigest() == c for p, n, c in zip(parts, own["length"], own["checksum"], strict=True)]
         vectors = [np.frombuffer(p, "<f4") if g else None for p, g in zip(parts, good, strict=True)]
-        return pd.DataFrame({"id": own["id"], "vector": vectors, "intact": good})
+        return pd.DataFrame({"id": own["id"], "vector": pd.Series(vectors, own.index, dtype=object), "intact": pd.Series(good, own.index, dtype=bool)})
 
     # copies of rows of one batch are dealt, so that a batch that very many rows name is read in several tasks
     slots = F.pmod(F.xxhash64("id"), F.lit(8))
-    dealt = batches.select("batch", "payload", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(8)))).alias("slot"))
-    own = rows.select("id", "batch", "offset", "length", "checksum", slots.alias("slot"))
-    return own.groupBy("batch", "slot").cogroup(dealt.groupBy("batch", "slot")).applyInPandas(read, f"id {kind}, vector array<float>, intact boolean")
+    # new names, as rows and batches may come from one table
+    dealt = batches.select(F.col("batch").alias("of_batch"), F.col("payload").alias("payload"), F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(8)))).alias("of_slot"))
+    own = rows.select("id", F.col("batch").alias("batch"), "offset", "length", "checksum", slots.alias("slot"))
+    return own.groupBy("batch", "slot").cogroup(dealt.groupBy("of_batch", "of_slot")).applyInPandas(read, f"id {kind}, vector array<float>, intact boolean")
 
 
 def swept(batches: DataFrame, live: list[DataFrame]) -> DataFrame:
