@@ -44,11 +44,17 @@ def failed_last(rows: DataFrame, n: int) -> DataFrame:
 
 
 def first_view_order(assets: DataFrame, first: int, n: int) -> DataFrame:
-    """The newest `first` assets come first in that order; the others as if shuffled, by the end of their ids."""
-    newest = assets.orderBy(F.col("captured_at").desc(), "asset_id").limit(first).withColumn("view_rank", F.row_number().over(Window.orderBy(F.col("captured_at").desc(), "asset_id")))
-    rank = F.coalesce("view_rank", F.lit(1_000_000))
-    both = assets.join(newest.select("asset_id", "view_rank"), "asset_id", "left").withColumn("view_rank", rank)
-    return both.orderBy("view_rank", F.substring("asset_id", -8, 8), "asset_id").limit(n)
+    """The newest `first` assets come first in that order; the others as if shuffled, by the end of their ids.
+
+    Ids may repeat: each row has its own place. Of the first + n rows that are ahead in the shuffled order n at least are
+    not among the newest, so no join over all rows is needed.
+    """
+    others = [c for c in assets.columns if c not in ("captured_at", "asset_id")]
+    order, shuffled = [F.col("captured_at").desc(), F.col("asset_id"), *others], [F.substring("asset_id", -8, 8), F.col("asset_id")]
+    newest = assets.orderBy(*order).limit(first)
+    rest = assets.orderBy(*shuffled, *order).limit(first + n).exceptAll(newest).withColumn("view_rank", F.lit(1_000_000))
+    ranked = newest.withColumn("view_rank", F.row_number().over(Window.orderBy(*order)))  # first rows
+    return ranked.unionByName(rest).orderBy("view_rank", *shuffled).limit(n)
 
 
 def thumbnail_jobs(assets: DataFrame, jobs: DataFrame, first: int, n: int, high: int = 0, low: int = 10, videos: bool = True) -> DataFrame:
@@ -60,9 +66,9 @@ def thumbnail_jobs(assets: DataFrame, jobs: DataFrame, first: int, n: int, high:
     """
     pool = assets.where((F.col("visibility_status") == "active") & F.col("media_type").isin("image", *["video"] * videos))
     order = [F.col("captured_at").desc(), F.col("asset_id")]
-    newest = pool.orderBy(*order).limit(first).select("asset_id", F.row_number().over(Window.orderBy(*order)).alias("view_rank"))  # first rows
+    newest = pool.orderBy(*order).limit(first).select("source_key", "asset_id", F.row_number().over(Window.orderBy(*order)).alias("view_rank"))  # first rows
     busy = jobs.where((F.col("kind") == "thumbnail") & F.col("status").isin(*ACTIVE)).select("source_key", "asset_id")
-    waiting = pool.where(F.col("thumbnail_status") == "pending").join(busy, ["source_key", "asset_id"], "left_anti").join(newest, "asset_id", "left")
+    waiting = pool.where(F.col("thumbnail_status") == "pending").join(busy, ["source_key", "asset_id"], "left_anti").join(newest, ["source_key", "asset_id"], "left")
     next_ = waiting.orderBy(F.coalesce("view_rank", F.lit(1_000_000)), F.substring("asset_id", -8, 8), "asset_id").limit(n)
     return next_.select("source_key", "asset_id", F.when(F.col("view_rank").isNotNull(), high).otherwise(low).alias("priority"), F.col("captured_at").alias("sort_at"))
 

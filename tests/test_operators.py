@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox.functions import scalars as S, vectors as V
-from shoebox.operators import canonical, locations, merge, search, timeline, uploads
+from shoebox.operators import canonical, locations, merge, queues, search, timeline, uploads
 from shoebox.request import SearchRequest, resolve
 from shoebox.sources import files, records, snapshots
 from shoebox.streaming import window_sync
@@ -263,3 +263,17 @@ def test_sync_without_changes_publishes_nothing(spark, tmp_path):
     assert sync() == 2 and [r.name for r in store.read("rows").collect()] == ["b"]
     with pytest.raises(ValueError):
         window_sync.window(datetime(2024, 1, 2), datetime(2024, 1, 1))
+
+
+def test_first_view_order_of_repeated_ids(spark):
+    """Each row has a place of its own, though its id comes again; rows that are equal stay as often as they come."""
+    day = datetime(2026, 1, 1)
+    rows = [(i * 7919 % 23, day - timedelta(seconds=i // 2 % 40)) for i in range(200)]
+    rows += [(5, day)] * 4
+    rows = [(f"asset-{i:05d}", t) for i, t in rows]
+    newest = sorted(rows, key=lambda r: (-r[1].timestamp(), r[0]))
+    df = spark.createDataFrame(rows, "asset_id string, captured_at timestamp_ntz").repartition(3)
+    for first in (0, 1, 3, 30, 300):
+        want = newest[:first] + sorted(newest[first:], key=lambda r: (r[0][-8:], r[0]))
+        for n in (2, 40, 500):
+            assert [r.asset_id for r in queues.first_view_order(df, first, n).collect()] == [r[0] for r in want[:n]]
