@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,12 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def given(c: Column, make: Callable[[Column], Column]) -> Column:
+    """make(c), for which c is evaluated once however often it is used: as a plain column it would be written out anew, and
+    evaluated, at each use, and what uses that again at each of its own."""
+    return F.get(F.transform(F.array(c), make), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(trimmed(c), F.lit("")) == ""
 
@@ -130,28 +137,33 @@ def capture_time(value: Column, subsecond: Column, offset: Column, source: Colum
     Zero times of containers (1904 and 1970) mean that there is no date.
     """
     known = source.isin("exif_original", "exif_digitized", "quicktime_creationdate", "container_creation_time", "video_stream_creation_time")
-    v = trimmed(value)
-    v = F.when(F.length(v).between(19, 64), v)
-    v = F.regexp_replace(v, r"^(\d{4}):(\d{2}):", "$1-$2-")
-    v = F.regexp_replace(v, r"^(.{10}) ", "$1T")
-    sub = trimmed(F.coalesce(subsecond, F.lit("")))
-    v = F.when((sub != "") & (F.length(v) == 19), F.when(sub.rlike(r"^\d+$"), F.concat(v, F.lit("."), F.substring(sub, 1, 6)))).otherwise(v)
-    v = F.concat(v, trimmed(F.coalesce(offset, F.lit(""))))
     m = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(\.\d{1,9})?(Z|[+-]\d{2}:?\d{2})?$"
-    text = F.concat_ws(" ", F.regexp_extract(v, m, 1), F.concat(F.regexp_extract(v, m, 2), F.regexp_extract(v, m, 3)))
-    local = F.when(v.rlike(m), F.try_to_timestamp(text).cast("timestamp_ntz"))
-    mark = F.regexp_extract(v, m, 4)
-    minutes = F.when(mark == "Z", F.lit(0)).otherwise(
-        F.when(F.substring(mark, 1, 1) == "-", -1).otherwise(1) * (F.substring(mark, 2, 2).try_cast("int") * 60 + F.right(mark, F.lit(2)).try_cast("int"))
-    )
-    utc = F.when(mark != "", local - F.make_dt_interval(mins=minutes)).otherwise(F.convert_timezone(zone, F.lit("UTC"), local))
-    zero = utc.isin(F.lit("1904-01-01 00:00:00").cast("timestamp_ntz"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) & ~source.startswith("exif_")
-    return F.when(known & (F.year(utc) >= 1) & ~zero, utc)
+
+    def with_fraction(v: Column) -> Column:
+        v = F.regexp_replace(v, r"^(\d{4}):(\d{2}):", "$1-$2-")
+        v = F.regexp_replace(v, r"^(.{10}) ", "$1T")
+        return given(v, lambda v: given(trimmed(F.coalesce(subsecond, F.lit(""))), lambda sub: F.when((sub != "") & (F.length(v) == 19), F.when(sub.rlike(r"^\d+$"), F.concat(v, F.lit("."), F.substring(sub, 1, 6)))).otherwise(v)))
+
+    def in_utc(v: Column, mark: Column) -> Column:
+        text = F.concat_ws(" ", F.regexp_extract(v, m, 1), F.concat(F.regexp_extract(v, m, 2), F.regexp_extract(v, m, 3)))
+        local = F.when(v.rlike(m), F.try_to_timestamp(text).cast("timestamp_ntz"))
+        minutes = F.when(mark == "Z", F.lit(0)).otherwise(
+            F.when(F.substring(mark, 1, 1) == "-", -1).otherwise(1) * (F.substring(mark, 2, 2).try_cast("int") * 60 + F.right(mark, F.lit(2)).try_cast("int"))
+        )
+        return given(local, lambda local: F.when(mark != "", local - F.make_dt_interval(mins=minutes)).otherwise(F.convert_timezone(zone, F.lit("UTC"), local)))
+
+    def dated(utc: Column) -> Column:
+        zero = utc.isin(F.lit("1904-01-01 00:00:00").cast("timestamp_ntz"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) & ~source.startswith("exif_")
+        return F.when(known & (F.year(utc) >= 1) & ~zero, utc)
+
+    v = given(trimmed(value), lambda v: F.when(F.length(v).between(19, 64), v))
+    v = F.concat(with_fraction(v), trimmed(F.coalesce(offset, F.lit(""))))
+    return given(given(v, lambda v: given(F.regexp_extract(v, m, 4), lambda mark: in_utc(v, mark))), dated)
 
 
 def first_capture_time(candidates: Column, fallback: Column) -> Column:
     """The first candidate time that is there, in order; else the fallback (the file's time, else that of the scan)."""
-    return F.coalesce(F.get(F.filter(candidates, lambda c: c.isNotNull()), F.lit(0)), fallback)
+    return F.coalesce(F.get(F.array_compact(candidates), F.lit(0)), fallback)
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -277,3 +277,14 @@ def test_first_view_order_of_repeated_ids(spark):
         want = newest[:first] + sorted(newest[first:], key=lambda r: (r[0][-8:], r[0]))
         for n in (2, 40, 500):
             assert [r.asset_id for r in queues.first_view_order(df, first, n).collect()] == [r[0] for r in want[:n]]
+
+
+def test_a_capture_time_is_made_in_few_steps(spark, capsys):
+    """Each part of the rule stands in the plan once, not once for each use of a use."""
+    c = F.col
+    times = spark.createDataFrame([("2024:05:06 07:08:09", "5", "+02:00", "exif_original"), (" 2024-05-06 07:08:09", None, None, "exif_original"), ("2024-05-06T07:08:09", "x", "Z", "exif_original"), ("1970-01-01T00:00:00", None, "Z", "container_creation_time"), (None, None, None, None)], "v string, s string, o string, k string")
+    found = times.select(S.capture_time(F.concat(c("v"), F.lit("")), c("s"), c("o"), c("k"), F.lit("Europe/Paris")).alias("t"))
+    assert [r.t for r in found.collect()] == [datetime(2024, 5, 6, 5, 8, 9, 500000), datetime(2024, 5, 6, 5, 8, 9), None, None, None]
+    found.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("regexp_replace") + plan.count("RLIKE") <= 10
