@@ -15,8 +15,8 @@ RETRY_SECONDS, RETRY_MOST_SECONDS = 30, 1800
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space of any kind at both ends; trim() takes blanks only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any kind at both ends; trim() alone takes blanks only."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def given(c: Column, make: Callable[[Column], Column]) -> Column:

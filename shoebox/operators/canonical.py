@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shoebox.functions import scalars as S
 
@@ -129,6 +129,11 @@ def mapped_paths(paths: DataFrame, mappings: DataFrame, last_wins: bool = False)
     return best.select("id", "source_key", "original_path", "m.local_source", "m.root_key", "m.relative_path")
 
 
+def _key(sha1: Column) -> Column:
+    """The hash as a join key of its own column, normalised once."""
+    return S.given(sha1, S.sha1_hex)
+
+
 def external_identities(rows: DataFrame, local: DataFrame, mappings: DataFrame) -> DataFrame:
     """The content identity of remote rows whose checksum is that of their path, from the local file behind the path.
 
@@ -140,8 +145,8 @@ def external_identities(rows: DataFrame, local: DataFrame, mappings: DataFrame)
     behind = local.join(m, ["local_source", "root_key"])
     behind = behind.withColumn("checksum", S.path_checksum(F.concat("prefix", F.lit("/"), "relative_path")))
     behind = behind.groupBy("m_source", "media_type", "checksum").agg(F.max_by(F.struct("sha1_hex", "size_bytes"), F.struct("position", "relative_path")).alias("found"))
-    mine = rows.where(F.col("checksum_algorithm") == "sha1-path")
-    on = (mine.source_key == behind.m_source) & (mine.media_type == behind.media_type) & (S.sha1_hex(mine.content_sha1_hex) == behind.checksum)
+    mine = rows.where(F.col("checksum_algorithm") == "sha1-path").select(*KEY, "media_type", _key(F.col("content_sha1_hex")).alias("own_checksum"))
+    on = (mine.source_key == behind.m_source) & (mine.media_type == behind.media_type) & (mine.own_checksum == behind.checksum)
     return mine.join(behind, on).select(mine.source_key, mine.upstream_asset_id, F.col("found.sha1_hex").alias("canonical_sha1_hex"), F.col("found.size_bytes").alias("canonical_size_bytes"))
 
 
@@ -160,6 +165,7 @@ def identity_fallback(rows: DataFrame, lost: DataFrame, locations: DataFrame, ma
     m = mappings.select("position", F.col("source_key").alias("m_source"), prefix.alias("prefix"), "local_source", "root_key")
     paths = lost.join(m, ["local_source", "root_key"]).withColumn("checksum", S.path_checksum(F.concat("prefix", F.lit("/"), "relative_path")))
     paths = paths.groupBy("m_source", "checksum").agg(F.max_by(F.struct("local_source", "root_key", "relative_path"), "position").alias("path")).select("m_source", "checksum", "path.*")
-    hit = rows.where(F.col("checksum_algorithm") == "sha1-path").join(paths, (F.col("source_key") == F.col("m_source")) & (S.sha1_hex(F.col("content_sha1_hex")) == F.col("checksum")))
+    mine = rows.where(F.col("checksum_algorithm") == "sha1-path").select(*KEY, _key(F.col("content_sha1_hex")).alias("own_checksum"))
+    hit = mine.join(paths, (F.col("source_key") == F.col("m_source")) & (F.col("own_checksum") == F.col("checksum")))
     active = locations.where(F.col("status") == "active").groupBy("local_source", "root_key", "relative_path").agg(F.max_by(F.struct("sha1_hex", "size_bytes"), "id").alias("now"))
     return hit.join(active, ["local_source", "root_key", "relative_path"], "left").select(*KEY, "relative_path", F.col("now.sha1_hex").alias("new_sha1"), F.col("now.size_bytes").alias("new_size"))

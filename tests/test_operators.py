@@ -288,3 +288,17 @@ def test_a_capture_time_is_made_in_few_steps(spark, capsys):
     found.explain("extended")
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert plan.count("regexp_replace") + plan.count("RLIKE") <= 10
+
+
+def test_hashes_of_paths_are_made_once_for_their_joins(spark, capsys):
+    """No hash is normalised anew in a join's condition, and white space goes without a regular expression."""
+    from shoebox.plans import QUERIES
+    from tests.conftest import SMALL
+
+    for name in ("external_identities", "reconciled_identities", "identity_fallback"):
+        QUERIES[name](spark, SMALL).explain("extended")
+        plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert not [line for line in plan.splitlines() if "Join" in line and "RLIKE" in line]
+        assert "regexp_replace(concat" not in plan
+    texts = spark.createDataFrame([(" \t\x0b a b\n\f\r",), ("\xa0a ",), (" \n",), (None,)], "c string")
+    assert [r[0] for r in texts.select(S.trimmed(F.col("c"))).collect()] == ["a b", "\xa0a", "", None]
