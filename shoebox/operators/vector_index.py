@@ -31,6 +31,8 @@ MOST_K = 100
 #: Vectors and queries of a cell that meet in one task.
 PART = 4096
 SALTS = 64
+#: Numbers that a task in Python works on at once: scores, promises, or the vectors that it sends on.
+AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -52,6 +54,12 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, np.linalg.norm(x - centres[at], axis=1)
 
 
+def _pieces(n: int, each: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of n rows of `each` numbers: AT_ONCE numbers a run at most, one row at least."""
+    step = max(1, AT_ONCE // max(1, each))
+    return [(i, min(i + step, n)) for i in range(0, n, step)]
+
+
 def fit_centres(x: np.ndarray, cells: int, recall: float = RECALL + MARGIN, k: int = 10) -> Centres:
     """k-means on a sample of different vectors, from spread rows on; then the fewest probes for the recall among the
     sample's own top k."""
@@ -120,7 +128,7 @@ def build(vectors: DataFrame, store: Snapshots, cells: int | None = None, sample
     shared = rows.sparkSession.sparkContext.broadcast(model.centres)  # MOST_CELLS centres
 
     def assign(batches):
-        for b in batches:
+        for b in (b.slice(i, j - i) for b in batches for i, j in _pieces(b.num_rows, max(width, len(shared.value)))):
             at, far = _nearest(_matrix(b.column(0), width), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array(far)], names=["vector", "id", "copies", "cell", "far"])
 
@@ -162,7 +170,7 @@ class VectorIndex:
 
         def choose(batches):
             model, radii, sizes = shared.value
-            for b in batches:
+            for b in (b.slice(i, j - i) for b in batches for i, j in _pieces(b.num_rows, max(width, len(sizes)))):
                 x = _matrix(b.column(1), width)
                 promise = np.where(sizes > 0, model.promise(x, radii), -np.inf)
                 order = np.argsort(-promise, axis=1, kind="stable")
@@ -172,7 +180,9 @@ class VectorIndex:
                 room = 1e-9 * (1 + np.abs(value))
                 take = (far & (value + room >= b.column(2).to_numpy(zero_copy_only=False)[:, None])) if least else ~far
                 row, col = np.nonzero(take & np.isfinite(value))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(order[row, col], pa.int32())], names=["id", "vector", "cell"])
+                for i, j in _pieces(len(row), width):
+                    some, cell = row[i:j], order[row[i:j], col[i:j]]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array(cell, pa.int32())], names=["id", "vector", "cell"])
 
         return queries.mapInArrow(choose, T.StructType([queries.schema["id"], queries.schema["vector"], T.StructField("cell", T.IntegerType())]))
 
@@ -191,16 +201,18 @@ class VectorIndex:
         names = ["query_id", "entry", "copies", "score"]
 
         def best(left: pa.Table, right: pa.Table) -> pa.Table:
-            scores = _matrix(left["vector"], width) @ _matrix(right["vector"], width).T if left.num_rows and right.num_rows else np.zeros((0, 0))
-            rows, cols = [], []
-            ids = right["id"].to_numpy()
-            for i, row in enumerate(scores):
-                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                some = np.flatnonzero(row >= least)
-                cols.append(some[np.lexsort((ids[some], -row[some]))][:k])
-                rows.append(np.full(len(cols[-1]), i))
+            rows, cols, kept = [], [], []
+            if left.num_rows and right.num_rows:
+                x, y, ids = _matrix(left["vector"], width), _matrix(right["vector"], width), right["id"].to_numpy()
+                for i, j in _pieces(len(x), len(y)):
+                    for at, row in enumerate(x[i:j] @ y.T, i):
+                        least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                        some = np.flatnonzero(row >= least)
+                        cols.append(some[np.lexsort((ids[some], -row[some]))][:k])
+                        rows.append(np.full(len(cols[-1]), at))
+                        kept.append(row[cols[-1]])
             r, c = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, cols))
-            return pa.table([left["id"].take(r), right["id"].take(c), right["copies"].take(c), pa.array(scores[r, c] if len(r) else np.zeros(0))], names=names)
+            return pa.table([left["id"].take(r), right["id"].take(c), right["copies"].take(c), pa.array(np.concatenate(kept) if kept else np.zeros(0))], names=names)
 
         key = ["cell", "part", "q_part"]
         schema = T.StructType([T.StructField("query_id", probed.schema["id"].dataType), T.StructField("entry", kind), T.StructField("copies", T.LongType()), T.StructField("score", T.DoubleType())])

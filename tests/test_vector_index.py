@@ -82,3 +82,11 @@ def test_few_cells_are_read_where_vectors_are_clustered(spark, store):
 def test_recall_of_the_query(spark):
     exact, near = (found(QUERIES[n](spark, SMALL)) for n in ("vectors_top_10_each", "vectors_ann_top_10_each"))
     assert exact.keys() == near.keys() and sum(len(set(exact[q]) & set(near[q])) for q in exact) >= 0.9 * sum(map(len, exact.values()))
+
+
+def test_tasks_work_on_bounded_pieces():
+    """10,000 queries of a batch and 4,096 cells are 41 million promises, and each chosen cell sends the query's vector."""
+    for n, each in ((10_000, 4096), (3, 1 << 30), (0, 7), (10, 0)):
+        runs = X._pieces(n, each)
+        assert [i for a, b in runs for i in range(a, b)] == list(range(n))
+        assert all(b - a == 1 or (b - a) * each <= X.AT_ONCE for a, b in runs)
