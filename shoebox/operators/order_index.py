@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shoebox.sources.snapshots import Snapshots
 
 RANGE_ROWS = 100_000
+#: Ranges of a table, about: beyond, ranges have more than the rows asked for, so that the index stays small.
+MOST_RANGES = 256
 
 
 @dataclass
@@ -72,19 +74,30 @@ class OrderIndex:
         self.ranges = sorted(ranges, key=lambda r: (r.late, r.id))
         return self.generation
 
+    def _size(self, n: int) -> int:
+        """Rows of a range of a table of n."""
+        return max(self.range_rows, -(-n // MOST_RANGES))
+
     def build(self, rows: DataFrame) -> int:
-        parts = max(1, -(-rows.count() // self.range_rows))
+        n = rows.count()
+        parts = max(1, -(-n // self._size(n)))
         keyed = self._keyed(rows).repartitionByRange(parts, "__late", "__id")
         return self._publish(self._write(keyed.withColumn("__part", F.spark_partition_id().cast("bigint"))), rows.schema)
 
     def _range_of(self, rows: DataFrame) -> DataFrame:
         """keyed rows with __range, the number of the range they belong to, by binary search in the ranges' first keys."""
-        bounds = self.spark.createDataFrame([([(r.late, r.id) for r in self.ranges],)], f"__bounds array<struct<a:bigint,b:{rows.schema['__id'].dataType.simpleString()}>>")
-        key = F.struct(F.col("__late").alias("a"), F.col("__id").alias("b"))
+        if not self.ranges:
+            return rows.withColumn("__range", F.lit(0))
+        # constants: as a column the bounds would be copied into each row
+        lates, ids = F.lit([r.late for r in self.ranges]).cast("array<bigint>"), F.lit([r.id for r in self.ranges])
         steps = [1 << k for k in reversed(range(len(self.ranges).bit_length()))]
-        step = lambda at, width: F.when(F.get("__bounds", at + width - 1) <= key, at + width).otherwise(at)
+
+        def step(at: Column, width: Column) -> Column:
+            x, y = F.get(lates, at + width - 1), F.get(ids, at + width - 1)
+            return F.when((F.col("__late") > x) | (F.col("__late") == x) & (F.col("__id") >= y), at + width).otherwise(at)
+
         place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
-        return rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.greatest(F.lit(0), place - 1)).drop("__bounds")  # one row
+        return rows.withColumn("__range", F.greatest(F.lit(0), place - 1))
 
     def _rows(self, ranges: list[Range]) -> DataFrame:
         schema = self.store.read("columns", self.generation).schema
@@ -104,19 +117,19 @@ class OrderIndex:
         keyed = lambda numbers: self._range_of(self._keyed(self._rows([self.ranges[k] for k in numbers]).join(gone.distinct(), key, "left_anti")))
         new = self._range_of(self._keyed(added))
         sizes = {r["__range"]: r.n for r in keyed(touched).unionByName(new).groupBy("__range").agg(F.count("*").alias("n")).collect()}
-        group, pieces, more = self._groups(touched, sizes)
+        total = sum(sizes.values()) + sum(r.n for k, r in enumerate(self.ranges) if k not in set(touched))
+        group, pieces, more = self._groups(touched, sizes, self._size(total))
         rows = keyed([*touched, *more]).unionByName(new)
-        of = F.create_map(*(F.lit(x) for pair in group.items() for x in pair))
-        cut = F.create_map(*(F.lit(x) for pair in pieces.items() for x in pair))
-        rows = rows.withColumn("__group", of[F.col("__range")])
+        of, cut = (F.lit([found.get(k, 0) for k in range(len(self.ranges))]) for found in (group, pieces))  # by number
+        rows = rows.withColumn("__group", F.get(of, F.col("__range")))
         # a group has two ranges' rows and what comes into them
         place = F.row_number().over(Window.partitionBy("__group").orderBy("__late", "__id")) - 1
-        part = F.col("__group").cast("bigint") * (1 << 32) + F.floor(place / cut[F.col("__group")])
+        part = F.col("__group").cast("bigint") * (1 << 32) + F.floor(place / F.get(cut, F.col("__group")))
         own = self._write(rows.withColumn("__part", part).drop("__range", "__group"))
         kept = [r for k, r in enumerate(self.ranges) if k not in group]
         return self._publish(kept + own, schema)
 
-    def _groups(self, touched: list[int], sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int], list[int]]:
+    def _groups(self, touched: list[int], sizes: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int], list[int]]:
         """Which ranges become which group, into how many rows a piece each group is cut, and which untouched ranges join."""
         group, total, more = {}, {}, []
         for k in touched:
@@ -124,11 +137,11 @@ class OrderIndex:
                 continue
             group[k], total[k] = k, sizes.get(k, 0)
             other = k + 1 if k + 1 < len(self.ranges) else k - 1
-            if total[k] < self.range_rows // 4 and other >= 0 and other not in group:
+            if total[k] < size // 4 and other >= 0 and other not in group:
                 group[other] = k
                 total[k] += sizes.get(other, 0) if other in touched else self.ranges[other].n
                 more += [] if other in touched else [other]
-        pieces = {k: -(-max(1, n) // max(1, -(-n // self.range_rows) if n > 2 * self.range_rows else 1)) for k, n in total.items()}
+        pieces = {k: -(-max(1, n) // max(1, -(-n // size) if n > 2 * size else 1)) for k, n in total.items()}
         return group, pieces, more
 
     def seek(self, start: int, size: int) -> DataFrame:

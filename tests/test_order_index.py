@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from shoebox.operators import order_index
 from shoebox.operators.order_index import OrderIndex
 from shoebox.sources.snapshots import Snapshots
 
@@ -54,3 +55,17 @@ def test_positions_after_each_batch(spark, tmp_path):
     assert other.seek(0, 10).collect() == [] and other.starts[-1] == 0
     other.apply(spark.createDataFrame([row(1, rng)], SCHEMA))
     assert [r.global_position for r in other.seek(0, 10).collect()] == [0]
+
+
+def test_a_large_table_has_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(order_index, "MOST_RANGES", 4, raising=False)
+    rng = random.Random(3)
+    state = {i: row(i, rng) for i in range(200)}
+    index = OrderIndex(Snapshots(spark, str(tmp_path / "t")), range_rows=2)
+    index.build(spark.createDataFrame(list(state.values()), SCHEMA))
+    assert len(index.ranges) <= 4
+    new = [row(1000 + i, rng) for i in range(300)]
+    index.apply(spark.createDataFrame(new, SCHEMA), spark.createDataFrame([state.pop(3)], SCHEMA))
+    state |= {r[0]: r for r in new}
+    assert len(index.ranges) <= 8 and index.starts[-1] == len(state)
+    assert [r.canonical_asset_id for r in index.seek(0, 999).orderBy("global_position").collect()] == ordered(state)
