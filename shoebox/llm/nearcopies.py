@@ -9,10 +9,13 @@ Ball hashing is for texts that may have a near copy. Two texts alike by LEAST sh
 text of which fewer than SHARED in SIEVE are in any other text is left out: for a copy at a likeness of 0.8 that happens in
 0.03 percent of cases, and a passage that many texts share leaves few of them in.
 
-Candidates are verified exactly, by the share of their shingles. Within a group all are compared with some of them, the
-hubs, and those alike are one class from then on. Hubs are taken outside the group's largest class, twice as many in each
-round, until all texts of all classes but one were hubs: then every two texts of different classes were compared. So
-no link of a group is lost, and a family of thousands of near copies takes a few comparisons for each.
+Candidates are verified exactly, by the share of their shingles. If all texts order their shingles alike, two that are alike by LEAST
+have one in common among the first fifth of each. They are ordered from the rarest up, so what many texts share comes last, and
+a text that shares less than LEAST of its shingles with others has no candidate. Texts of one group that have such a shingle
+in common make a bucket. Within a bucket all are compared with some of them, the hubs, and those alike are one class
+from then on. Hubs are taken outside the bucket's largest class, MORE times as many in each round, until those that were no
+hubs are of one class: then every two texts of different classes were compared. So no link of a group is lost, a
+family of thousands of near copies takes a few comparisons for each, and texts that are in one group by chance take none.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ SEEDS = 4
 SHINGLE, LEAST = 5, 0.8
 #: Least shingle hashes of a text, and how many of these others must have.
 SIEVE, SHARED = 16, 6
-#: Hubs of a group in the first round.
-HUBS = 2
+#: Hubs of a bucket in the first round, and times as many in each further one.
+HUBS, MORE = 2, 16
 
 
 def _words(text: str | None) -> Iterator[list[bytes]]:
@@ -107,10 +110,34 @@ def _mapped(rows: DataFrame, make, name: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members (group, key, comp, ...) of groups that have several classes."""
-    several = members.groupBy("group").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col("group").alias("g"))
-    return members.join(several, F.col("group") == F.col("g"), "left_semi")
+def _different(rows: DataFrame, by: str) -> DataFrame:
+    """rows (by, no) of one value of `by` for each set of several numbers; sets are told apart by their hashes."""
+    hashes = [F.bit_xor(F.xxhash64("no", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    sets = rows.groupBy(by).agg(F.min("no").alias("a"), F.max("no").alias("b"), F.count("*").alias("n"), *hashes).where("a <> b")
+    one = sets.groupBy("a", "b", "n", "x1", "x2").agg(F.min(by).alias("g")).select("g")
+    return rows.join(one, F.col(by) == F.col("g"), "left_semi")
+
+
+def _buckets(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, no, of) for members (group, key) and their sets (no, key, shingles): a bucket for each group and shingle among
+    the rarest of a text, of which two texts alike by LEAST have one in common. Buckets of the same texts stand once. A
+    bucket's number is a hash; that two are one by chance costs comparisons."""
+    flat = sets.select("no", F.size("shingles").alias("of"), F.explode("shingles").alias("h"))
+    common = flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("common"), "n")
+    met = flat.join(common, F.col("h") == F.col("common")).groupBy("no", "of").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared"))
+    # the shingles that no other text has come first, so as many fewer are left of those that a text may lack, and one more
+    first = (F.size("shared") + 1 - F.ceil(F.lit(LEAST) * F.col("of"))).cast("int")
+    rare = met.where(first > 0).select("no", "of", F.explode(F.slice("shared", 1, first)).alias("s"))
+    rare = scratch.written(rare.select("no", "of", F.col("s.h").alias("rare")), "rare")
+    grouped = members.join(sets.select("key", F.col("no").alias("own")), "key").select("group", "own")
+    both = _different(rare, "rare").join(grouped, F.col("no") == F.col("own"))
+    return _different(both.select(F.xxhash64("group", "rare").alias("bucket"), "no", "of"), "bucket")
+
+
+def _mixed(members: DataFrame, by: str) -> DataFrame:
+    """Members (comp, ...) of groups or buckets that have several classes."""
+    several = members.groupBy(by).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col(by).alias("g"))
+    return members.join(several, F.col(by) == F.col("g"), "left_semi")
 
 
 def _joined(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -119,39 +146,47 @@ def _joined(members: DataFrame, classes: DataFrame) -> DataFrame:
     return both.drop("node", "component")
 
 
-def _hubs(members: DataFrame, n: int, seed: int) -> DataFrame:
-    """(g, hub, hub_comp, hub_set): some n members of each group outside its largest class that were no hubs yet."""
-    sizes = members.groupBy("group", "comp").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy(F.col("group").alias("g")).agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.max("size").alias("most"))
-    free = members.where("NOT was_hub").join(largest, F.col("group") == F.col("g")).where("comp <> largest OR most = 1")
-    order = F.xxhash64("key", F.lit(seed))
-    one = free.groupBy("group", F.pmod(order, F.lit(n)).alias("slot")).agg(F.min_by("key", order).alias("hub"))
-    return one.select(F.col("group").alias("g"), "hub")
+def _hubs(members: DataFrame, n: int) -> DataFrame:
+    """(g, hub, hub_of, hub_comp): some n members of each bucket outside its largest class; all of these if the bucket has n at most."""
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy(F.col("bucket").alias("g")).agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("all"))
+    free = members.join(largest, F.col("bucket") == F.col("g")).where("comp <> largest OR most = 1")
+    order = F.xxhash64("no", F.lit(n))
+    one = free.groupBy("bucket", F.when(F.col("all") <= n, order).otherwise(F.pmod(order, F.lit(n))).alias("slot")).agg(F.min_by(F.struct("no", "of", "comp"), order).alias("hub"))
+    return one.select(F.col("bucket").alias("g"), F.col("hub.no").alias("hub"), F.col("hub.of").alias("hub_of"), F.col("hub.comp").alias("hub_comp"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of numbers of sets (no, shingles) that are alike by LEAST."""
+    both = pairs.join(sets.select(F.col("no").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("no").alias("b"), F.col("shingles").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(shared >= F.lit(LEAST) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _classes(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component): the classes that links between members (group, key, comp) of one group make of comps."""
+def _classes(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, component): the classes of keys that links between members (group, key) of one group make; sets has (no, key, shingles)."""
     links = None
-    members = scratch.written(_mixed(members).withColumn("was_hub", F.lit(False)), "members")
+    members = scratch.written(_buckets(members, sets, scratch).withColumn("comp", F.col("no")), "members")
     n = HUBS
     while not members.isEmpty():
-        hubs = scratch.written(_hubs(members, n, n), "hubs")
-        if hubs.isEmpty():
-            break
-        named = hubs.join(members.select(F.col("group").alias("g"), F.col("key").alias("hub"), F.col("comp").alias("hub_comp")), ["g", "hub"])
-        named = named.join(sets.select(F.col("key").alias("hub"), F.col("shingles").alias("hub_set")), "hub")
-        own = members.select("group", "key", "comp").join(sets, "key")
-        both = own.join(named, (F.col("group") == F.col("g")) & (F.col("comp") != F.col("hub_comp")))
-        shared = F.size(F.array_intersect("shingles", "hub_set"))
-        alike = shared >= F.lit(LEAST) * (F.size("shingles") + F.size("hub_set") - shared)
-        met = scratch.written(both.where(alike).select(F.col("comp").alias("u"), F.col("hub_comp").alias("v")).distinct(), "met")
-        links = met if links is None else links.unionByName(met)
-        found = components(met, scratch)
-        used = hubs.select(F.col("g").alias("group"), F.col("hub").alias("key"), F.lit(True).alias("now"))
-        members = members.join(used, ["group", "key"], "left").withColumn("was_hub", F.col("was_hub") | F.col("now").isNotNull()).drop("now")
-        members = scratch.written(_mixed(_joined(members, found)), "members")
-        n *= 2
-    return components(links, scratch) if links is not None else None
+        hubs = scratch.written(_hubs(members, n), "hubs")
+        both = members.join(hubs, (F.col("bucket") == F.col("g")) & (F.col("comp") != F.col("hub_comp")))
+        both = both.where(F.least("of", "hub_of") >= F.lit(LEAST) * F.greatest("of", "hub_of"))
+        # written first, so that few of them are broadcast and the sets stay where they are
+        pairs = scratch.written(both.select(F.least("no", "hub").alias("a"), F.greatest("no", "hub").alias("b")).distinct(), "pairs")
+        met = scratch.written(_alike(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "met")
+        if links is None or not met.isEmpty():
+            links = met if links is None else links.unionByName(met)
+            found = components(links, scratch)
+        # all of the bucket were compared with its hubs, which need no more
+        rest = members.join(hubs, (F.col("bucket") == F.col("g")) & (F.col("no") == F.col("hub")), "left_anti").withColumn("comp", F.col("no"))
+        members = scratch.written(_mixed(_joined(rest, found), "bucket"), "members")
+        n *= MORE
+    if links is None:
+        return None
+    name = sets.select("no", "key")
+    named = found.join(name.withColumnsRenamed({"no": "node", "key": "node_key"}), "node").join(name.withColumnsRenamed({"no": "component", "key": "component_key"}), "component")
+    return named.select(F.col("node_key").alias("node"), F.col("component_key").alias("component"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS) -> DataFrame:
@@ -173,9 +208,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = scratch.written(prints.join(near, "key", "left_semi").select("key", F.explode("fps").alias("fp")), "own")
         groups = fingerprint_groups(own.select("fp").distinct(), scratch).withColumnRenamed("fp", "own")
         members = own.join(groups, F.col("fp") == F.col("own")).select("group", "key").distinct().withColumn("comp", F.col("key"))
-        members = scratch.written(_mixed(members), "groups")
+        members = scratch.written(_mixed(members, "group").select("group", "key"), "groups")
         texts = source.select("key", "text").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-        sets = scratch.written(_mapped(texts, shingles_of, "shingles"), "shingles")
+        sets = scratch.written(_mapped(texts, shingles_of, "shingles").withColumn("no", F.monotonically_increasing_id()), "shingles")
         classes = _classes(members, sets, scratch)
         if classes is None:
             classes = docs.sparkSession.createDataFrame([], "node string, component string")

@@ -100,3 +100,36 @@ def test_no_link_below_the_likeness_and_all_above_on_the_tables(spark):
     want = classes(dict(rows), [(a, b) for (a, s), (b, t) in combinations(rows, 2) if likeness(s, t) >= 0.8])
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
     assert N.near_copies(docs).agg(F.count("*")).first()[0] == len(rows)
+
+
+@pytest.fixture
+def one_group(monkeypatch):
+    """All texts pass the sieve and are in one group; the names of the tables that are written."""
+    names, written = [], N.Scratch.written
+    monkeypatch.setattr(N, "fingerprint_groups", lambda fps, scratch: fps.withColumn("group", F.lit(0).cast("bigint")))
+    monkeypatch.setattr(N, "sieved", lambda least: least.select("key"))
+    monkeypatch.setattr(N.Scratch, "written", lambda self, df, what: names.append(what) or written(self, df, what))
+    return names
+
+
+def test_texts_in_one_group_by_chance_are_not_compared(spark, docs_of, one_group):
+    rng = random.Random(5)
+    passage = made(rng, 40)
+    rows = [(i, f"{passage} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(60))}") for i in range(80)]
+    rows += [(100 + i, edited(rng, rows[i][1], 0.02)) for i in range(0, 80, 4)]
+    want = classes(dict(rows), [(a, b) for (a, s), (b, t) in combinations(rows, 2) if likeness(s, t) >= 0.8])
+    assert of(docs_of(rows)) == want and len(set(want.values())) < 100
+    # as many rounds as the group's size has binary digits before
+    assert one_group.count("hubs") == 1
+
+
+@pytest.mark.parametrize("hubs", [1, 2])
+def test_all_links_of_families_in_one_group(spark, docs_of, one_group, monkeypatch, hubs):
+    monkeypatch.setattr(N, "HUBS", hubs)
+    monkeypatch.setattr(N, "MORE", 2)
+    rng, rows = random.Random(hubs), []
+    for n in (5, 6, 9, 10, 40, 150, 300):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+        rows += [(len(rows) + k, edited(rng, text, share)) for k, share in enumerate([0, 0, *[0.01, 0.02, 0.03, 0.04] * 4])]
+    links = [(a, b) for (a, s), (b, t) in combinations(rows, 2) if likeness(s, t) >= 0.8]
+    assert of(docs_of(rows)) == classes(dict(rows), links) and len(links) > 100
