@@ -9,13 +9,19 @@ Ball hashing is for texts that may have a near copy. Two texts alike by LEAST sh
 text of which fewer than SHARED in SIEVE are in any other text is left out: for a copy at a likeness of 0.8 that happens in
 0.03 percent of cases, and a passage that many texts share leaves few of them in.
 
-Candidates are verified exactly, by the share of their shingles. If all texts order their shingles alike, two that are alike by LEAST
-have one in common among the first fifth of each. They are ordered from the rarest up, so what many texts share comes last, and
-a text that shares less than LEAST of its shingles with others has no candidate. Texts of one group that have such a shingle
-in common make a bucket. Within a bucket all are compared with some of them, the hubs, and those alike are one class
+Candidates are verified exactly, by the share of their shingles. A group's core are the shingles that over half of its texts have, and
+each text stands for its differences: those that it has beside the core and those of the core that it lacks. Two texts differ in
+as many shingles as their differences do, and they are alike by LEAST if that is at most one in NINTH of all their shingles. So
+two whose differences are that few together are alike without a comparison: all such are linked through the text that
+is nearest to the core. Any other two that are alike have a difference in common. If all texts order their differences
+alike, from the rarest up, the first that two have in common comes after no more others than either may have for itself.
+Texts of one group that have a difference in common, so far up for at least one other, make a bucket. A family of near copies is
+so taken apart by where its texts were edited, which few share, not by what all of them have.
+
+Within a bucket all are compared with some of them, the hubs, and those alike are one class
 from then on. Hubs are taken outside the bucket's largest class, MORE times as many in each round, until those that were no
-hubs are of one class: then every two texts of different classes were compared. So no link of a group is lost, a
-family of thousands of near copies takes a few comparisons for each, and texts that are in one group by chance take none.
+hubs are of one class: then every two texts of different classes were compared. So no link of a group is lost, and texts that are in
+one group by chance take no comparisons.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shoebox.llm.common import Scratch, slices, written
 from shoebox.llm.graph import components
@@ -36,6 +42,8 @@ from shoebox.llm.simhash import LONG_BYTES, WORD, WORDS_AT_ONCE, _signed, finger
 #: Fingerprints of a text; an even number, as one hash of a word gives two.
 SEEDS = 4
 SHINGLE, LEAST = 5, 0.8
+#: Of a and b shingles, two texts alike by LEAST differ in (a + b) / NINTH at most.
+NINTH = round((1 + LEAST) / (1 - LEAST))
 #: Least shingle hashes of a text, and how many of these others must have.
 SIEVE, SHARED = 16, 6
 #: Hubs of a bucket in the first round, and times as many in each further one.
@@ -110,34 +118,60 @@ def _mapped(rows: DataFrame, make, name: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
-def _different(rows: DataFrame, by: str) -> DataFrame:
-    """rows (by, no) of one value of `by` for each set of several numbers; sets are told apart by their hashes."""
+def _different(rows: DataFrame, by: str, *within: str, order: Column | None = None) -> DataFrame:
+    """rows (by, no) of one value of `by`, that of the least order, for each set of several numbers; sets are told apart by
+    their hashes and by the columns `within`, which a value has one of."""
     hashes = [F.bit_xor(F.xxhash64("no", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    sets = rows.groupBy(by).agg(F.min("no").alias("a"), F.max("no").alias("b"), F.count("*").alias("n"), *hashes).where("a <> b")
-    one = sets.groupBy("a", "b", "n", "x1", "x2").agg(F.min(by).alias("g")).select("g")
+    first = F.min(F.lit(0) if order is None else order).alias("first")
+    sets = rows.groupBy(by, *within).agg(F.min("no").alias("a"), F.max("no").alias("b"), F.count("*").alias("n"), *hashes, first).where("a <> b")
+    one = sets.groupBy("a", "b", "n", "x1", "x2", *within).agg(F.min_by(by, F.struct("first", by)).alias("g")).select("g")
     return rows.join(one, F.col(by) == F.col("g"), "left_semi")
 
 
-def _buckets(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, no, of) for members (group, key) and their sets (no, key, shingles): a bucket for each group and shingle among
-    the rarest of a text, of which two texts alike by LEAST have one in common. Buckets of the same texts stand once. A
-    bucket's number is a hash; that two are one by chance costs comparisons."""
-    flat = sets.select("no", F.size("shingles").alias("of"), F.explode("shingles").alias("h"))
-    common = flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("common"), "n")
-    met = flat.join(common, F.col("h") == F.col("common")).groupBy("no", "of").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared"))
-    # the shingles that no other text has come first, so as many fewer are left of those that a text may lack, and one more
-    first = (F.size("shared") + 1 - F.ceil(F.lit(LEAST) * F.col("of"))).cast("int")
-    rare = met.where(first > 0).select("no", "of", F.explode(F.slice("shared", 1, first)).alias("s"))
-    rare = scratch.written(rare.select("no", "of", F.col("s.h").alias("rare")), "rare")
-    grouped = members.join(sets.select("key", F.col("no").alias("own")), "key").select("group", "own")
-    both = _different(rare, "rare").join(grouped, F.col("no") == F.col("own"))
-    return _different(both.select(F.xxhash64("group", "rare").alias("bucket"), "no", "of"), "bucket")
+def _differences(members: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(group, no, of, off, differences) for members (group, no) and their sets (no, shingles), off being the number of
+    differences; and (group, e, rank) of the differences that several of a group have."""
+    own = members.join(sets.select("no", "shingles"), "no")
+    seen = own.select("group", F.explode("shingles").alias("e")).groupBy("group", "e").agg(F.count("*").alias("n")).where("n > 1")
+    seen = scratch.written(seen.join(members.groupBy("group").agg(F.count("*").alias("all")), "group").withColumn("in_core", F.expr("2 * n > all")), "seen")
+    core = seen.where("in_core").groupBy("group").agg(F.collect_list("e").alias("core"))
+    found = own.join(core, "group", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    found = found.withColumn("differences", F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles")))
+    found = found.select("group", "no", F.size("shingles").alias("of"), F.size("differences").alias("off"), "differences")
+    return scratch.written(found, "differences"), seen.select("group", "e", F.expr("IF(in_core, all - n, n)").alias("rank")).where("rank > 1")
 
 
-def _mixed(members: DataFrame, by: str) -> DataFrame:
-    """Members (comp, ...) of groups or buckets that have several classes."""
-    several = members.groupBy(by).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col(by).alias("g"))
-    return members.join(several, F.col(by) == F.col("g"), "left_semi")
+def _near_core(found: DataFrame) -> DataFrame:
+    """(g, least, least_of, least_off): the text of each group that may differ in most others from the rest."""
+    least = found.groupBy("group").agg(F.max_by(F.struct("no", "of", "off"), F.struct(F.col("of") - NINTH * F.col("off"), "no")).alias("m"))
+    return least.select(F.col("group").alias("g"), F.col("m.no").alias("least"), F.col("m.of").alias("least_of"), F.col("m.off").alias("least_off"))
+
+
+def _buckets(found: DataFrame, several: DataFrame, near: DataFrame) -> DataFrame:
+    """(bucket, no, of, off, at): a bucket for each group and difference among the rarest of a text, `at` being how many of
+    its differences come before. Buckets of the same texts stand once, the one that comes first. A bucket's number is a
+    hash; that two are one by chance costs comparisons."""
+    flat = found.select("group", "no", "of", "off", F.explode("differences").alias("e")).join(several, ["group", "e"])
+    met = flat.groupBy("group", "no", "of", "off").agg(F.sort_array(F.collect_list(F.struct("rank", "e"))).alias("shared"))
+    # the differences that no other text has come first; then those before which no more come than any text of the group leaves
+    before = F.col("off") - F.size("shared")
+    most = F.least(F.floor(F.col("of") * (1 + 1 / LEAST) / NINTH), F.floor((F.col("of") + F.col("least_of") + NINTH * (F.col("off") - F.col("least_off"))) / (2 * NINTH)))
+    met = met.join(near, F.col("group") == F.col("g")).withColumns({"before": before, "taken": (most - before + 1).cast("int")}).where("taken > 0")
+    rows = met.select("group", "no", "of", "off", "before", F.posexplode(F.slice("shared", 1, F.col("taken"))).alias("pos", "s"))
+    rows = rows.select("group", F.xxhash64("group", "s.e").alias("bucket"), "no", "of", "off", (F.col("before") + F.col("pos")).alias("at"), "s")
+    return _different(rows, "bucket", "group", order=F.col("s")).drop("group", "s")
+
+
+def _may_be_alike() -> Column:
+    """Whether a text and a hub, of which `at` and `hub_at` differences come before one that both have, may be alike."""
+    both, more = F.col("of") + F.col("hub_of"), NINTH * (F.col("off") - F.col("hub_off"))
+    return (2 * NINTH * F.col("at") <= both + more) & (2 * NINTH * F.col("hub_at") <= both - more)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (group, comp, ...) of groups that have several classes."""
+    several = members.groupBy("group").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col("group").alias("g"))
+    return members.join(several, F.col("group") == F.col("g"), "left_semi")
 
 
 def _joined(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -146,14 +180,23 @@ def _joined(members: DataFrame, classes: DataFrame) -> DataFrame:
     return both.drop("node", "component")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members (bucket, of, off, at, comp) of buckets that have several classes, without those that _may_be_alike() rules out
+    against all texts of the bucket: by the text that leaves most, and by the one that needs least."""
+    leaves, needs = F.col("of") - NINTH * F.col("off"), F.expr(f"{2 * NINTH} * at - of - {NINTH} * off")
+    ends = members.groupBy(F.col("bucket").alias("g")).agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max(leaves).alias("left"), F.min(needs).alias("needed")).where("a <> b")
+    both = members.join(ends, (F.col("bucket") == F.col("g")) & (needs <= F.col("left")) & (F.col("needed") <= leaves))
+    return both.drop("g", "a", "b", "left", "needed")
+
+
 def _hubs(members: DataFrame, n: int) -> DataFrame:
-    """(g, hub, hub_of, hub_comp): some n members of each bucket outside its largest class; all of these if the bucket has n at most."""
+    """(g, hub, hub_of, hub_off, hub_at, hub_comp): some n members of each bucket outside its largest class; all of these if the bucket has n at most."""
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     largest = sizes.groupBy(F.col("bucket").alias("g")).agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("all"))
     free = members.join(largest, F.col("bucket") == F.col("g")).where("comp <> largest OR most = 1")
     order = F.xxhash64("no", F.lit(n))
-    one = free.groupBy("bucket", F.when(F.col("all") <= n, order).otherwise(F.pmod(order, F.lit(n))).alias("slot")).agg(F.min_by(F.struct("no", "of", "comp"), order).alias("hub"))
-    return one.select(F.col("bucket").alias("g"), F.col("hub.no").alias("hub"), F.col("hub.of").alias("hub_of"), F.col("hub.comp").alias("hub_comp"))
+    one = free.groupBy("bucket", F.when(F.col("all") <= n, order).otherwise(F.pmod(order, F.lit(n))).alias("slot")).agg(F.min_by(F.struct("no", "of", "off", "at", "comp"), order).alias("hub"))
+    return one.select(F.col("bucket").alias("g"), F.col("hub.no").alias("hub"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("of", "off", "at", "comp")))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,27 +206,30 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared >= F.lit(LEAST) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _classes(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+def _classes(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the classes of keys that links between members (group, key) of one group make; sets has (no, key, shingles)."""
-    links = None
-    members = scratch.written(_buckets(members, sets, scratch).withColumn("comp", F.col("no")), "members")
+    members = members.join(sets.select("key", "no"), "key").select("group", "no")
+    differing, several = _differences(scratch.written(_different(members, "group"), "different"), sets, scratch)
+    near = scratch.written(_near_core(differing), "near")
+    free = differing.join(near, F.col("group") == F.col("g")).where((F.col("no") != F.col("least")) & (NINTH * (F.col("off") + F.col("least_off")) <= F.col("of") + F.col("least_of")))
+    links = scratch.written(free.select(F.col("no").alias("u"), F.col("least").alias("v")).distinct(), "free")
+    found = components(links, scratch)
+    members = scratch.written(_buckets(differing, several, near).withColumn("comp", F.col("no")), "buckets")
+    members = scratch.written(_open(scratch.written(_joined(_open(members), found), "joined")), "members")
     n = HUBS
     while not members.isEmpty():
         hubs = scratch.written(_hubs(members, n), "hubs")
-        both = members.join(hubs, (F.col("bucket") == F.col("g")) & (F.col("comp") != F.col("hub_comp")))
-        both = both.where(F.least("of", "hub_of") >= F.lit(LEAST) * F.greatest("of", "hub_of"))
+        both = members.join(hubs, (F.col("bucket") == F.col("g")) & (F.col("comp") != F.col("hub_comp")) & _may_be_alike())
         # written first, so that few of them are broadcast and the sets stay where they are
         pairs = scratch.written(both.select(F.least("no", "hub").alias("a"), F.greatest("no", "hub").alias("b")).distinct(), "pairs")
         met = scratch.written(_alike(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "met")
-        if links is None or not met.isEmpty():
-            links = met if links is None else links.unionByName(met)
+        if not met.isEmpty():
+            links = links.unionByName(met)
             found = components(links, scratch)
         # all of the bucket were compared with its hubs, which need no more
         rest = members.join(hubs, (F.col("bucket") == F.col("g")) & (F.col("no") == F.col("hub")), "left_anti").withColumn("comp", F.col("no"))
-        members = scratch.written(_mixed(_joined(rest, found), "bucket"), "members")
+        members = scratch.written(_open(scratch.written(_joined(rest, found), "joined")), "members")
         n *= MORE
-    if links is None:
-        return None
     name = sets.select("no", "key")
     named = found.join(name.withColumnsRenamed({"no": "node", "key": "node_key"}), "node").join(name.withColumnsRenamed({"no": "component", "key": "component_key"}), "component")
     return named.select(F.col("node_key").alias("node"), F.col("component_key").alias("component"))
@@ -208,14 +254,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = scratch.written(prints.join(near, "key", "left_semi").select("key", F.explode("fps").alias("fp")), "own")
         groups = fingerprint_groups(own.select("fp").distinct(), scratch).withColumnRenamed("fp", "own")
         members = own.join(groups, F.col("fp") == F.col("own")).select("group", "key").distinct().withColumn("comp", F.col("key"))
-        members = scratch.written(_mixed(members, "group").select("group", "key"), "groups")
+        members = scratch.written(_mixed(members).select("group", "key"), "groups")
         texts = source.select("key", "text").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
         sets = scratch.written(_mapped(texts, shingles_of, "shingles").withColumn("no", F.monotonically_increasing_id()), "shingles")
-        classes = _classes(members, sets, scratch)
-        if classes is None:
-            classes = docs.sparkSession.createDataFrame([], "node string, component string")
         named = prints.select(F.col("key").alias("own"), F.col("key").alias("comp"))
-        named = _joined(named, classes)
+        named = _joined(named, _classes(members, sets, scratch))
         least = found.join(named, F.col("key") == F.col("own")).groupBy("comp").agg(F.min("id").alias("component_id"))
         named = written(named.join(least, "comp").select("own", "component_id"), "components")
     return found.join(named, F.col("key") == F.col("own")).select(F.col("id").alias(id_col), "component_id")

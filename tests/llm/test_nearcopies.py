@@ -133,3 +133,66 @@ def test_all_links_of_families_in_one_group(spark, docs_of, one_group, monkeypat
         rows += [(len(rows) + k, edited(rng, text, share)) for k, share in enumerate([0, 0, *[0.01, 0.02, 0.03, 0.04] * 4])]
     links = [(a, b) for (a, s), (b, t) in combinations(rows, 2) if likeness(s, t) >= 0.8]
     assert of(docs_of(rows)) == classes(dict(rows), links) and len(links) > 100
+
+
+def family(rng, n):
+    """Texts made of one of 150 words: up to 7 places edited, cut or continued, some with places edited alike; none of under two
+    edits, so few are alike."""
+    base = [f"w{i}" for i in range(150)]
+    shared = [[(rng.randrange(150), f"s{k}{j}") for j in range(3)] for k in range(4)]
+    for k in range(n):
+        words = list(base)
+        for at, word in rng.choice(shared) if k % 5 == 0 else []:
+            words[at] = word
+        for _ in range(rng.randrange(2, 8)):
+            words[rng.randrange(150)] = f"u{rng.randrange(10**6)}"
+        if k % 7 == 0:
+            words = words[rng.randrange(0, 40) :]
+        if k % 11 == 0:
+            words += [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30))]
+        yield " ".join(words)
+
+
+def counted(monkeypatch):
+    """The number of rows of each table of pairs."""
+    counts, before = [], N.Scratch.written
+
+    def written(self, df, what):
+        found = before(self, df, what)
+        if what == "pairs":
+            counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(N.Scratch, "written", written)
+    return counts
+
+
+def test_a_large_family_of_texts_that_are_hardly_alike_is_not_compared_by_pairs(spark, docs_of, one_group, monkeypatch):
+    counts = counted(monkeypatch)
+    rows = list(enumerate(family(random.Random(11), 160)))
+    links = [(a, b) for (a, s), (b, t) in combinations(rows, 2) if likeness(s, t) >= 0.8]
+    want = classes(dict(rows), links)
+    assert of(docs_of(rows)) == want and 10 < len(links) and len(set(want.values())) > 40
+    # 7,639 by what the family shares
+    assert sum(counts) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_links_where_a_group_has_a_core_or_none(spark, docs_of, one_group, seed):
+    """One family, and texts that have nothing to do with it: as many, so that no shingle is in over half, or a few."""
+    rng = random.Random(seed)
+    texts = [*family(rng, 60), *(made(rng, rng.randrange(3, 200)) for _ in range((0, 20, 70)[seed]))]
+    texts += [edited(rng, t, 0.015) for t in texts[::3]]
+    rows = list(enumerate(texts))
+    links = [(a, b) for (a, s), (b, t) in combinations(rows, 2) if likeness(s, t) >= 0.8]
+    assert of(docs_of(rows)) == classes(dict(rows), links) and len(links) > 10
+
+
+def test_likeness_of_exactly_the_least_links_and_less_does_not(spark, docs_of, one_group):
+    words = [f"w{i}" for i in range(94)]  # 90 shingles
+    # 80 of 100 shingles in common, and 79 of 101
+    rows = [(1, " ".join(words)), (2, " ".join([*words[10:], *(f"x{i}" for i in range(10))])), (3, " ".join([*(f"y{i}" for i in range(11)), *words[11:]]))]
+    rows += [(10 + i, " ".join(words[5 * i : 5 * i + 40])) for i in range(4)]
+    assert likeness(rows[0][1], rows[1][1]) == 0.8 > likeness(rows[0][1], rows[2][1])
+    links = [(a, b) for (a, s), (b, t) in combinations(rows, 2) if likeness(s, t) >= 0.8]
+    assert of(docs_of(rows)) == classes(dict(rows), links) and (1, 2) in links and (1, 3) not in links
